@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions import avro
+from millrace.functions.avro import NODE_SCHEMA, load, nodes
 from millrace.functions.keypath import key_steps
 
 RESERVED = "acquisition_instant"
@@ -39,8 +39,14 @@ def schema_fields(schemas: DataFrame) -> DataFrame:
     """
     columns = [f for f in schemas.schema.fields if f.name in ("stream", "version")]
     names = [c.name for c in columns]
-    out = T.StructType(columns + avro.NODE_SCHEMA.fields)
-    unreadable = {**{f.name: None for f in avro.NODE_SCHEMA.fields}, "path": "", "plain_path": "", "kind": "root", "depth": 0, "type": "unreadable", "aliases": [], "branch_types": [], "symbols": []}
+    out = T.StructType(columns + NODE_SCHEMA.fields)
+    unreadable = {
+        **{f.name: None for f in NODE_SCHEMA.fields},
+        **{"path": "", "plain_path": "", "kind": "root", "depth": 0, "type": "unreadable"},
+        **{"aliases": [], "branch_types": [], "symbols": []},
+        **{"nullable": False, "has_default": False, "pii": False, "type_pii": False, "logical_ok": True, "logical_on_field": False},
+    }
+    columns_out = out.names
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -48,10 +54,10 @@ def schema_fields(schemas: DataFrame) -> DataFrame:
             for record in batch.to_dict("records"):
                 key = {n: record[n] for n in names}
                 try:
-                    rows.extend({**key, **node} for node in avro.nodes(avro.load(record["schema_json"])))
+                    rows.extend([{**key, **node} for node in nodes(load(record["schema_json"]))])
                 except (ValueError, KeyError, TypeError, RecursionError):
                     rows.append({**key, **unreadable})
-            yield pd.DataFrame(rows, columns=out.names)
+            yield pd.DataFrame(rows, columns=columns_out)
 
     return schemas.select(*names, "schema_json").mapInPandas(explode, out)
 

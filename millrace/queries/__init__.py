@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("log",)
+MODULES = ("log", "messages", "registry", "access", "delivery")
 
 
-def registry() -> dict[str, tuple]:
+def all_queries() -> dict[str, tuple]:
     """Name -> (function of session and table folder, oracle SQL or None)."""
     found: dict[str, tuple] = {}
     for module in MODULES:

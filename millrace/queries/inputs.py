@@ -52,8 +52,8 @@ FROM {events}
 
 LOG_SQL = """
 log AS (SELECT CAST(user_id % 6 AS INT) AS partition,
-               row_number() OVER (PARTITION BY user_id % 6 ORDER BY epoch_ms(ts), event_id) - 1 AS "offset",
-               epoch_ms(ts) AS ts_ms,
+               row_number() OVER (PARTITION BY user_id % 6 ORDER BY epoch_us(ts) // 1000, event_id) - 1 AS "offset",
+               epoch_us(ts) // 1000 AS ts_ms,
                CASE WHEN event_type IN ('error', 'signup') THEN 1 ELSE 2 END AS schema_version,
                event_id, user_id, event_type, value, props
         FROM events)

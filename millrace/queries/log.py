@@ -173,7 +173,7 @@ def consecutive_runs(spark, sf_dir):
 
 _PLAN_SQL = """
 latest AS (SELECT partition, max("offset") + 1 AS latest FROM log GROUP BY partition),
-plan AS (SELECT partition, CASE WHEN partition <> 5 THEN partition * 10 ELSE 0 END AS start,
+plan AS (SELECT partition, CAST(CASE WHEN partition <> 5 THEN partition * 10 ELSE 0 END AS BIGINT) AS start,
   least(latest, CASE WHEN partition <> 5 THEN partition * 10 ELSE 0 END + 1000) AS "end",
   latest > CASE WHEN partition <> 5 THEN partition * 10 ELSE 0 END + 1000 AS run_again
   FROM latest WHERE latest > CASE WHEN partition <> 5 THEN partition * 10 ELSE 0 END)
