@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,22 +17,20 @@ from millrace.operators.model import OPERATIONS
 from millrace.operators.registry import (
     active_schemas,
     compat_report,
+    deletable_version,
     key_path_check,
     latest_active_schema,
     next_version,
     pii_evolution_check,
     schema_rules,
 )
+from millrace.session import settle
 
 # Fixed values.
 STREAM_NAME = "^[a-z][a-z0-9_]*$"
 DEFAULT_INTERVAL = "PT1H"
 MIN_INTERVAL_S, MAX_INTERVAL_S = 300, 86400
 DEFAULT_MODE = "CAN_READ_ALL"
-TEXT_PATHS = ("/contactEmail", "/description", "/teamName")
-LIST_PATHS = ("/authorisation/onramp/cidrBlocks", "/authorisation/onramp/authorities")
-CIDR_PATH = "/authorisation/onramp/cidrBlocks"
-GRANTS_PATH = "/authorisation/offramp/authorities"
 
 
 def op(kind: str, path: Column | str, value: Column | None = None) -> Column:
@@ -139,12 +139,91 @@ def _text(column: str) -> Column:
 # -- requests -----------------------------------------------------------------------------------------
 
 
-def validate_patches(requests: DataFrame, streams: DataFrame, latest_fields: DataFrame, now_ms: Column) -> DataFrame:
+PatchRule = Callable[[Column], Column]
+
+
+def _fault(test: Column, text: str) -> Column:
+    return F.when(F.coalesce(test, F.lit(False)), F.lit(text))
+
+
+def _value(o: Column) -> Column:
+    return F.try_parse_json(o["value"])
+
+
+def _kind(o: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(_value(o)), F.lit("VOID"))
+
+
+def _text_rule(o: Column) -> Column:
+    text = F.try_variant_get(_value(o), "$", "string")
+    return F.coalesce(_fault(_kind(o) != "STRING", "not a string"), _fault(F.trim(text) == "", "blank"))
+
+
+def _key_path_rule(o: Column) -> Column:
+    return F.coalesce(_text_rule(o), _fault(F.col("_misfit"), "does not fit the schema"))
+
+
+def _enabled_rule(o: Column) -> Column:
+    turns_on = F.try_variant_get(_value(o), "$", "boolean")
+    ready = F.coalesce("_ready", F.lit(False))
+    return F.coalesce(_fault(_kind(o) != "BOOLEAN", "not a boolean"), _fault(turns_on & ~ready, "not ready to be enabled"))
+
+
+def _list_rule(o: Column) -> Column:
+    items = F.try_variant_get(_value(o), "$", "array<variant>")
+    first = F.schema_of_variant(F.get(items, F.lit(0)))
+    return F.coalesce(_fault(~_kind(o).startswith("ARRAY"), "not an array"), _fault(first != "STRING", "not strings"))
+
+
+def _cidr_rule(o: Column) -> Column:
+    blocks = F.from_json(o["value"], "array<string>")
+    return F.coalesce(_list_rule(o), _fault(~F.forall(blocks, lambda c: c.rlike(BLOCK)), "not CIDR blocks"))
+
+
+def _grants_rule(o: Column) -> Column:
+    # from_json keeps members in document order; the first one is checked.
+    first = F.get(F.map_values(F.from_json(o["value"], "map<string,string>")), F.lit(0))
+    grants = F.try_parse_json(first)
+    grant = F.get(F.try_variant_get(grants, "$", "array<variant>"), F.lit(0))
+    is_list = F.coalesce(F.schema_of_variant(grants).startswith("ARRAY"), F.lit(False))
+    is_text = F.coalesce(F.schema_of_variant(grant) == "STRING", F.lit(False))
+    return F.coalesce(
+        _fault(~_kind(o).startswith("OBJECT"), "not a map"),
+        _fault(first.isNotNull() & ~is_list, "grants are not an array"),
+        _fault(first.isNotNull() & ~is_text, "grants are empty or not strings"),
+    )
+
+
+def _metadata_rule(o: Column) -> Column:
+    return _fault(~_kind(o).startswith("OBJECT"), "not an object")
+
+
+# What may be patched, and the rule for its value: the fault of an operation, or NULL.
+PATCH_RULES: dict[str, PatchRule] = {
+    "/contactEmail": _text_rule,
+    "/description": _text_rule,
+    "/teamName": _text_rule,
+    "/enabled": _enabled_rule,
+    "/partitionPath": _key_path_rule,
+    "/metadata": _metadata_rule,
+    "/authorisation/onramp/cidrBlocks": _cidr_rule,
+    "/authorisation/onramp/authorities": _list_rule,
+    "/authorisation/offramp/authorities": _grants_rule,
+}
+
+
+def validate_patches(
+    requests: DataFrame,
+    streams: DataFrame,
+    latest_fields: DataFrame,
+    now_ms: Column,
+    rules: dict[str, PatchRule] | None = None,
+) -> DataFrame:
     """Judge requested patches and rewrite them: ``(request_id, stream, reason, operations)``.
 
-    ``requests(request_id, stream, operations)``. Only listed paths may change, each by its own rule; the
-    first bad operation refuses the whole set. Accepted adds become replaces, and changing ``/enabled`` also
-    stamps its time. A key path must fit the latest schema.
+    ``requests(request_id, stream, operations)``. Only paths with a rule may change; the first bad operation
+    refuses the whole set. Accepted adds become replaces, and changing ``/enabled`` also stamps its time. A
+    key path must fit the latest schema. ``rules`` adds paths or replaces their rules.
     """
     known = streams.where(~F.col("deleted")).select("stream", F.col("topic_created").alias("_ready"), F.lit(True).alias("_known"))
     proposed = requests.select("request_id", "stream", F.explode("operations").alias("o")).where(
@@ -153,66 +232,27 @@ def validate_patches(requests: DataFrame, streams: DataFrame, latest_fields: Dat
     paths = proposed.select("request_id", "stream", F.try_variant_get(F.try_parse_json("o.value"), "$", "string").alias("partition_path"))
     misfits = key_path_check(paths, latest_fields).select("request_id").distinct().withColumn("_misfit", F.lit(True))
     judged = requests.join(known, "stream", "left").join(misfits, "request_id", "left")
-    faults = F.filter(F.transform("operations", _operation_fault), lambda f: f.isNotNull())
-    reason = F.when(F.col("_known").isNull(), F.lit("unknown stream")).otherwise(F.get(faults, F.lit(0)))
-    stamp = op("add", "/enabledTimeStamp", now_ms.cast("string"))
-    rewritten = F.flatten(
-        F.transform(
-            "operations",
-            lambda o: F.when(
-                o["path"] == "/enabled", F.array(_as_replace(o), stamp)
-            ).otherwise(F.array(_as_replace(o))),
-        )
-    )
-    return judged.select(
-        "request_id", "stream", reason.alias("reason"), F.when(reason.isNull(), rewritten.cast(OPERATIONS)).alias("operations")
-    )
 
+    every = {**PATCH_RULES, **(rules or {})}
 
-def _as_replace(o: Column) -> Column:
-    return F.struct(F.lit("replace").alias("op"), o["path"].alias("path"), o["value"].alias("value"))
+    def fault(o: Column) -> Column:
+        found = F.when(~o["path"].isin(*every), F.lit("not a path to patch")).when(
+            ~F.lower(o["op"]).isin("add", "replace"), F.lit("may not be removed")
+        )
+        for path, rule in every.items():
+            found = found.when(o["path"] == path, rule(o))
+        return F.when(found.isNotNull(), F.concat(found, F.lit(": "), o["path"]))
 
+    faults = F.filter(F.transform("operations", fault), lambda f: f.isNotNull())
+    reason = F.when(F.col("_known").isNull(), F.lit("unknown stream")).otherwise(F.get(faults, F.lit(0)))
+    stamp = op("add", "/enabledTimeStamp", now_ms.cast("string"))
 
-def _operation_fault(o: Column) -> Column:
-    path, value = o["path"], F.try_parse_json(o["value"])
-    kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
-    removes = ~F.lower(o["op"]).isin("add", "replace")
-    text = F.try_variant_get(value, "$", "string")
-    blank = F.coalesce(F.trim(text) == "", F.lit(True))
-    items = F.try_variant_get(value, "$", "array<variant>")
-    first_kind = F.schema_of_variant(F.get(items, F.lit(0)))
-    blocks = F.from_json(o["value"], "array<string>")
-    # Document order of members is kept by from_json; the first one is checked.
-    grants = F.get(F.map_values(F.from_json(o["value"], "map<string,string>")), F.lit(0))
-    grant_list = F.try_parse_json(grants)
-    first_grant = F.get(F.try_variant_get(grant_list, "$", "array<variant>"), F.lit(0))
-    any_path = (*TEXT_PATHS, *LIST_PATHS, GRANTS_PATH, "/enabled", "/partitionPath", "/metadata")
-    is_list = kind.startswith("ARRAY")
-    return (
-        F.when(~path.isin(*any_path), F.concat(F.lit("not a path to patch: "), path))
-        .when(removes, F.concat(F.lit("may not be removed: "), path))
-        .when(path.isin(*TEXT_PATHS, "/partitionPath") & (kind != "STRING"), F.concat(F.lit("not a string: "), path))
-        .when(path.isin(*TEXT_PATHS, "/partitionPath") & blank, F.concat(F.lit("blank: "), path))
-        .when((path == "/partitionPath") & F.coalesce(F.col("_misfit"), F.lit(False)), "key path does not fit the schema")
-        .when((path == "/enabled") & (kind != "BOOLEAN"), F.lit("not a boolean: /enabled"))
-        .when(
-            (path == "/enabled") & F.try_variant_get(value, "$", "boolean") & ~F.coalesce(F.col("_ready"), F.lit(False)),
-            "not ready to be enabled",
-        )
-        .when(path.isin(*LIST_PATHS) & ~is_list, F.concat(F.lit("not an array: "), path))
-        .when(path.isin(*LIST_PATHS) & (F.size(items) > 0) & (first_kind != "STRING"), F.concat(F.lit("not strings: "), path))
-        .when((path == CIDR_PATH) & ~F.forall(blocks, lambda c: c.rlike(BLOCK)), "not a CIDR block")
-        .when((path == GRANTS_PATH) & ~kind.startswith("OBJECT"), "not a map of grants")
-        .when(
-            (path == GRANTS_PATH) & grants.isNotNull() & ~F.coalesce(F.schema_of_variant(grant_list).startswith("ARRAY"), F.lit(False)),
-            "grants are not an array",
-        )
-        .when(
-            (path == GRANTS_PATH) & grants.isNotNull() & ~F.coalesce(F.schema_of_variant(first_grant) == "STRING", F.lit(False)),
-            "grants are empty or not strings",
-        )
-        .when((path == "/metadata") & ~kind.startswith("OBJECT"), "metadata is not an object")
-    )
+    def rewrite(o: Column) -> Column:
+        replaced = F.struct(F.lit("replace").alias("op"), o["path"].alias("path"), o["value"].alias("value"))
+        return F.when(o["path"] == "/enabled", F.array(replaced, stamp)).otherwise(F.array(replaced))
+
+    rewritten = F.flatten(F.transform("operations", rewrite)).cast(OPERATIONS)
+    return judged.select("request_id", "stream", reason.alias("reason"), F.when(reason.isNull(), rewritten).alias("operations"))
 
 
 def create_streams(requests: DataFrame, streams: DataFrame, now_ms: Column, auto_landing: bool = True) -> DataFrame:
@@ -260,8 +300,10 @@ def register_schemas(requests: DataFrame, streams: DataFrame, schemas: DataFrame
     candidates = requests.join(upcoming, "stream").withColumn("version", F.coalesce("requested", "next_version"))
     # The candidate takes the place after every existing version, so that explicit low numbers still compare.
     placed = candidates.select("stream", F.greatest("version", "next_version").cast("int").alias("version"), "schema_json")
-    new_fields = fields_of(placed)
-    old_fields = fields_of(active_schemas(schemas).select("stream", "version", "schema_json"))
+    asked = requests.select("stream").distinct()
+    older = active_schemas(schemas).join(asked, "stream", "left_semi").select("stream", "version", "schema_json")
+    new_fields = settle(fields_of(placed), "new-fields")
+    old_fields = settle(fields_of(older), "old-fields")
     latest_keys = latest_active_schema(schemas).select("stream", "version")
     current_fields = old_fields.join(latest_keys, ["stream", "version"], "left_semi")
 
@@ -300,8 +342,6 @@ def register_schemas(requests: DataFrame, streams: DataFrame, schemas: DataFrame
 
 def delete_schema_versions(requests: DataFrame, schemas: DataFrame) -> DataFrame:
     """Requests to delete schema versions: ``(stream, version, reason, operations)``."""
-    from millrace.operators.registry import deletable_version
-
     judged = deletable_version(schemas, requests)
     path = F.concat(F.lit("/schemas/"), F.col("number").cast("string"), F.lit("/deleted"))
     return judged.select(

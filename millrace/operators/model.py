@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.jsonpatch import MISSING, PatchError, apply_set
 from millrace.operators.ordered import SLICE_ROWS, previous_value, running_total
+from millrace.session import settle
 from millrace.sources.log import latest_by_key
 
 OPERATIONS = "array<struct<op:string,path:string,value:string>>"
@@ -100,7 +101,7 @@ def fold_patches(patches: DataFrame) -> DataFrame:
     everything before the last write of the root and, in documents whose sets each stay under one
     top-level member, everything before the last write of that member. Members then fold apart, so the
     history of a busy document spreads out. The rest is sorted and walked batch by batch; no group is ever
-    held in memory.
+    held in memory. The history is read twice; what survives is written out before the rest.
     """
     first = F.col("operations")[0]
     sets = patches.select("document_id", "seq", "operations").withColumns(
@@ -108,7 +109,7 @@ def fold_patches(patches: DataFrame) -> DataFrame:
     )
     root_seq = F.when(F.col("_root"), F.col("seq"))
     written = F.when(F.lower(first["op"]) != "remove", F.coalesce(first["value"], F.lit("null")))
-    documents = (
+    documents = settle(
         sets.groupBy("document_id")
         .agg(
             F.max(root_seq).alias("_from"),
@@ -117,16 +118,20 @@ def fold_patches(patches: DataFrame) -> DataFrame:
         )
         .select("document_id", "_from", F.col("_last.v").alias("_base"), "_apart")
         # Members exist only in an object; any other document is folded whole.
-        .withColumn("_apart", F.col("_apart") & (F.col("_base").isNull() | F.ltrim("_base").startswith("{")))
+        .withColumn("_apart", F.col("_apart") & (F.col("_base").isNull() | F.ltrim("_base").startswith("{"))),
+        "documents",
     )
-    tail = (
+    tail = settle(
         sets.where(~F.col("_root"))
         .join(documents, "document_id")
         .where(F.col("_from").isNull() | (F.col("seq") > F.col("_from")))
+        .where(~F.col("_apart") | F.col("_base").isNotNull())
+        .select("document_id", "seq", "operations", "_member", "_single", "_apart"),
+        "patch-tail",
     )
     # A document whose sets stay apart and whose root was never written, or was removed, stays absent.
     objects = documents.where(F.col("_apart") & F.col("_base").isNotNull())
-    kept = _decisive_moves(tail.where(F.col("_apart") & F.col("_base").isNotNull()), objects)
+    kept = _decisive_moves(tail.where("_apart"), objects)
     bases = documents.where(~F.col("_apart") & F.col("_base").isNotNull())
     whole = (
         tail.where(~F.col("_apart"))
@@ -137,7 +142,7 @@ def fold_patches(patches: DataFrame) -> DataFrame:
             )
         )
     )
-    folded = _fold_units(whole.withColumn("unit", F.lit("")).unionByName(kept))
+    folded = settle(_fold_units(whole.withColumn("unit", F.lit("")).unionByName(kept)), "folded")
 
     name = F.replace(F.replace(F.substring("unit", 2, 1 << 30), F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
     members = (

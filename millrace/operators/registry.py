@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.avro import NODE_SCHEMA, load, nodes
 from millrace.functions.keypath import key_steps
+from millrace.session import settle
 
 RESERVED = "acquisition_instant"
 MODES = (
@@ -191,7 +192,7 @@ def read_faults(fields: DataFrame, pairs: DataFrame) -> DataFrame:
     the writer lacks and that has no default, a type that cannot be promoted, or an unknown enum symbol.
     Fields match by name or alias.
     """
-    nodes = _readable_nodes(fields)
+    nodes = settle(_readable_nodes(fields), "schema-nodes")
     keys = ["stream", "reader", "writer"]
     reading = nodes.withColumnRenamed("version", "reader").join(pairs, ["stream", "reader"])
     own = F.when(F.col("name").isNull(), F.array("plain_path")).otherwise(
@@ -239,7 +240,7 @@ def compat_report(candidates: DataFrame, schemas: DataFrame, fields: DataFrame)
 
     A candidate with nothing before it is compatible in every mode.
     """
-    pairs = schema_pairs(candidates, schemas)
+    pairs = settle(schema_pairs(candidates, schemas), "schema-pairs")
     forward = pairs.select("stream", F.col("candidate").alias("reader"), F.col("existing").alias("writer"))
     backward = pairs.select("stream", F.col("existing").alias("reader"), F.col("candidate").alias("writer"))
     broken = read_faults(fields, forward.union(backward)).select("stream", "reader", "writer").distinct()

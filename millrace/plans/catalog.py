@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import catalog
 from millrace.operators.registry import latest_active_schema, schema_fields
+from millrace.session import settle
 
 REQUEST_KINDS = ("create_stream", "register_schema", "delete_schema", "destination", "patch", "delete_stream")
 
@@ -38,6 +39,6 @@ def apply_catalog_changes(
     parts = [
         rows.select(F.lit(kind).alias("kind"), "stream", "reason", "operations") for kind, rows in judged.items()
     ]
-    every = reduce(DataFrame.unionByName, parts)
+    every = settle(reduce(DataFrame.unionByName, parts), "catalog-changes")
     patches = every.where(F.col("reason").isNull()).select("kind", F.col("stream").alias("document_id"), "operations")
     return patches, every.where(F.col("reason").isNotNull()).select("kind", "stream", "reason")

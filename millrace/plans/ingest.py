@@ -4,11 +4,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions import keypath
-from millrace.operators.conform import accepted, conform, rejected, responses
+from millrace.functions import avro, keypath
+from millrace.operators.conform import (
+    accepted,
+    available_requests,
+    conform,
+    explode_request,
+    reject_reason,
+    rejected,
+    responses,
+)
 
 
 @dataclass(frozen=True)
@@ -46,3 +56,38 @@ def ingest(
         rejected=rejected(judged),
         responses=responses(judged, keys),
     )
+
+
+def judge_by_stream(df: DataFrame, schemas: dict[str, tuple[int, str]], body: str = "element") -> DataFrame:
+    """Judge messages of many streams in one pass, each by its stream's ``(version, schema)``.
+
+    Streams that share a schema share one compiled check. Adds ``reason`` and ``schema_version``.
+    """
+    by_schema: dict[str, list[str]] = {}
+    for stream, (_, text) in schemas.items():
+        by_schema.setdefault(text, []).append(stream)
+    checks = [
+        F.when(F.col("stream").isin(*names), reject_reason(F.col("_parsed"), avro.load(text)))
+        for text, names in by_schema.items()
+    ]
+    versions = [F.when(F.col("stream") == s, F.lit(v)) for s, (v, _) in schemas.items()]
+    return (
+        df.withColumn("_parsed", F.try_parse_json(F.col(body)))
+        .withColumn("reason", reduce(lambda a, b: F.coalesce(a, b), checks))
+        .withColumn("schema_version", F.coalesce(*versions).cast("int"))
+        .drop("_parsed")
+    )
+
+
+def answer_requests(
+    requests: DataFrame, streams: DataFrame, schemas: dict[str, tuple[int, str]], now: Column | None = None
+) -> DataFrame:
+    """Answers to array requests ``(request_id, stream, body)``: one per element, in position.
+
+    A fault of one element leaves its neighbours alone; what refuses the whole request - an unknown or
+    disabled stream, or one without a schema - is the answer of every element.
+    """
+    judged_requests = available_requests(requests, streams)
+    elements = explode_request(judged_requests, ["request_id", "stream", "refusal"]).where("pos is not null")
+    judged = judge_by_stream(elements, schemas).withColumn("reason", F.coalesce("refusal", "reason"))
+    return responses(judged, ["request_id", "stream", "pos"], now)

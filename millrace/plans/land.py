@@ -43,14 +43,18 @@ def land_batch(rows: DataFrame, location: str, fmt: str = "parquet", codec: str
     version holding most of the rows is split over many files. ``codec`` is the format's own (deflate level 3
     for ``avro`` is ``spark.sql.avro.deflate.level``).
     """
-    spark = rows.sparkSession
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(FILE_BYTES))
+    conf, size = rows.sparkSession.conf, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    usual = conf.get(size, None)
     writer = rows.hint("rebalance", "schema_version").sortWithinPartitions("schema_version", "log_partition", "log_offset").write
     if codec:
         writer = writer.option("compression", codec)
     if file_rows:
         writer = writer.option("maxRecordsPerFile", file_rows)
-    writer.mode("overwrite").format(fmt).save(location)
+    conf.set(size, str(FILE_BYTES))
+    try:
+        writer.mode("overwrite").format(fmt).save(location)
+    finally:
+        conf.set(size, usual) if usual else conf.unset(size)
 
 
 def table_columns(schema_json: str) -> T.StructType:
@@ -66,26 +70,43 @@ def table_columns(schema_json: str) -> T.StructType:
     )
 
 
-def ensure_table(spark: SparkSession, table: str, location: str, schema_json: str, version: int, fmt: str = "parquet") -> str:
-    """Create the external table once, and bring it to the newest schema: ``created`` / ``altered`` /
-    ``unchanged``. Calling it again changes nothing."""
-    columns = table_columns(schema_json)
-    if not spark.catalog.tableExists(table):
-        listed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.fields)
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {table} ({listed}, {PARTITION_COLUMN} STRING) USING {fmt} "
-            f"PARTITIONED BY ({PARTITION_COLUMN}) LOCATION '{location}' "
-            f"TBLPROPERTIES ('{VERSION_PROPERTY}' = '{version}')"
-        )
-        return "created"
-    if table_version(spark, table) == version:
-        return "unchanged"
+def create_table(spark: SparkSession, table: str, location: str, columns: T.StructType, version: int, fmt: str) -> None:
+    listed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.fields)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {table} ({listed}, {PARTITION_COLUMN} STRING) USING {fmt} "
+        f"PARTITIONED BY ({PARTITION_COLUMN}) LOCATION '{location}' "
+        f"TBLPROPERTIES ('{VERSION_PROPERTY}' = '{version}')"
+    )
+
+
+def alter_table(spark: SparkSession, table: str, columns: T.StructType, version: int) -> None:
     present = {c.lower() for c in spark.table(table).columns}
     added = [f for f in columns.fields if f.name.lower() not in present]
     if added:
         listed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in added)
         spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({listed})")
     spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{VERSION_PROPERTY}' = '{version}')")
+
+
+def ensure_table(
+    spark: SparkSession,
+    table: str,
+    location: str,
+    schema_json: str,
+    version: int,
+    fmt: str = "parquet",
+    create=create_table,
+    alter=alter_table,
+) -> str:
+    """Create the external table once, and bring it to the newest schema: ``created`` / ``altered`` /
+    ``unchanged``. Calling it again changes nothing. ``create`` and ``alter`` are the table's strategy."""
+    columns = table_columns(schema_json)
+    if not spark.catalog.tableExists(table):
+        create(spark, table, location, columns, version, fmt)
+        return "created"
+    if table_version(spark, table) == version:
+        return "unchanged"
+    alter(spark, table, columns, version)
     return "altered"
 
 

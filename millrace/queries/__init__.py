@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("log", "messages", "registry", "access", "delivery", "model", "observe", "catalog")
+MODULES = ("log", "messages", "registry", "access", "delivery", "model", "observe", "catalog", "landing", "streams")
 
 
 def all_queries() -> dict[str, tuple]:

@@ -165,7 +165,7 @@ def catalog_changes(spark, sf_dir):
         "create_stream": _create_requests(spark, sf_dir),
         "register_schema": _schema_requests(spark, sf_dir),
         "destination": _destination_requests(spark, sf_dir),
-        "patch": _patch_requests(spark, sf_dir).drop("request_id").withColumn("request_id", F.monotonically_increasing_id()),
+        "patch": _patch_requests(spark, sf_dir),
         "delete_stream": every.where("c_custkey % 2 = 0").select("stream"),
     }
     patches, rejects = apply_catalog_changes(requests, every, known, F.lit(NOW_MS))
@@ -188,14 +188,37 @@ _ACCEPTED_INTERVAL = "coalesce(interval_s BETWEEN 300 AND 86400, FALSE)"
 _PATCH_SQL = f"""
 asked AS (SELECT s.*, l.version AS latest_version, CASE
   WHEN s.c_custkey % 37 = 0 OR s.deleted THEN 'unknown stream' ELSE CASE s.c_custkey % 16
-  WHEN 0 THEN CASE WHEN NOT topic_created THEN 'not ready to be enabled' END
+  WHEN 0 THEN CASE WHEN NOT topic_created THEN 'not ready to be enabled: /enabled' END
   WHEN 2 THEN 'blank: /teamName' WHEN 3 THEN 'not a path to patch: /name' WHEN 4 THEN 'may not be removed: /metadata'
-  WHEN 7 THEN CASE WHEN l.version IS NOT NULL THEN 'key path does not fit the schema' END
-  WHEN 9 THEN 'not a CIDR block' WHEN 10 THEN 'not strings: /authorisation/onramp/authorities' WHEN 12 THEN 'grants are empty or not strings'
-  WHEN 13 THEN 'not a boolean: /enabled' WHEN 14 THEN 'not a string: /contactEmail' WHEN 15 THEN 'grants are not an array' END END AS reason
+  WHEN 7 THEN CASE WHEN l.version IS NOT NULL THEN 'does not fit the schema: /partitionPath' END
+  WHEN 9 THEN 'not CIDR blocks: /authorisation/onramp/cidrBlocks' WHEN 10 THEN 'not strings: /authorisation/onramp/authorities'
+  WHEN 12 THEN 'grants are empty or not strings: /authorisation/offramp/authorities'
+  WHEN 13 THEN 'not a boolean: /enabled' WHEN 14 THEN 'not a string: /contactEmail' WHEN 15 THEN 'grants are not an array: /authorisation/offramp/authorities' END END AS reason
   FROM streams s LEFT JOIN latest l ON l.stream = s.stream)
 """
 
+# By the rules the schemas are made of: stream t is offered the newest schema of stream n = t - 2.
+_REGISTER_SQL = f"""{STREAMS_SQL}, {SCHEMAS_SQL}, newest AS (SELECT c_custkey, max(version) AS v FROM schemas WHERE NOT deleted GROUP BY c_custkey),
+offers AS (SELECT o.c_custkey AS n, o.c_custkey + 2 AS t, o.v AS vn, s.stream AS known, s.compatibility_mode AS mode, s.partition_path, e.next_version,
+    CASE o.c_custkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 9 ELSE e.next_version END AS version, w.v AS vt
+  FROM newest o JOIN (SELECT n.c_custkey, coalesce(max(x.version), 0) + 1 AS next_version FROM newest n LEFT JOIN schemas x ON x.stream = 'stream_' || (n.c_custkey + 2) GROUP BY ALL) e ON e.c_custkey = o.c_custkey
+  LEFT JOIN streams s ON s.stream = 'stream_' || (o.c_custkey + 2) AND NOT s.deleted LEFT JOIN newest w ON w.c_custkey = s.c_custkey),
+olds AS (SELECT o.n, s.version = o.vt AS is_latest,
+    (o.vn < 3 AND s.version >= 3) OR (o.vn = 4 AND o.n % 2 = 0 AND s.version <> 4) AS unread,
+    (s.version < 3 AND o.vn >= 3) OR (s.version = 4 AND o.t % 2 = 0 AND NOT (o.vn = 4 AND o.n % 2 = 0)) AS unreadable
+  FROM offers o JOIN schemas s ON s.stream = o.known AND NOT s.deleted),
+clashes AS (SELECT n, bool_or(unread) AS read_all, bool_or(is_latest AND (unread OR unreadable)) AS mutual_latest FROM olds GROUP BY n),
+judged AS (SELECT 'stream_' || t AS stream, CAST(version AS INT) AS version, CASE WHEN known IS NULL THEN 'unknown stream'
+    WHEN partition_path = '$.tags.code' THEN 'key path: not traversable: array' WHEN partition_path = '$["owner"]["missing"]' THEN 'key path: no field: missing'
+    WHEN partition_path = 'no path' THEN 'key path: syntax'
+    WHEN o.n % 23 = 0 THEN 'schema: pii-not-text' WHEN o.n % 19 = 0 THEN 'schema: reserved-name' WHEN o.n % 29 = 0 THEN 'schema: union-bytes-string'
+    WHEN coalesce(mode, 'CAN_READ_ALL') = 'CAN_READ_ALL' AND read_all THEN 'compatibility: CAN_READ_ALL'
+    WHEN mode = 'MUTUAL_READ_LATEST' AND mutual_latest THEN 'compatibility: MUTUAL_READ_LATEST'
+    WHEN o.n % 9 = 1 AND vn >= 3 AND vt >= 2 THEN 'personal data: /note' WHEN o.n % 3 = 0 AND vt IS NOT NULL THEN 'personal data: /owner/name'
+    WHEN version < next_version THEN 'version too low' END AS reason
+  FROM offers o LEFT JOIN clashes c ON c.n = o.n)
+"""
+
 QUERIES = {
     "live_streams": (live_streams, f"WITH {STREAMS_SQL} SELECT stream FROM streams WHERE NOT deleted ORDER BY stream"),
     "deletable_streams": (
@@ -243,7 +266,10 @@ QUERIES = {
         SELECT stream, reason, CASE WHEN reason IS NULL THEN CASE WHEN c_custkey % 3 = 0 THEN 'true' ELSE 'false' END END AS enabled,
           CASE WHEN reason IS NULL THEN 'CAN_READ_ALL' END AS mode, CASE WHEN reason IS NULL THEN 'PT1H' END AS landing_interval FROM a""",
     ),
-    "register_schema": (register_schema, None),
+    "register_schema": (
+        register_schema,
+        f"""WITH {_REGISTER_SQL} SELECT stream, version, reason, CASE WHEN reason IS NULL THEN '/schemas/' || version END AS path FROM judged""",
+    ),
     "destination_changes": (
         destination_changes,
         f"""WITH {STREAMS_SQL}, a AS (SELECT *, c_custkey % 3 AS x, '{{"enabled":true,"landingInterval":"' || coalesce(landing_interval, 'PT1H') || '"}}' AS v,
@@ -262,7 +288,6 @@ QUERIES = {
         f"""WITH {SCHEMAS_SQL}, {_LATEST_SQL} SELECT l.stream, '/schemas/' || l.version || '/deleted' AS path, 'true' AS value FROM latest l JOIN (SELECT DISTINCT stream, c_custkey FROM schemas) s ON s.stream = l.stream
         WHERE c_custkey % 9 > 1 AND l.version = 1 + c_custkey % 4""",
     ),
-    "catalog_changes": (catalog_changes, None),
     "notifications": (
         notifications,
         f"""WITH {STREAMS_SQL}, {SCHEMAS_SQL}, n AS (
@@ -272,3 +297,17 @@ QUERIES = {
         SELECT type, stream, '1.0' AS protocol, message, FALSE AS oversized FROM n""",
     ),
 }
+
+_KINDS = {
+    "create_stream": "create_stream",
+    "register_schema": "register_schema",
+    "destination": "destination_changes",
+    "patch": "validate_patches",
+    "delete_stream": "delete_stream",
+}
+QUERIES["catalog_changes"] = (
+    catalog_changes,
+    "SELECT kind, reason IS NULL AS accepted, count(*) AS requests FROM ("
+    + " UNION ALL ".join(f"SELECT '{kind}' AS kind, reason FROM ({QUERIES[name][1]})" for kind, name in _KINDS.items())
+    + ") GROUP BY ALL",
+)

@@ -192,23 +192,23 @@ def schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
 # One probe message per event, one a second, in seven groups.
 PROBE_GROUPS = 7
 SENT = """
-SELECT concat('origin-', event_id % 2) AS origin, event_id AS seq, event_id * 1000 AS sent_ms, props AS payload,
+SELECT concat('origin-', event_id % 2) AS origin, event_id AS seq, (event_id + 1) * 1000 AS sent_ms, props AS payload,
        CASE event_type WHEN 'error' THEN 'SEND_FAILURE' WHEN 'signup' THEN 'SEND_REJECTED' ELSE 'SEND_SUCCESS' END AS send_state
 FROM {events}
 """
 # Some are lost, some come late, twice or changed, and some failed ones arrive all the same.
 RECEIVED = """
-SELECT concat('origin-', event_id % 2) AS origin, event_id AS seq, event_id * 1000 + (user_id * 37 + event_id * 11) % 700 * 100 + copy * 500 AS recv_ms,
+SELECT concat('origin-', event_id % 2) AS origin, event_id AS seq, (event_id + 1) * 1000 + (user_id * 37 + event_id * 11) % 700 * 100 + copy * 500 AS recv_ms,
        CASE WHEN event_id % 8 = 0 THEN concat(props, '!') ELSE props END AS payload
 FROM {events} JOIN (SELECT explode(array(0, 1)) AS copy) c
   ON (copy = 0 OR event_id % 9 = 0) AND event_id % 10 <> 0
      AND (event_type IN ('click', 'view', 'purchase') OR (event_type = 'error' AND event_id % 4 = 0))
 """
 PROBE_SQL = """
-sent AS (SELECT 'origin-' || (event_id % 2) AS origin, event_id AS seq, event_id * 1000 AS sent_ms, props AS payload,
+sent AS (SELECT 'origin-' || (event_id % 2) AS origin, event_id AS seq, (event_id + 1) * 1000 AS sent_ms, props AS payload,
        CASE event_type WHEN 'error' THEN 'SEND_FAILURE' WHEN 'signup' THEN 'SEND_REJECTED' ELSE 'SEND_SUCCESS' END AS send_state
 FROM events),
-received AS (SELECT 'origin-' || (event_id % 2) AS origin, event_id AS seq, event_id * 1000 + (user_id * 37 + event_id * 11) % 700 * 100 + copy * 500 AS recv_ms,
+received AS (SELECT 'origin-' || (event_id % 2) AS origin, event_id AS seq, (event_id + 1) * 1000 + (user_id * 37 + event_id * 11) % 700 * 100 + copy * 500 AS recv_ms,
        event_id % 8 <> 0 AS intact
 FROM events JOIN (VALUES (0), (1)) c(copy)
   ON (copy = 0 OR event_id % 9 = 0) AND event_id % 10 <> 0

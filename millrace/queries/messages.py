@@ -9,8 +9,9 @@ from millrace.operators import conform as conform_ops
 from millrace.operators import observe
 from millrace.operators.mask import mask_pii
 from millrace.plans import serve as serve_plan
-from millrace.plans.ingest import partition_by_key
+from millrace.plans.ingest import answer_requests, partition_by_key
 from millrace.queries.inputs import EVENT_SCHEMAS, EVENT_V2, LOG_SQL, event_log, sql, streams, table
+from millrace.sources.log import framed_records
 
 # Bodies made from props, {"k": n}, with every kind of fault by rule on n and the event.
 K_SCHEMA = (
@@ -93,6 +94,33 @@ def partial_failure(spark, sf_dir):
     return conform_ops.responses(judged, ["event_id", "pos"], F.lit(0).cast("bigint"))
 
 
+def ingest_answers(spark, sf_dir):
+    """Answers to array requests on good, disabled, schemaless and unknown streams."""
+    requests = sql(
+        spark, sf_dir,
+        """SELECT event_id AS request_id, concat('s', user_id % 6) AS stream,
+           concat('[{{"k":', event_id, ',"kind":"view"}},{{"id":', event_id, ',"user":1,"kind":"x"}},7]') AS body FROM {events}""",
+        "events",
+    )
+    known = table(spark, sf_dir, "region").select(
+        F.concat(F.lit("s"), F.col("r_regionkey").cast("string")).alias("stream"), (F.col("r_regionkey") != 3).alias("enabled"),
+        F.when(F.col("r_regionkey") != 4, F.lit(1)).alias("latest_version"),
+    )
+    schemas = {"s0": (3, K_SCHEMA), "s1": (2, EVENT_V2), "s2": (3, K_SCHEMA)}
+    return answer_requests(requests, known, schemas, F.lit(0).cast("bigint")).drop("timestamp_ms")
+
+
+def framed_log(spark, sf_dir):
+    """A binary topic: framed values, some of unknown framing, read back as records."""
+    raw = event_log(spark, sf_dir).select(
+        "partition", "offset", F.timestamp_millis("ts_ms").alias("timestamp"), F.encode(F.col("user_id").cast("string"), "UTF-8").alias("key"),
+        F.when(F.col("offset") % 10 == 3, F.concat(F.unhex(F.lit("07")), F.encode("body", "UTF-8"))).otherwise(
+            envelope.add_envelope(F.encode("body", "UTF-8"), F.col("schema_version"))).alias("value"),
+    )
+    records = framed_records(raw).where("readable")
+    return records.select("partition", "offset", "ts_ms", F.col("key").cast("string").alias("key"), "schema_version", F.get_json_object("body", "$.id").cast("bigint").alias("id"))
+
+
 def error_counters(spark, sf_dir):
     return observe.error_counters(_bodies(spark, sf_dir))
 
@@ -266,6 +294,17 @@ QUERIES = {
         CASE p WHEN 0 THEN CASE WHEN event_type = 'error' THEN 'type:kind' ELSE 'Message accepted.' END WHEN 1 THEN 'type:k' ELSE 'missing:k' END AS answer
         FROM events, (VALUES (0), (1), (2)) v(p)""",
     ),
+    "ingest_answers": (
+        ingest_answers,
+        """SELECT event_id AS request_id, 's' || s AS stream, CAST(p AS INT) AS pos, p = CASE s WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE 9 END AS success,
+        CASE s WHEN 3 THEN 'disabled' WHEN 4 THEN 'no schema' WHEN 5 THEN 'unknown stream' ELSE
+          CASE WHEN p = 2 THEN 'not an object' WHEN p = CASE s WHEN 1 THEN 1 ELSE 0 END THEN 'Message accepted.' WHEN s = 1 THEN 'missing:id' ELSE 'missing:k' END END AS answer
+        FROM (SELECT event_id, user_id % 6 AS s FROM events), (VALUES (0), (1), (2)) v(p)""",
+    ),
+    "framed_log": (
+        framed_log,
+        f"""WITH {LOG_SQL} SELECT partition, "offset", ts_ms, CAST(user_id AS VARCHAR) AS key, CAST(schema_version AS INT) AS schema_version, event_id AS id FROM log WHERE "offset" % 10 <> 3""",
+    ),
     "error_counters": (error_counters, f"WITH {BODIES_SQL} SELECT uri, count(*) AS unreadable FROM judged WHERE reason = 'unparseable' GROUP BY uri"),
     "tagged_counters": (
         tagged_counters,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.envelope import unwrap_nullable
+from millrace.functions.envelope import MAGIC, split_envelope, unwrap_nullable
 from millrace.functions.offsets import parse_offset_spec
 from millrace.operators.ordered import place_in_order
 from millrace.session import fresh_path
@@ -47,10 +47,28 @@ def append_log(df: DataFrame, path: str, order: list[str], next_offsets: DataFra
     )
 
 
-def log_scan(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Read a stored log."""
+def log_scan(spark: SparkSession, path: str, schema: T.StructType | None = None, source: str = "parquet", **options) -> DataFrame:
+    """Read a stored log, or a bounded range of another source."""
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+    return reader.format(source).options(**options).load(path)
+
+
+def framed_records(raw: DataFrame) -> DataFrame:
+    """Records of a source that keeps framed binary values, such as a Kafka topic
+    ``(partition, offset, timestamp, key, value)``. ``readable`` is false for unknown framing."""
+    return (
+        raw.withColumn("_e", split_envelope(F.col("value")))
+        .select(
+            "partition",
+            "offset",
+            F.unix_millis("timestamp").alias("ts_ms"),
+            "key",
+            "_e.format_version",
+            "_e.schema_version",
+            F.col("_e.body").cast("string").alias("body"),
+        )
+        .withColumn("readable", F.coalesce(F.col("format_version") == MAGIC, F.lit(False)))
+    )
 
 
 def log_stream(

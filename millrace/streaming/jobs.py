@@ -9,8 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from millrace.functions.keypath import key_hash
+from millrace.operators.conform import accepted, conform, rejected
+from millrace.operators.mask import blank
 from millrace.operators.model import emit_patches
+from millrace.plans.ingest import partition_by_key
 from millrace.plans.land import land_range
+from millrace.plans.serve import serve
+from millrace.session import settle
+from millrace.sources.log import assign_offsets
 
 
 def land_stream(
@@ -53,6 +60,60 @@ def land_stream(
     )
 
 
+def ingest_stream(
+    messages: DataFrame,
+    *,
+    schema_json: str,
+    version: int,
+    log: str,
+    rejects: str,
+    checkpoint: str,
+    order: list[str],
+    key_path: str | None = None,
+    partitions: int = 6,
+    hashing=None,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Admit messages to the log: accepted ones get their partition and the next dense offsets, the others
+    go to the rejects with their reason.
+
+    Each micro-batch writes a folder of its own and the positions its partitions end at, and starts from the
+    positions of the batch before; run again, it replaces its own folders.
+    """
+
+    def admit(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        judged = settle(conform(batch, schema_json, version=version).drop("message"), "judged")
+        rejected(judged.withColumn("message", F.lit(None))).write.mode("overwrite").parquet(f"{rejects}/batch={number}")
+        placed = partition_by_key(accepted(judged), key_path, partitions, hashing=hashing or key_hash)
+        ends = f"{log}-ends"
+        before = None
+        if number > 0:
+            before = spark.read.schema("partition int, next_offset bigint").parquet(f"{ends}/batch={number - 1}")
+        rows = assign_offsets(placed, order, before)
+        target = f"{log}/batch={number}"
+        rows.sortWithinPartitions("partition", "offset").write.mode("overwrite").partitionBy("partition").parquet(target)
+        now = (
+            spark.read.schema("offset bigint, partition int").parquet(target)
+            .groupBy("partition").agg((F.max("offset") + 1).alias("next_offset"))
+        )
+        kept = now if before is None else now.unionByName(before).groupBy("partition").agg(F.max("next_offset").alias("next_offset"))
+        kept.write.mode("overwrite").parquet(f"{ends}/batch={number}")
+
+    return (
+        messages.writeStream.foreachBatch(admit)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def serve_stream(records: DataFrame, schemas: dict[int, str], grants=frozenset(), replacer=blank) -> DataFrame:
+    """Serve a followed log to one consumer group. The group's position is the checkpoint of the query that
+    writes this out, so give every (stream, group) a checkpoint of its own."""
+    return serve(records, schemas, grants, replacer)
+
+
 def commit_stream(received: DataFrame, ts: str, interval: str, lateness: str) -> DataFrame:
     """Per tumbling interval and partition, the position that may be committed; intervals without
     messages give nothing."""

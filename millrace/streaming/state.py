@@ -135,7 +135,6 @@ class Delivery(StatefulProcessor):
             if row.kind == "sent":
                 held[seq] = (at_ms, "SENT", None, int(row.checksum), False)
                 insort(order, seq)
-                self.handle.registerTimer(at_ms + self.lifetime_ms)
             elif seq not in held:
                 continue
             else:
@@ -148,23 +147,31 @@ class Delivery(StatefulProcessor):
             touched.add(seq)
         for seq in touched:
             self.messages.updateValue((seq,), held[seq])
+        self._wake(held.values())
         yield pd.DataFrame()
 
+    def _wake(self, messages) -> None:
+        """One timer at a time, for the message whose lifetime ends first."""
+        waiting = [m[0] for m in messages if not m[4]]
+        if waiting:
+            self.handle.registerTimer(min(waiting) + self.lifetime_ms)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        now = timerValues.getCurrentWatermarkInMs()
+        held = {k[0]: tuple(m) for k, m in self.messages.iterator()}
         out, stale = [], []
-        for k, message in list(self.messages.iterator()):
-            sent_ms, state, recv_ms, checksum, reported = message
+        for seq, (sent_ms, state, recv_ms, checksum, reported) in held.items():
             if not reported and sent_ms + self.lifetime_ms <= now:
-                out.append((key[0], key[1], k[0], state, None if recv_ms is None else recv_ms - sent_ms))
-                self.messages.updateValue(k, (sent_ms, state, recv_ms, checksum, True))
-                self.handle.registerTimer(sent_ms + 2 * self.lifetime_ms)
-            elif reported and sent_ms + 2 * self.lifetime_ms <= now:
-                stale.append((k[0], self._on_way(message)))
-        newest = max((seq for seq, on_way in stale if on_way), default=None)
-        for seq, _ in stale:
+                out.append((key[0], key[1], seq, state, None if recv_ms is None else recv_ms - sent_ms))
+                held[seq] = (sent_ms, state, recv_ms, checksum, True)
+                self.messages.updateValue((seq,), held[seq])
+            if held[seq][4] and sent_ms + 2 * self.lifetime_ms <= now:
+                stale.append(seq)
+        newest = max((seq for seq in stale if self._on_way(held[seq])), default=None)
+        for seq in stale:
             if seq != newest:
                 self.messages.removeKey((seq,))
+        self._wake(held.values())
         yield pd.DataFrame(out, columns=["origin", "group", "seq", "state", "transit_ms"])
 
     def close(self) -> None:
