@@ -179,9 +179,10 @@ def agent_stream(changes: DataFrame, agents: list[Agent], patch_log: str, checkp
     """
 
     def act(batch: DataFrame, number: int) -> None:
+        # The changes come from stream state, so they are computed once, whatever is done with them.
+        seen = settle(batch, "changes").where("not same")
         if number == 0 and skip_first:
             return
-        seen = batch.where("not same")
         for place, agent in enumerate(agents):
             wanted = agent(seen).withColumn("seq", F.lit(number * len(agents) + place).cast("bigint"))
             emit_patches(wanted, f"{patch_log}/batch={number}/agent={place}")
