@@ -6,19 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed pattern: product/version with an optional comment in parentheses.
-TOKEN = r"([A-Za-z0-9\-]+)/([0-9\.]+)(?: \(([^\)]+)\))? ?"
+TOKEN = r"[A-Za-z0-9\-]+/[0-9\.]+(?: \([^\)]+\))? ?"
 
 
 def agent_tokens(agent: Column) -> Column:
-    """``array<struct<product, version, comment>>`` in header order; a NULL header has no tokens."""
-    text = F.coalesce(agent, F.lit(""))
-    parts = [F.regexp_extract_all(text, F.lit(TOKEN), F.lit(i)) for i in (1, 2, 3)]
-    zipped = F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("product", "version", "comment"))])
-    return F.transform(
-        zipped,
-        lambda t: F.struct(
-            t["product"].alias("product"),
-            t["version"].alias("version"),
-            F.when(t["comment"] != "", t["comment"]).alias("comment"),
-        ),
-    )
+    """``array<struct<product, version, comment>>`` in header order; a NULL header has no tokens.
+
+    One pass of the pattern finds the tokens; their parts are cut at fixed characters.
+    """
+    found = F.regexp_extract_all(F.coalesce(agent, F.lit("")), F.lit(TOKEN), F.lit(0))
+
+    def parts(token: Column) -> Column:
+        product = F.substring_index(token, "/", 1)
+        rest = F.substring(token, F.length(product) + 2, F.length(token))
+        comment = F.substring_index(F.substring_index(rest, ")", 1), "(", -1)
+        return F.struct(
+            product.alias("product"),
+            F.substring_index(rest, " ", 1).alias("version"),
+            F.when(F.contains(rest, F.lit("(")), comment).alias("comment"),
+        )
+
+    return F.transform(found, parts)

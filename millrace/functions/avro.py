@@ -187,13 +187,13 @@ def accepts(node: Column, schema: dict) -> Column:
         )
     verdict = _kind(node).startswith("OBJECT")
     for field in schema["fields"]:
-        verdict = verdict & field_fault(node, field).isNull()
+        verdict = verdict & field_fault(child(node, field["name"]), field).isNull()
     return verdict
 
 
-def field_fault(message: Column, field: dict) -> Column:
-    """``missing`` / ``null`` / ``type`` when a field of a message breaks its schema, else NULL."""
-    node, schema = child(message, field["name"]), field["schema"]
+def field_fault(node: Column, field: dict) -> Column:
+    """``missing`` / ``null`` / ``type`` when the node of a field breaks its schema, else NULL."""
+    schema = field["schema"]
     optional = nullable(schema) or "default" in field
     missing = F.lit(None).cast("string") if optional else F.lit("missing")
     fault = F.when(node.isNull(), missing)
@@ -206,7 +206,7 @@ def typed(node: Column, schema: dict) -> Column:
     """The VARIANT node as a value of :func:`spark_type`; NULL wherever it does not fit."""
     kind = schema["type"]
     if kind == "record":
-        parts = [_typed_field(node, f) for f in schema["fields"]]
+        parts = [typed_field(child(node, f["name"]), f) for f in schema["fields"]]
         return F.when(_kind(node).startswith("OBJECT"), F.struct(*parts))
     if kind == "array":
         return F.transform(F.try_variant_get(node, "$", "array<variant>"), lambda e: typed(e, schema["items"]))
@@ -237,14 +237,13 @@ def typed(node: Column, schema: dict) -> Column:
     return F.try_variant_get(node, "$", _PRIMITIVES[kind].simpleString())
 
 
-def _typed_field(message: Column, field: dict) -> Column:
-    node = child(message, field["name"])
+def typed_field(node: Column, field: dict) -> Column:
+    """The node of a field as its named, tagged value; a missing one takes the default."""
     value = typed(node, field["schema"])
     default = field.get("default")
     if default is not None:
         schema = field["schema"]
         value = F.when(node.isNull(), typed(F.parse_json(F.lit(json.dumps(default))), schema)).otherwise(value)
-    # A struct member without metadata still needs the alias to keep its name.
     return value.alias(field["name"], metadata=dict(PII)) if is_pii(field) else value.alias(field["name"])
 
 
@@ -282,44 +281,47 @@ NODE_SCHEMA = T.StructType(
 )
 
 
-def nodes(schema: dict) -> Iterator[dict]:
+def nodes(schema: dict) -> Iterator[tuple]:
     """Rows of :data:`NODE_SCHEMA`. Steps are field names, ``*`` for elements and map values, and
     the branch index inside unions; ``plain_path`` leaves the branch indexes out."""
 
-    def visit(node, crumbs, plain, parent, kind, field):
-        here = "".join(f"/{c}" for c in crumbs)
-        plain_here = "".join(f"/{c}" for c in plain)
-        branches = node.get("branches", [])
+    def visit(node, depth, here, plain, parent, kind, field):
+        branches = node.get("branches", ())
         logical = node.get("logicalType")
-        yield {
-            "path": here,
-            "plain_path": plain_here,
-            "parent_path": parent,
-            "kind": kind,
-            "name": field.get("name") if field else None,
-            "depth": len(crumbs),
-            "type": node["type"],
-            "nullable": nullable(node),
-            "has_default": bool(field) and "default" in field,
-            "pii": bool(field) and is_pii(field),
-            "type_pii": is_pii(node),
-            "aliases": list(field.get("aliases", [])) if field else [],
-            "branch_types": [b["type"] for b in branches],
-            "symbols": list(node.get("symbols", [])),
-            "logical_type": logical,
-            "logical_ok": _logical_ok(node, logical),
-            "logical_on_field": bool(field) and "logicalType" in field,
-        }
+        yield (
+            here,
+            plain,
+            parent,
+            kind,
+            field.get("name"),
+            depth,
+            node["type"],
+            nullable(node),
+            "default" in field,
+            is_pii(field),
+            is_pii(node),
+            list(field.get("aliases", ())),
+            [b["type"] for b in branches],
+            list(node.get("symbols", ())),
+            logical,
+            _logical_ok(node, logical),
+            "logicalType" in field,
+        )
         if node["type"] == "record":
             for f in node["fields"]:
-                yield from visit(f["schema"], [*crumbs, f["name"]], [*plain, f["name"]], here, "field", f)
+                step = f"/{f['name']}"
+                yield from visit(f["schema"], depth + 1, here + step, plain + step, here, "field", f)
         elif node["type"] in ("array", "map"):
             inner = node["items"] if node["type"] == "array" else node["values"]
-            yield from visit(inner, [*crumbs, "*"], [*plain, "*"], here, "element", None)
+            yield from visit(inner, depth + 1, f"{here}/*", f"{plain}/*", here, "element", {})
         for i, branch in enumerate(branches):
-            yield from visit(branch, [*crumbs, str(i)], plain, here, "branch", None)
+            yield from visit(branch, depth + 1, f"{here}/{i}", plain, here, "branch", {})
+
+    yield from visit(schema, 0, "", "", None, "root", {})
+
 
-    yield from visit(schema, [], [], None, "root", None)
+# The one row of a schema that cannot be read.
+UNREADABLE = ("", "", None, "root", None, 0, "unreadable", False, False, False, False, [], [], [], None, True, False)
 
 
 def _logical_ok(node: dict, logical: str | None) -> bool:

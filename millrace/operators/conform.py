@@ -10,32 +10,47 @@ from millrace.functions import avro
 ACCEPTED_TEXT = "Message accepted."
 
 
-def reject_reason(message: Column, schema: dict) -> Column:
-    """Why a parsed message does not conform, naming the first faulty field; NULL when it does."""
-    reason = F.when(message.isNull(), "unparseable").when(
-        ~F.schema_of_variant(message).startswith("OBJECT"), "not an object"
-    )
-    for field in schema["fields"]:
-        fault = avro.field_fault(message, field)
-        reason = reason.when(fault.isNotNull(), F.concat(fault, F.lit(f":{field['name']}")))
-    return reason
+def _nodes(schema: dict, message: Column) -> dict[str, Column]:
+    """The node of each top-level field, as columns of its own: they are looked up once, whatever they are
+    checked for."""
+    return {f"_node_{i}": avro.child(message, f["name"]) for i, f in enumerate(schema["fields"])}
+
+
+def reject_reason(text: Column, message: Column, schema: dict, nodes: list[Column] | None = None) -> Column:
+    """Why a message, given as text and parsed, does not conform, naming the first faulty field; NULL when it
+    does."""
+    if nodes is None:
+        nodes = [avro.child(message, f["name"]) for f in schema["fields"]]
+    faults = [
+        F.concat(avro.field_fault(node, field), F.lit(f":{field['name']}"))
+        for node, field in zip(nodes, schema["fields"])
+    ]
+    # What the text of valid JSON opens with tells an object, at no cost for large messages.
+    is_object = F.ltrim(text, F.lit(" \t\r\n")).startswith("{")
+    reason = F.when(message.isNull(), "unparseable").when(~is_object, "not an object")
+    return reason.otherwise(F.coalesce(*faults)) if faults else reason
 
 
 def conform(df: DataFrame, schema_json: str, body: str = "body", version: int | None = None) -> DataFrame:
     """Judge each message. Adds ``reason`` (NULL = accepted), ``message`` (typed, NULL if rejected)
     and, when given, the ``schema_version`` it was judged by.
 
-    One projection: the text is parsed once into a VARIANT and every check is a native expression.
+    Narrow work only: the text is parsed once into a VARIANT and every check is a native expression.
     Unknown fields are ignored.
     """
     schema = avro.load(schema_json)
-    judged = df.withColumn("_parsed", F.try_parse_json(F.col(body))).withColumn(
-        "reason", reject_reason(F.col("_parsed"), schema)
+    looked_up = _nodes(schema, F.col("_parsed"))
+    nodes = [F.col(name) for name in looked_up]
+    judged = (
+        df.withColumn("_parsed", F.try_parse_json(F.col(body)))
+        .withColumns(looked_up)
+        .withColumn("reason", reject_reason(F.col(body), F.col("_parsed"), schema, nodes))
     )
-    out = judged.withColumn("message", F.when(F.col("reason").isNull(), avro.typed(F.col("_parsed"), schema)))
+    typed = F.struct(*[avro.typed_field(n, f) for n, f in zip(nodes, schema["fields"])])
+    out = judged.withColumn("message", F.when(F.col("reason").isNull(), typed))
     if version is not None:
         out = out.withColumn("schema_version", F.lit(version).cast("int"))
-    return out.drop("_parsed")
+    return out.drop("_parsed", *looked_up)
 
 
 def accepted(judged: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.operators.ordered import previous_value, running
+from millrace.session import settle
 
 GROUPS = 2520
 LIFETIME_MS = 60_000
@@ -63,21 +64,35 @@ def delivery_order(correlated: DataFrame, groups: int = GROUPS, slice_seqs: int
     grouped = correlated.withColumn("group", probe_group(F.col("seq"), groups))
     keys = ["origin", "group"]
     before = F.when(sent, F.struct("seq", "recv_ms"))
-    ordered = previous_value(grouped, keys, "seq", before, "_before", width)
-    # Earliest arrival of a message that failed to be sent, since the last one that was sent.
-    strays = running(
-        ordered.withColumn("_since", F.coalesce("_before.seq", F.lit(-(1 << 62)))),
-        [*keys, "_since"], "seq", F.when(~sent, F.col("recv_ms")), "_stray", F.min, False, width,
+    arrived = F.coalesce(F.col("_before.recv_ms") <= F.col("recv_ms"), F.lit(False))
+    ordered = settle(
+        previous_value(grouped, keys, "seq", before, "_before", width)
+        .withColumn("_in_order", F.col("_before").isNull() | arrived)
+        .withColumn("_since", F.coalesce("_before.seq", F.lit(-(1 << 62))))
+        .withColumn("_stray", F.col("recv_ms").isNotNull() & ~sent)
+        .drop("_before"),
+        "delivery-order",
+    )
+    # A message behind one that is late may still follow a stray: one that failed to be sent, yet arrived.
+    # Only late ones and strays are looked at again.
+    late = F.col("recv_ms").isNotNull() & ~F.col("_in_order")
+    again = running(
+        ordered.where(late | F.col("_stray")),
+        [*keys, "_since"], "seq", F.when(F.col("_stray"), F.col("recv_ms")), "_first_stray", F.min, False, width,
     )
-    arrived = F.least(F.col("_before.recv_ms"), F.col("_stray")) <= F.col("recv_ms")
-    in_order = F.col("_before").isNull() | F.coalesce(arrived, F.lit(False))
+    excused = F.col("_in_order") | F.coalesce(F.col("_first_stray") <= F.col("recv_ms"), F.lit(False))
+    judged = (
+        ordered.where(~(late | F.col("_stray")))
+        .unionByName(again.withColumn("_in_order", excused).drop("_first_stray"))
+        .drop("_since", "_stray")
+    )
     state = (
         F.when(F.col("recv_ms").isNull(), F.col("send_state"))
         .when(~F.col("intact"), "RECEIVED_CORRUPTED")
-        .when(in_order, "RECEIVED_CORRECT")
+        .when(F.col("_in_order"), "RECEIVED_CORRECT")
         .otherwise("RECEIVED_OUT_OF_ORDER")
     )
-    return strays.withColumn("state", state).drop("_before", "_since", "_stray")
+    return judged.withColumn("state", state).drop("_in_order")
 
 
 def sli_report(states: DataFrame) -> DataFrame:

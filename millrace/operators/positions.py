@@ -28,16 +28,17 @@ def committed_offsets(ends: DataFrame, commits: DataFrame) -> DataFrame:
 
 
 def start_positions(ends: DataFrame, groups: DataFrame, commits: DataFrame) -> DataFrame:
-    """Where each consumer group starts: its commit, else the begin or end of the log by its mode.
+    """Where each consumer group starts reading its stream: its commit, else the begin or end of the log by
+    its mode.
 
-    ``groups(consumer, mode)`` with mode EARLIEST or LATEST (the default);
-    ``commits(consumer, partition, next_offset)``. Only consumers and partitions are multiplied, never records.
+    ``ends(stream, partition, begin, end)``, ``groups(stream, consumer, mode)`` with mode EARLIEST or LATEST (the
+    default), ``commits(stream, consumer, partition, next_offset)``.
     """
-    wanted = groups.crossJoin(ends)
+    wanted = groups.join(ends, "stream")
     mode = F.coalesce(F.upper("mode"), F.lit("LATEST"))
     default = F.when(mode == "EARLIEST", F.col("begin")).otherwise(F.col("end"))
-    return wanted.join(commits, ["consumer", "partition"], "left").select(
-        "consumer", "partition", F.coalesce("next_offset", default).alias("position")
+    return wanted.join(commits, ["stream", "consumer", "partition"], "left").select(
+        "stream", "consumer", "partition", F.coalesce("next_offset", default).alias("position")
     )
 
 

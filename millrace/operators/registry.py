@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.avro import NODE_SCHEMA, load, nodes
+from millrace.functions.avro import NODE_SCHEMA, UNREADABLE, load, nodes
 from millrace.functions.keypath import key_steps
 from millrace.session import settle
 
@@ -36,31 +36,26 @@ PROMOTIONS = (
 def schema_fields(schemas: DataFrame) -> DataFrame:
     """One row per node of every schema: path, type, default, PII tag, aliases, logical type.
 
-    Schemas that cannot be read yield one row of type ``unreadable``.
+    Schemas that cannot be read yield one row of type ``unreadable``. Documents are dealt out evenly first:
+    a registry is few bytes, and would otherwise be read by as many tasks as it has files.
     """
-    columns = [f for f in schemas.schema.fields if f.name in ("stream", "version")]
-    names = [c.name for c in columns]
-    out = T.StructType(columns + NODE_SCHEMA.fields)
-    unreadable = {
-        **{f.name: None for f in NODE_SCHEMA.fields},
-        **{"path": "", "plain_path": "", "kind": "root", "depth": 0, "type": "unreadable"},
-        **{"aliases": [], "branch_types": [], "symbols": []},
-        **{"nullable": False, "has_default": False, "pii": False, "type_pii": False, "logical_ok": True, "logical_on_field": False},
-    }
-    columns_out = out.names
+    keys = [f for f in schemas.schema.fields if f.name in ("stream", "version")]
+    names = [f.name for f in keys]
+    out = T.StructType(keys + NODE_SCHEMA.fields)
+    columns = out.names
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for record in batch.to_dict("records"):
-                key = {n: record[n] for n in names}
+            for *key, text in batch.itertuples(index=False):
                 try:
-                    rows.extend([{**key, **node} for node in nodes(load(record["schema_json"]))])
+                    rows.extend([(*key, *node) for node in nodes(load(text))])
                 except (ValueError, KeyError, TypeError, RecursionError):
-                    rows.append({**key, **unreadable})
-            yield pd.DataFrame(rows, columns=columns_out)
+                    rows.append((*key, *UNREADABLE))
+            yield pd.DataFrame(rows, columns=columns)
 
-    return schemas.select(*names, "schema_json").mapInPandas(explode, out)
+    tasks = schemas.sparkSession.sparkContext.defaultParallelism
+    return schemas.select(*names, "schema_json").repartition(tasks).mapInPandas(explode, out)
 
 
 def schema_rules(fields: DataFrame, strict_unions: bool = False) -> DataFrame:

@@ -67,7 +67,7 @@ def judge_by_stream(df: DataFrame, schemas: dict[str, tuple[int, str]], body: st
     for stream, (_, text) in schemas.items():
         by_schema.setdefault(text, []).append(stream)
     checks = [
-        F.when(F.col("stream").isin(*names), reject_reason(F.col("_parsed"), avro.load(text)))
+        F.when(F.col("stream").isin(*names), reject_reason(F.col(body), F.col("_parsed"), avro.load(text)))
         for text, names in by_schema.items()
     ]
     versions = [F.when(F.col("stream") == s, F.lit(v)) for s, (v, _) in schemas.items()]

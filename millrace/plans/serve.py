@@ -73,7 +73,7 @@ def serve(records: DataFrame, schemas: dict[int, str], grants: set[str] | frozen
     )
 
 
-def resume(log: DataFrame, groups: DataFrame, commits: DataFrame, consumer: str) -> DataFrame:
-    """Records a consumer group has not read yet."""
-    positions = start_positions(log_ends(log), groups.where(F.col("consumer") == consumer), commits)
-    return resume_read(log, positions)
+def resume(log: DataFrame, stream: str, groups: DataFrame, commits: DataFrame, consumer: str) -> DataFrame:
+    """Records of a stream that a consumer group has not read yet."""
+    ends = log_ends(log).withColumn("stream", F.lit(stream))
+    return resume_read(log, start_positions(ends, groups.where(F.col("consumer") == consumer), commits))

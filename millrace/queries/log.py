@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.offsets import format_offset_spec, parse_offset_spec
 from millrace.operators import ordered, positions
+from millrace.plans.serve import resume
 from millrace.queries.inputs import LOG_SQL, event_log, sql, table
 from millrace.sources.log import bounded_offset_scan
 
@@ -44,7 +45,7 @@ def _ends(log):
 def _consumers(spark, sf_dir):
     return sql(
         spark, sf_dir,
-        "SELECT DISTINCT event_type AS consumer, CASE event_type WHEN 'error' THEN 'EARLIEST' WHEN 'signup' THEN NULL ELSE 'LATEST' END AS mode FROM {events}",
+        "SELECT DISTINCT 'events' AS stream, event_type AS consumer, CASE event_type WHEN 'error' THEN 'EARLIEST' WHEN 'signup' THEN NULL ELSE 'LATEST' END AS mode FROM {events}",
         "events",
     )
 
@@ -91,13 +92,15 @@ def latest_offsets(spark, sf_dir):
 
 def start_position(spark, sf_dir):
     log = event_log(spark, sf_dir)
-    return positions.start_positions(_ends(log), _consumers(spark, sf_dir), _commits(log))
+    stream = F.lit("events").alias("stream")
+    return positions.start_positions(_ends(log).select("*", stream), _consumers(spark, sf_dir), _commits(log).select("*", stream))
 
 
 def resume_read(spark, sf_dir):
+    """What the consumer ``view`` has not read yet."""
     log = event_log(spark, sf_dir)
-    start = positions.start_positions(_ends(log), _consumers(spark, sf_dir), _commits(log)).where("consumer = 'view'")
-    return positions.resume_read(log, start).select("partition", "offset", "event_id")
+    commits = _commits(log).withColumn("stream", F.lit("events"))
+    return resume(log, "events", _consumers(spark, sf_dir), commits, "view").select("partition", "offset", "event_id")
 
 
 def _plan(spark, sf_dir):
@@ -209,12 +212,13 @@ QUERIES = {
     "start_position": (
         start_position,
         f"""WITH {LOG_SQL}, {COMMITS_SQL}, {ENDS_SQL}, {GROUPS_SQL}
-        SELECT g.consumer, e.partition, coalesce(c.next_offset, CASE WHEN g.mode = 'EARLIEST' THEN e.begin ELSE e."end" END) AS position
+        SELECT 'events' AS stream, g.consumer, e.partition, coalesce(c.next_offset, CASE WHEN g.mode = 'EARLIEST' THEN e.begin ELSE e."end" END) AS position
         FROM consumers g CROSS JOIN ends e LEFT JOIN commits c ON c.consumer = g.consumer AND c.partition = e.partition""",
     ),
     "resume_read": (
         resume_read,
-        f"""WITH {LOG_SQL}, {COMMITS_SQL}, {ENDS_SQL} SELECT l.partition, l."offset", l.event_id FROM log l JOIN ends e ON e.partition = l.partition
+        f"""WITH {LOG_SQL}, {COMMITS_SQL}, ends AS (SELECT partition, max("offset") + 1 AS "end" FROM log GROUP BY partition)
+        SELECT l.partition, l."offset", l.event_id FROM log l JOIN ends e ON e.partition = l.partition
         LEFT JOIN commits c ON c.partition = l.partition AND c.consumer = 'view' WHERE l."offset" >= coalesce(c.next_offset, e."end")""",
     ),
     "plan_landing": (plan_landing, f'WITH {LOG_SQL}, {_PLAN_SQL} SELECT partition, start, "end", run_again FROM plan'),

@@ -135,10 +135,10 @@ def model_scan(log: DataFrame, key: str = "key", value: str = "value", order: st
     """Current documents of a compacted metadata log with null-prefixed values.
 
     Rows marked to be skipped are ignored, tombstones delete, and a stored null is a document of its own:
-    ``(key, is_null, document)``.
+    ``(key, is_null, document)``. Any other prefix is an error.
     """
     split = log.withColumn("_v", unwrap_nullable(F.col(value))).where(F.col("_v.kind") != "skip")
-    state = F.when(
+    state = F.when(F.col("_v.kind") == "invalid", F.raise_error(F.lit("a value has an unknown prefix"))).when(
         F.col("_v.kind") != "tombstone",
         F.struct((F.col("_v.kind") == "null").alias("is_null"), F.col("_v.data").cast("string").alias("document")),
     )

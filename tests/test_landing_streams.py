@@ -77,7 +77,7 @@ def test_file_size_and_codec(spark, path):
     land.land_batch(rows, path("small"), file_rows=300, codec="gzip")
     files = [r.path for r in spark.read.format("binaryFile").load(path("small")).select("path").collect()]
     assert len(files) >= 7 and all(".gz.parquet" in f for f in files)
-    assert "134217728" not in spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "")
+    assert "134217728" not in spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     land.land_batch(rows, path("orc"), fmt="orc")
     assert spark.read.orc(path("orc")).where("who <> ''").count() == 0
 

@@ -27,9 +27,9 @@ def test_commit_positions(spark):
 
 
 def test_start_positions(spark):
-    ends = table(spark, [(0, 5, 10)], "partition int, begin long, end long")
-    groups = table(spark, [("a", "EARLIEST"), ("b", "latest"), ("c", None), ("d", "EARLIEST")], "consumer string, mode string")
-    commits = table(spark, [("d", 0, 7)], "consumer string, partition int, next_offset long")
+    ends = table(spark, [("s", 0, 5, 10), ("t", 0, 1, 2)], "stream string, partition int, begin long, end long")
+    groups = table(spark, [("s", "a", "EARLIEST"), ("s", "b", "latest"), ("s", "c", None), ("s", "d", "EARLIEST")], "stream string, consumer string, mode string")
+    commits = table(spark, [("s", "d", 0, 7), ("t", "a", 0, 1)], "stream string, consumer string, partition int, next_offset long")
     rows = positions.start_positions(ends, groups, commits).collect()
     assert {r.consumer: r.position for r in rows} == {"a": 5, "b": 10, "c": 10, "d": 7}
 
@@ -58,7 +58,21 @@ def test_demand(spark):
 def test_cidr(spark, blocks, address, ok):
     requests = table(spark, [("s", address)], "stream string, address string")
     listed = table(spark, [("s", b) for b in blocks] + [("other", "0.0.0.0/0")], "stream string, cidr string")
-    assert [r.cidr_ok for r in access.cidr_access(requests, listed).collect()] == [ok]
+    for most in (access.IN_ROW_RANGES, 0):  # looked up in the row, and swept
+        assert [r.cidr_ok for r in access.cidr_access(requests, listed, in_row=most).collect()] == [ok]
+
+
+def test_cidr_sweep_equals_in_row(spark):
+    requests = spark.range(3000).select(
+        "id", F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("stream"),
+        F.concat_ws(".", F.lit("10"), F.col("id") % 5, F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 200), F.lit("1")).alias("address"),
+    )
+    blocks = spark.range(60).select(
+        F.concat(F.lit("s"), (F.col("id") % 4).cast("string")).alias("stream"),
+        F.concat(F.lit("10."), (F.col("id") % 5).cast("string"), F.lit("."), (F.col("id") * 3).cast("string"), F.lit(".0/"), (F.lit(17) + F.col("id") % 16).cast("string")).alias("cidr"),
+    )
+    ways = [{r.id: r.cidr_ok for r in access.cidr_access(requests, blocks, in_row=n).collect()} for n in (100, 0)]
+    assert ways[0] == ways[1] and len(ways[0]) == 3000 and 0 < sum(ways[0].values()) < 3000
 
 
 @pytest.mark.parametrize(
