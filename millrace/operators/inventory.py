@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import settle
+
 TP = ["topic", "partition"]
 
 
@@ -77,8 +79,9 @@ def inventory_tree(inventory: DataFrame) -> DataFrame:
 def inventory_gauges(inventory: DataFrame) -> DataFrame:
     """Flat gauges ``(metric, broker, log_dir, topic, partition, leader, in_sync, value)``.
 
-    Disk gauges are per log dir; the others per replica.
+    Disk gauges are per log dir; the others per replica. The inventory is read twice, so it is written first.
     """
+    inventory = settle(inventory, "inventory")
     tags = ["broker", "log_dir", "topic", "partition", "leader", "in_sync"]
     per_replica = inventory.unpivot(
         tags, ["size_on_disk", "log_size", "begin", "end", "record_count"], "metric", "value"

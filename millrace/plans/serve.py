@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import avro
 from millrace.operators.mask import GRANT_PII, blank, mask_column
-from millrace.operators.positions import log_ends, resume_read, start_positions
+from millrace.operators.positions import log_ends, resume_read
 
 
 def join_writer_schema(records: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -73,7 +73,12 @@ def serve(records: DataFrame, schemas: dict[int, str], grants: set[str] | frozen
     )
 
 
-def resume(log: DataFrame, stream: str, groups: DataFrame, commits: DataFrame, consumer: str) -> DataFrame:
-    """Records of a stream that a consumer group has not read yet."""
-    ends = log_ends(log).withColumn("stream", F.lit(stream))
-    return resume_read(log, start_positions(ends, groups.where(F.col("consumer") == consumer), commits))
+def resume(log: DataFrame, commits: DataFrame, mode: str = "LATEST") -> DataFrame:
+    """Records one consumer group has not read yet. ``commits(partition, next_offset)`` are its positions;
+    partitions without one are read from their begin (EARLIEST) or from their end (LATEST)."""
+    ends = log_ends(log)
+    default = F.col("begin") if mode.upper() == "EARLIEST" else F.col("end")
+    positions = ends.join(commits.select("partition", "next_offset"), "partition", "left").select(
+        "partition", F.coalesce("next_offset", default).alias("position")
+    )
+    return resume_read(log, positions)

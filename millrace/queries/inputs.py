@@ -200,8 +200,8 @@ FROM {events}
 RECEIVED = """
 SELECT concat('origin-', event_id % 2) AS origin, event_id AS seq, (event_id + 1) * 1000 + (user_id * 37 + event_id * 11) % 700 * 100 + copy * 500 AS recv_ms,
        CASE WHEN event_id % 8 = 0 THEN concat(props, '!') ELSE props END AS payload
-FROM {events} JOIN (SELECT explode(array(0, 1)) AS copy) c
-  ON (copy = 0 OR event_id % 9 = 0) AND event_id % 10 <> 0
+FROM {events} LATERAL VIEW explode(CASE WHEN event_id % 9 = 0 THEN array(0, 1) ELSE array(0) END) c AS copy
+WHERE event_id % 10 <> 0
      AND (event_type IN ('click', 'view', 'purchase') OR (event_type = 'error' AND event_id % 4 = 0))
 """
 PROBE_SQL = """
@@ -233,13 +233,13 @@ LANDED = """
 SELECT date_format(CAST(ts AS TIMESTAMP), "yyyyMMdd'T'000000'Z'") AS acquisition_instant, event_id AS seq,
        CAST(CASE WHEN event_id % 211 = 0 THEN (event_id + 1) % 7 ELSE event_id % 7 END AS INT) AS `group`,
        props AS payload, CASE WHEN event_id % 97 = 0 THEN CAST(0 AS BIGINT) ELSE crc32(props) END AS checksum
-FROM {events} JOIN (SELECT explode(array(0, 1, 2)) AS copy) c
-  ON event_id % 31 <> 5 AND (copy = 0 OR (copy < 3 AND event_id % 53 = 0))
+FROM {events} LATERAL VIEW explode(CASE WHEN event_id % 53 = 0 THEN array(0, 1, 2) ELSE array(0) END) c AS copy
+WHERE event_id % 31 <> 5
 """
 LANDED_SQL = """
 landed AS (SELECT strftime(ts, '%Y%m%d') || 'T000000Z' AS acquisition_instant, event_id AS seq,
        CAST(CASE WHEN event_id % 211 = 0 THEN (event_id + 1) % 7 ELSE event_id % 7 END AS INT) AS "group",
        event_id % 97 = 0 AS changed
 FROM events JOIN (VALUES (0), (1), (2)) c(copy)
-  ON event_id % 31 <> 5 AND (copy = 0 OR (copy < 3 AND event_id % 53 = 0)))
+  ON event_id % 31 <> 5 AND (copy = 0 OR event_id % 53 = 0))
 """

@@ -42,12 +42,14 @@ def _ends(log):
     return positions.log_ends(log.where(F.col("ts_ms") >= TRIM_MS))
 
 
-def _consumers(spark, sf_dir):
-    return sql(
-        spark, sf_dir,
-        "SELECT DISTINCT 'events' AS stream, event_type AS consumer, CASE event_type WHEN 'error' THEN 'EARLIEST' WHEN 'signup' THEN NULL ELSE 'LATEST' END AS mode FROM {events}",
-        "events",
-    )
+def _streams(frame):
+    """Even and odd partitions belong to two streams."""
+    return frame.withColumn("stream", F.concat(F.lit("events-"), (F.col("partition") % 2).cast("string")))
+
+
+def _consumers(log):
+    mode = F.when(F.col("event_type") == "error", "EARLIEST").when(F.col("event_type") != "signup", "LATEST")
+    return _streams(log).select("stream", F.col("event_type").alias("consumer"), mode.alias("mode")).distinct()
 
 
 def log_scan(spark, sf_dir):
@@ -92,15 +94,13 @@ def latest_offsets(spark, sf_dir):
 
 def start_position(spark, sf_dir):
     log = event_log(spark, sf_dir)
-    stream = F.lit("events").alias("stream")
-    return positions.start_positions(_ends(log).select("*", stream), _consumers(spark, sf_dir), _commits(log).select("*", stream))
+    return positions.start_positions(_streams(_ends(log)), _consumers(log), _streams(_commits(log)))
 
 
 def resume_read(spark, sf_dir):
     """What the consumer ``view`` has not read yet."""
     log = event_log(spark, sf_dir)
-    commits = _commits(log).withColumn("stream", F.lit("events"))
-    return resume(log, "events", _consumers(spark, sf_dir), commits, "view").select("partition", "offset", "event_id")
+    return resume(log, _commits(log).where("consumer = 'view'")).select("partition", "offset", "event_id")
 
 
 def _plan(spark, sf_dir):
@@ -212,7 +212,7 @@ QUERIES = {
     "start_position": (
         start_position,
         f"""WITH {LOG_SQL}, {COMMITS_SQL}, {ENDS_SQL}, {GROUPS_SQL}
-        SELECT 'events' AS stream, g.consumer, e.partition, coalesce(c.next_offset, CASE WHEN g.mode = 'EARLIEST' THEN e.begin ELSE e."end" END) AS position
+        SELECT 'events-' || (e.partition % 2) AS stream, g.consumer, e.partition, coalesce(c.next_offset, CASE WHEN g.mode = 'EARLIEST' THEN e.begin ELSE e."end" END) AS position
         FROM consumers g CROSS JOIN ends e LEFT JOIN commits c ON c.consumer = g.consumer AND c.partition = e.partition""",
     ),
     "resume_read": (
