@@ -21,7 +21,7 @@ def compact_json(document) -> str:
     return json.dumps(document, separators=(",", ":"), ensure_ascii=False, sort_keys=True)
 
 
-def _operation(op: str, path: Column, value: Column) -> Column:
+def single_operation(op: str, path: Column, value: Column) -> Column:
     """A set of one operation."""
     return F.array(F.struct(F.lit(op).alias("op"), path.alias("path"), value.alias("value"))).cast(OPERATIONS)
 
@@ -138,7 +138,7 @@ def fold_patches(patches: DataFrame) -> DataFrame:
         .select("document_id", "seq", "operations")
         .unionByName(
             bases.select(
-                "document_id", F.col("_from").alias("seq"), _operation("add", F.lit(""), F.col("_base")).alias("operations")
+                "document_id", F.col("_from").alias("seq"), single_operation("add", F.lit(""), F.col("_base")).alias("operations")
             )
         )
     )
@@ -173,7 +173,7 @@ def _decisive_moves(tail: DataFrame, objects: DataFrame) -> DataFrame:
         "document_id",
         "seq",
         escaped.alias("_member"),
-        _operation("add", F.concat(F.lit("/"), escaped), F.to_json("_node")).alias("operations"),
+        single_operation("add", F.concat(F.lit("/"), escaped), F.to_json("_node")).alias("operations"),
         F.lit(True).alias("_single"),
     )
     first = F.col("operations")[0]
@@ -211,7 +211,7 @@ def _decisive_moves(tail: DataFrame, objects: DataFrame) -> DataFrame:
             "document_id",
             path.alias("unit"),
             "seq",
-            F.when(opens, _operation("add", path, first["value"])).otherwise(F.col("operations")).alias("operations"),
+            F.when(opens, single_operation("add", path, first["value"])).otherwise(F.col("operations")).alias("operations"),
         )
     )
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE_ROWS = 1_000_000
 
@@ -105,7 +106,8 @@ def place_in_order(df: DataFrame, path: str, group: str, order: list[str]) -> Da
         .write.mode("errorifexists")
         .parquet(path)
     )
-    stored = df.sparkSession.read.parquet(path).withColumn("_task", F.shiftright("_pos", 33))
+    written = T.StructType([*df.schema.fields, T.StructField("_pos", T.LongType())])
+    stored = df.sparkSession.read.schema(written).parquet(path).withColumn("_task", F.shiftright("_pos", 33))
     runs = stored.groupBy("_task", group).agg(F.min("_pos").alias("_first"), F.count("*").alias("_rows"))
     before = W.partitionBy(group).orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
     bases = runs.select("_task", group, "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))

@@ -119,15 +119,15 @@ def inspection(spark, sf_dir):
     path = fresh_path(spark, "agent-patches")
 
     def mark(found):
-        seen = model._operation("add", F.lit("/seen"), F.lit("true"))
+        seen = model.single_operation("add", F.lit("/seen"), F.lit("true"))
         return found.select("document_id", seen.alias("operations"))
 
     def tidy(found):
         wanted = found.where(F.get_json_object("document", "$.click").isNotNull())
-        return wanted.select("document_id", model._operation("remove", F.lit("/click"), F.lit(None).cast("string")).alias("operations"))
+        return wanted.select("document_id", model.single_operation("remove", F.lit("/click"), F.lit(None).cast("string")).alias("operations"))
 
     jobs.inspect_models(spark, documents, [mark, tidy], path, 1)
-    base = documents.select("document_id", F.lit(0).cast("bigint").alias("seq"), model._operation("add", F.lit(""), F.col("document")).alias("operations"))
+    base = documents.select("document_id", F.lit(0).cast("bigint").alias("seq"), model.single_operation("add", F.lit(""), F.col("document")).alias("operations"))
     return members_of(model.fold_patches(base.unionByName(model.read_patches(spark.read.parquet(path)))))
 
 
@@ -140,7 +140,7 @@ def agent_stream(spark, sf_dir):
 
     def note(changes):
         return changes.select(
-            F.col("key").cast("string").alias("document_id"), model._operation("add", F.lit("/last"), F.to_json(F.array("change"))).alias("operations")
+            F.col("key").cast("string").alias("document_id"), model.single_operation("add", F.lit("/last"), F.to_json(F.array("change"))).alias("operations")
         )
 
     jobs.agent_stream(state.change_stream(log), [note], path, fresh_path(spark, "agent-checkpoint"), skip_first=False).awaitTermination()

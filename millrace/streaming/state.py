@@ -159,17 +159,16 @@ class Delivery(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         held = {k[0]: tuple(m) for k, m in self.messages.iterator()}
-        out, stale = [], []
+        out = []
+        done = {seq for seq, m in held.items() if m[0] + 2 * self.lifetime_ms <= now}
+        newest = max((seq for seq in done if self._on_way(held[seq])), default=None)
         for seq, (sent_ms, state, recv_ms, checksum, reported) in held.items():
             if not reported and sent_ms + self.lifetime_ms <= now:
                 out.append((key[0], key[1], seq, state, None if recv_ms is None else recv_ms - sent_ms))
                 held[seq] = (sent_ms, state, recv_ms, checksum, True)
-                self.messages.updateValue((seq,), held[seq])
-            if held[seq][4] and sent_ms + 2 * self.lifetime_ms <= now:
-                stale.append(seq)
-        newest = max((seq for seq in stale if self._on_way(held[seq])), default=None)
-        for seq in stale:
-            if seq != newest:
+                if seq not in done or seq == newest:
+                    self.messages.updateValue((seq,), held[seq])
+            if seq in done and seq != newest:
                 self.messages.removeKey((seq,))
         self._wake(held.values())
         yield pd.DataFrame(out, columns=["origin", "group", "seq", "state", "transit_ms"])
