@@ -16,24 +16,26 @@ def _nodes(schema: dict, message: Column) -> dict[str, Column]:
     return {f"_node_{i}": avro.child(message, f["name"]) for i, f in enumerate(schema["fields"])}
 
 
-def reject_reason(text: Column, message: Column, schema: dict, nodes: list[Column] | None = None) -> Column:
-    """Why a message, given as text and parsed, does not conform, naming the first faulty field; NULL when it
-    does."""
+def reject_reason(message: Column, is_object: Column, schema: dict, nodes: list[Column] | None = None) -> Column:
+    """Why a parsed message does not conform, naming the first faulty field; NULL when it does."""
     if nodes is None:
         nodes = [avro.child(message, f["name"]) for f in schema["fields"]]
     faults = [
         F.concat(avro.field_fault(node, field), F.lit(f":{field['name']}"))
         for node, field in zip(nodes, schema["fields"])
     ]
-    # What the text of valid JSON opens with tells an object, at no cost for large messages.
-    is_object = F.ltrim(text, F.lit(" \t\r\n")).startswith("{")
     reason = F.when(message.isNull(), "unparseable").when(~is_object, "not an object")
     return reason.otherwise(F.coalesce(*faults)) if faults else reason
 
 
-def conform(df: DataFrame, schema_json: str, body: str = "body", version: int | None = None) -> DataFrame:
+def opens_object(text: Column) -> Column:
+    """Whether valid JSON text holds an object, told by what it opens with, at no cost for large messages."""
+    return F.ltrim(text, F.lit(" \t\r\n")).startswith("{")
+
+
+def conform(df: DataFrame, schema_json: str, body: str = "body", version: int | None = None, parsed: bool = False) -> DataFrame:
     """Judge each message. Adds ``reason`` (NULL = accepted), ``message`` (typed, NULL if rejected)
-    and, when given, the ``schema_version`` it was judged by.
+    and, when given, the ``schema_version`` it was judged by. ``parsed`` says that the body is a VARIANT.
 
     Narrow work only: the text is parsed once into a VARIANT and every check is a native expression.
     Unknown fields are ignored.
@@ -41,10 +43,11 @@ def conform(df: DataFrame, schema_json: str, body: str = "body", version: int |
     schema = avro.load(schema_json)
     looked_up = _nodes(schema, F.col("_parsed"))
     nodes = [F.col(name) for name in looked_up]
+    is_object = F.schema_of_variant("_parsed").startswith("OBJECT") if parsed else opens_object(F.col(body))
     judged = (
-        df.withColumn("_parsed", F.try_parse_json(F.col(body)))
+        df.withColumn("_parsed", F.col(body) if parsed else F.try_parse_json(F.col(body)))
         .withColumns(looked_up)
-        .withColumn("reason", reject_reason(F.col(body), F.col("_parsed"), schema, nodes))
+        .withColumn("reason", reject_reason(F.col("_parsed"), is_object, schema, nodes))
     )
     typed = F.struct(*[avro.typed_field(n, f) for n, f in zip(nodes, schema["fields"])])
     out = judged.withColumn("message", F.when(F.col("reason").isNull(), typed))
@@ -76,13 +79,14 @@ def responses(judged: DataFrame, keys: list[str], now: Column | None = None) ->
 
 
 def explode_request(df: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
-    """Elements of JSON array requests as ``(keys, pos, element)``, in order.
+    """Elements of JSON array requests as ``(keys, pos, node, element)``, in order: the parsed node, and its
+    text for those who ask for it.
 
     Bodies that are not arrays yield one row with a NULL position, so that they can be counted.
     """
     parsed = F.try_variant_get(F.try_parse_json(F.col(body)), "$", "array<variant>")
-    return df.select(*keys, F.posexplode_outer(parsed).alias("pos", "_node")).select(
-        *keys, "pos", F.to_json("_node").alias("element")
+    return df.select(*keys, F.posexplode_outer(parsed).alias("pos", "node")).select(
+        *keys, "pos", "node", F.to_json("node").alias("element")
     )
 
 

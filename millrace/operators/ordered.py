@@ -17,7 +17,9 @@ SLICE_ROWS = 1_000_000
 
 
 def _sliced(df: DataFrame, order: str, width: int) -> DataFrame:
-    return df.withColumn("_slice", F.floor(F.col(order) / F.lit(width)).cast("bigint"))
+    """Name each slice by the order value it starts at; whole-number arithmetic, exact for every bigint."""
+    value = F.col(order).cast("bigint")
+    return df.withColumn("_slice", value - F.pmod(value, F.lit(width).cast("bigint")))
 
 
 def previous_value(

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,25 +56,21 @@ def ingest(
     )
 
 
-def judge_by_stream(df: DataFrame, schemas: dict[str, tuple[int, str]], body: str = "element") -> DataFrame:
-    """Judge messages of many streams in one pass, each by its stream's ``(version, schema)``.
+def judge_by_stream(df: DataFrame, schemas: dict[str, tuple[int, str]], node: str = "node") -> DataFrame:
+    """Judge parsed messages of many streams in one pass, each by its stream's ``(version, schema)``.
 
     Streams that share a schema share one compiled check. Adds ``reason`` and ``schema_version``.
     """
     by_schema: dict[str, list[str]] = {}
     for stream, (_, text) in schemas.items():
         by_schema.setdefault(text, []).append(stream)
+    is_object = F.schema_of_variant(node).startswith("OBJECT")
     checks = [
-        F.when(F.col("stream").isin(*names), reject_reason(F.col(body), F.col("_parsed"), avro.load(text)))
+        F.when(F.col("stream").isin(*names), reject_reason(F.col(node), is_object, avro.load(text)))
         for text, names in by_schema.items()
     ]
     versions = [F.when(F.col("stream") == s, F.lit(v)) for s, (v, _) in schemas.items()]
-    return (
-        df.withColumn("_parsed", F.try_parse_json(F.col(body)))
-        .withColumn("reason", reduce(lambda a, b: F.coalesce(a, b), checks))
-        .withColumn("schema_version", F.coalesce(*versions).cast("int"))
-        .drop("_parsed")
-    )
+    return df.withColumn("reason", F.coalesce(*checks)).withColumn("schema_version", F.coalesce(*versions).cast("int"))
 
 
 def answer_requests(

@@ -79,7 +79,7 @@ def explode_request(spark, sf_dir):
            ELSE concat('[', props, CASE WHEN event_id % 2 = 0 THEN ', {{"k":7}}' ELSE '' END, ',5]') END AS body FROM {events}""",
         "events",
     )
-    return conform_ops.explode_request(requests, ["event_id"])
+    return conform_ops.explode_request(requests, ["event_id"]).select("event_id", "pos", "element")
 
 
 def partial_failure(spark, sf_dir):
@@ -90,7 +90,7 @@ def partial_failure(spark, sf_dir):
         "events",
     )
     elements = conform_ops.explode_request(requests, ["event_id"])
-    judged = conform_ops.conform(elements, K_SCHEMA, "element", 3)
+    judged = conform_ops.conform(elements, K_SCHEMA, "node", 3, parsed=True)
     return conform_ops.responses(judged, ["event_id", "pos"], F.lit(0).cast("bigint"))
 
 
