@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.agents import agent_tokens
+from millrace.functions.agents import agent_products
 from millrace.operators.ordered import running_total
 
 
@@ -83,19 +83,15 @@ def client_versions(requests: DataFrame, products: list[str]) -> DataFrame:
     ``/roads/`` in the URI.
     """
     stream = F.regexp_extract("uri", "^/roads/([^/]+)/", 1)
-    tokens = agent_tokens(F.col("user_agent"))
-    wanted = F.array(*[F.lit(p) for p in products])
-    hits = F.transform(
-        F.array_intersect(F.transform("_tokens", lambda t: t["product"]), wanted),
-        lambda p: F.struct(
-            p.alias("product"),
-            F.replace(F.get(F.filter("_tokens", lambda t: t["product"] == p), F.lit(0))["version"], F.lit("."), F.lit("-")).alias("version"),
-        ),
+    # A tracked token counts where its product is met for the first time.
+    tracked = F.filter(
+        "_tokens", lambda t, i: t["product"].isin(*products) & (F.array_position("_names", t["product"]) == i + 1)
     )
     return (
-        requests.select(F.when(stream != "", stream).alias("stream"), tokens.alias("_tokens"))
-        .select("stream", F.explode(hits).alias("h"))
-        .groupBy("stream", "h.product", "h.version")
+        requests.select(F.when(stream != "", stream).alias("stream"), agent_products(F.col("user_agent")).alias("_tokens"))
+        .withColumn("_names", F.col("_tokens.product"))
+        .select("stream", F.explode(tracked).alias("t"))
+        .groupBy("stream", F.col("t.product").alias("product"), F.replace("t.version", F.lit("."), F.lit("-")).alias("version"))
         .agg(F.count("*").alias("requests"))
     )
 

@@ -129,6 +129,7 @@ def test_bad_blocks(spark, block):
                 ("Safari", "534.30", None),
             ],
         ),
+        ("a/1.0 (x (y) b/2 (z/9)", [("a", "1.0", "x (y"), ("b", "2", "z/9")]),
         (None, []),
         ("nothing here", []),
     ],
@@ -136,6 +137,8 @@ def test_bad_blocks(spark, block):
 def test_agent_tokens(spark, agent, tokens):
     row = spark.createDataFrame([(agent,)], "a string").select(agents.agent_tokens(F.col("a"))).first()[0]
     assert [tuple(t) for t in row] == tokens
+    short = spark.createDataFrame([(agent,)], "a string").select(agents.agent_products(F.col("a"))).first()[0]
+    assert [tuple(t) for t in short] == [t[:2] for t in tokens]
 
 
 def test_envelope(spark):
