@@ -16,6 +16,7 @@ from millrace.streaming.jobs import land_stream as start_landing
 
 INSTANT = "20240201T000000Z"
 CAP = 1000
+FILE_ROWS = 3000
 
 
 def _plan(log):
@@ -33,6 +34,17 @@ def land_batch(spark, sf_dir):
     return landed.select("id", "user", "kind", "value", F.col("props.k").alias("k"), "schema_version", "log_partition", "log_offset")
 
 
+def land_formats(spark, sf_dir):
+    """The log landed as ORC with a codec and a greatest number of rows per file."""
+    location = fresh_path(spark, "orc")
+    land.land_batch(land.landed_rows(event_log(spark, sf_dir), EVENT_V2), location, "orc", "zlib", file_rows=FILE_ROWS)
+    landed = spark.read.schema(land.table_columns(EVENT_V2)).orc(location)
+    files = landed.groupBy("schema_version", F.input_file_name().alias("file")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("v"))
+    return files.groupBy("schema_version").agg(
+        F.sum("n").alias("row_count"), F.round(F.sum("v"), 2).alias("value"), (F.max("n") <= FILE_ROWS).alias("files_bounded")
+    )
+
+
 def landing_table(spark, sf_dir):
     """A table created with the first schema, brought to the second, with three landings of which one is
     registered twice and one dropped again."""
@@ -90,6 +102,11 @@ QUERIES = {
         CASE WHEN schema_version = 2 THEN CAST(json_extract(props, '$.k') AS INT) END AS k, schema_version, partition AS log_partition, "offset" AS log_offset
         FROM log WHERE "offset" >= partition * 10 AND "offset" < partition * 10 + {CAP}""",
     ),
+    "land_formats": (
+        land_formats,
+        """SELECT CAST(v AS INT) AS schema_version, count(*) AS row_count, round(sum(CASE WHEN v = 2 THEN value ELSE 0.0 END), 2) AS value, TRUE AS files_bounded
+        FROM (SELECT value, CASE WHEN event_type IN ('error', 'signup') THEN 1 ELSE 2 END AS v FROM events) GROUP BY v""",
+    ),
     "landing_table": (
         landing_table,
         """SELECT '2024020' || (1 + event_id % 3) || 'T000000Z' AS acquisition_instant, count(*) AS row_count,

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import registry
-from millrace.queries.inputs import FIELDS_SQL, SCHEMAS_SQL, STREAMS_SQL, schemas, streams
+from millrace.plans.serve import join_writer_schema as join_schemas
+from millrace.queries.inputs import FIELDS_SQL, SCHEMAS_SQL, STREAMS_SQL, schemas, sql, streams
 
 
 def schema_fields(spark, sf_dir):
@@ -90,6 +91,15 @@ def deletable_version(spark, sf_dir):
     return registry.deletable_version(schemas(spark, sf_dir), requests).select("stream", "version", "reason")
 
 
+def join_writer_schema(spark, sf_dir):
+    """Records of many streams met with the schema they were written with, errors told apart."""
+    records = sql(
+        spark, sf_dir, "SELECT o_orderkey, concat('stream_', o_custkey) AS stream, CAST(1 + o_orderkey % 5 AS INT) AS schema_version FROM {orders}", "orders"
+    )
+    met = join_schemas(records, schemas(spark, sf_dir).select("stream", "version", "schema_json"))
+    return met.select("o_orderkey", "stream", "schema_version", F.col("schema_json").isNotNull().alias("found"), "error")
+
+
 _LATEST_SQL = """latest AS (SELECT stream, any_value(c_custkey) AS c_custkey, max(version) AS version FROM schemas WHERE NOT deleted GROUP BY stream)"""
 _PAIRS_SQL = f"""{_LATEST_SQL},
 pairs AS (SELECT s.stream, s.c_custkey, l.version AS candidate, s.version AS existing, s.version = max(s.version) OVER (PARTITION BY s.stream) AS is_latest
@@ -102,6 +112,12 @@ faults AS (
   UNION ALL SELECT stream, candidate, existing, '/extra', 'missing' FROM pairs WHERE candidate = 4 AND c_custkey % 2 = 0)"""
 
 QUERIES = {
+    "join_writer_schema": (
+        join_writer_schema,
+        f"""WITH {SCHEMAS_SQL}, r AS (SELECT o_orderkey, 'stream_' || o_custkey AS stream, CAST(1 + o_orderkey % 5 AS INT) AS schema_version FROM orders)
+        SELECT r.*, s.version IS NOT NULL AS found, CASE WHEN r.stream NOT IN (SELECT stream FROM schemas) THEN 'unknown stream' WHEN s.version IS NULL THEN 'unknown version' END AS error
+        FROM r LEFT JOIN schemas s ON s.stream = r.stream AND s.version = r.schema_version""",
+    ),
     "schema_fields": (schema_fields, f"WITH {FIELDS_SQL} SELECT stream, version, path, kind, type, nullable, pii FROM nodes"),
     "schema_rules": (
         schema_rules,
