@@ -143,7 +143,8 @@ def agent_stream(spark, sf_dir):
             F.col("key").cast("string").alias("document_id"), model.single_operation("add", F.lit("/last"), F.to_json(F.array("change"))).alias("operations")
         )
 
-    jobs.agent_stream(state.change_stream(log), [note], path, fresh_path(spark, "agent-checkpoint"), skip_first=False).awaitTermination()
+    with jobs.state_partitions(spark):
+        jobs.agent_stream(state.change_stream(log), [note], path, fresh_path(spark, "agent-checkpoint"), skip_first=False).awaitTermination()
     asked = model.read_patches(spark.read.parquet(f"{path}/*/*"))
     return asked.groupBy("document_id", F.col("operations")[0]["value"].alias("asked")).agg(F.count("*").alias("patches"))
 

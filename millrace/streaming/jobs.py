@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -145,18 +146,33 @@ def correlate_stream(sent: DataFrame, received: DataFrame, lifetime: str) -> Dat
     ).select("s.origin", "s.seq", "s.sent_at", "r.recv_at")
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, number: int | None = None):
+    """Start streams with this many state partitions, by default one per core. A stream keeps for good the
+    number it was first started with."""
+    conf, key = spark.conf, "spark.sql.shuffle.partitions"
+    usual = conf.get(key)
+    conf.set(key, str(number or spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        conf.set(key, usual)
+
+
 def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append", fmt: str = "parquet") -> DataFrame:
     """Run a streaming DataFrame over everything available into files, and read those."""
-    query = (
-        df.writeStream.format(fmt)
-        .outputMode(mode)
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return df.sparkSession.read.schema(df.schema).format(fmt).load(path)
+    spark = df.sparkSession
+    with state_partitions(spark):
+        query = (
+            df.writeStream.format(fmt)
+            .outputMode(mode)
+            .option("path", path)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    return spark.read.schema(df.schema).format(fmt).load(path)
 
 
 Agent = Callable[[DataFrame], DataFrame]
