@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from millrace.queries import all_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
@@ -30,7 +31,7 @@ def plain(value):
     return value
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query(spark, duck, name):
     frame = QUERIES[name](spark, SF)
     columns = sorted(frame.columns)
