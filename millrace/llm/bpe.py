@@ -15,6 +15,7 @@ import json
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,6 +90,68 @@ def merge(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) ->
     return [symbol for symbol in symbols if symbol >= 0]
 
 
+class ManyTrees:
+    """The same for many short pieces side by side: one row of arrays each, a merge in every unfinished piece at a time."""
+
+    #: No pair; above all rank-and-place numbers, the place in the six low bits.
+    NONE = 1 << 30
+
+    def __init__(self, first: list[int], ranks: dict[tuple[int, int], tuple[int, int]]):
+        self.first = np.array(first, np.int64)
+        pairs = sorted((left << 20 | right, rank) for (left, right), (rank, _) in ranks.items())
+        self.pairs = np.array([pair for pair, _ in pairs] or [-1], np.int64)
+        self.rank = np.array([rank for _, rank in pairs] or [0], np.int64)
+        self.made = np.zeros(max((rank for _, rank in pairs), default=0) + 1, np.int64)
+        for rank, symbol in ranks.values():
+            self.made[rank] = symbol
+        self.usable = len(self.made) < self.NONE >> 6
+
+    def keys(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        asked = left << 20 | right
+        at = np.minimum(np.searchsorted(self.pairs, asked), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == asked, self.rank[at] << 6 | place, self.NONE)
+
+    def merge(self, pieces: list[bytes], leaves: int) -> list[tuple[int, ...]]:
+        """Symbols of pieces of 1 to ``leaves`` (a power of two, at most 64) bytes."""
+        many = len(pieces)
+        sizes = np.fromiter(map(len, pieces), np.int64, many)
+        rows, places = np.repeat(np.arange(many), sizes), np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        nothing = (1 << 20) - 1
+        symbols = np.full((many, leaves + 1), nothing, np.int64)
+        symbols[rows, places] = self.first[np.frombuffer(b"".join(pieces), np.uint8)]
+        after = np.tile(np.arange(1, leaves + 2), (many, 1))
+        before = np.tile(np.arange(-1, leaves), (many, 1))
+        after[np.arange(many), sizes - 1] = leaves
+        tree = np.full((many, 2 * leaves), self.NONE, np.int32)
+        tree[rows, leaves + places] = self.keys(symbols[rows, places], symbols[rows, places + 1], places)
+        for node in range(leaves - 1, 0, -1):
+            tree[:, node] = np.minimum(tree[:, 2 * node], tree[:, 2 * node + 1])
+        open_rows = np.flatnonzero(tree[:, 1] != self.NONE)
+        while len(open_rows):
+            key = tree[open_rows, 1]
+            left = key & 63
+            right = after[open_rows, left]
+            made = self.made[key >> 6]
+            follow = after[open_rows, right]
+            symbols[open_rows, left], symbols[open_rows, right] = made, -1
+            after[open_rows, left] = follow
+            before[open_rows, follow] = left
+            back = before[open_rows, left]
+            tree[open_rows, leaves + right] = self.NONE
+            tree[open_rows, leaves + left] = self.keys(made, symbols[open_rows, follow], left)
+            has = back >= 0
+            rows_back, back = open_rows[has], back[has]
+            tree[rows_back, leaves + back] = self.keys(symbols[rows_back, back], made[has], back)
+            at = np.concatenate([open_rows, open_rows, rows_back])
+            nodes = np.concatenate([right, left, back]) + leaves
+            while nodes[0] > 1:
+                nodes >>= 1
+                tree[at, nodes] = np.minimum(tree[at, 2 * nodes], tree[at, 2 * nodes + 1])
+            open_rows = open_rows[tree[open_rows, 1] != self.NONE]
+        kept = symbols[:, :leaves]
+        return [tuple(x for x in row[:size] if x >= 0) for row, size in zip(kept.tolist(), sizes.tolist(), strict=True)]
+
+
 def byte_letters() -> dict[int, str]:
     """The printable letter that such vocabularies write for each byte: itself where it can be seen, the others in
     turn from code point 256 on."""
@@ -133,7 +196,10 @@ class Codec:
         self.own_cut = Tokenizer.from_str(json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []})).pre_tokenizer
         self.bytes_of = bytes_of
         self.known = regex.compile(r"[\x00-ԯ]*").fullmatch
-        self.piece = Remember(lambda piece: tuple(merge([self.first[byte] for byte in piece.encode()], self.ranks)), remember)
+        self.piece = Remember(lambda piece: self.said(tuple(merge([self.first[byte] for byte in piece.encode()], self.ranks))), remember)
+        self.trees = ManyTrees(self.first, self.ranks)
+        self.opening = Remember(lambda word: self.written(word), remember // 5)
+        self.spaced = Remember(lambda word: self.written(word, " "), remember)
 
     def cut_up(self, text: str) -> list[str]:
         if not self.known(text):
@@ -144,6 +210,10 @@ class Codec:
                 return [bytes(self.bytes_of[letter] for letter in piece).decode() for piece, _ in said]
         return self.cut(text)
 
+    def said(self, ids: tuple[int, ...]) -> tuple[int, str, bytes, tuple[int, ...]]:
+        """What is remembered of ids: how many, written out, their bytes, themselves."""
+        return len(ids), ",".join(map(self.numbers.__getitem__, ids)), b"".join(map(self.bytes.__getitem__, ids)), ids
+
     def encode(self, text: str) -> list[int]:
         got = self.piece.__getitem__
         parts = self.split_added(text) if self.split_added and any(x in text for x in self.added) else [text]
@@ -152,17 +222,68 @@ class Codec:
             if k % 2:
                 ids.append(self.added[part])
             elif part:
-                ids.extend(chain.from_iterable(map(got, self.cut_up(part))))
+                for piece in self.cut_up(part):
+                    ids += got(piece)[3]
         return ids
 
+    def learn(self, texts: list[str]) -> None:
+        """Merge the short pieces of these texts that aren't remembered yet, all at once."""
+        if not self.trees.usable:
+            return
+        words = set(chain.from_iterable(text.split(" ")[1:] for text in texts))
+        known, older = self.spaced, self.spaced.older
+        words = [word for word in words if word not in known and word not in older and len(word) < 64 and self.apart(word)]
+        cuts = [self.cut_up(f" {word}") for word in words]
+        known, older = self.piece, self.piece.older
+        by_size: dict[int, list[str]] = {16: [], 32: []}
+        for piece in set(chain.from_iterable(cuts)):
+            if piece not in known and piece not in older and (size := len(piece.encode())) <= 32:
+                by_size[16 if size <= 16 else 32].append(piece)
+        fresh: dict[str, tuple] = {}
+        for leaves, found in by_size.items():
+            for start in range(0, len(found), 3_000):
+                part = found[start : start + 3_000]
+                fresh.update(zip(part, map(self.said, self.trees.merge([x.encode() for x in part], leaves)), strict=True))
+        for piece, said in fresh.items():
+            self.piece.put(piece, said)
+        for word, cut in zip(words, cuts, strict=True):
+            self.spaced.put(word, self.together([fresh.get(piece) or self.piece[piece] for piece in cut]))
+
+    @staticmethod
+    def apart(word: str) -> bool:
+        """Whether other white space than single spaces leaves a word alone."""
+        return bool(word) and not word[0].isspace() and not word[-1].isspace()
+
+    @staticmethod
+    def together(said: list[tuple]) -> tuple:
+        if len(said) == 1:
+            return said[0]
+        return sum(x[0] for x in said), ",".join([x[1] for x in said]), b"".join([x[2] for x in said])
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
+    def written(self, word: str, space: str = "") -> tuple | None:
+        """Number of ids, ids and bytes of what stands between two single spaces, with the one before it; None if other
+        white space touches them. The rule never cuts behind such a space and always before it."""
+        return self.together([self.piece[piece] for piece in self.cut_up(space + word)]) if self.apart(word) else None
+
     def digest(self, text: str) -> tuple[int, str, str]:
-        ids = self.encode(text)
-        joined = ",".join(map(self.numbers.__getitem__, ids))
-        back = self.decode(ids)
-        return len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+        opening, *words = text.split(" ")
+        said = None
+        if not any(x in text for x in self.added) and (first := self.opening[opening]):
+            said = [first, *map(self.spaced.__getitem__, words)]
+        if said and None not in said:
+            many, joined = sum([x[0] for x in said]), ",".join([x[1] for x in said])
+            back = b"".join([x[2] for x in said]).decode("utf-8", "replace")
+        else:
+            ids = self.encode(text)
+            many, joined, back = len(ids), ",".join(map(self.numbers.__getitem__, ids)), self.decode(ids)
+        return many, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        self.learn(texts)
+        return list(map(self.digest, texts))
 
 
 def vocabulary(path: str) -> str:
@@ -202,7 +323,7 @@ def round_trip(text: Column, spec: str) -> Column:
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = Codec(spec)
         for texts in batches:
-            rows = in_pieces(texts, lambda held: [codec.digest(x) for x in held])
+            rows = in_pieces(texts, codec.digests)
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digests(text)

@@ -55,19 +55,27 @@ def in_pieces(texts: pd.Series, work: Callable[[list[str]], list], limit: int =
 
 
 class Remember(dict):
-    """A bounded memory of a function's values: started anew once full, so a task's memory doesn't follow the
-    vocabulary."""
+    """A bounded memory of a function's values, so that a task's memory doesn't follow the vocabulary: once ``size`` are
+    held, they become the older ones, of which those asked for again move back, and the older ones before are let go."""
 
-    def __init__(self, function: Callable, size: int = 300_000):
+    def __init__(self, function: Callable, size: int = 200_000):
         super().__init__()
-        self.function, self.size = function, size
+        self.function, self.size, self.older = function, size, {}
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+    def knows(self, key) -> bool:
+        return key in self or key in self.older
 
     def __missing__(self, key):
-        value = self.function(key)
+        older = self.older
+        value = older[key] if key in older else self.function(key)
         if len(key) <= 64:  # longer ones are seldom seen twice
-            if len(self) >= self.size:
-                self.clear()
-            self[key] = value
+            self.put(key, value)
         return value
 
 
