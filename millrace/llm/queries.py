@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontam, linededup, simhash, toxicity
+from millrace.llm import bpe, decontam, fingerprint, langid, linededup, pii, quality, simhash, toxicity, urlfilter
 from millrace.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -34,6 +34,26 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(table(spark, sf_dir, "pages"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predicted(table(spark, sf_dir, "documents"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.against_next(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,5 +63,10 @@ QUERIES: dict[str, tuple] = {
     "op2_bpe": (op2_bpe, None),
     "op3_line_dedup": (op3_line_dedup, None),
     "op4_simhash": (op4_simhash, None),
+    "op5_pii": (op5_pii, None),
+    "op6_url_filter": (op6_url_filter, None),
+    "op7_language": (op7_language, None),
+    "op8_fingerprints": (op8_fingerprints, None),
+    "op9_quality": (op9_quality, None),
     "op10_toxicity": (op10_toxicity, None),
 }
