@@ -32,6 +32,8 @@ SAMPLE = 6000
 ROUNDS = 12
 #: Chance from which a word is added.
 SURE = 0.9
+#: How far linked words are taken to share their label before anything is learned.
+SHARED = 1.0
 #: Fewer words of a kind than this teach nothing.
 LEAST = 5
 
@@ -170,7 +172,7 @@ class Field:
     numbers: dict[str, int] = field(default_factory=dict)
     unary: np.ndarray = field(default_factory=lambda: np.zeros((0, LABELS)))
     follow: np.ndarray = field(default_factory=lambda: np.zeros((LABELS, LABELS)))
-    share: np.ndarray = field(default_factory=lambda: np.zeros((LABELS, LABELS)))
+    share: np.ndarray = field(default_factory=lambda: SHARED * np.eye(LABELS))
 
     def potentials(self, graph: Graph) -> np.ndarray:
         got = self.numbers.get
@@ -257,8 +259,9 @@ def train(texts: list[str], rounds: int = 80) -> Field:
         np.add.at(share, known[skip[:, 0]], gap[skip[:, 1]])
         np.add.at(share, known[skip[:, 1]], gap[skip[:, 0]])
         share = (share + share.T) / 2
-        for part, slope, speed in zip((model.unary, model.follow, model.share), (unary, follow, share), speeds, strict=True):
-            slope = slope - 0.05 * part
+        prior = (0.0, 0.0, SHARED * np.eye(LABELS))
+        for part, slope, speed, usual in zip((model.unary, model.follow, model.share), (unary, follow, share), speeds, prior, strict=True):
+            slope = slope - 0.05 * (part - usual)
             speed += slope * slope
             part += 0.3 * slope / np.sqrt(speed)
     model.share = (model.share + model.share.T) / 2
