@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
+_watched: list[list[str]] = []
 
 
 def session(app: str = "millrace", master: str | None = None, **conf) -> SparkSession:
@@ -33,24 +34,44 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a folder of this machine.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    """The folder all executors can reach: ``spark.checkpoint.dir``, or the context's checkpoint folder where the
+    application has set one itself."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="millrace-")
-    return _local_dirs[app]
+    return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; nothing is ever overwritten or removed."""
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path below the shared folder; nothing is ever overwritten."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    if _watched:
+        _watched[-1].append(path)
+    return path
+
+
+def release(spark: SparkSession, *paths: str) -> None:
+    """Remove folders of :func:`fresh_path` whose rows nobody will read again."""
+    root = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        if not path.startswith(root):
+            raise ValueError(f"not an intermediate result: {path}")
+        target = hadoop(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Intermediate results written inside are removed on leaving. For work that ends in a write of its own, such as
+    a micro-batch; a failure leaves nothing behind either, since the work is done anew."""
+    made: list[str] = []
+    _watched.append(made)
+    try:
+        yield
+    finally:
+        _watched.remove(made)
+        release(spark, *made)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
