@@ -1,8 +1,11 @@
-"""One JSON Patch set applied to one document: add, replace and remove, all or nothing."""
+"""One JSON Patch set applied to one document: add, replace and remove, all or nothing.
+
+Sets reach this code checked: at least one operation, known ones only, pointers and values that can be read
+(:func:`millrace.operators.model.valid_set`). What is left to find out is whether they fit the document.
+"""
 
 from __future__ import annotations
 
-import copy
 import json
 
 # A document that does not exist, as opposed to one that is null.
@@ -37,35 +40,55 @@ def _inside(node, step: str):
     raise PatchError(f"no container for {step}")
 
 
+def _put(parent, key, new, undo: list) -> None:
+    """Set a member or an element that is there, or a new member."""
+    old = parent[key] if isinstance(parent, list) or key in parent else MISSING
+    parent[key] = new
+    undo.append((parent.pop, key) if old is MISSING else (parent.__setitem__, key, old))
+
+
+def _change(root, op: str, path: str, steps: list[str], value: str | None, undo: list) -> None:
+    parent = root
+    for step in steps[:-1]:
+        parent = _inside(parent, step)
+    last = steps[-1]
+    if op == "add" and isinstance(parent, list):
+        place = len(parent) if last == "-" else _index(last, len(parent) + 1)
+        parent.insert(place, json.loads(value or "null"))
+        undo.append((parent.pop, place))
+    elif op == "add":
+        if not isinstance(parent, dict):
+            raise PatchError(f"no container for {path}")
+        _put(parent, last, json.loads(value or "null"), undo)
+    else:
+        _inside(parent, last)
+        key = last if isinstance(parent, dict) else int(last)
+        if op == "replace":
+            _put(parent, key, json.loads(value or "null"), undo)
+        else:
+            old = parent.pop(key)
+            undo.append((parent.insert if isinstance(parent, list) else parent.__setitem__, key, old))
+
+
 def apply_set(document, operations: list[tuple[str, str, str | None]]):
-    """The patched document, or :data:`MISSING` once its root is removed. Operations are
-    ``(op, path, value as JSON)``; the given document is never changed."""
-    result = copy.deepcopy(document)
-    for op, path, value in operations:
-        steps = _steps(path)
-        op = op.lower()
-        new = None if op == "remove" or value is None else json.loads(value)
-        if not steps:
-            result = MISSING if op == "remove" else new
-            continue
-        parent = result
-        for step in steps[:-1]:
-            parent = _inside(parent, step)
-        last = steps[-1]
-        if op == "add":
-            if isinstance(parent, dict):
-                parent[last] = new
-            elif isinstance(parent, list):
-                parent.insert(len(parent) if last == "-" else _index(last, len(parent) + 1), new)
-            else:
-                raise PatchError(f"no container for {path}")
-        elif op in ("replace", "remove"):
-            _inside(parent, last)
-            key = last if isinstance(parent, dict) else int(last)
-            if op == "replace":
-                parent[key] = new
+    """The patched document, or :data:`MISSING` once its root is removed. Operations are ``(op, path, value as JSON)``.
+
+    The document is changed in place, and put back as it was if an operation fails, so a set costs what it
+    touches, however large the document is. A document that is missing reads as null.
+    """
+    result = document
+    undo: list[tuple] = []
+    try:
+        for op, path, value in operations:
+            op, steps = op.lower(), _steps(path)
+            if op not in ("add", "replace", "remove"):
+                raise PatchError(f"unknown operation {op}")
+            if steps:
+                _change(None if result is MISSING else result, op, path, steps, value, undo)
             else:
-                del parent[key]
-        else:
-            raise PatchError(f"unknown operation {op}")
+                result = MISSING if op == "remove" else json.loads(value or "null")
+    except (PatchError, ValueError):
+        for step in reversed(undo):
+            step[0](*step[1:])
+        raise
     return result

@@ -26,9 +26,22 @@ def single_operation(op: str, path: Column, value: Column) -> Column:
     return F.array(F.struct(F.lit(op).alias("op"), path.alias("path"), value.alias("value"))).cast(OPERATIONS)
 
 
+def valid_set(operations: str | Column = "operations") -> Column:
+    """Whether a set may be tried at all: it holds operations, each of them known, on a pointer, with a value that can
+    be read as JSON (a missing one is null). Any other set changes nothing, whatever the document."""
+    sets = F.col(operations) if isinstance(operations, str) else operations
+
+    def readable(o: Column) -> Column:
+        pointer = (o["path"] == "") | o["path"].startswith("/")
+        value = o["value"].isNull() | (F.lower(o["op"]) == "remove") | F.try_parse_json(o["value"]).isNotNull()
+        return F.coalesce(F.lower(o["op"]).isin("add", "replace", "remove") & pointer & value, F.lit(False))
+
+    return F.coalesce((F.size(sets) > 0) & F.forall(sets, readable), F.lit(False))
+
+
 def _writes_root() -> Column:
-    """A set of one operation on the root: it always applies, and nothing before it matters."""
-    return (F.size("operations") == 1) & (F.col("operations")[0]["path"] == "")
+    """A valid set of one operation on the root: it always applies, and nothing before it matters."""
+    return (F.size("operations") == 1) & (F.get("operations", F.lit(0))["path"] == "")
 
 
 def _member() -> Column:
@@ -53,8 +66,7 @@ def _walk(
                     rows.extend(ended(current, document))
                 current, document = this, start(this)
             try:
-                base = None if document is MISSING else document
-                document = apply_set(base, [(o["op"], o["path"], o["value"]) for o in operations])
+                document = apply_set(document, [(o["op"], o["path"], o["value"]) for o in operations])
             except (PatchError, ValueError) as error:
                 if failed:
                     rows.append(failed(this, seq, str(error)))
@@ -97,38 +109,43 @@ def fold_patches(patches: DataFrame) -> DataFrame:
     ``patches(document_id, seq, operations)``; a document starts absent, a set that fails changes nothing,
     removing the root deletes the document. Documents are compact JSON with sorted members.
 
+    A set that can't be tried (``valid_set``) is left out from the start; streams judge sets alike.
+
     What a later write makes irrelevant is dropped first, by aggregates that combine before the shuffle:
-    everything before the last write of the root and, in documents whose sets each stay under one
+    everything before the last write of the root and, in documents whose later sets each stay under one
     top-level member, everything before the last write of that member. Members then fold apart, so the
     history of a busy document spreads out. The rest is sorted and walked batch by batch; no group is ever
     held in memory. The history is read twice; what survives is written out before the rest.
     """
-    first = F.col("operations")[0]
-    sets = patches.select("document_id", "seq", "operations").withColumns(
+    first = F.get("operations", F.lit(0))
+    sets = patches.select("document_id", "seq", "operations").where(valid_set()).withColumns(
         {"_root": _writes_root(), "_member": _member(), "_single": F.size("operations") == 1}
     )
     root_seq = F.when(F.col("_root"), F.col("seq"))
     written = F.when(F.lower(first["op"]) != "remove", F.coalesce(first["value"], F.lit("null")))
-    documents = settle(
+    roots = settle(
         sets.groupBy("document_id")
-        .agg(
-            F.max(root_seq).alias("_from"),
-            F.max_by(F.struct(written.alias("v")), root_seq).alias("_last"),
-            F.bool_and(F.col("_root") | F.col("_member").isNotNull()).alias("_apart"),
-        )
-        .select("document_id", "_from", F.col("_last.v").alias("_base"), "_apart")
-        # Members exist only in an object; any other document is folded whole.
-        .withColumn("_apart", F.col("_apart") & (F.col("_base").isNull() | F.ltrim("_base").startswith("{"))),
+        .agg(F.max(root_seq).alias("_from"), F.max_by(F.struct(written.alias("v")), root_seq).alias("_last"))
+        .select("document_id", "_from", F.col("_last.v").alias("_base")),
         "documents",
     )
-    tail = settle(
+    later = settle(
         sets.where(~F.col("_root"))
-        .join(documents, "document_id")
+        .join(roots, "document_id")
         .where(F.col("_from").isNull() | (F.col("seq") > F.col("_from")))
-        .where(~F.col("_apart") | F.col("_base").isNotNull())
-        .select("document_id", "seq", "operations", "_member", "_single", "_apart"),
+        .select("document_id", "seq", "operations", "_member", "_single"),
         "patch-tail",
     )
+    # Members fold apart if every set after the last write of the root stays under one; they exist only in an
+    # object, so any other document is folded whole.
+    split = later.groupBy("document_id").agg(F.bool_and(F.col("_member").isNotNull()).alias("_split"))
+    objects_only = F.col("_base").isNull() | F.ltrim("_base").startswith("{")
+    documents = roots.join(split, "document_id", "left").select(
+        "document_id", "_from", "_base", (F.coalesce("_split", F.lit(True)) & objects_only).alias("_apart")
+    )
+    tail = later.join(documents.select("document_id", "_apart", F.col("_base").isNotNull().alias("_based")), "document_id").where(
+        ~F.col("_apart") | F.col("_based")
+    )
     # A document whose sets stay apart and whose root was never written, or was removed, stays absent.
     objects = documents.where(F.col("_apart") & F.col("_base").isNotNull())
     kept = _decisive_moves(tail.where("_apart"), objects)
@@ -176,7 +193,7 @@ def _decisive_moves(tail: DataFrame, objects: DataFrame) -> DataFrame:
         single_operation("add", F.concat(F.lit("/"), escaped), F.to_json("_node")).alias("operations"),
         F.lit(True).alias("_single"),
     )
-    first = F.col("operations")[0]
+    first = F.get("operations", F.lit(0))
     moves = (
         tail.select("document_id", "seq", "_member", "operations", "_single")
         .unionByName(given)
@@ -216,13 +233,19 @@ def _decisive_moves(tail: DataFrame, objects: DataFrame) -> DataFrame:
     )
 
 
+#: The reason of a set that isn't tried.
+UNREADABLE = "no operations, or an unknown operation, pointer or value"
+
+
 def patch_failures(patches: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """``(document_id, seq, reason)`` of every set that could not be applied.
 
-    Every write of the root starts a history of its own; these are numbered first and walked apart.
+    Sets that can't be tried are told from the rest where they lie. Every write of the root starts a history of its
+    own; these are numbered first and walked apart.
     """
+    judged = patches.select("document_id", "seq", "operations").withColumn("_valid", valid_set())
     sets = running_total(
-        patches.select("document_id", "seq", "operations"), ["document_id"], "seq",
+        judged.where("_valid").drop("_valid"), ["document_id"], "seq",
         F.when(_writes_root(), 1).otherwise(0), "life", slice_rows,
     )
     id_type = patches.schema["document_id"].dataType.simpleString()
@@ -234,11 +257,12 @@ def patch_failures(patches: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFram
             start=lambda key: MISSING, failed=lambda key, seq, error: (key[0], seq, error),
         )
 
-    return (
+    walked = (
         sets.repartition("document_id", "life")
         .sortWithinPartitions("document_id", "life", "seq")
         .mapInPandas(failures, f"document_id {id_type}, seq {seq_type}, reason string")
     )
+    return walked.unionByName(judged.where("not _valid").select("document_id", "seq", F.lit(UNREADABLE).alias("reason")))
 
 
 def change_capture(log: DataFrame, key: str, value: str, order: str = "offset", slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -285,13 +309,14 @@ def model_snapshot(documents: DataFrame, prefix: str, date: str, stamp: str) ->
     return target
 
 
+def patch_rows(patches: DataFrame) -> DataFrame:
+    """Patch sets ``(document_id, seq, operations)`` as rows of the patch log, one JSON text per set."""
+    return patches.select("document_id", "seq", F.to_json("operations").alias("patch"))
+
+
 def emit_patches(patches: DataFrame, path: str) -> None:
-    """Append patch sets ``(document_id, seq, operations)`` to the patch log, one JSON text per set."""
-    (
-        patches.select("document_id", "seq", F.to_json("operations").alias("patch"))
-        .write.mode("append")
-        .parquet(path)
-    )
+    """Append patch sets to the patch log."""
+    patch_rows(patches).write.mode("append").parquet(path)
 
 
 def read_patches(log: DataFrame) -> DataFrame:

@@ -50,6 +50,47 @@ members AS (
 """
 
 
+# Sets that must change nothing among sets that do: empty ones, root values that aren't JSON, unknown operations, paths
+# that are no pointers, and, for users of every tenth number, removals of a root that never was.
+BAD_PATCHES = """
+SELECT CAST(user_id AS STRING) AS document_id, event_id AS seq, CASE event_id % 11
+  WHEN 0 THEN CAST(array() AS array<struct<op:string,path:string,value:string>>)
+  WHEN 1 THEN array(struct(CASE WHEN event_id % 2 = 0 THEN 'replace' ELSE 'add' END AS op, '' AS path, 'nope' AS value))
+  WHEN 2 THEN array(struct('test' AS op, '' AS path, '{{"z":1}}' AS value))
+  WHEN 3 THEN array(struct('add' AS op, '/a' AS path, CAST(event_id AS STRING) AS value), struct('add' AS op, '/b' AS path, CAST(event_id AS STRING) AS value))
+  WHEN 4 THEN array(struct(CASE WHEN user_id % 10 = 0 THEN 'remove' ELSE 'add' END AS op, '' AS path, CASE WHEN user_id % 10 <> 0 THEN concat('{{"base":', event_id, '}}') END AS value))
+  WHEN 5 THEN array(struct('add' AS op, '/m' AS path, '{{x' AS value))
+  WHEN 6 THEN array(struct('add' AS op, 'm' AS path, '1' AS value))
+  WHEN 7 THEN array(struct('add' AS op, '/a' AS path, '1' AS value), struct('remove' AS op, '/none' AS path, CAST(NULL AS STRING) AS value))
+  ELSE array(struct('add' AS op, '/m' AS path, CAST(event_id AS STRING) AS value)) END AS operations
+FROM {events}
+"""
+BAD_PATCHES_SQL = """
+moves AS (SELECT CAST(user_id AS VARCHAR) AS document_id, user_id % 10 <> 0 AS lives, event_id AS seq, event_id % 11 AS k FROM events),
+born AS (SELECT document_id, max(seq) AS root_seq, min(seq) AS first_seq FROM moves WHERE k = 4 AND lives GROUP BY document_id),
+later AS (SELECT m.document_id, m.seq, m.k, b.root_seq FROM moves m JOIN born b ON b.document_id = m.document_id AND m.seq >= b.root_seq),
+members AS (
+  SELECT document_id, 'base' AS member, CAST(root_seq AS VARCHAR) AS value FROM born
+  UNION ALL SELECT document_id, unnest(['a', 'b']), CAST(max(seq) AS VARCHAR) FROM later WHERE k = 3 GROUP BY document_id
+  UNION ALL SELECT document_id, 'm', CAST(max(seq) AS VARCHAR) FROM later WHERE k > 7 GROUP BY document_id)
+"""
+
+
+def _bad_patches(spark, sf_dir):
+    return sql(spark, sf_dir, BAD_PATCHES, "events")
+
+
+def fold_bad_patches(spark, sf_dir):
+    """Documents that sets which can't be applied leave as they are."""
+    return members_of(model.fold_patches(_bad_patches(spark, sf_dir)))
+
+
+def bad_patch_failures(spark, sf_dir):
+    """Every such set, told from those that apply."""
+    found = model.patch_failures(_bad_patches(spark, sf_dir), 500)
+    return found.select("document_id", "seq", (F.col("reason") == model.UNREADABLE).alias("unreadable"))
+
+
 def _patches(spark, sf_dir):
     return sql(spark, sf_dir, PATCHES, "events")
 
@@ -139,6 +180,12 @@ _KEYED_SQL = f"""{LOG_SQL}, keyed AS (SELECT CASE WHEN user_id % 50 <> 7 THEN us
 
 QUERIES = {
     "fold_patches": (fold_patches, f"WITH {PATCHES_SQL} SELECT document_id, member, value FROM members"),
+    "fold_bad_patches": (fold_bad_patches, f"WITH {BAD_PATCHES_SQL} SELECT document_id, member, value FROM members"),
+    "bad_patch_failures": (
+        bad_patch_failures,
+        f"""WITH {BAD_PATCHES_SQL} SELECT m.document_id, m.seq, m.k IN (0, 1, 2, 5, 6) AS unreadable FROM moves m LEFT JOIN born b ON b.document_id = m.document_id
+        WHERE m.k IN (0, 1, 2, 5, 6, 7) OR (m.k <> 4 AND (b.first_seq IS NULL OR m.seq < b.first_seq))""",
+    ),
     "model_snapshot": (model_snapshot, f"WITH {PATCHES_SQL} SELECT document_id, member, value FROM members"),
     "patch_failures": (
         patch_failures,

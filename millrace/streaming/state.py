@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from millrace.functions.jsonpatch import MISSING, PatchError, apply_set
 from millrace.operators.delivery import LIFETIME_MS, SEND_STATES
-from millrace.operators.model import compact_json
+from millrace.operators.model import UNREADABLE, compact_json, valid_set
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -40,11 +40,11 @@ class PatchFold(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         document = json.loads(self.document.get()[0]) if self.document.exists() else MISSING
         out = []
-        for seq, operations in _sorted(rows, "seq")[["seq", "operations"]].itertuples(index=False):
-            reason = None
+        for seq, valid, operations in _sorted(rows, "seq")[["seq", "valid", "operations"]].itertuples(index=False):
+            reason = None if valid else UNREADABLE
             try:
-                base = None if document is MISSING else document
-                document = apply_set(base, [(o["op"], o["path"], o["value"]) for o in operations])
+                if valid:
+                    document = apply_set(document, [(o["op"], o["path"], o["value"]) for o in operations])
             except (PatchError, ValueError) as error:
                 reason = str(error)
             out.append((key[0], seq, None if document is MISSING else compact_json(document), reason))
@@ -59,11 +59,13 @@ class PatchFold(StatefulProcessor):
 
 
 def model_state_stream(patches: DataFrame) -> DataFrame:
-    """Follow a patch log: ``(document_id, seq, document, reason)`` per set."""
+    """Follow a patch log: ``(document_id, seq, document, reason)`` per set. Sets that can't be tried are told by
+    the same rule as in the batch fold, and change nothing."""
     use_rocksdb(patches.sparkSession)
     id_type = patches.schema["document_id"].dataType.simpleString()
     seq_type = patches.schema["seq"].dataType.simpleString()
-    return patches.groupBy("document_id").transformWithStateInPandas(
+    judged = patches.select("document_id", "seq", valid_set().alias("valid"), "operations")
+    return judged.groupBy("document_id").transformWithStateInPandas(
         PatchFold(), f"document_id {id_type}, seq {seq_type}, document string, reason string", "append", "none"
     )
 

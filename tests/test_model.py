@@ -62,9 +62,13 @@ def test_apply_fails_whole(document, operation):
 def brute(rows):
     documents, failures = {}, []
     for doc, seq, operations in sorted(rows, key=lambda r: r[1]):
+        before = json.dumps(documents.get(doc), sort_keys=True)
         try:
+            if not operations or None in [x for op, path, _ in operations for x in (op, path)]:
+                raise PatchError("nothing to try")
             found = apply_set(documents.get(doc), operations)
         except (PatchError, ValueError):
+            assert json.dumps(documents.get(doc), sort_keys=True) == before
             failures.append((doc, seq))
             continue
         if found is MISSING:
@@ -74,8 +78,13 @@ def brute(rows):
     return documents, failures
 
 
-def random_sets(seed, count, hot=0.4):
+def random_sets(seed, count, hot=0.4, bad=0.0):
+    """``bad``: share of sets that can't be tried, or that are left half done by what they hold."""
     rng = random.Random(seed)
+    hopeless = [
+        [], [("add", "", "nope")], [("replace", "", '{"x":')], [("test", "", "1")], [("add", "a", "1")], [("add", "/a", "1"), ("move", "/a", "2")],
+        [("add", "/a", "{x")], [(None, "/a", "1")], [("add", None, "1")], None, [("add", "/a", "1"), ("remove", "/none", None)], [("ADD", "/b", "7")],
+    ]
     value = lambda: json.dumps(rng.choice([1, "x", None, {"n": 1}, {"l": [1, 2]}, [1, 2], True, 1.5, {"a/b": "q"}]))
     members = ["/a", "/b", "/c~1d", "/~0e"]
     rows = []
@@ -88,6 +97,9 @@ def random_sets(seed, count, hot=0.4):
             kind = rng.choice(["add", "add", "replace", "remove"])
             return (kind, path, None if kind == "remove" else value())
 
+        if rng.random() < bad:
+            rows.append((doc, seq, rng.choice(hopeless)))
+            continue
         roll = rng.random()
         if roll < 0.02:
             operations = [("add", "", value())]
@@ -104,9 +116,9 @@ def random_sets(seed, count, hot=0.4):
     return rows
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_fold_matches_sequential_application(spark, seed):
-    rows = random_sets(seed, 1500)
+@pytest.mark.parametrize("seed, bad", [(0, 0.0), (1, 0.0), (2, 0.1), (3, 0.3)])
+def test_fold_matches_sequential_application(spark, seed, bad):
+    rows = random_sets(seed, 1500, bad=bad)
     shuffled = random.Random(seed).sample(rows, len(rows))
     patches = spark.createDataFrame(shuffled, PATCH).repartition(7)
     documents, failures = brute(rows)
