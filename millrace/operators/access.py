@@ -6,66 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.net import address_number, block_range
-from millrace.operators.ordered import running
-from millrace.session import settle
 
 AUTHORISED, UNAUTHORISED, ERROR = "AUTHORISED", "UNAUTHORISED", "ERROR"
 ANYONE = "*"
 PUBLIC = "PUBLIC"
-_BUCKET = 1 << 24  # one bucket per leading octet
-IN_ROW_RANGES = 10_000
 
 
-def _ranges(blocks: DataFrame, key: str, block: str) -> DataFrame:
-    """Valid blocks as distinct ``(key, lo, hi)``."""
-    ranges = blocks.select(key, block_range(F.col(block)).alias("_r")).where(F.col("_r").isNotNull())
-    return ranges.select(key, "_r.lo", "_r.hi").distinct()
-
-
-def cidr_access(
-    requests: DataFrame, blocks: DataFrame, address: str = "address", key: str = "stream", in_row: int = IN_ROW_RANGES
-) -> DataFrame:
+def cidr_access(requests: DataFrame, blocks: DataFrame, address: str = "address", key: str = "stream") -> DataFrame:
     """Add ``cidr_ok``: whether the address lies in any block of the stream; no blocks means no.
 
-    Access lists are usually short: then the ranges of a stream under one leading octet travel in one value,
-    and a request finds them by an equi-join. How many there are is counted first; past ``in_row`` the
-    addresses are swept in order instead.
-    """
-    ranges = settle(_ranges(blocks, key, "cidr"), "cidr-ranges")
-    octets = F.sequence(F.floor(F.col("lo") / _BUCKET), F.floor(F.col("hi") / _BUCKET))
-    # A block wider than /8 is entered under each octet it spans, at most 256.
-    spread = ranges.select(key, "lo", "hi", F.explode(octets).alias("_octet"))
-    crowd = spread.groupBy(key, "_octet").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    number = address_number(F.col(address))
-    if (crowd or 0) > in_row:
-        return _swept(requests.withColumn("_ip", number), ranges, key)
-    index = spread.groupBy(key, "_octet").agg(F.collect_list(F.struct("lo", "hi")).alias("_ranges"))
-    placed = requests.withColumn("_ip", number).withColumn("_octet", F.floor(number / _BUCKET))
-    inside = F.exists("_ranges", lambda r: F.col("_ip").between(r["lo"], r["hi"]))
-    return (
-        placed.join(index, [key, "_octet"], "left")
-        .withColumn("cidr_ok", F.coalesce(inside, F.lit(False)))
-        .drop("_ip", "_octet", "_ranges")
-    )
-
-
-def _swept(placed: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
-    """An address is inside some range if the ranges that start at or before it reach at least to it.
-
-    Each distinct address is judged once, by a running maximum along the address space of its stream.
+    A block is its network and the length of its prefix. Each distinct address of a stream is cut to the lengths that
+    the stream's blocks use, 33 at most, and looked up by an equi-join, so the work follows the number of addresses,
+    whatever the number of blocks.
     """
-    starts = ranges.groupBy(key, (F.col("lo") * 2).alias("_at")).agg(F.max("hi").alias("_hi"))
-    asked = placed.where(F.col("_ip").isNotNull()).select(key, (F.col("_ip") * 2 + 1).alias("_at")).distinct()
-    line = starts.unionByName(asked, allowMissingColumns=True)
-    reach = running(line, [key], "_at", F.col("_hi"), "_reach", F.max, False)
-    judged = reach.where("_at % 2 = 1").select(
-        key, F.shiftright("_at", 1).alias("_ip"), F.coalesce(F.col("_reach") >= F.shiftright("_at", 1), F.lit(False)).alias("cidr_ok")
-    )
-    return (
-        placed.join(judged, [key, "_ip"], "left")
-        .withColumn("cidr_ok", F.coalesce("cidr_ok", F.lit(False)))
-        .drop("_ip")
+    size = F.col("_r.hi") - F.col("_r.lo") + 1
+    networks = (
+        blocks.select(F.col(key).alias("_key"), block_range(F.col("cidr")).alias("_r"))
+        .where(F.col("_r").isNotNull())
+        .select("_key", size.alias("_size"), (F.col("_r.lo") / size).cast("bigint").alias("_network"))
+        .distinct()
     )
+    sizes = networks.groupBy("_key").agg(F.collect_set("_size").alias("_sizes"))
+    placed = requests.withColumn("_ip", address_number(F.col(address)))
+    asked = placed.where(F.col("_ip").isNotNull()).select(F.col(key).alias("_key"), "_ip").distinct()
+    cut = asked.join(sizes, "_key").select("_key", "_ip", F.explode("_sizes").alias("_size"))
+    cut = cut.withColumn("_network", F.expr("_ip div _size"))
+    inside = cut.join(networks, ["_key", "_size", "_network"], "left_semi").select("_key", F.col("_ip").alias("_inside")).distinct()
+    found = placed.join(inside, (F.col(key) == F.col("_key")) & (F.col("_ip") == F.col("_inside")), "left")
+    return found.withColumn("cidr_ok", F.col("_inside").isNotNull()).drop("_ip", "_key", "_inside")
 
 
 def holds_authority(held: Column, allowed: Column) -> Column:
