@@ -53,20 +53,20 @@ def key_steps(path: Column) -> Column:
     return F.when(valid, names)
 
 
-def key_hash(node: Column) -> Column:
-    """Hash of a key node. An explicit null hashes to a constant; a missing key is spread at random.
+def _md5_number(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
-    The random spread is keyed by nothing, so rows without a key balance over all partitions.
+
+def key_hash(node: Column, spread: Column) -> Column:
+    """Hash of a key node. An explicit null hashes to a constant; a missing key is placed by ``spread``, a text that
+    names the message: rows without a key balance over all partitions, and a row that is computed again stays on its own.
     """
-    return F.when(node.isNull(), F.xxhash64(F.uuid())).otherwise(F.xxhash64(F.to_json(node)))
+    return F.when(node.isNull(), F.xxhash64(spread)).otherwise(F.xxhash64(F.to_json(node)))
 
 
-def md5_hash(node: Column) -> Column:
-    """A key hash other engines can reproduce: the first 32 bits of the MD5 of the key's JSON."""
-    text = F.to_json(node)
-    return F.when(node.isNull(), F.xxhash64(F.uuid())).otherwise(
-        F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-    )
+def md5_hash(node: Column, spread: Column) -> Column:
+    """A key hash other engines can reproduce: the first 32 bits of the MD5 of the key's JSON, or of ``spread``."""
+    return F.when(node.isNull(), _md5_number(spread)).otherwise(_md5_number(F.to_json(node)))
 
 
 def partition_number(hash_value: Column, partitions: int) -> Column:

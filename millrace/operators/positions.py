@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.offsets import format_offset_spec
+from millrace.sources.log import bounded_offset_scan
 
 MAX_RECORDS_PER_PARTITION = 100_000
 POLL_MIN, POLL_MAX = 10, 5000
@@ -17,7 +18,13 @@ def log_ends(log: DataFrame, keys: tuple[str, ...] = ("partition",)) -> DataFram
 
 
 def latest_offsets(log: DataFrame) -> DataFrame:
-    return log.groupBy("partition").agg((F.max("offset") + 1).alias("latest"))
+    """One past the last offset of each partition, from the log's own rows."""
+    return latest_of(log_ends(log))
+
+
+def latest_of(ends: DataFrame) -> DataFrame:
+    """The same from ends kept beside a log (``stored_ends``)."""
+    return ends.select("partition", F.col("end").alias("latest"))
 
 
 def committed_offsets(ends: DataFrame, commits: DataFrame) -> DataFrame:
@@ -43,8 +50,8 @@ def start_positions(ends: DataFrame, groups: DataFrame, commits: DataFrame) -> D
 
 
 def resume_read(log: DataFrame, positions: DataFrame) -> DataFrame:
-    """Records at or after the stored position of their partition."""
-    return log.join(positions.select("partition", "position"), "partition").where("offset >= position").drop("position")
+    """Records at or after the stored position of their partition, read as a bounded range that has no end."""
+    return bounded_offset_scan(log, positions.select("partition", F.col("position").alias("start"), F.lit((1 << 63) - 1).alias("end")))
 
 
 def plan_landing(latest: DataFrame, committed: DataFrame, cap: int = MAX_RECORDS_PER_PARTITION) -> DataFrame:

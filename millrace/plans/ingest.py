@@ -28,14 +28,24 @@ class Ingested:
     responses: DataFrame
 
 
-def partition_by_key(df: DataFrame, key_path: str | None, partitions: int, body: str = "body", hashing=keypath.key_hash) -> DataFrame:
+#: Begins the text that places a message without a key, so that it isn't taken for a key.
+NO_KEY = "no key:"
+
+
+def partition_by_key(
+    df: DataFrame, key_path: str | None, partitions: int, body: str = "body", hashing=keypath.key_hash, identity: list[str] | None = None
+) -> DataFrame:
     """Add the ``partition`` of each message from its key node.
 
     Equal keys share a partition, an explicit null is a key like any other, and messages without the key -
-    or streams without a key path - spread evenly.
+    or streams without a key path - spread evenly, each by the columns that name it (``identity``, by default its
+    body). ``body`` may be text or a message that is parsed already.
     """
-    node = keypath.key_node(F.try_parse_json(F.col(body)), key_path)
-    return df.withColumn("partition", keypath.partition_number(hashing(node), partitions))
+    parsed = df.schema[body].dataType.simpleString() == "variant"
+    node = keypath.key_node(F.col(body) if parsed else F.try_parse_json(F.col(body)), key_path)
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in identity] if identity else [F.to_json(body) if parsed else F.col(body)]
+    spread = F.concat_ws("|", F.lit(NO_KEY), *named)
+    return df.withColumn("partition", keypath.partition_number(hashing(node, spread), partitions))
 
 
 def ingest(

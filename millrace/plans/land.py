@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import avro
 from millrace.operators.mask import blank, mask_pii
+from millrace.operators.positions import MAX_RECORDS_PER_PARTITION, latest_of, plan_landing
 from millrace.plans.serve import read_as_latest
+from millrace.sources.log import bounded_offset_scan
 
 PARTITION_COLUMN = "acquisition_instant"
 VERSION_PROPERTY = "schema.version"
@@ -128,20 +132,32 @@ def drop_partition(spark: SparkSession, table: str, instant: str) -> None:
     spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({PARTITION_COLUMN} = '{instant}')")
 
 
-def commit_offsets(plan: DataFrame, path: str, stream: str, instant: str) -> None:
-    """Record where the landing ended; the newest row per partition is the committed position."""
+COMMITS = f"stream string, partition int, start bigint, next_offset bigint, {PARTITION_COLUMN} string, location string"
+
+
+def commit_offsets(plan: DataFrame, path: str, stream: str, instant: str, location: str | None = None) -> None:
+    """Record what was landed where; the newest row per partition is the committed position."""
     (
         plan.select(
             F.lit(stream).alias("stream"),
-            "partition",
-            F.col("end").alias("next_offset"),
+            F.col("partition").cast("int").alias("partition"),
+            F.col("start").cast("bigint").alias("start"),
+            F.col("end").cast("bigint").alias("next_offset"),
             F.lit(instant).alias(PARTITION_COLUMN),
+            F.lit(location).cast("string").alias("location"),
         )
         .write.mode("append")
         .parquet(path)
     )
 
 
+def landings(commits: DataFrame, table: str) -> DataFrame:
+    """What was committed, a row per landing, as its notification tells it."""
+    return commits.groupBy("stream", PARTITION_COLUMN, "location").agg(F.sum(F.col("next_offset") - F.col("start")).alias("record_count")).select(
+        "stream", F.lit(table).alias("table"), PARTITION_COLUMN, "location", "record_count"
+    )
+
+
 def land_range(
     spark: SparkSession,
     records: DataFrame,
@@ -158,12 +174,13 @@ def land_range(
     """Files, then the partition, then the offsets, then the notification.
 
     A failure before the offsets are committed leaves the position where it was, and the same range is landed
-    again over the same folder. Returns whether the partition is new.
+    again over the same folder. What was committed is notified, whether or not an attempt before had registered the
+    partition; a landing that is run again after that is notified again. Returns whether the partition is new.
     """
     land_batch(landed_rows(records, schema_json), location)
     created = register_partition(spark, table, instant, location)
-    commit_offsets(plan, commits, stream, instant)
-    if created and notify is not None:
+    commit_offsets(plan, commits, stream, instant, location)
+    if notify is not None:
         notify(
             plan.agg(F.sum(F.col("end") - F.col("start")).alias("record_count")).select(
                 F.lit(stream).alias("stream"),
@@ -174,3 +191,70 @@ def land_range(
             )
         )
     return created
+
+
+def _kept(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a folder that is there once something was written to it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def landing_job(
+    spark: SparkSession,
+    log: DataFrame,
+    ends: DataFrame,
+    *,
+    stream: str,
+    table: str,
+    root: str,
+    schema_json: str,
+    version: int,
+    commits: str,
+    first_instant: datetime,
+    interval: timedelta = timedelta(hours=1),
+    cap: int = MAX_RECORDS_PER_PARTITION,
+    notify=None,
+    notify_table=None,
+) -> int:
+    """Land a log up to its ``ends``: plan, land, commit, and again until no partition is cut short by ``cap``.
+
+    Where it goes on is read from the commits alone. A landing's number, and with it its folder and instant, is that
+    of the landings committed before, so an attempt after a failure lands the same range over the same files.
+    Committed landings are notified from the commits, each once its row is in ``<commits>-notified``: none is lost by a
+    failure in between. A table that is created is told to ``notify_table``. Returns the number of landings.
+    """
+    told = f"{commits}-notified"
+    if ensure_table(spark, table, root, schema_json, version) == "created" and notify_table is not None:
+        notify_table(spark.createDataFrame([(stream, table, root)], "stream string, table string, location string"))
+
+    def notify_committed() -> None:
+        if notify is None:
+            return
+        done = _kept(spark, told, f"{PARTITION_COLUMN} string")
+        due = landings(_kept(spark, commits, COMMITS).where(F.col("stream") == stream), table).join(done, PARTITION_COLUMN, "left_anti")
+        instants = [row[PARTITION_COLUMN] for row in due.select(PARTITION_COLUMN).collect()]  # those of this job's last pass, mostly one
+        if instants:
+            notify(due)
+            spark.createDataFrame([(x,) for x in instants], f"{PARTITION_COLUMN} string").write.mode("append").parquet(told)
+
+    landed = 0
+    while True:
+        notify_committed()
+        before = _kept(spark, commits, COMMITS).where(F.col("stream") == stream)
+        committed = before.groupBy("partition").agg(F.max("next_offset").alias("committed"))
+        # A row per partition: what the commits say now, not what they say once this landing is among them.
+        rows = plan_landing(latest_of(ends), committed, cap).collect()
+        if not rows:
+            return landed
+        plan = spark.createDataFrame([tuple(r) for r in rows], "partition int, start bigint, end bigint, run_again boolean")
+        number = before.select(PARTITION_COLUMN).distinct().count()
+        instant = (first_instant + number * interval).astimezone(timezone.utc).strftime("%Y%m%dT%H%M%SZ")
+        land_range(
+            spark, bounded_offset_scan(log, plan), plan, stream=stream, table=table,
+            location=f"{root}/{stream}/{number}/{PARTITION_COLUMN}={instant}", instant=instant, schema_json=schema_json, commits=commits,
+        )
+        landed += 1
+        if not any(r["run_again"] for r in rows):
+            notify_committed()
+            return landed

@@ -73,10 +73,11 @@ def serve(records: DataFrame, schemas: dict[int, str], grants: set[str] | frozen
     )
 
 
-def resume(log: DataFrame, commits: DataFrame, mode: str = "LATEST") -> DataFrame:
+def resume(log: DataFrame, commits: DataFrame, mode: str = "LATEST", ends: DataFrame | None = None) -> DataFrame:
     """Records one consumer group has not read yet. ``commits(partition, next_offset)`` are its positions;
-    partitions without one are read from their begin (EARLIEST) or from their end (LATEST)."""
-    ends = log_ends(log)
+    partitions without one are read from their begin (EARLIEST) or from their end (LATEST). ``ends`` are those kept beside
+    the log, without which the log is scanned for them."""
+    ends = log_ends(log) if ends is None else ends
     default = F.col("begin") if mode.upper() == "EARLIEST" else F.col("end")
     positions = ends.join(commits.select("partition", "next_offset"), "partition", "left").select(
         "partition", F.coalesce("next_offset", default).alias("position")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.session import fresh_path, use_utc
-from millrace.sources.log import append_log, log_scan
+from millrace.sources.log import append_log, log_scan, stored_ends
 
 PARTITIONS = 6
 
@@ -73,6 +73,11 @@ def event_log_path(spark: SparkSession, sf_dir: str) -> str:
     return _stored[key]
 
 
+def event_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Begin and end of each partition of the event log, as its append kept them."""
+    return stored_ends(spark, event_log_path(spark, sf_dir))
+
+
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_scan(spark, event_log_path(spark, sf_dir)).withColumn("partition", F.col("partition").cast("int"))
 

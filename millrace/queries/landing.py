@@ -9,27 +9,27 @@ from pyspark.sql import functions as F
 
 from millrace.operators import notify, positions
 from millrace.plans import land
-from millrace.queries.inputs import EVENT_V1, EVENT_V2, LOG_SQL, event_log, event_log_path
+from millrace.queries.inputs import EVENT_V1, EVENT_V2, LOG_SQL, event_ends, event_log, event_log_path, sql
 from millrace.session import fresh_path
-from millrace.sources.log import bounded_offset_scan, log_stream
+from millrace.sources.log import append_log, bounded_offset_scan, log_scan, log_stream, stored_ends
 from millrace.streaming.jobs import land_stream as start_landing
 
 INSTANT = "20240201T000000Z"
-CAP = 1000
+FIRST = datetime(2024, 2, 1, tzinfo=timezone.utc)
 FILE_ROWS = 3000
 
 
-def _plan(log):
-    latest = positions.latest_offsets(log)
+def _plan(ends):
+    latest = positions.latest_of(ends)
     committed = latest.select("partition", (F.col("partition") * 10).cast("bigint").alias("committed"))
-    return positions.plan_landing(latest, committed, CAP)
+    return positions.plan_landing(latest, committed)
 
 
 def land_batch(spark, sf_dir):
     """One planned landing, read back from its files."""
     log = event_log(spark, sf_dir)
     location = f"{fresh_path(spark, 'landed')}/acquisition_instant={INSTANT}"
-    land.land_batch(land.landed_rows(bounded_offset_scan(log, _plan(log)), EVENT_V2), location)
+    land.land_batch(land.landed_rows(bounded_offset_scan(log, _plan(event_ends(spark, sf_dir))), EVENT_V2), location)
     landed = spark.read.schema(land.table_columns(EVENT_V2)).parquet(location)
     return landed.select("id", "user", "kind", "value", F.col("props.k").alias("k"), "schema_version", "log_partition", "log_offset")
 
@@ -76,6 +76,51 @@ def landing_table(spark, sf_dir):
     return landed.withColumn("notified", told).withColumn("steps", F.lit(" ".join(steps))).withColumn("registered_again", F.lit(again))
 
 
+def _landings(spark, log, ends, schema, cap, name):
+    """A landing job run to its end, and again: rows of each landing and partition, where it was committed, and what
+    was told."""
+    root, commits, sent = fresh_path(spark, f"{name}-lake"), fresh_path(spark, f"{name}-commits"), fresh_path(spark, f"{name}-sent")
+    table = f"{name}_{uuid.uuid4().hex[:10]}"
+    sender = [lambda n: n.write.mode("append").parquet(sent)]
+    how = dict(
+        stream=name, table=table, root=root, schema_json=schema, version=2, commits=commits, first_instant=FIRST, cap=cap,
+        notify=lambda rows: notify.send(notify.partition_created(rows, "thrift://metastore", "lake"), sender),
+        notify_table=lambda rows: notify.send(notify.table_created(rows, "thrift://metastore", "lake"), sender),
+    )
+    passes = land.landing_job(spark, log, ends, **how)
+    again = land.landing_job(spark, log, ends, **how)
+    landed = spark.table(table).groupBy("acquisition_instant", F.col("log_partition").alias("partition")).agg(
+        F.count("*").alias("row_count"), F.countDistinct("log_offset").alias("offsets")
+    )
+    committed = spark.read.schema(land.COMMITS).parquet(commits).select("acquisition_instant", "partition", "next_offset")
+    told = spark.read.parquet(sent).groupBy("type").agg(F.count("*").alias("n"))
+    told = {row["type"]: row["n"] for row in told.collect()}
+    counts = f"{passes} {again} {told.get('HIVE_TABLE_CREATED', 0)} {told.get('HIVE_PARTITION_CREATED', 0)}"
+    return landed.join(committed, ["acquisition_instant", "partition"]).withColumn("landings_again_tables_told", F.lit(counts))
+
+
+def landing_job(spark, sf_dir):
+    """The whole event log landed in passes of a thousand records per partition, then nothing more to land."""
+    return _landings(spark, event_log(spark, sf_dir), event_ends(spark, sf_dir), EVENT_V2, CAP, "passes")
+
+
+ITEM = '{"type":"record","name":"item","fields":[{"name":"order","type":"long"},{"name":"line","type":"int"},{"name":"price","type":"double"}]}'
+
+
+def landing_run(spark, sf_dir):
+    """Line items as a log of six partitions, landed at the cap that landings have by default."""
+    path = fresh_path(spark, "items")
+    records = sql(
+        spark, sf_dir,
+        "SELECT CAST(l_orderkey % 6 AS INT) AS partition, l_orderkey, l_linenumber, 2 AS schema_version, 0L AS ts_ms, "
+        "to_json(named_struct('order', l_orderkey, 'line', l_linenumber, 'price', l_extendedprice)) AS body FROM {lineitem}",
+        "lineitem",
+    )
+    append_log(records, path, ["l_orderkey", "l_linenumber", "body"])
+    log = log_scan(spark, path).withColumn("partition", F.col("partition").cast("int"))
+    return _landings(spark, log, stored_ends(spark, path), ITEM, positions.MAX_RECORDS_PER_PARTITION, "items")
+
+
 def land_stream(spark, sf_dir):
     """The whole log landed by a stream in capped micro-batches, with its committed positions."""
     schema = event_log(spark, sf_dir).schema
@@ -85,7 +130,7 @@ def land_stream(spark, sf_dir):
     query = start_landing(
         log_stream(spark, event_log_path(spark, sf_dir), schema, max_files=4),
         stream="events", table=table, root=root, schema_json=EVENT_V2, commits=commits, checkpoint=fresh_path(spark, "checkpoint"),
-        first_instant=datetime(2024, 2, 1, tzinfo=timezone.utc), interval=timedelta(hours=1),
+        first_instant=FIRST, interval=timedelta(hours=1),
     )
     query.awaitTermination()
     landed = spark.table(table).groupBy(F.col("log_partition").alias("partition")).agg(
@@ -95,12 +140,29 @@ def land_stream(spark, sf_dir):
     return landed.join(committed, "partition")
 
 
+CAP = 1000
+
+
+def _landings_sql(rows: str, cap: int) -> str:
+    """Landings of a log of which ``rows(partition, n)`` says how long its partitions are."""
+    return f"""{rows}, passes AS (SELECT partition, n, unnest(range((n + {cap - 1}) // {cap})) AS number FROM rows_of)
+        SELECT strftime(TIMESTAMP '2024-02-01' + number * INTERVAL 1 HOUR, '%Y%m%dT%H%M%SZ') AS acquisition_instant, CAST(partition AS INT) AS partition,
+        CAST(least(n, (number + 1) * {cap}) - number * {cap} AS BIGINT) AS row_count, CAST(least(n, (number + 1) * {cap}) - number * {cap} AS BIGINT) AS offsets,
+        CAST(least(n, (number + 1) * {cap}) AS BIGINT) AS next_offset,
+        (SELECT max(number) + 1 FROM passes) || ' 0 1 ' || (SELECT max(number) + 1 FROM passes) AS landings_again_tables_told FROM passes"""
+
+
 QUERIES = {
+    "landing_job": (landing_job, _landings_sql("WITH rows_of AS (SELECT user_id % 6 AS partition, count(*) AS n FROM events GROUP BY ALL)", CAP)),
+    "landing_run": (
+        landing_run,
+        _landings_sql("WITH rows_of AS (SELECT l_orderkey % 6 AS partition, count(*) AS n FROM lineitem GROUP BY ALL)", positions.MAX_RECORDS_PER_PARTITION),
+    ),
     "land_batch": (
         land_batch,
         f"""WITH {LOG_SQL} SELECT event_id AS id, user_id AS user, '' AS kind, CASE WHEN schema_version = 2 THEN value ELSE 0.0 END AS value,
         CASE WHEN schema_version = 2 THEN CAST(json_extract(props, '$.k') AS INT) END AS k, schema_version, partition AS log_partition, "offset" AS log_offset
-        FROM log WHERE "offset" >= partition * 10 AND "offset" < partition * 10 + {CAP}""",
+        FROM log WHERE "offset" >= partition * 10 AND "offset" < partition * 10 + {positions.MAX_RECORDS_PER_PARTITION}""",
     ),
     "land_formats": (
         land_formats,

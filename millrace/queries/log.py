@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions.offsets import format_offset_spec, parse_offset_spec
 from millrace.operators import ordered, positions
 from millrace.plans.serve import resume
-from millrace.queries.inputs import LOG_SQL, event_log, sql, table
+from millrace.queries.inputs import LOG_SQL, event_ends, event_log, sql, table
 from millrace.sources.log import bounded_offset_scan
 
 SPEC = "0:100,500;1:0,50;2:300,300;4:7,1000000"
@@ -89,7 +89,7 @@ def committed_offsets(spark, sf_dir):
 
 
 def latest_offsets(spark, sf_dir):
-    return positions.latest_offsets(event_log(spark, sf_dir))
+    return positions.latest_of(event_ends(spark, sf_dir))
 
 
 def start_position(spark, sf_dir):
@@ -100,13 +100,13 @@ def start_position(spark, sf_dir):
 def resume_read(spark, sf_dir):
     """What the consumer ``view`` has not read yet."""
     log = event_log(spark, sf_dir)
-    return resume(log, _commits(log).where("consumer = 'view'")).select("partition", "offset", "event_id")
+    return resume(log, _commits(log).where("consumer = 'view'"), ends=event_ends(spark, sf_dir)).select("partition", "offset", "event_id")
 
 
 def _plan(spark, sf_dir):
-    latest = positions.latest_offsets(event_log(spark, sf_dir))
+    latest = positions.latest_of(event_ends(spark, sf_dir))
     committed = latest.where("partition <> 5").select("partition", (F.col("partition") * 10).cast("bigint").alias("committed"))
-    return positions.plan_landing(latest, committed, 1000)
+    return positions.plan_landing(latest, committed)
 
 
 def plan_landing(spark, sf_dir):
@@ -144,7 +144,7 @@ def message_count(spark, sf_dir):
 
 def consumer_lag(spark, sf_dir):
     log = event_log(spark, sf_dir)
-    ends = positions.log_ends(log).withColumn("stream", F.lit("events"))
+    ends = event_ends(spark, sf_dir).withColumn("stream", F.lit("events"))
     return positions.consumer_lag(ends, _commits(log).withColumn("stream", F.lit("events")))
 
 
@@ -177,8 +177,8 @@ def consecutive_runs(spark, sf_dir):
 _PLAN_SQL = """
 latest AS (SELECT partition, max("offset") + 1 AS latest FROM log GROUP BY partition),
 plan AS (SELECT partition, CAST(CASE WHEN partition <> 5 THEN partition * 10 ELSE 0 END AS BIGINT) AS start,
-  least(latest, CASE WHEN partition <> 5 THEN partition * 10 ELSE 0 END + 1000) AS "end",
-  latest > CASE WHEN partition <> 5 THEN partition * 10 ELSE 0 END + 1000 AS run_again
+  least(latest, CASE WHEN partition <> 5 THEN partition * 10 ELSE 0 END + 100000) AS "end",
+  latest > CASE WHEN partition <> 5 THEN partition * 10 ELSE 0 END + 100000 AS run_again
   FROM latest WHERE latest > CASE WHEN partition <> 5 THEN partition * 10 ELSE 0 END)
 """
 

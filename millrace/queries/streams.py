@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from millrace.operators import model
 from millrace.functions.keypath import md5_hash
 from millrace.operators.delivery import probe_group
 from millrace.queries.inputs import EVENT_SCHEMAS, LOG_SQL, PROBE_GROUPS, PROBE_SQL, RECEIVED, SENT, event_log, event_log_path, table
-from millrace.queries.model import PATCHES, PATCHES_SQL, members_of
+from millrace.queries.model import BAD_PATCHES, BAD_PATCHES_SQL, PATCHES, PATCHES_SQL, members_of
 from millrace.session import fresh_path
 from millrace.sources.log import log_stream
 from millrace.streaming import jobs, state
@@ -67,11 +69,13 @@ def dedup_stream(spark, sf_dir):
 
 
 def correlate_stream(spark, sf_dir):
-    """Probe messages met with their receipts inside their lifetime."""
-    sent = spark.sql(SENT, events=_events(spark, sf_dir)).select("origin", "seq", F.timestamp_millis("sent_ms").alias("sent_at"))
-    received = spark.sql(RECEIVED, events=_events(spark, sf_dir)).where("seq % 9 <> 0").select("origin", "seq", F.timestamp_millis("recv_ms").alias("recv_at"))
-    met = _drained(spark, jobs.correlate_stream(sent, received, "60 seconds"), "correlate-stream")
-    return met.where("recv_at is not null").select("origin", "seq", F.unix_millis("recv_at").alias("recv_ms"))
+    """Probe messages and their receipts inside their lifetime, copies, lost and late ones included. A message far in
+    the future on either side closes all lifetimes before it."""
+    last = _events(spark, sf_dir).where("event_id = 0").selectExpr("'last'", "CAST(-1 AS BIGINT)", "timestamp_millis(10000000000000)")
+    sent = spark.sql(SENT, events=_events(spark, sf_dir)).select("origin", "seq", F.timestamp_millis("sent_ms").alias("sent_at")).union(last)
+    received = spark.sql(RECEIVED, events=_events(spark, sf_dir)).select("origin", "seq", F.timestamp_millis("recv_ms").alias("recv_at")).union(last)
+    met = _drained(spark, jobs.correlate_stream(sent, received, "60 seconds"), "correlate-stream").where("seq >= 0")
+    return met.select("origin", "seq", F.unix_millis("recv_at").alias("recv_ms"))
 
 
 def model_state_stream(spark, sf_dir):
@@ -82,6 +86,13 @@ def model_state_stream(spark, sf_dir):
     return members_of(last.where("document is not null"))
 
 
+def fold_bad_patches_stream(spark, sf_dir):
+    """The same as the batch fold makes of sets that can't be applied."""
+    states = _drained(spark, state.model_state_stream(spark.sql(BAD_PATCHES, events=_events(spark, sf_dir))), "bad-model-stream")
+    last = states.groupBy("document_id").agg(F.max_by(F.struct("document"), "seq").alias("s")).select("document_id", "s.document")
+    return members_of(last.where("document is not null"))
+
+
 def change_stream(spark, sf_dir):
     """Change events of a keyed log."""
     log = _events(spark, sf_dir).select(
@@ -136,7 +147,12 @@ def agent_stream(spark, sf_dir):
     log = _events(spark, sf_dir).select(
         F.col("user_id").alias("key"), F.col("event_id").alias("offset"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("value")
     )
-    path = fresh_path(spark, "agent-stream")
+    return _asked(spark, log, None, [0])
+
+
+def _asked(spark, log, loaded, steps):
+    """What an agent that notes every change asks for, counted, once the stream has run after each step."""
+    path, checkpoint = fresh_path(spark, "agent-stream"), fresh_path(spark, "agent-checkpoint")
 
     def note(changes):
         return changes.select(
@@ -144,11 +160,29 @@ def agent_stream(spark, sf_dir):
         )
 
     with jobs.state_partitions(spark):
-        jobs.agent_stream(state.change_stream(log), [note], path, fresh_path(spark, "agent-checkpoint"), skip_first=False).awaitTermination()
+        for _ in steps:
+            jobs.agent_stream(state.change_stream(log), [note], path, checkpoint, loaded).awaitTermination()
     asked = model.read_patches(spark.read.parquet(f"{path}/*/*"))
     return asked.groupBy("document_id", F.col("operations")[0]["value"].alias("asked")).agg(F.count("*").alias("patches"))
 
 
+def agent_stream_muted(spark, sf_dir):
+    """A log that grows in three steps; the agent starts after the first one, and sees the changes of the others."""
+    events = table(spark, sf_dir, "events")
+    many = events.count()
+    rows = events.selectExpr("user_id AS key", "event_id AS offset", "CASE WHEN event_type <> 'error' THEN event_type END AS value")
+    path = fresh_path(spark, "growing")
+
+    def grow():
+        for step in range(3):
+            rows.where(f"offset * 3 >= {step * many} AND offset * 3 < {(step + 1) * many}").write.mode("append").parquet(path)
+            yield step
+
+    steps = grow()
+    next(steps)  # what exists before the agent starts
+    return _asked(spark, log_stream(spark, path, rows.schema), -(-many // 3), itertools.chain([0], steps))
+
+
 _CHANGES_SQL = """
 changes AS (SELECT key, "offset", CASE WHEN new IS NULL THEN 'remove' WHEN old IS NULL THEN 'new' ELSE 'update' END AS change, old, new, coalesce(old = new, FALSE) AS same FROM (
   SELECT user_id AS key, event_id AS "offset", CASE WHEN event_type <> 'error' THEN event_type END AS new,
@@ -174,9 +208,10 @@ QUERIES = {
     "dedup_stream": (dedup_stream, f"WITH {PROBE_SQL} SELECT DISTINCT origin, seq FROM received"),
     "correlate_stream": (
         correlate_stream,
-        f"WITH {PROBE_SQL} SELECT s.origin, s.seq, r.recv_ms FROM sent s JOIN received r ON r.origin = s.origin AND r.seq = s.seq WHERE s.seq % 9 <> 0 AND r.recv_ms - s.sent_ms <= 60000",
+        f"WITH {PROBE_SQL} SELECT origin, seq, recv_ms FROM correlated",
     ),
     "model_state_stream": (model_state_stream, f"WITH {PATCHES_SQL} SELECT document_id, member, value FROM members"),
+    "fold_bad_patches_stream": (fold_bad_patches_stream, f"WITH {BAD_PATCHES_SQL} SELECT document_id, member, value FROM members"),
     "change_stream": (change_stream, f'WITH {_CHANGES_SQL} SELECT key, "offset", change, old, new, same FROM changes'),
     "delivery_state_stream": (
         delivery_state_stream,
@@ -188,6 +223,11 @@ QUERIES = {
         f"""WITH {PATCHES_SQL} SELECT document_id, member, value FROM members WHERE member <> 'click'
         UNION ALL SELECT document_id, 'seen', 'true' FROM members GROUP BY document_id""",
     ),
+    "agent_stream_muted": (
+        agent_stream_muted,
+        f"""WITH {_CHANGES_SQL} SELECT CAST(key AS VARCHAR) AS document_id, '["' || change || '"]' AS asked, count(*) AS patches FROM changes
+        WHERE NOT same AND "offset" * 3 >= (SELECT count(*) FROM events) GROUP BY ALL""",
+    ),
     "agent_stream": (
         agent_stream,
         f"""WITH {_CHANGES_SQL} SELECT CAST(key AS VARCHAR) AS document_id, '["' || change || '"]' AS asked, count(*) AS patches FROM changes WHERE NOT same GROUP BY ALL""",

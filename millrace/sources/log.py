@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.envelope import MAGIC, split_envelope, unwrap_nullable
-from millrace.functions.offsets import parse_offset_spec
 from millrace.operators.ordered import place_in_order
 from millrace.session import fresh_path
 
-# Ranges given as text become literal predicates up to this many; beyond it they are joined.
-LITERAL_RANGES = 256
+ENDS = "partition int, begin bigint, end bigint"
 
 
 def assign_offsets(df: DataFrame, order: list[str], next_offsets: DataFrame | None = None) -> DataFrame:
@@ -36,15 +32,25 @@ def assign_offsets(df: DataFrame, order: list[str], next_offsets: DataFrame | No
 def append_log(df: DataFrame, path: str, order: list[str], next_offsets: DataFrame | None = None) -> None:
     """Append records to a stored log, one folder per partition, files in offset order.
 
-    Files keep narrow offset ranges, so that a bounded read skips most of them by their statistics.
+    Files keep narrow offset ranges, so that a bounded read skips most of them by their statistics. Where each
+    partition begins and ends is kept beside the log (``stored_ends``), for readers who only ask that.
     """
-    (
-        assign_offsets(df, order, next_offsets)
-        .sortWithinPartitions("partition", "offset")
-        .write.mode("append")
-        .partitionBy("partition")
-        .parquet(path)
+    rows = assign_offsets(df, order, next_offsets)
+    rows.sortWithinPartitions("partition", "offset").write.mode("append").partitionBy("partition").parquet(path)
+    spans = rows.groupBy(F.col("partition").cast("int").alias("partition")).agg(
+        F.min("offset").alias("begin"), (F.max("offset") + 1).alias("end")
     )
+    spans.write.mode("append").parquet(ends_path(path))
+
+
+def ends_path(path: str) -> str:
+    return f"{path.rstrip('/')}-ends"
+
+
+def stored_ends(spark: SparkSession, path: str) -> DataFrame:
+    """``(partition, begin, end)`` of a log that ``append_log`` wrote, from a row per partition and append."""
+    kept = spark.read.schema(ENDS).parquet(ends_path(path))
+    return kept.groupBy("partition").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
 
 
 def log_scan(spark: SparkSession, path: str, schema: T.StructType | None = None, source: str = "parquet", **options) -> DataFrame:
@@ -96,27 +102,23 @@ def _spec_ranges(spec: str) -> list[tuple[int, int, int]]:
 def bounded_offset_scan(log: DataFrame, ranges: DataFrame | str) -> DataFrame:
     """Exactly the records whose offset is in ``[start, end)`` of their partition's range.
 
-    Text ranges (a job argument) become literal predicates that prune folders and row groups. Ranges
-    held in a DataFrame ``(partition, start, end)`` are joined. Empty ranges read nothing.
+    Ranges are text (a job argument) or rows ``(partition, start, end)``, one for each partition at most: as many as a topic is
+    wide, so they are read here, and the log is never joined. Folders are pruned by the partitions asked for, files
+    and row groups by the least start and the greatest end; each partition's own range is looked up by its number.
+    Empty ranges read nothing.
     """
     if isinstance(ranges, str):
-        wanted = [r for r in _spec_ranges(ranges) if r[1] < r[2]]
-        if not wanted:
-            return log.where(F.lit(False))
-        if len(wanted) <= LITERAL_RANGES:
-            return log.where(
-                reduce(
-                    lambda a, b: a | b,
-                    [
-                        (F.col("partition") == p) & (F.col("offset") >= s) & (F.col("offset") < e)
-                        for p, s, e in wanted
-                    ],
-                )
-            )
-        spec = log.sparkSession.range(1).select(F.explode(parse_offset_spec(F.lit(ranges))).alias("r"))
-        ranges = spec.select("r.partition", "r.start", "r.end")
-    bounds = ranges.where("start < end").select("partition", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    return log.join(bounds, "partition").where("offset >= _s and offset < _e").drop("_s", "_e")
+        given = _spec_ranges(ranges)
+    else:
+        given = [(r["partition"], r["start"], r["end"]) for r in ranges.select("partition", "start", "end").collect()]
+    wanted = {partition: (start, end) for partition, start, end in given if start < end}
+    if not wanted:
+        return log.where(F.lit(False))
+    numbers = range(max(wanted) + 1)
+    starts, ends = (F.array(*[F.lit(wanted[p][side] if p in wanted else 0).cast("bigint") for p in numbers]) for side in (0, 1))
+    partition, offset = F.col("partition"), F.col("offset")
+    asked = partition.isin(*wanted) & (offset >= min(s for s, _ in wanted.values())) & (offset < max(e for _, e in wanted.values()))
+    return log.where(asked & (offset >= F.get(starts, partition)) & (offset < F.get(ends, partition)))
 
 
 def latest_by_key(log: DataFrame, key: str, value: str, order: str) -> DataFrame:

@@ -13,11 +13,11 @@ from pyspark.sql.streaming import StreamingQuery
 from millrace.functions.keypath import key_hash
 from millrace.operators.conform import accepted, conform, rejected
 from millrace.operators.mask import blank
-from millrace.operators.model import emit_patches
+from millrace.operators.model import emit_patches, patch_rows
 from millrace.plans.ingest import partition_by_key
 from millrace.plans.land import land_range
 from millrace.plans.serve import serve
-from millrace.session import settle
+from millrace.session import passing, settle
 from millrace.sources.log import assign_offsets
 
 
@@ -79,14 +79,19 @@ def ingest_stream(
     go to the rejects with their reason.
 
     Each micro-batch writes a folder of its own and the positions its partitions end at, and starts from the
-    positions of the batch before; run again, it replaces its own folders.
+    positions of the batch before; run again, it replaces its own folders. What it keeps in between goes with it.
+    ``order`` names each message, so it places those without a key, too.
     """
 
     def admit(batch: DataFrame, number: int) -> None:
+        with passing(batch.sparkSession):
+            write(batch, number)
+
+    def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         judged = settle(conform(batch, schema_json, version=version).drop("message"), "judged")
         rejected(judged.withColumn("message", F.lit(None))).write.mode("overwrite").parquet(f"{rejects}/batch={number}")
-        placed = partition_by_key(accepted(judged), key_path, partitions, hashing=hashing or key_hash)
+        placed = partition_by_key(accepted(judged), key_path, partitions, hashing=hashing or key_hash, identity=order)
         ends = f"{log}-ends"
         before = None
         if number > 0:
@@ -132,18 +137,20 @@ def first_receipts_stream(received: DataFrame, ts: str, lifetime: str) -> DataFr
 
 
 def correlate_stream(sent: DataFrame, received: DataFrame, lifetime: str) -> DataFrame:
-    """Sent messages with their receipt, as a left outer interval join; a message whose lifetime passes
-    without a receipt comes out unmatched. Both sides carry ``origin, seq`` and a time column."""
+    """Sent messages with their first receipt, as a left outer interval join; a message whose lifetime passes
+    without a receipt comes out unmatched. Both sides carry ``origin, seq`` and a time column. Later copies of a receipt
+    are ignored: a message comes out once, when its lifetime is over."""
     s = sent.withWatermark("sent_at", lifetime).alias("s")
     r = received.withWatermark("recv_at", lifetime).alias("r")
-    return s.join(
+    met = s.join(
         r,
         F.expr(
             "s.origin = r.origin and s.seq = r.seq and r.recv_at >= s.sent_at "
             f"and r.recv_at <= s.sent_at + interval {lifetime}"
         ),
         "leftOuter",
-    ).select("s.origin", "s.seq", "s.sent_at", "r.recv_at")
+    )
+    return met.groupBy("s.origin", "s.seq", "s.sent_at").agg(F.min("r.recv_at").alias("recv_at"))
 
 
 @contextmanager
@@ -188,20 +195,25 @@ def inspect_models(spark: SparkSession, documents: DataFrame, agents: list[Agent
         emit_patches(wanted, patch_log)
 
 
-def agent_stream(changes: DataFrame, agents: list[Agent], patch_log: str, checkpoint: str, skip_first: bool = True) -> StreamingQuery:
-    """Call agents on model changes as they come; the first batch, the load of what exists, is skipped.
+def agent_stream(
+    changes: DataFrame, agents: list[Agent], patch_log: str, checkpoint: str, loaded: int | None = None, order: str = "offset"
+) -> StreamingQuery:
+    """Call agents on model changes as they come, those after what existed when the agents began.
 
-    ``changes(key, order, change, old, new, same)``; updates that change nothing are not shown.
+    ``loaded`` is where the log ended at that time. Changes before it, the load of what exists, are muted, however
+    many micro-batches they take; without it every change is shown. ``changes(key, order, change, old, new, same)``;
+    updates that change nothing are not shown. A batch that is run again replaces its own patches.
     """
 
     def act(batch: DataFrame, number: int) -> None:
-        # The changes come from stream state, so they are computed once, whatever is done with them.
-        seen = settle(batch, "changes").where("not same")
-        if number == 0 and skip_first:
-            return
-        for place, agent in enumerate(agents):
-            wanted = agent(seen).withColumn("seq", F.lit(number * len(agents) + place).cast("bigint"))
-            emit_patches(wanted, f"{patch_log}/batch={number}/agent={place}")
+        with passing(batch.sparkSession):
+            # The changes come from stream state, so they are computed once, whatever is done with them.
+            seen = settle(batch, "changes").where("not same")
+            if loaded is not None:
+                seen = seen.where(F.col(order) >= loaded)
+            for place, agent in enumerate(agents):
+                wanted = agent(seen).withColumn("seq", F.lit(number * len(agents) + place).cast("bigint"))
+                patch_rows(wanted).write.mode("overwrite").parquet(f"{patch_log}/batch={number}/agent={place}")
 
     return (
         changes.writeStream.foreachBatch(act)

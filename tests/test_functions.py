@@ -60,7 +60,7 @@ def test_key_node(spark, path, state, key):
 def test_key_hash_spreads_missing_and_pins_null(spark):
     bodies = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "{}").otherwise('{"k":null}').alias("body"), "id")
     node = keypath.key_node(F.try_parse_json("body"), "$.k")
-    placed = bodies.select("body", keypath.partition_number(keypath.key_hash(node), 8).alias("p"))
+    placed = bodies.select("body", keypath.partition_number(keypath.key_hash(node, F.col("id").cast("string")), 8).alias("p"))
     spread = {r.body: (r.parts, r.biggest) for r in placed.groupBy("body", "p").count().groupBy("body").agg(F.count("*").alias("parts"), F.max("count").alias("biggest")).collect()}
     assert spread['{"k":null}'] == (1, 2000)
     assert spread["{}"][0] == 8 and spread["{}"][1] < 400

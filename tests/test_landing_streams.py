@@ -1,5 +1,6 @@
 """Landing, its failures, and streaming jobs over several micro-batches."""
 
+import os
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import model, notify, positions
 from millrace.plans import land
+from millrace.session import shared_dir
 from millrace.sources import log as logs
 from millrace.streaming import jobs, state
 from tests.test_model import PATCH, brute, random_sets
@@ -105,6 +107,43 @@ def test_landing_stream_restarts_where_it_stopped(spark, path):
     assert {r.partition: r.n for r in committed.collect()} == {**ends, 1: ends[1] + 1}
 
 
+def test_landing_job_goes_on_after_a_failure(spark, path, monkeypatch):
+    """A landing that fails before its commit is landed again over the same files; one that fails after it is still told."""
+    log = make_log(spark, path("log"))
+    ends, told = logs.stored_ends(spark, path("log")), []
+    assert {tuple(r) for r in ends.collect()} == {tuple(r) for r in positions.log_ends(log).collect()}
+    table = f"job_{os.path.basename(path('x'))}_{abs(hash(path('x'))) % 10**8}"
+    how = dict(
+        stream="s", table=table, root=path("lake"), schema_json=V2, version=2, commits=path("commits"), cap=400,
+        first_instant=datetime(2024, 1, 1, tzinfo=timezone.utc), notify=lambda rows: told.extend(rows.collect()),
+        notify_table=lambda rows: told.append("table"),
+    )
+    plain, calls = land.commit_offsets, []
+
+    def failing(*args, **kw):
+        calls.append(args)
+        if len(calls) == 2:
+            raise RuntimeError("before the commit")
+        plain(*args, **kw)
+        if len(calls) == 4:
+            raise RuntimeError("after the commit")
+
+    monkeypatch.setattr(land, "commit_offsets", failing)
+    landings = 0
+    for _ in range(3):
+        try:
+            landings = land.landing_job(spark, log, ends, **how)
+        except RuntimeError:
+            continue
+    rows = spark.table(table)
+    assert rows.count() == 2000 == rows.select("log_partition", "log_offset").distinct().count()
+    counts = sorted(r["record_count"] for r in told if r != "table")
+    assert told.count("table") == 1 and sum(counts) == 2000
+    assert len({r["acquisition_instant"] for r in told if r != "table"}) == len(counts) == spark.sql(f"SHOW PARTITIONS {table}").count()
+    assert landings and land.landing_job(spark, log, ends, **how) == 0
+    spark.sql(f"DROP TABLE {table}")
+
+
 def test_ingest_stream_continues_offsets(spark, path):
     for i in range(3):
         spark.range(i * 100, i * 100 + 100).select(
@@ -120,9 +159,23 @@ def test_ingest_stream_continues_offsets(spark, path):
     assert spark.read.parquet(path("rejects")).count() == 30
 
 
-@pytest.mark.parametrize("seed", [3])
-def test_patch_stream_equals_batch(spark, path, seed):
-    rows = random_sets(seed, 400)
+def test_ingest_stream_leaves_the_log_only(spark, path):
+    """Messages without a key spread, and a finished batch leaves nothing but the log, the rejects and the positions."""
+    spark.range(300).select("id", F.to_json(F.struct("id", F.lit("w").alias("who"))).alias("body")).coalesce(1).write.parquet(path("in"))
+    followed = logs.log_stream(spark, path("in"), spark.read.parquet(path("in")).schema)
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    jobs.ingest_stream(
+        followed, schema_json=V1, version=1, log=path("log"), rejects=path("rejects"), checkpoint=path("cp"), order=["id"], key_path="$.none", partitions=3
+    ).awaitTermination()
+    assert set(os.listdir(folder)) == before
+    counts = {r["partition"]: r["count"] for r in spark.read.parquet(path("log")).groupBy("partition").count().collect()}
+    assert len(counts) == 3 and min(counts.values()) > 60 and sum(counts.values()) == 300
+
+
+@pytest.mark.parametrize("seed, bad", [(3, 0.0), (4, 0.3)])
+def test_patch_stream_equals_batch(spark, path, seed, bad):
+    rows = random_sets(seed, 400, bad=bad)
     for i in range(4):
         spark.createDataFrame(rows[i * 100 : i * 100 + 100], PATCH).coalesce(1).write.mode("append").parquet(path("patches"))
     followed = logs.log_stream(spark, path("patches"), spark.createDataFrame([], PATCH).schema, max_files=1)
@@ -154,8 +207,10 @@ def test_agents_skip_what_is_already_there(spark, path):
     def note(changes):
         return changes.select(F.col("key").cast("string").alias("document_id"), F.array(F.struct(F.lit("add").alias("op"), F.lit("/n").alias("path"), "new")).cast(model.OPERATIONS).alias("operations"))
 
-    jobs.agent_stream(state.change_stream(followed), [note], path("patches"), path("cp")).awaitTermination()
-    assert spark.read.parquet(path("patches/*/*")).count() == 20
+    jobs.agent_stream(state.change_stream(followed), [note], path("patches"), path("cp"), loaded=30).awaitTermination()
+    assert spark.read.parquet(path("patches/*/*")).count() == 10
+    jobs.agent_stream(state.change_stream(followed), [note], path("every"), path("cp-every")).awaitTermination()
+    assert spark.read.parquet(path("every/*/*")).count() == 40
 
 
 def test_unmatched_probes_come_out(spark, path):

@@ -49,5 +49,19 @@ def test_only_needed_columns_are_read(spark):
     assert "GreaterThanOrEqual(offset,5)" in text
 
 
+@pytest.mark.parametrize("name", ["resume_read", "joined_bounded_scan"])
+def test_reads_by_position_join_nothing(no_broadcast, name):
+    """The log is filtered where it is scanned, however the ranges are held."""
+    text = plan(entry_points.queries()[name](no_broadcast, SF))
+    assert "Exchange" not in text and "Join" not in text
+    assert "GreaterThanOrEqual(offset," in text and "PartitionFilters: [" in text
+
+
+def test_stored_ends_are_read_instead_of_the_log(spark):
+    for name in ("latest_offsets", "plan_landing"):
+        text = plan(entry_points.queries()[name](spark, SF))
+        assert set(re.findall(r"ReadSchema: (\S+)", text)) == {"struct<partition:int,end:bigint>"}
+
+
 def test_every_query_has_an_oracle():
     assert {name for name, (_, sql) in all_queries().items() if not sql} == set()
