@@ -187,47 +187,39 @@ def read_faults(fields: DataFrame, pairs: DataFrame) -> DataFrame:
     the writer lacks and that has no default, a type that cannot be promoted, or an unknown enum symbol.
     Fields match by name or alias.
     """
-    nodes = settle(_readable_nodes(fields), "schema-nodes")
-    keys = ["stream", "reader", "writer"]
-    reading = nodes.withColumnRenamed("version", "reader").join(pairs, ["stream", "reader"])
-    own = F.when(F.col("name").isNull(), F.array("plain_path")).otherwise(
-        F.transform(F.array_union(F.array("name"), "aliases"), lambda n: F.concat(F.col("parent"), F.lit("/"), n))
-    )
-    writing = nodes.select(
-        "stream", F.col("version").alias("writer"), F.col("plain_path").alias("_place"),
-        F.col("types").alias("_types"), F.col("symbols").alias("_symbols"),
+    # A row per stream holds all its schemas, so fields are shuffled once, and pairs meet both their schemas at once.
+    nodes = _readable_nodes(fields.repartition("stream"))
+    held = [n for n in nodes.columns if n not in ("stream", "version")]
+    schemas = nodes.groupBy("stream", "version").agg(F.collect_list(F.struct(*held)).alias("_nodes"))
+    streams = schemas.groupBy("stream").agg(F.map_from_entries(F.collect_list(F.struct("version", "_nodes"))).alias("_schemas"))
+    met = pairs.select("stream", "reader", "writer").join(streams, "stream").select(
+        "stream", "reader", "writer", F.explode(F.try_element_at("_schemas", F.col("reader"))).alias("_n"),
+        F.coalesce(F.try_element_at("_schemas", F.col("writer")), F.array().cast(schemas.schema["_nodes"].dataType)).alias("_written"),
     )
-    places = writing.select("stream", "writer", F.col("_place").alias("parent"), F.lit(True).alias("_parent_known"))
-    matched = (
-        reading.withColumn("_place", F.explode(own))
-        .join(writing, ["stream", "writer", "_place"], "left")
-        .groupBy(*keys, "plain_path")
-        .agg(
-            F.max(F.struct(F.col("_types").isNotNull().alias("found"), F.col("_types").alias("types"), F.col("_symbols").alias("symbols"))).alias("w"),
-            F.first("types").alias("types"),
-            F.first("symbols").alias("symbols"),
-            F.first("has_default").alias("has_default"),
-            F.first("name").alias("name"),
-            F.first("parent").alias("parent"),
-        )
-        .join(places, ["stream", "writer", "parent"], "left")
+    node = F.col("_n")
+    own = F.when(node["name"].isNull(), F.array(node["plain_path"])).otherwise(
+        F.transform(F.array_union(F.array(node["name"]), node["aliases"]), lambda n: F.concat(node["parent"], F.lit("/"), n))
     )
+    met = met.withColumn("_own", own)
+    there = F.filter("_written", lambda w: F.array_contains("_own", w["plain_path"]))
+    met = met.withColumn("_w", F.array_max(F.transform(there, lambda w: F.struct(w["types"].alias("types"), w["symbols"].alias("symbols")))))
     promotions = F.array(*[F.lit(p) for p in PROMOTIONS])
 
     def unreadable(written):
         return ~F.exists(
-            "types", lambda r: (r == written) | F.array_contains(promotions, F.concat(written, F.lit(">"), r))
+            node["types"], lambda r: (r == written) | F.array_contains(promotions, F.concat(written, F.lit(">"), r))
         )
 
-    found = F.col("w.found")
+    found = F.col("_w").isNotNull()
+    parent_known = F.exists("_written", lambda w: w["plain_path"] == node["parent"])
     fault = (
-        F.when(~found & F.col("name").isNotNull() & F.col("_parent_known") & ~F.col("has_default"), "missing")
-        .when(found & F.exists("w.types", unreadable), "type")
+        F.when(~found & node["name"].isNotNull() & parent_known & ~node["has_default"], "missing")
+        .when(found & F.exists("_w.types", unreadable), "type")
         .when(
-            found & (F.size("symbols") > 0) & (F.size(F.array_except("w.symbols", "symbols")) > 0), "symbols"
+            found & (F.size(node["symbols"]) > 0) & (F.size(F.array_except("_w.symbols", node["symbols"])) > 0), "symbols"
         )
     )
-    return matched.select(*keys, F.col("plain_path").alias("path"), fault.alias("fault")).where("fault is not null")
+    return met.select("stream", "reader", "writer", node["plain_path"].alias("path"), fault.alias("fault")).where("fault is not null")
 
 
 def compat_report(candidates: DataFrame, schemas: DataFrame, fields: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import registry
+from millrace.plans.serve import decode_by_registry as decode_records
 from millrace.plans.serve import join_writer_schema as join_schemas
-from millrace.queries.inputs import FIELDS_SQL, SCHEMAS_SQL, STREAMS_SQL, schemas, sql, streams
+from millrace.queries.inputs import EVENT_V1, EVENT_V2, FIELDS_SQL, SCHEMAS_SQL, STREAMS_SQL, schemas, sql, streams
 
 
 def schema_fields(spark, sf_dir):
@@ -91,6 +92,21 @@ def deletable_version(spark, sf_dir):
     return registry.deletable_version(schemas(spark, sf_dir), requests).select("stream", "version", "reason")
 
 
+def decode_by_registry(spark, sf_dir):
+    """Records of several streams and versions decoded by the schemas that the registry names for them."""
+    records = sql(
+        spark, sf_dir,
+        "SELECT event_id, event_type AS stream, CAST(1 + event_id % 3 AS INT) AS schema_version, CASE WHEN event_id % 7 = 0 THEN '{{\"id\":\"x\"}}' "
+        "ELSE to_json(named_struct('id', event_id, 'user', user_id, 'kind', event_type, 'value', value)) END AS body FROM {events}",
+        "events",
+    )
+    registered = [("click", 1, EVENT_V1), ("click", 2, EVENT_V2), ("view", 1, EVENT_V1), ("view", 2, EVENT_V1), ("purchase", 2, EVENT_V2)]
+    decoded = decode_records(records, spark.createDataFrame(registered, "stream string, version int, schema_json string"))
+    return decoded.select(
+        "event_id", "error", F.get_json_object("payload", "$.id").cast("bigint").alias("id"), F.get_json_object("payload", "$.value").isNotNull().alias("with_value")
+    )
+
+
 def join_writer_schema(spark, sf_dir):
     """Records of many streams met with the schema they were written with, errors told apart."""
     records = sql(
@@ -112,6 +128,13 @@ faults AS (
   UNION ALL SELECT stream, candidate, existing, '/extra', 'missing' FROM pairs WHERE candidate = 4 AND c_custkey % 2 = 0)"""
 
 QUERIES = {
+    "decode_by_registry": (
+        decode_by_registry,
+        """WITH r AS (SELECT event_id, event_type AS s, 1 + event_id % 3 AS v, event_id % 7 = 0 AS odd FROM events),
+        j AS (SELECT *, CASE WHEN s NOT IN ('click', 'view', 'purchase') THEN 'unknown stream' WHEN v = 3 OR (s = 'purchase' AND v = 1) THEN 'unknown version'
+          WHEN odd THEN 'unreadable' END AS error FROM r)
+        SELECT event_id, error, CASE WHEN error IS NULL THEN event_id END AS id, error IS NULL AND v = 2 AND s <> 'view' AS with_value FROM j""",
+    ),
     "join_writer_schema": (
         join_writer_schema,
         f"""WITH {SCHEMAS_SQL}, r AS (SELECT o_orderkey, 'stream_' || o_custkey AS stream, CAST(1 + o_orderkey % 5 AS INT) AS schema_version FROM orders)
