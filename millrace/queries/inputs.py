@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import fresh_path, use_utc
+from millrace.session import fresh_path, prepare
 from millrace.sources.log import append_log, log_scan, stored_ends
 
 PARTITIONS = 6
@@ -28,7 +28,7 @@ EVENT_SCHEMAS = {1: EVENT_V1, 2: EVENT_V2}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    use_utc(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -64,7 +64,7 @@ _stored: dict[tuple[str, str], str] = {}
 
 def event_log_path(spark: SparkSession, sf_dir: str) -> str:
     """The events as a stored log, written once per application by the engine's own append."""
-    use_utc(spark)
+    prepare(spark)
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
         path = fresh_path(spark, "event-log")

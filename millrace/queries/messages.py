@@ -10,7 +10,7 @@ from millrace.operators import observe
 from millrace.operators.mask import mask_pii
 from millrace.plans import serve as serve_plan
 from millrace.plans.ingest import answer_requests, partition_by_key
-from millrace.queries.inputs import EVENT_SCHEMAS, EVENT_V2, LOG_SQL, event_log, sql, streams, table
+from millrace.queries.inputs import EVENT_SCHEMAS, EVENT_V1, EVENT_V2, LOG_SQL, event_log, sql, streams, table
 from millrace.sources.log import framed_records
 
 # Bodies made from props, {"k": n}, with every kind of fault by rule on n and the event.
@@ -59,6 +59,17 @@ def conform_accepted(spark, sf_dir):
     )
 
 
+def conform_repeated(spark, sf_dir):
+    """Messages that repeat a member: the last one is judged, and kept."""
+    bodies = sql(
+        spark, sf_dir,
+        """SELECT event_id, concat('{{"id":', CASE WHEN event_id % 3 = 0 THEN '"x"' ELSE '0' END, ',"user":', user_id, ',"kind":"', event_type,
+        '","id":', CASE WHEN event_id % 5 = 0 THEN '"y"' ELSE CAST(event_id AS STRING) END, '}}') AS body FROM {events}""",
+        "events",
+    )
+    return conform_ops.conform(bodies, EVENT_V1).select("event_id", "reason", "message.id")
+
+
 def conform_rejects(spark, sf_dir):
     return conform_ops.rejected(_judged(spark, sf_dir)).select("event_id", "reason")
 
@@ -276,6 +287,10 @@ QUERIES = {
         f"""WITH {BODIES_SQL} SELECT event_id, CAST(3 AS INT) AS schema_version, CAST(event_id AS INT) AS k, event_type AS kind,
         CAST(CASE WHEN event_id % 20 = 8 THEN 2 ELSE 0 END AS INT) AS tags, CASE WHEN event_id % 20 > 10 THEN 'n' || user_id END AS note FROM judged WHERE reason IS NULL""",
     ),
+    "conform_repeated": (
+        conform_repeated,
+        "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'type:id' END AS reason, CASE WHEN event_id % 5 <> 0 THEN event_id END AS id FROM events",
+    ),
     "conform_rejects": (conform_rejects, f"WITH {BODIES_SQL} SELECT event_id, reason FROM judged WHERE reason IS NOT NULL"),
     "conform_summary": (conform_summary, f"WITH {BODIES_SQL} SELECT coalesce(reason, 'accepted') AS outcome, count(*) AS messages FROM judged GROUP BY 1"),
     "responses": (

@@ -11,11 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 _watched: list[list[str]] = []
 
 
+#: Instants are UTC throughout; of a member that a JSON object repeats, the last one counts.
+SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.variant.allowDuplicateKeys": "true"}
+
+
 def session(app: str = "millrace", master: str | None = None, **conf) -> SparkSession:
-    """A session with the settings every job here relies on (UTC, AQE, skew joins)."""
+    """A session with the settings every job here relies on (``SETTINGS``, AQE, skew joins)."""
     builder = (
         SparkSession.builder.appName(app)
-        .config("spark.sql.session.timeZone", "UTC")
+        .config(map=SETTINGS)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
     )
@@ -26,10 +30,11 @@ def session(app: str = "millrace", master: str | None = None, **conf) -> SparkSe
     return builder.getOrCreate()
 
 
-def use_utc(spark: SparkSession) -> SparkSession:
-    """Instants are UTC throughout; set it on sessions created elsewhere."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+def prepare(spark: SparkSession) -> SparkSession:
+    """The settings that results depend on, for sessions created elsewhere."""
+    for key, value in SETTINGS.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 
