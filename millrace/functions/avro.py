@@ -139,6 +139,20 @@ def _mark_siblings(branches: list[dict]) -> list[dict]:
     ]
 
 
+def keep_marks(schema: dict, marked: dict) -> dict:
+    """A record schema with the personal-data marks that another has on fields of the same names, at any depth of
+    records in records."""
+    if schema["type"] != "record" or marked["type"] != "record":
+        return schema
+    of = {f["name"]: f for f in marked["fields"]}
+    fields = []
+    for f in schema["fields"]:
+        if f["name"] in of:
+            f = {**f, "schema": keep_marks(f["schema"], of[f["name"]]["schema"]), **(PII if is_pii(of[f["name"]]) else {})}
+        fields.append(f)
+    return {**schema, "fields": fields}
+
+
 def child(message: Column, name: str) -> Column:
     return F.try_variant_get(message, f"$['{name}']", "variant")
 

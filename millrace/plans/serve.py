@@ -80,12 +80,30 @@ def read_as_latest(records: DataFrame, schema_json: str, body: str = "body", out
     )
 
 
-def serve(records: DataFrame, schemas: dict[int, str], grants: set[str] | frozenset = frozenset(), replacer=blank, body: str = "body") -> DataFrame:
+def serve(
+    records: DataFrame,
+    schemas: dict[int, str],
+    grants: set[str] | frozenset = frozenset(),
+    replacer=blank,
+    body: str = "body",
+    reader_schema: str | None = None,
+) -> DataFrame:
     """``(partition, offset, schema, timestampMs, payload)`` with the payload as JSON of the record's own
-    schema, personal data replaced unless granted."""
+    schema, or of the one the reader asks for, personal data replaced unless granted.
+
+    What a reader's schema marks as personal is masked besides what the newest of ``schemas`` marks so: a reader can't
+    lift the mark of a field.
+    """
+    granted = GRANT_PII in {g.upper() for g in grants}
+    if reader_schema is not None:
+        marked = avro.keep_marks(avro.load(reader_schema), avro.load(schemas[max(schemas)]))
+        decoded = records.withColumn("_decoded", avro.typed(F.try_parse_json(F.col(body)), marked))
+        value = F.col("_decoded")
+        shown = value if granted else mask_column(value, decoded.schema["_decoded"].dataType, replacer)
+        payload = F.to_json(shown, {"ignoreNullFields": "false"})
+        return decoded.select("partition", "offset", F.col("schema_version").alias("schema"), F.col("ts_ms").alias("timestampMs"), payload.alias("payload"))
     decoded = decode_by_version(records, schemas, body, "_decoded")
     types = {f.name: f.dataType for f in decoded.schema["_decoded"].dataType.fields}
-    granted = GRANT_PII in {g.upper() for g in grants}
     payloads = []
     for version in sorted(schemas):
         name = f"v{version}"

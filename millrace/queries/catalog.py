@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import catalog, notify
+from millrace.operators.catalog import op
+from millrace.operators.model import OPERATIONS
 from millrace.operators.registry import latest_active_schema, schema_fields
 from millrace.plans.catalog import apply_catalog_changes
 from millrace.plans.land import acquisition_instant, landing_path
@@ -97,6 +99,24 @@ def validate_patches(spark, sf_dir):
     )
 
 
+def patch_rules(spark, sf_dir):
+    """Patches judged by rules of one's own: a path more, and another rule for a path that had one."""
+    known = streams(spark, sf_dir)
+    requests = known.select(
+        F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("request_id"), "stream",
+        F.when(F.col("c_custkey") % 3 == 0, op("add", "/owner", F.lit('"team"')))
+        .when(F.col("c_custkey") % 3 == 1, op("add", "/owner", F.lit("5")))
+        .otherwise(op("add", "/description", F.lit('"short"'))).alias("o"),
+    ).select("request_id", "stream", F.array("o").cast(OPERATIONS).alias("operations"))
+    rules = {
+        "/owner": lambda o: F.when(F.schema_of_variant(F.try_parse_json(o["value"])) != "STRING", "not a text"),
+        "/description": lambda o: F.when(F.length(o["value"]) < 22, "too short"),
+    }
+    latest = schema_fields(latest_active_schema(schemas(spark, sf_dir)))
+    judged = catalog.validate_patches(requests, known, latest, F.lit(NOW_MS), rules=rules)
+    return judged.select("request_id", "reason", F.get("operations", F.lit(0))["path"].alias("path"))
+
+
 def _create_requests(spark, sf_dir):
     return streams(spark, sf_dir).select(
         F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("new_"), F.col("c_custkey").cast("string"))).otherwise(F.col("stream")).alias("stream"),
@@ -259,6 +279,12 @@ QUERIES = {
           WHEN 0 THEN 'replace /description; replace /enabled; add /enabledTimeStamp' WHEN 1 THEN 'replace /enabled; add /enabledTimeStamp' WHEN 5 THEN 'replace /metadata'
           WHEN 6 THEN 'replace /partitionPath' WHEN 7 THEN 'replace /partitionPath' WHEN 8 THEN 'replace /authorisation/onramp/cidrBlocks' WHEN 11 THEN 'replace /authorisation/offramp/authorities' END END AS patch FROM asked""",
     ),
+    "patch_rules": (
+        patch_rules,
+        f"""WITH {STREAMS_SQL}, a AS (SELECT c_custkey, CASE WHEN deleted THEN 'unknown stream' WHEN c_custkey % 3 = 1 THEN 'not a text: /owner'
+          WHEN c_custkey % 3 = 2 THEN 'too short: /description' END AS reason FROM streams)
+        SELECT 'r' || c_custkey AS request_id, reason, CASE WHEN reason IS NULL THEN '/owner' END AS path FROM a""",
+    ),
     "create_stream": (
         create_stream,
         f"""WITH {STREAMS_SQL}, a AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'new_' || c_custkey ELSE stream END AS stream,

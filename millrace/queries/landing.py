@@ -104,6 +104,27 @@ def landing_job(spark, sf_dir):
     return _landings(spark, event_log(spark, sf_dir), event_ends(spark, sf_dir), EVENT_V2, CAP, "passes")
 
 
+def landing_strategy(spark, sf_dir):
+    """A table made and altered by a strategy of one's own, as ORC, and the log landed in it."""
+
+    def create(spark, table, location, columns, version, fmt):
+        land.create_table(spark, table, location, columns, version, "orc")
+        spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('made' = 'ours')")
+
+    def alter(spark, table, columns, version):
+        land.alter_table(spark, table, columns, version)
+        spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('altered' = 'ours')")
+
+    root, table = fresh_path(spark, "strategy"), f"strategy_{uuid.uuid4().hex[:10]}"
+    steps = [land.ensure_table(spark, table, root, text, version, create=create, alter=alter) for text, version in ((EVENT_V1, 1), (EVENT_V2, 2), (EVENT_V2, 2))]
+    location = f"{root}/0/acquisition_instant={INSTANT}"
+    land.land_batch(land.landed_rows(event_log(spark, sf_dir), EVENT_V2), location, "orc")
+    land.register_partition(spark, table, INSTANT, location)
+    kept = {row["key"]: row["value"] for row in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
+    said = " ".join([*steps, kept["made"], kept["altered"]])
+    return spark.table(table).groupBy("schema_version").agg(F.count("*").alias("row_count")).withColumn("steps", F.lit(said))
+
+
 ITEM = '{"type":"record","name":"item","fields":[{"name":"order","type":"long"},{"name":"line","type":"int"},{"name":"price","type":"double"}]}'
 
 
@@ -158,6 +179,11 @@ QUERIES = {
         landing_run,
         _landings_sql("WITH rows_of AS (SELECT l_orderkey % 6 AS partition, count(*) AS n FROM lineitem GROUP BY ALL)", positions.MAX_RECORDS_PER_PARTITION),
     ),
+    "landing_strategy": (
+        landing_strategy,
+        """SELECT CAST(CASE WHEN event_type IN ('error', 'signup') THEN 1 ELSE 2 END AS INT) AS schema_version, count(*) AS row_count,
+        'created altered unchanged ours ours' AS steps FROM events GROUP BY 1""",
+    ),
     "land_batch": (
         land_batch,
         f"""WITH {LOG_SQL} SELECT event_id AS id, user_id AS user, '' AS kind, CASE WHEN schema_version = 2 THEN value ELSE 0.0 END AS value,

@@ -203,6 +203,17 @@ def serve_masked(spark, sf_dir):
     return _served(spark, sf_dir, set())
 
 
+# A reader's own view of an event, without the mark on its personal field.
+SEEN = '{"type":"record","name":"seen","fields":[{"name":"id","type":"long"},{"name":"value","type":"double","default":-1.0},{"name":"kind","type":"string"}]}'
+
+
+def serve_as_reader(spark, sf_dir):
+    """The log served by a schema of the reader's choice; marks stay."""
+    rows = serve_plan.serve(event_log(spark, sf_dir), EVENT_SCHEMAS, reader_schema=SEEN)
+    seen = F.from_json("payload", "id bigint, value double, kind string")
+    return rows.select("partition", "offset", seen.alias("s")).select("partition", "offset", "s.*")
+
+
 def serve_granted(spark, sf_dir):
     return _served(spark, sf_dir, {"PII"})
 
@@ -360,6 +371,10 @@ QUERIES = {
         f"""WITH {LOG_SQL} SELECT partition, "offset", schema_version AS schema, ts_ms AS "timestampMs", '' AS kind, event_id AS id,
         CASE WHEN schema_version = 2 THEN CAST(json_extract(props, '$.k') AS INT) END AS k FROM log""",
     ),
+    "serve_as_reader": (
+        serve_as_reader,
+        f"""WITH {LOG_SQL} SELECT partition, "offset", event_id AS id, CASE WHEN schema_version = 2 THEN value ELSE -1.0 END AS value, '' AS kind FROM log""",
+    ),
     "serve_granted": (
         serve_granted,
         f"""WITH {LOG_SQL} SELECT partition, "offset", schema_version AS schema, ts_ms AS "timestampMs", event_type AS kind, event_id AS id,
