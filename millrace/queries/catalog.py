@@ -170,12 +170,16 @@ def delete_stream(spark, sf_dir):
     return judged.select("stream", "reason", F.col("operations")[0]["path"].alias("path"))
 
 
+def _version_requests(spark, sf_dir):
+    """Requests to delete a version of each stream, malformed ones among them."""
+    version = F.when(F.col("c_custkey") % 9 == 0, "latest").when(F.col("c_custkey") % 9 == 1, "x1").otherwise((1 + F.col("c_custkey") % 4).cast("string"))
+    return streams(spark, sf_dir).select("stream", version.alias("version"))
+
+
 def flag_deleted_schema(spark, sf_dir):
-    requests = streams(spark, sf_dir).where("c_custkey % 9 <> 1").select(
-        "stream", F.when(F.col("c_custkey") % 9 == 0, "latest").otherwise((1 + F.col("c_custkey") % 4).cast("string")).alias("version")
-    )
-    judged = catalog.delete_schema_versions(requests, schemas(spark, sf_dir))
-    return judged.where("reason is null").select("stream", F.col("operations")[0]["path"].alias("path"), F.col("operations")[0]["value"].alias("value"))
+    judged = catalog.delete_schema_versions(_version_requests(spark, sf_dir), schemas(spark, sf_dir))
+    first = F.get("operations", F.lit(0))
+    return judged.select("stream", "version", "reason", first["path"].alias("path"), first["value"].alias("value"))
 
 
 def catalog_changes(spark, sf_dir):
@@ -184,6 +188,7 @@ def catalog_changes(spark, sf_dir):
     requests = {
         "create_stream": _create_requests(spark, sf_dir),
         "register_schema": _schema_requests(spark, sf_dir),
+        "delete_schema": _version_requests(spark, sf_dir),
         "destination": _destination_requests(spark, sf_dir),
         "patch": _patch_requests(spark, sf_dir),
         "delete_stream": every.where("c_custkey % 2 = 0").select("stream"),
@@ -311,8 +316,10 @@ QUERIES = {
     ),
     "flag_deleted_schema": (
         flag_deleted_schema,
-        f"""WITH {SCHEMAS_SQL}, {_LATEST_SQL} SELECT l.stream, '/schemas/' || l.version || '/deleted' AS path, 'true' AS value FROM latest l JOIN (SELECT DISTINCT stream, c_custkey FROM schemas) s ON s.stream = l.stream
-        WHERE c_custkey % 9 > 1 AND l.version = 1 + c_custkey % 4""",
+        f"""WITH {STREAMS_SQL}, {SCHEMAS_SQL}, {_LATEST_SQL}, r AS (SELECT stream, CASE c_custkey % 9 WHEN 0 THEN 'latest' WHEN 1 THEN 'x1' ELSE CAST(1 + c_custkey % 4 AS VARCHAR) END AS version FROM streams),
+        j AS (SELECT r.stream, r.version, CASE WHEN r.version = 'latest' THEN 'version must be explicit' WHEN r.version = 'x1' THEN 'not a version'
+          WHEN l.version IS NULL THEN 'no active schema' WHEN CAST(r.version AS INT) <> l.version THEN 'not the latest version' END AS reason FROM r LEFT JOIN latest l ON l.stream = r.stream)
+        SELECT stream, version, reason, CASE WHEN reason IS NULL THEN '/schemas/' || version || '/deleted' END AS path, CASE WHEN reason IS NULL THEN 'true' END AS value FROM j""",
     ),
     "notifications": (
         notifications,
@@ -327,6 +334,7 @@ QUERIES = {
 _KINDS = {
     "create_stream": "create_stream",
     "register_schema": "register_schema",
+    "delete_schema": "flag_deleted_schema",
     "destination": "destination_changes",
     "patch": "validate_patches",
     "delete_stream": "delete_stream",
