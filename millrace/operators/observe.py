@@ -47,12 +47,13 @@ def size_distribution(messages: DataFrame, keys: tuple[str, ...], size: Column)
 
     Equal sizes are counted before the shuffle, so a percentile sees one row per distinct size.
     """
-    return _counted(messages, keys, size).groupBy(*keys).agg(
+    counted = _counted(messages, keys, size).groupBy(*keys).agg(
         F.sum("_n").alias("count"),
         F.sum(F.col("_v") * F.col("_n")).cast("bigint").alias("total"),
         F.max("_v").cast("bigint").alias("max"),
-        *[F.expr(f"percentile(_v, {p}, _n)").alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))],
+        F.expr("percentile(_v, array(0.5D, 0.95D, 0.99D), _n)").alias("_p"),
     )
+    return counted.select(*keys, "count", "total", "max", *[F.col("_p")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
 
 
 def size_histogram(messages: DataFrame, keys: tuple[str, ...], size: Column, width: int) -> DataFrame:
