@@ -9,6 +9,7 @@ other. Forward and backward messages over all documents of a batch are run in bl
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,10 +30,11 @@ WORD = re.compile(r"\w+")
 WIDE = 128
 
 
-def features(word: str) -> tuple[str, ...]:
-    """What the field knows about a word."""
+def features(word: str) -> list[int]:
+    """What the field knows about a word, as numbers of 32 bits: itself, its beginnings and its end."""
     word = word.lower()
-    return (word, *(f"{word[:k]}*" for k in range(3, 8) if len(word) > k), f"*{word[-3:]}" if len(word) > 3 else "*")
+    names = (word, *(f"{word[:k]}*" for k in range(3, 8) if len(word) > k), f"*{word[-3:]}" if len(word) > 3 else "*")
+    return [zlib.crc32(name.encode("utf-8", "surrogatepass")) for name in names]
 
 
 def tokens(text: str) -> list[str]:
@@ -97,7 +99,7 @@ def marginals(unary: np.ndarray, starts: np.ndarray, moves: np.ndarray) -> np.nd
 class Field:
     """A trained field: weights by feature, moves between states, and what turns marginals into a document's score."""
 
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: dict[int, float] = field(default_factory=dict)
     bias: float = -8.0
     moves: np.ndarray = field(default_factory=lambda: np.zeros(3))
     ends: np.ndarray = field(default_factory=lambda: np.array([-4.0, 0.0, 0.0]))
@@ -131,27 +133,31 @@ def summary(each: list[np.ndarray]) -> np.ndarray:
     return rows
 
 
-def marked(docs: list[np.ndarray], toxic: np.ndarray, names: list[tuple[int, ...]], total: int) -> set[int]:
+def marked(docs: list[np.ndarray], toxic: np.ndarray, begin: np.ndarray, names: np.ndarray, total: int) -> set[int]:
     """Features that mark toxic words: taken one after the other, always the one that explains most of the toxic
-    documents left, as long as it hardly occurs in other documents. ``docs``: distinct words; ``names``: a word's
-    features as numbers below ``total``."""
-    sets = [np.unique(np.concatenate([names[w] for w in words])) if len(words) else np.zeros(0, np.int64) for words in docs]
-    bad, good = np.zeros(total), np.zeros(total)
-    for seen, label in zip(sets, toxic, strict=True):
-        (bad if label else good)[seen] += 1
+    documents left, as long as it hardly occurs in other documents. ``docs``: words of each document; a word's features are
+    the numbers below ``total`` that stand in ``names`` from its ``begin`` on."""
+
+    def seen(words: np.ndarray) -> np.ndarray:
+        words = np.unique(words)
+        sizes = begin[words + 1] - begin[words]
+        places = np.repeat(begin[words] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        return np.unique(names[places])
+
+    bad, good = np.zeros(total, np.int32), np.zeros(total, np.int32)
+    for words, label in zip(docs, toxic, strict=True):
+        (bad if label else good)[seen(words)] += 1
     ratio = max(1, toxic.sum()) / max(1, (~toxic).sum())
     usable = (bad >= SUPPORT) & (good * ratio <= 0.02 * bad)
     chosen: set[int] = set()
-    open_docs = [seen[usable[seen]] for seen, label in zip(sets, toxic, strict=True) if label]
+    open_docs = [own[usable[own]] for own in (seen(words) for words, label in zip(docs, toxic, strict=True) if label)]
     while True:
-        left = np.zeros(total)
-        for seen in open_docs:
-            left[seen] += 1
+        left = np.bincount(np.concatenate([np.zeros(0, np.int64), *open_docs]), minlength=total)
         best = int(left.argmax()) if total else 0
         if not total or left[best] < SUPPORT:
             return chosen
         chosen.add(best)
-        open_docs = [seen for seen in open_docs if best not in seen]
+        open_docs = [own for own in open_docs if best not in own]
 
 
 def _fit_logistic(rows: np.ndarray, labels: np.ndarray, weights: np.ndarray, ridge: float = 0.01, steps: int = 60) -> np.ndarray:
@@ -177,56 +183,64 @@ def train(texts: list[str], toxic: np.ndarray, share: float, rounds: int = 25) -
         model.ends = np.array([20.0 if len(toxic) and toxic.all() else -4.0, 0.0, 0.0])
         return model
     words: dict[str, int] = {}
-    docs = [np.array([words.setdefault(w.lower(), len(words)) for w in tokens(text)], np.int64) for text in texts]
-    numbers: dict[str, int] = {}
-    names = [np.array([numbers.setdefault(name, len(numbers)) for name in features(word)], np.int64) for word in words]
-    total = len(numbers)
-    signs = marked([np.unique(doc) for doc in docs], toxic, names, total)
-    sign = np.zeros(total, bool)
+    docs = [np.array([words.setdefault(w.lower(), len(words)) for w in tokens(text)], np.int32) for text in texts]
+    own = [features(word) for word in words]
+    begin = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
+    numbers, names = np.unique(np.array([n for x in own for n in x], np.uint32), return_inverse=True)
+    del own
+    names, total, vocabulary = names.astype(np.int32), len(numbers), len(words)
+    signs = marked(docs, toxic, begin, names, total)
+    sign = np.zeros(total + 1, bool)
     sign[list(signs)] = True
-    marks = np.array([sign[own].any() for own in names], bool) if names else np.zeros(0, bool)
-    # The field is fitted to all words of the sample at once.
-    flat = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-    sizes = np.array([len(doc) for doc in docs])
-    owner = np.repeat(np.arange(len(docs)), sizes)
-    starts = np.zeros(len(flat), bool)
-    starts[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-    truth = marks[flat] & toxic[owner] if len(flat) else np.zeros(0, bool)
-    if not truth.any():
-        model.ends = np.array([np.log(share / (1 - share)), 0.0, 0.0])
+    word_of = np.repeat(np.arange(vocabulary, dtype=np.int32), np.diff(begin))
+    marks = np.bincount(word_of, weights=sign[names], minlength=vocabulary) > 0
+    # The field is fitted to all words of the sample, a part of the documents at a time.
+    parts = []
+    for start in range(0, len(docs), 250):
+        some, label = docs[start : start + 250], toxic[start : start + 250]
+        flat = np.concatenate(some)
+        sizes = np.array([len(doc) for doc in some])
+        starts = np.zeros(len(flat), bool)
+        starts[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        parts.append((flat, starts, marks[flat] & np.repeat(label, sizes)))
+    hits, many, pairs = np.zeros(vocabulary), np.zeros(vocabulary), np.zeros(3)
+    for flat, starts, truth in parts:
+        many += np.bincount(flat, minlength=vocabulary)
+        hits += np.bincount(flat, weights=truth, minlength=vocabulary)
+        inner = ~starts[1:]
+        pairs += [(~truth[:-1] & truth[1:] & inner).sum(), (truth[:-1] & truth[1:] & inner).sum(), (truth[:-1] & ~truth[1:] & inner).sum()]
+    toxic_words, plain_words = hits.sum(), many.sum() - hits.sum()
+    if not toxic_words:
+        model.ends = np.array([np.log(share / (1 - share)) if 0 < share < 1 else 0.0, 0.0, 0.0])
         return model
-    word_of = np.repeat(np.arange(len(names)), [len(own) for own in names])
-    feature = np.concatenate(names)
-    many = np.bincount(flat, minlength=len(names)).astype(float)
-    inner = ~starts[1:]
-    pairs = np.array([(~truth[:-1] & truth[1:] & inner).sum(), (truth[:-1] & truth[1:] & inner).sum(), (truth[:-1] & ~truth[1:] & inner).sum()], float)
-    moves = np.log((pairs + 0.5) / np.array([(~truth).sum() + 1, truth.sum() + 1, truth.sum() + 1]))
-    plain = np.log1p(-(pairs[0] + 0.5) / ((~truth).sum() + 1))
+    moves = np.log((pairs + 0.5) / np.array([plain_words + 1, toxic_words + 1, toxic_words + 1]))
+    plain = np.log1p(-(pairs[0] + 0.5) / (plain_words + 1))
     model.moves = np.array([0.0, moves[1] - moves[0] - plain, moves[2] - plain])  # the rest of the way in is the bias's
-    weights, bias = np.zeros(total), np.log(truth.sum() / (~truth).sum())
-    seen = np.bincount(feature, weights=many[word_of], minlength=total)
-    hits = np.bincount(flat, weights=truth, minlength=len(names))
+    weights, bias = np.zeros(total), np.log(toxic_words / max(plain_words, 1.0))
     speed, speed_bias, speed_moves = np.full(total, 1e-3), 1e-3, np.full(3, 1e-3)
     for _ in range(rounds):  # adaptive gradient ascent on the likelihood, every word weighing the same
-        unary = (bias + np.bincount(word_of, weights=weights[feature], minlength=len(names)))[flat]
-        chances = marginals(unary, starts, model.moves)
-        word_gap = hits - np.bincount(flat, weights=chances, minlength=len(names))
-        gap = np.bincount(feature, weights=word_gap[word_of], minlength=total) - 0.05 * weights
+        scores = bias + np.bincount(word_of, weights=weights[names], minlength=vocabulary)
+        word_gap, gaps = hits.copy(), pairs - 0.05 * model.moves
+        for flat, starts, _ in parts:
+            chances = marginals(scores[flat], starts, model.moves)
+            word_gap -= np.bincount(flat, weights=chances, minlength=vocabulary)
+            # How often states follow each other, as the marginals of neighbours have it, against the marked words.
+            inner = ~starts[1:]
+            left, right = chances[:-1][inner], chances[1:][inner]
+            gaps = gaps - [((1 - left) * right).sum(), (left * right).sum(), (left * (1 - right)).sum()]
+        gap = np.bincount(names, weights=word_gap[word_of], minlength=total) - 0.05 * weights
         speed += gap * gap
         weights += 0.5 * gap / np.sqrt(speed)
         gap_bias = word_gap.sum() - 0.05 * bias
         speed_bias += gap_bias**2
         bias += 0.5 * gap_bias / np.sqrt(speed_bias)
-        # How often states follow each other, as the marginals of neighbours have it, against the marked words.
-        left, right = chances[:-1][inner], chances[1:][inner]
-        gaps = pairs - np.array([((1 - left) * right).sum(), (left * right).sum(), (left * (1 - right)).sum()])
         gaps[0] = 0.0
-        gaps -= 0.05 * model.moves
         speed_moves += gaps**2
         model.moves = model.moves + 0.1 * gaps / np.sqrt(speed_moves)
-    kept = (np.abs(weights) > 0.1) & (seen >= 1)
-    model.weights = {name: float(weights[k]) for name, k in numbers.items() if kept[k]}
+    kept = np.flatnonzero(np.abs(weights) > 0.1)
+    model.weights = dict(zip(numbers[kept].tolist(), weights[kept].tolist(), strict=True))
     model.bias = float(bias)
+    del words, docs, parts
     memory = Remember(model.log_odds)
     seen_docs = np.concatenate([summary(model.of_documents(texts[k : k + 200], memory)[0]) for k in range(0, len(texts), 200)])
     even = np.where(toxic, share / max(1e-9, toxic.mean()), (1 - share) / max(1e-9, 1 - toxic.mean()))
