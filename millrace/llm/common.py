@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,6 +112,13 @@ def components(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
     return ends.union(pairs.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
 
 
-def hashed(words: list[str], memory: Remember) -> np.ndarray:
-    """The remembered 64-bit numbers of words."""
-    return np.fromiter(map(memory.__getitem__, words), np.uint64, len(words))
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names like the given ones that no column has, in any case of letters."""
+    taken = {column.lower() for column in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

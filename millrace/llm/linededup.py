@@ -12,50 +12,59 @@ counts of all lines in a fixed number of bins: bins shared by several words chan
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Remember, hashed, pieces
+from millrace.llm.common import pieces, unused
 from millrace.session import settle
 
 SIMILARITY = 0.8
 #: Bins of the word counts: a byte each once ranked, 4 MB, whatever the vocabulary.
 BINS = 1 << 22
 BLOCK = 1 << 16
-#: Words that more lines hold than this are crowded: sets filed there are first compared with the earliest alone.
+#: Words that occur more often than this are crowded: sets filed there are first compared with the earliest alone.
 CROWD = 400
+#: Bits that tell which lines are wanted for verification, 4 MB; more lines than bits only mean that more are looked at.
+WANTED = 1 << 25
 
-LINES = "_id {id}, _line int, _set long, _size int, _skip int, _keys array<long>, _crowded array<long>, _words array<long>, _one long, _two long"
+#: Characters of texts worked on at once, so that the words met in them stay near the processor.
+PIECE = 400_000
 
+LINES = "_id {id}, _line int, _set long, _size int, _skip int, _keys array<long>, _crowded array<long>, _one long, _two long"
 
-def word_hash(word: bytes) -> int:
+
+class Numbers(dict):
+    """Words in the order in which they are first met."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+def word_hashes(words) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    return xxh64_intdigest(word, 7)
-
-
-def _flat(texts: list[str], memory: Remember) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of all lines of some texts: hash and line; and of each line its text and number in it."""
-    words: list[bytes] = []
-    sizes, owner, number = [], [], []
-    for k, text in enumerate(texts):
-        for n, line in enumerate(text.encode("utf-8", "surrogatepass").lower().split(b"\n")):
-            own = line.split()
-            words += own
-            sizes.append(len(own))
-            owner.append(k)
-            number.append(n)
-    hashes = hashed(words, memory)
-    lines = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((hashes, lines))
-    hashes, lines = hashes[order], lines[order]
-    fresh = np.ones(len(hashes), bool)
-    fresh[1:] = (hashes[1:] != hashes[:-1]) | (lines[1:] != lines[:-1])
-    return hashes[fresh], lines[fresh], np.array(owner, np.int64), np.array(number, np.int64)
+    return np.fromiter((xxh64_intdigest(word, 7) for word in words), np.uint64, len(words))
+
+
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def _name_parts(mixed: np.ndarray) -> np.ndarray:
+    """Numbers whose sum names a set of words."""
+    return mixed * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def plain(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass").lower()
 
 
 def rank_of(many: np.ndarray) -> np.ndarray:
@@ -64,18 +73,20 @@ def rank_of(many: np.ndarray) -> np.ndarray:
 
 
 def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """A rank for each bin of words, 255 at most: the number of lines that hold one of its words (``rank_of``).
+    """A rank for each bin of words: how often its words occur (``rank_of``).
 
     Counts are summed by bin, then ranked in blocks of bins; 64 blocks of bytes reach the driver.
     """
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory = Remember(word_hash)
         counts = np.zeros(BINS, np.int64)
         for rows in batches:
-            for held in pieces(rows["_text"]):
-                hashes, _, _, _ = _flat(held, memory)
-                counts += np.bincount((hashes & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+            for held in pieces(rows["_text"], PIECE):
+                words: Counter = Counter()
+                for text in held:
+                    words.update(plain(text).split())
+                bins = (word_hashes(words) & np.uint64(BINS - 1)).astype(np.int64)
+                np.add.at(counts, bins, np.fromiter(words.values(), np.int64, len(words)))
         used = np.flatnonzero(counts)
         for start in range(0, len(used), 50_000):
             part = used[start : start + 50_000]
@@ -102,89 +113,109 @@ def _needed(size, similarity: float):
 def line_sets(docs: DataFrame, ranks: np.ndarray, similarity: float, text: str = "text", key: str = "doc_id") -> DataFrame:
     """A row per line with words: its document and number, its set's hash and size, the words it is filed under (after
     ``_skip`` words that no other line can have; crowded ones apart, they come last), and its signature. Of equal lines
-    a task files the first; those filed under crowded words bring their words along."""
+    a task files the first."""
     crowd = int(rank_of(np.array([CROWD], np.float64))[0])
 
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory, filed_before = Remember(word_hash), set()
-        none = np.zeros(0, np.int64)
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filed_before: set[int] = set()
+
+        def lists(values: np.ndarray, of: np.ndarray, many: int) -> pa.Array:
+            """Values, their lines in ascending order, as a list per line."""
+            ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=many))])
+            return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.view(np.int64)))
+
         for rows in batches:
-            ids = rows["_id"].to_numpy()
             at = 0
-            for held in pieces(rows["_text"]):
-                hashes, lines, owner, number = _flat(held, memory)
-                if len(hashes):
-                    sizes = np.bincount(lines, minlength=len(owner))
-                    ends = np.cumsum(sizes)
-                    has = np.flatnonzero(sizes)
-                    begin = (ends - sizes)[has]
-                    mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
-                    mixed ^= mixed >> np.uint64(29)
-                    total = np.add.reduceat(mixed * np.uint64(0xBF58476D1CE4E5B9), begin).view(np.int64)
-                    bit = mixed >> np.uint64(57)
-                    flag = np.uint64(1) << (bit & np.uint64(63))
-                    one = np.bitwise_xor.reduceat(np.where(bit < 64, flag, np.uint64(0)), begin)
-                    two = np.bitwise_xor.reduceat(np.where(bit >= 64, flag, np.uint64(0)), begin)
-                    rank = ranks[(hashes & np.uint64(BINS - 1)).astype(np.int64)]
-                    order = np.lexsort((hashes, rank, lines))
-                    hashes, rank, of = hashes[order].view(np.int64), rank[order], lines[order]
-                    place = np.arange(len(hashes)) - (ends - sizes)[of]
-                    size_of = sizes[of]
-                    first = place < size_of - _needed(size_of, similarity) + 1
-                    # Below four words only equal sets match at 0.8; a word that one line holds matches nothing.
-                    filed = first & (rank > 1) & (size_of * (1 - similarity) >= similarity - 1e-9)
-                    skip = np.bincount(of, weights=first & (rank <= 1), minlength=len(owner)).astype(np.int32)
-                    plain, full = filed & (rank < crowd), filed & (rank >= crowd)
-                    split = [
-                        (hashes[mask], np.concatenate([[0], np.cumsum(np.bincount(of[mask], minlength=len(owner)))])) for mask in (plain, full)
-                    ]
-                    keys, crowded, words = [], [], []
-                    for k, line in enumerate(has.tolist()):
-                        if (name := int(total[k])) in filed_before:
-                            own = [none, none]
-                        else:
-                            if len(filed_before) >= 1_000_000:  # filed twice is harmless
-                                filed_before.clear()
-                            filed_before.add(name)
-                            own = [values[bounds[line] : bounds[line + 1]] for values, bounds in split]
-                        keys.append(own[0])
-                        crowded.append(own[1])
-                        words.append(hashes[ends[line] - sizes[line] : ends[line]] if len(own[1]) else none)
-                    yield pd.DataFrame(
-                        {
-                            "_id": ids[at : at + len(held)][owner[has]],
-                            "_line": number[has].astype(np.int32),
-                            "_set": total,
-                            "_size": sizes[has].astype(np.int32),
-                            "_skip": skip[has],
-                            "_keys": keys,
-                            "_crowded": crowded,
-                            "_words": words,
-                            "_one": one.view(np.int64),
-                            "_two": two.view(np.int64),
-                        }
-                    )
+            for held in pieces(rows.column("_text").to_pylist(), PIECE):
+                words: list[bytes] = []
+                sizes: list[int] = []
+                per_text = []
+                for one_text in held:
+                    parts = plain(one_text).split(b"\n")
+                    per_text.append(len(parts))
+                    for line in parts:
+                        own = line.split()
+                        words += own
+                        sizes.append(len(own))
+                ids = rows.column("_id").slice(at, len(held))
                 at += len(held)
+                if not words:
+                    continue
+                # The piece's words by rarity, then hash; lines sort by that place, and repeated words meet.
+                numbers = Numbers()
+                known = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+                hashes = word_hashes(numbers)
+                rank = ranks[(hashes & np.uint64(BINS - 1)).astype(np.int64)]
+                order = np.lexsort((hashes, rank))
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                every = np.sort(np.repeat(np.arange(len(sizes)), sizes) << 32 | place[known])
+                fresh = np.ones(len(every), bool)
+                fresh[1:] = every[1:] != every[:-1]
+                every = every[fresh]
+                line_of, word = every >> 32, order[every & 0xFFFFFFFF]
+                many = np.bincount(line_of, minlength=len(sizes))
+                has = np.flatnonzero(many)
+                size = many[has]
+                begin = np.cumsum(size) - size
+                of = np.repeat(np.arange(len(has)), size)
+                mixed = _mixed(hashes)
+                bit = mixed >> np.uint64(57)
+                flag = np.uint64(1) << (bit & np.uint64(63))
+                name = np.add.reduceat(_name_parts(mixed)[word], begin)
+                one = np.bitwise_xor.reduceat(np.where(bit < 64, flag, np.uint64(0))[word], begin)
+                two = np.bitwise_xor.reduceat(np.where(bit >= 64, flag, np.uint64(0))[word], begin)
+                seen = np.zeros(len(has), bool)
+                for k, value in enumerate(name.tolist()):
+                    if value in filed_before:
+                        seen[k] = True
+                    else:
+                        if len(filed_before) >= 1_000_000:  # filed twice is harmless
+                            filed_before.clear()
+                        filed_before.add(value)
+                rank = rank[word]
+                first = np.arange(len(word)) - begin[of] < (size - _needed(size, similarity) + 1)[of]
+                # Below four words only equal sets match at 0.8; a word that occurs once matches nothing.
+                filed = first & (rank > 1) & ~seen[of] & (size * (1 - similarity) >= similarity - 1e-9)[of]
+                full = filed & (rank >= crowd)
+                hashes = hashes[word]
+                doc = np.repeat(np.arange(len(held)), per_text)
+                number = np.arange(len(doc)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids.take(pa.array(doc[has])),
+                        pa.array(number[has].astype(np.int32)),
+                        pa.array(name.view(np.int64)),
+                        pa.array(size.astype(np.int32)),
+                        pa.array(np.bincount(of, weights=first & (rank <= 1), minlength=len(has)).astype(np.int32)),
+                        lists(hashes[filed & ~full], of[filed & ~full], len(has)),
+                        lists(hashes[full], of[full], len(has)),
+                        pa.array(one.view(np.int64)),
+                        pa.array(two.view(np.int64)),
+                    ],
+                    names=["_id", "_line", "_set", "_size", "_skip", "_keys", "_crowded", "_one", "_two"],
+                )
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-    return rows.mapInPandas(found, LINES.format(id=kind))
+    return rows.mapInArrow(found, LINES.format(id=kind))
 
 
 def _may_match(similarity: float) -> Column:
     """Whether sets of two rows (a_ and b_) filed under one word can match: sizes, places and signatures allow it."""
-    a, b = F.col("a_size"), F.col("b_size")
+    a, b = F.shiftright("a_at", 32), F.shiftright("b_at", 32)
+    behind = F.least(a - F.col("a_at").bitwiseAND(F.lit(0x7FFFFFFF)), b - F.col("b_at").bitwiseAND(F.lit(0x7FFFFFFF)))
     shared = F.ceil(F.lit(similarity / (1 + similarity)) * (a + b) - 1e-9)
-    behind = F.least(a - F.col("a_place"), b - F.col("b_place"))
     apart = F.bit_count(F.col("a_one").bitwiseXOR(F.col("b_one"))) + F.bit_count(F.col("a_two").bitwiseXOR(F.col("b_two")))
-    return (F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9) & (behind >= shared) & (apart <= a + b - 2 * shared)
+    return (F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9) & (apart <= a + b - 2 * shared) & (behind >= shared)
 
 
-def _filed(rows: DataFrame, keys: str, before: Column, side: str) -> DataFrame:
-    """A row for each word that a set is filed under, its columns named for one side of a join."""
-    out = rows.select("_set", "_size", "_id", "_line", "_one", "_two", before.alias("_before"), F.posexplode(keys).alias("_at", "_key"))
-    place = (F.col("_before") + F.col("_at")).alias(f"{side}_place")
-    return out.select("_key", place, *[F.col(f"_{x}").alias(f"{side}_{x}") for x in ("set", "size", "id", "line", "one", "two")])
+def _filed(rows: DataFrame, keys: str, before: Column, side: str, *more: str) -> DataFrame:
+    """A row for each word that a set is filed under, its columns named for one side of a join; size and place of the
+    word in it are one number."""
+    out = rows.select("_set", "_size", "_one", "_two", *more, before.alias("_before"), F.posexplode(keys).alias("_at", "_key"))
+    at = F.shiftleft(F.col("_size").cast("long"), 32).bitwiseOR((F.col("_before") + F.col("_at")).cast("long")).alias(f"{side}_at")
+    return out.select("_key", at, *[F.col(f"_{x}").alias(f"{side}_{x}") for x in ("set", "one", "two", *[m[1:] for m in more])])
 
 
 def _similar(a: str, b: str, similarity: float) -> Column:
@@ -192,110 +223,135 @@ def _similar(a: str, b: str, similarity: float) -> Column:
     return shared >= F.lit(similarity) * (F.size(a) + F.size(b) - shared) - 1e-9
 
 
-def matches(docs: DataFrame, lines: DataFrame, similarity: float, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Sets that have an earlier match: pairs (a, b) of sets, every set with an earlier match in at least one whose other
-    set is earlier than it."""
-    may = _may_match(similarity)
-    # Words that few lines hold: every two sets that can match, verified on their words.
-    plain = [_filed(lines, "_keys", F.col("_skip"), side) for side in "ab"]
-    near = plain[0].join(plain[1], "_key").where((F.col("a_set") < F.col("b_set")) & may)
-    ends = [F.struct(*[F.col(f"{s}_{x}").alias(x) for x in ("set", "id", "line")]).alias(s) for s in "ab"]
-    near = settle(near.select(*ends).groupBy(F.col("a.set").alias("a"), F.col("b.set").alias("b")).agg(F.min("a").alias("_a"), F.min("b").alias("_b")), "line-pairs")
-    wanted = near.select("_a.*").union(near.select("_b.*")).groupBy("set").agg(F.min(F.struct("id", "line")).alias("_at"))
-    wanted = wanted.groupBy(F.col("_at.id").alias("_id")).agg(F.collect_list(F.struct(F.col("_at.line").alias("line"), "set")).alias("_wanted"))
-
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory = Remember(word_hash)
+def words_at(docs: DataFrame, places: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``_set`` and its ``_words`` for the lines (``_id``, ``_line``) of ``places``.
+
+    Only those lines are shuffled: documents are looked through where they lie, with a bit for each line wanted.
+    """
+    spot = F.pmod(F.xxhash64(F.col("_id").cast("string"), "_line"), F.lit(WANTED)).alias("_spot")
+    bits = places.select(spot).groupBy(F.shiftright("_spot", 6).cast("int").alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(_spot & 63 as int))")).alias("_bits")
+    )
+    flags = np.zeros(WANTED >> 6, np.int64)
+    known = bits.toPandas()
+    flags[known["_word"].to_numpy()] = known["_bits"].to_numpy()
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for value, asked in zip(rows["_text"], rows["_wanted"], strict=True):
-                parts = (value or "").encode("utf-8", "surrogatepass").lower().split(b"\n")
-                sets, found = [], []
-                for one in asked:
-                    if one["line"] < len(parts):
-                        own = np.unique(hashed(parts[one["line"]].split(), memory))
-                        sets.append(one["set"])
-                        found.append(own.view(np.int64))
-                yield pd.DataFrame({"_set": sets, "_words": found})
-
-    texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-    known = settle(texts.join(wanted, "_id").select("_text", "_wanted").mapInPandas(words, "_set long, _words array<long>").dropDuplicates(["_set"]), "line-words")
-    sides = [known.select(F.col("_set").alias(s), F.col("_words").alias(f"_{s}w")) for s in "ab"]
-    sure = near.select("a", "b").join(sides[0], "a").join(sides[1], "b").where(_similar("_aw", "_bw", similarity)).select("a", "b")
-    # Crowded words: each set against the earliest one there; those that it doesn't settle against all.
-    full = lines.where("size(_crowded) > 0")
-    behind = F.col("_skip") + F.size("_keys")
-    own = full.groupBy("_set").agg(F.first("_words").alias("_words"))
-    sides = [own.select(F.col("_set").alias(s), F.col("_words").alias(f"_{s}w")) for s in "ab"]
+            at, lines, words = [], [], []
+            for k, (value, spots) in enumerate(zip(rows.column("_text").to_pylist(), rows.column("_spots").to_pylist(), strict=True)):
+                spots = np.array(spots, np.int64)
+                hit = np.flatnonzero(flags[spots >> 6] >> (spots & 63) & 1)
+                if len(hit):
+                    parts = plain(value).split(b"\n")
+                    for line in hit.tolist():
+                        at.append(k)
+                        lines.append(line)
+                        words.append(np.unique(word_hashes(parts[line].split())).view(np.int64))
+            if at:
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in words])]).astype(np.int32)
+                kept = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(words)))
+                yield pa.RecordBatch.from_arrays([rows.column("_id").take(pa.array(at)), pa.array(lines, pa.int32()), kept], names=["_id", "_line", "_words"])
+
+    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.col(text).alias("_text"))
+    many = F.char_length("_text") - F.char_length(F.replace("_text", F.lit("\n"), F.lit("")))
+    rows = rows.withColumn("_named", F.col("_id").cast("string")).withColumn("_many", many)
+    rows = rows.select("_id", "_text", F.expr(f"transform(sequence(0, _many), n -> pmod(xxhash64(_named, n), {WANTED}L))").alias("_spots"))
+    kind = docs.schema[key].dataType.simpleString()
+    found = rows.mapInArrow(picked, f"_id {kind}, _line int, _words array<long>")
+    return found.join(places, ["_id", "_line"]).select("_set", "_words").dropDuplicates(["_set"])
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        return pairs.join(sides[0], "a").join(sides[1], "b").where(_similar("_aw", "_bw", similarity)).select("a", "b")
 
-    here = _filed(full, "_crowded", behind, "a")
-    head = here.groupBy("_key").agg(F.min(F.struct(*[F.col(f"a_{x}").alias(f"b_{x}") for x in ("id", "line", "set", "size", "place", "one", "two")])).alias("_b"))
-    first = here.join(head, "_key").select("*", "_b.*").where((F.col("a_set") != F.col("b_set")) & may)
-    first = settle(verified(first.select(F.col("a_set").alias("a"), F.col("b_set").alias("b")).distinct()), "line-firsts")
-    rest = full.join(first.select(F.col("a").alias("_set")).distinct(), "_set", "left_anti")
-    late = _filed(rest, "_crowded", behind, "a").join(_filed(full, "_crowded", behind, "b"), "_key").where((F.col("a_set") != F.col("b_set")) & may)
-    late = verified(late.select(F.col("a_set").alias("a"), F.col("b_set").alias("b")).distinct())
-    return sure.union(first).union(late)
+def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, similarity: float, text: str, key: str) -> DataFrame:
+    """Those of ``pairs`` (a, b) of sets that match, as their words have it."""
+    pairs = settle(pairs.distinct(), "line-pairs")
+    wanted = pairs.select(F.col("a").alias("_set")).union(pairs.select(F.col("b").alias("_set"))).distinct()
+    places = settle(firsts.join(wanted, "_set").select("_set", "_first._id", "_first._line"), "line-places")
+    known = settle(words_at(docs, places, text, key), "line-words")
+    one, two = (known.select(F.col("_set").alias(side), F.col("_words").alias(f"_{side}w")) for side in "ab")
+    return settle(pairs.join(one, "a").join(two, "b").where(_similar("_aw", "_bw", similarity)).select("a", "b"), "line-matches")
 
 
-def removed_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """The lines with words of all documents (``_id``, ``_line``, ``_set``), and those of them with an earlier match."""
+def matches(docs: DataFrame, lines: DataFrame, firsts: DataFrame, similarity: float, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Sets that have an earlier match: pairs (a, b) of sets, every set with an earlier match in at least one whose other
+    set is earlier than it. ``firsts``: where each set is first."""
+    may = _may_match(similarity)
+    ends = F.col("a_set").alias("a"), F.col("b_set").alias("b")
+    # Words that few lines hold: every two sets that can match.
+    sides = [_filed(lines, "_keys", F.col("_skip"), side) for side in "ab"]
+    near = sides[0].join(sides[1], "_key").where((F.col("a_set") < F.col("b_set")) & may).select(*ends)
+    # Crowded words: each set against the earliest one there first; those that it doesn't settle against all.
+    full = lines.where("size(_crowded) > 0")
+    behind = F.col("_skip") + F.size("_keys")
+    here = _filed(full, "_crowded", behind, "a", "_id", "_line")
+    head = here.groupBy("_key").agg(F.min(F.struct(*[F.col(f"a_{x}").alias(f"b_{x}") for x in ("id", "line", "set", "at", "one", "two")])).alias("_b"))
+    first = here.join(head, "_key").select("*", "_b.*").where((F.col("a_set") != F.col("b_set")) & may).select(*ends)
+    sure = verified(docs, near.union(first), firsts, similarity, text, key)
+    # Settled: later than a match.
+    sides = [firsts.select(F.col("_set").alias(side), F.col("_first").alias(f"_{side}")) for side in "ab"]
+    placed = sure.join(sides[0], "a").join(sides[1], "b")
+    settled = placed.select(F.when(F.col("_a") > F.col("_b"), F.col("a")).otherwise(F.col("b")).alias("_set")).distinct()
+    rest = full.join(settled, "_set", "left_anti")
+    late = _filed(rest, "_crowded", behind, "a").join(_filed(full, "_crowded", behind, "b"), "_key")
+    late = late.where((F.col("a_set") != F.col("b_set")) & may).select(F.least("a_set", "b_set").alias("a"), F.greatest("a_set", "b_set").alias("b"))
+    return sure.union(verified(docs, late.join(sure, ["a", "b"], "left_anti"), firsts, similarity, text, key))
+
+
+def removed_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
+    """The lines (``_id``, ``_line``, ``_set``) that have an earlier match."""
     lines = settle(line_sets(docs, rarity(docs, text), similarity, text, key), "lines")
     firsts = settle(lines.groupBy("_set").agg(F.min(F.struct("_id", "_line")).alias("_first")), "line-sets")
-    met = settle(matches(docs, lines, similarity, text, key), "line-matches")
+    met = matches(docs, lines, firsts, similarity, text, key)
     sides = [firsts.select(F.col("_set").alias(s), F.col("_first").alias(f"_{s}")) for s in "ab"]
     placed = met.join(sides[0], "a").join(sides[1], "b")
     later = placed.select(F.when(F.col("_a") > F.col("_b"), F.col("a")).when(F.col("_b") > F.col("_a"), F.col("b")).alias("_set")).where("_set is not null").distinct()
     marked = firsts.join(later.withColumn("_later", F.lit(True)), "_set", "left")
-    every = lines.select("_id", "_line", "_set")
-    gone = every.join(marked, "_set").where((F.struct("_id", "_line") != F.col("_first")) | F.coalesce("_later", F.lit(False)))
-    return every, settle(gone.select("_id", "_line", "_set").distinct(), "line-removed")
-
+    gone = lines.select("_id", "_line", "_set").join(marked, "_set")
+    gone = gone.where((F.struct("_id", "_line") != F.col("_first")) | F.coalesce("_later", F.lit(False)))
+    return settle(gone.select("_id", "_line", "_set").distinct(), "line-removed")
 
-KEPT = "_text string, _lines long, _removed long"
 
-
-def deduped(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with the later ones of matching lines cut from ``text``, and ``_lines`` and ``_removed``, how many lines with
-    words each row had and lost.
+def deduped(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, removed: str = "_removed") -> DataFrame:
+    """``docs`` with the later ones of matching lines cut from ``text``, and ``removed``, how many lines each row lost.
 
     Lines are told by their words, lower-cased, whatever their order and number. Lines without words stay. Nulls stay
     null; rows without a key are left as they are. Rows that repeat a key are one document: a line of theirs goes from
     all of them if the words at its place are the same.
     """
-    _, gone = removed_lines(docs, text, key, similarity)
-    lists = gone.groupBy("_id").agg(F.collect_list(F.struct(F.col("_line").alias("line"), F.col("_set").alias("set"))).alias("_gone"))
+    gone = removed_lines(docs, text, key, similarity)
+    of, lost, done = unused(docs.columns, "_of", "_gone", "_cut")
+    lists = gone.groupBy(F.col("_id").alias(of)).agg(F.collect_list(F.struct(F.col("_line").alias("line"), F.col("_set").alias("set"))).alias(lost))
 
-    @F.pandas_udf(KEPT)
+    @F.pandas_udf("text string, removed long")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        memory = Remember(word_hash)
-
-        def name(line: str) -> int:
-            own = np.unique(hashed(line.encode("utf-8", "surrogatepass").lower().split(), memory))
-            mixed = own * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
-            return int((mixed * np.uint64(0xBF58476D1CE4E5B9)).sum(dtype=np.uint64).astype(np.int64))
+        def same(line: str, name: int) -> bool:
+            mixed = _mixed(np.unique(word_hashes(plain(line).split())))
+            return int(_name_parts(mixed).sum(dtype=np.uint64).astype(np.int64)) == name
 
-        for texts, lost in batches:
+        for texts, lists in batches:
             rows = []
-            for value, asked in zip(texts, lost, strict=True):
-                if not isinstance(value, str):
-                    rows.append((None, 0, 0))
-                    continue
-                parts = value.split("\n")
-                worded = sum(1 for line in parts if line.encode("utf-8", "surrogatepass").split())
-                drop = {one["line"] for one in asked if one["line"] < len(parts) and name(parts[one["line"]]) == one["set"]} if asked is not None else ()
-                rows.append(("\n".join(x for k, x in enumerate(parts) if k not in drop) if drop else value, worded, len(drop)))
-            yield pd.DataFrame(rows, columns=["_text", "_lines", "_removed"])
+            for value, asked in zip(texts, lists, strict=True):
+                drop: set[int] = set()
+                if isinstance(value, str) and asked is not None:
+                    parts = value.split("\n")
+                    drop = {one["line"] for one in asked if one["line"] < len(parts) and same(parts[one["line"]], one["set"])}
+                    if drop:
+                        value = "\n".join(x for k, x in enumerate(parts) if k not in drop)
+                rows.append((value, len(drop)))
+            yield pd.DataFrame(rows, columns=["text", "removed"])
+
+    joined = docs.join(lists, F.col(key) == F.col(of), "left").drop(of)
+    joined = joined.withColumn(done, cut(F.col(text), F.col(lost))).drop(lost)
+    return joined.withColumn(text, F.col(done)["text"]).withColumn(removed, F.col(done)["removed"]).drop(done)
+
 
-    joined = docs.join(lists.select(F.col("_id").alias("_of"), "_gone"), F.col(key) == F.col("_of"), "left").drop("_of")
-    done = joined.withColumn("_cut", cut(F.col(text), F.col("_gone"))).drop("_gone")
-    return done.withColumn(text, F.col("_cut._text")).withColumn("_lines", F.col("_cut._lines")).withColumn("_removed", F.col("_cut._removed")).drop("_cut")
+def worded_lines(text: Column) -> Column:
+    """How many lines of a text have words; none of a null."""
+    return F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)).cast("long")
 
 
 def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with matching lines cut; rows whose every line with words went, being copies throughout, go."""
-    rows = deduped(docs, text, key, similarity)
-    return rows.where("_removed = 0 or _removed < _lines").drop("_lines", "_removed")
+    (removed,) = unused(docs.columns, "_removed")
+    rows = deduped(docs, text, key, similarity, removed)
+    return rows.where((F.col(removed) == 0) | F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)

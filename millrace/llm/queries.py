@@ -26,8 +26,8 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = linededup.deduped(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", linededup.worded_lines(F.col("text")).alias("n_lines"))
+    return linededup.deduped(docs, removed="n_removed").select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

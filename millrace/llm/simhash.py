@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, pieces
+from millrace.llm.common import components, pieces, unused
 from millrace.session import settle
 
 BITS = 64
@@ -305,7 +305,8 @@ def without_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", **h
     Columns stay as they are. Rows that repeat a key are one document, the first met stays; rows without a key stay.
     """
     groups = near_groups(docs, text, key, **how)
-    gone = groups.where("_id <> _root").select(F.col("_id").alias("_gone"))
+    (name,) = unused(docs.columns, "_gone")
+    gone = groups.where("_id <> _root").select(F.col("_id").alias(name))
     keyed = docs.where(F.col(key).isNotNull())
-    kept = keyed.join(gone, F.col(key) == F.col("_gone"), "left_anti").dropDuplicates([key])
+    kept = keyed.join(gone, F.col(key) == F.col(name), "left_anti").dropDuplicates([key])
     return kept.unionByName(docs.where(F.col(key).isNull()))

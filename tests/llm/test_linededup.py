@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def plain_dedup(rows, similarity=0.8):
-    """Text, lines with words and removed ones of each row: every line with an earlier match goes."""
+    """Text and removed lines of each row: every line with an earlier match goes."""
     first, lines = {}, {}
     for key, text in rows:
         if key is None or text is None:
@@ -35,16 +35,17 @@ def plain_dedup(rows, similarity=0.8):
     out = []
     for key, text in rows:
         if key is None or text is None:
-            out.append((key, text, 0 if text is None else sum(bool(x.split()) for x in text.encode().split(b"\n")), 0))
+            out.append((key, text, 0))
             continue
         gone = [n for n in range(text.count("\n") + 1) if (key, n) in lines and (first[lines[key, n]] != (key, n) or lines[key, n] in later)]
         kept = [x for n, x in enumerate(text.split("\n")) if n not in gone]
-        out.append((key, "\n".join(kept), sum((key, n) in lines for n in range(text.count("\n") + 1)), len(gone)))
+        out.append((key, "\n".join(kept), len(gone)))
     return sorted(out, key=repr)
 
 
 def as_rows(frame):
-    return sorted(((r["doc_id"], r["text"], r["_lines"], r["_removed"]) for r in frame.collect()), key=repr)
+    rows = frame.withColumn("n", linededup.worded_lines(frame["text"])).collect()
+    return sorted(((r["doc_id"], r["text"], r["_removed"]) for r in rows), key=repr)
 
 
 def test_whole_table(spark):
@@ -100,11 +101,10 @@ def test_nulls_empties_repeats_and_clashing_columns(spark):
         (7, "twice told"),
         (7, "twice told"),
     ]
-    docs = spark.createDataFrame([(k, t, 1, 2) for k, t in rows], "doc_id long, text string, _id int, _lines int")
-    frame = linededup.deduped(docs.drop("_lines"))
-    assert as_rows(frame) == plain_dedup(rows)
-    kept = linededup.without_repeats(docs.drop("_lines"))
-    assert kept.columns == ["doc_id", "text", "_id"]
+    docs = spark.createDataFrame([(k, t, 1, 2, [3]) for k, t in rows], "doc_id long, text string, _id int, _of int, _Cut array<int>")
+    assert as_rows(linededup.deduped(docs)) == plain_dedup(rows)
+    kept = linededup.without_repeats(docs.withColumn("_removed", docs["_id"]))
+    assert kept.columns == [*docs.columns, "_removed"]
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([1, 2, 3, None, 5, 6, 7, 7], key=repr)
     assert linededup.deduped(docs.limit(0)).collect() == []
 
@@ -115,5 +115,6 @@ def test_query(spark):
     from millrace.llm.queries import op3_line_dedup
 
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    expected = [(k, n, gone, None if t is None else hashlib.sha256(t.encode()).hexdigest()) for k, t, n, gone in plain_dedup(rows)]
+    many = {k: sum(bool(line.split()) for line in (t or "").encode().split(b"\n")) for k, t in rows}
+    expected = [(k, many[k], gone, None if t is None else hashlib.sha256(t.encode()).hexdigest()) for k, t, gone in plain_dedup(rows)]
     assert sorted(map(tuple, op3_line_dedup(spark, SF).collect())) == sorted(expected)
