@@ -26,6 +26,11 @@ from millrace.llm.common import Remember, in_pieces
 PLACE = 40
 NONE = 1 << 100
 
+#: Pieces, and words, that a task remembers the ids of, twice over at most: some 150 MB.
+REMEMBERED = 150_000
+#: Characters of texts worked on at once.
+PIECE = 1_000_000
+
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -166,7 +171,7 @@ class Codec:
     #: How such a file cuts texts when it says no more than ``use_regex``: a fixed value.
     CUT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-    def __init__(self, text: str, remember: int = 250_000):
+    def __init__(self, text: str, remember: int = REMEMBERED):
         import regex
         from tokenizers import Tokenizer
 
@@ -210,9 +215,9 @@ class Codec:
                 return [bytes(self.bytes_of[letter] for letter in piece).decode() for piece, _ in said]
         return self.cut(text)
 
-    def said(self, ids: tuple[int, ...]) -> tuple[int, str, bytes, tuple[int, ...]]:
-        """What is remembered of ids: how many, written out, their bytes, themselves."""
-        return len(ids), ",".join(map(self.numbers.__getitem__, ids)), b"".join(map(self.bytes.__getitem__, ids)), ids
+    def said(self, ids: tuple[int, ...]) -> tuple[int, str, bytes]:
+        """What is remembered of ids: how many, written out, and their bytes."""
+        return len(ids), ",".join(map(self.numbers.__getitem__, ids)), b"".join(map(self.bytes.__getitem__, ids))
 
     def encode(self, text: str) -> list[int]:
         got = self.piece.__getitem__
@@ -223,7 +228,7 @@ class Codec:
                 ids.append(self.added[part])
             elif part:
                 for piece in self.cut_up(part):
-                    ids += got(piece)[3]
+                    ids += map(int, got(piece)[1].split(","))
         return ids
 
     def learn(self, texts: list[str]) -> None:
@@ -316,23 +321,23 @@ def decode(ids: Column, spec: str) -> Column:
     return decoded(ids)
 
 
-def round_trip(text: Column, spec: str) -> Column:
+def round_trip(text: Column, spec: str, remember: int = REMEMBERED) -> Column:
     """Struct of token count and SHA-256 of the ids (decimal, joined by commas) and of the text decoded from them."""
 
     @F.pandas_udf(SCHEMA)
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = Codec(spec)
+        codec = Codec(spec, remember)
         for texts in batches:
-            rows = in_pieces(texts, codec.digests)
+            rows = in_pieces(texts, codec.digests, PIECE)
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digests(text)
 
 
-def tokenized(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+def tokenized(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", remember: int = REMEMBERED) -> DataFrame:
     """``key``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of each row, repeated rows and null keys included.
 
-    A null text is an empty one: no tokens. Other columns of ``docs`` are left out, whatever their names.
+    A null text is an empty one: no tokens. ``remember`` bounds a task's memory, not its results. Other columns of ``docs`` are left out, whatever their names.
     """
-    coded = docs.select(F.col(key), round_trip(F.col(text), vocabulary(path)).alias("_coded"))
+    coded = docs.select(F.col(key), round_trip(F.col(text), vocabulary(path), remember).alias("_coded"))
     return coded.select(key, "_coded.*")
