@@ -26,8 +26,8 @@ from millrace.llm.common import Remember, in_pieces
 PLACE = 40
 NONE = 1 << 100
 
-#: Pieces, and words, that a task remembers the ids of, twice over at most: some 150 MB.
-REMEMBERED = 150_000
+#: Pieces, and words, that a task remembers the ids of, twice over at most: some 250 MB.
+REMEMBERED = 250_000
 #: Characters of texts worked on at once.
 PIECE = 1_000_000
 
