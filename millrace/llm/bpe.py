@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Remember, in_pieces
+from millrace.llm.common import Remember, give_back, in_pieces
 
 #: The shift between a rank and a position in one number; a piece has fewer than 2**40 bytes.
 PLACE = 40
@@ -330,6 +330,8 @@ def round_trip(text: Column, spec: str, remember: int = REMEMBERED) -> Column:
         for texts in batches:
             rows = in_pieces(texts, codec.digests, PIECE)
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        del codec
+        give_back()
 
     return digests(text)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -53,6 +55,15 @@ def in_pieces(texts: pd.Series, work: Callable[[list[str]], list], limit: int =
     return out
 
 
+def give_back() -> None:
+    """Return freed memory to the machine. Python workers live on after a task and serve the stages that follow, so what
+    a task has let go of shouldn't stay with them. Call it once nothing of the task is held any more."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
+
+
 class Remember(dict):
     """A bounded memory of a function's values, so that a task's memory doesn't follow the vocabulary: once ``size`` are
     held, they become the older ones, of which those asked for again move back, and the older ones before are let go."""

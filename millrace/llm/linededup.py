@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import pieces, unused
+from millrace.llm.common import give_back, pieces, unused
 from millrace.session import settle
 
 SIMILARITY = 0.8
@@ -87,6 +87,7 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
                     words.update(plain(text).split())
                 bins = (word_hashes(words) & np.uint64(BINS - 1)).astype(np.int64)
                 np.add.at(counts, bins, np.fromiter(words.values(), np.int64, len(words)))
+        give_back()
         used = np.flatnonzero(counts)
         for start in range(0, len(used), 50_000):
             part = used[start : start + 50_000]
@@ -195,6 +196,8 @@ def line_sets(docs: DataFrame, ranks: np.ndarray, similarity: float, text: str =
                     ],
                     names=["_id", "_line", "_set", "_size", "_skip", "_keys", "_crowded", "_one", "_two"],
                 )
+        filed_before.clear()
+        give_back()
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.col(text).alias("_text"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Remember, fold_of, pieces
+from millrace.llm.common import Remember, fold_of, give_back, pieces
 
 #: Labelled rows to learn from: the first by a hash of their id, so many of each label. Scores cover all rows.
 SAMPLE = {1: 2000, 0: 3000}
@@ -288,6 +288,8 @@ def toxicity(text: Column, model: Field) -> Column:
         memory = Remember(model.log_odds)
         for texts in batches:
             yield pd.Series(np.concatenate([np.zeros(0), *(model.of_documents(held, memory)[1] for held in pieces(texts))]))
+        memory.clear()
+        give_back()
 
     return scores(text)
 
