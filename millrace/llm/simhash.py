@@ -7,7 +7,7 @@ thresholds that add up to r - m + 1 lose nothing, -1 meaning that a partition is
 choice still brings more than ``CROWD`` candidates is met half-way instead: two fingerprints differ in at most two bits
 exactly if changing at most one bit in each gives the same number, and no number is reached from more than 65 of them.
 
-``near_groups`` finds texts whose shingle sets are similar: wide fingerprints give candidates, the sets decide.
+``near_groups`` finds all texts whose shingle sets are similar, without fingerprints: by an exact prefix filter on sets.
 """
 
 from __future__ import annotations
@@ -232,8 +232,18 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     )
 
 
-#: Words of a wide fingerprint; more find more of the pairs near the least similarity.
-WORDS = 16
+#: Documents whose shingles are counted to put the frequent ones last; the order costs or saves work, never a pair.
+SAMPLE = 10_000
+#: Frequent shingles that are known to every task: 16 bytes each.
+FREQUENT = 1 << 17
+
+
+def hashed(text: str, size: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    from xxhash import xxh64_intdigest
+
+    found = shingles(text, size)
+    return np.unique(np.fromiter((xxh64_intdigest(x, 42) for x in found), np.uint64, len(found))).view(np.int64)
 
 
 def shingle_set(text: Column, size: int = 5) -> Column:
@@ -241,62 +251,103 @@ def shingle_set(text: Column, size: int = 5) -> Column:
 
     @F.pandas_udf("array<long>")
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from xxhash import xxh64_intdigest
+        for texts in batches:
+            yield pd.Series([hashed(value, size) for held in pieces(texts) for value in held], dtype=object)
+
+    return sets(text)
+
 
+def frequent(texts: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a sample of ``SAMPLE`` texts, sorted, and how often each occurs there."""
+    share = min(1.0, SAMPLE / max(1, texts.count()))
+    some = texts.where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    counts = some.select(F.explode(shingle_set(F.col(text), size)).alias("_token")).groupBy("_token").agg(F.count("*").alias("_n")).where("_n > 2")
+    rows = sorted((token, n) for token, n in counts.orderBy(F.desc("_n"), "_token").limit(FREQUENT).collect())
+    return np.array([token for token, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
+
+
+def _least(share: float, n: int) -> int:
+    """The least whole number that is ``share`` of n or more, rounding errors aside."""
+    return int(np.ceil(share * n - 1e-9))
+
+
+def prefixes(text: Column, size: int, similarity: float, known: tuple[np.ndarray, np.ndarray]) -> Column:
+    """Of each text the size of its shingle set, ``many``, the shingles that a set as similar may share first in the common
+    order, rare ones first, and how many of them, ``short``, do for partners that are as large or larger."""
+    tokens, often = known
+
+    @F.pandas_udf("many int, short int, first array<long>")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             out = []
             for held in pieces(texts):
                 for value in held:
-                    found = shingles(value, size)
-                    out.append(np.unique(np.fromiter((xxh64_intdigest(x, 42) for x in found), np.uint64, len(found))).view(np.int64))
-            yield pd.Series(out, dtype=object)
+                    own = hashed(value, size)
+                    if len(tokens) and len(own):
+                        at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
+                        own = own[np.argsort(np.where(tokens[at] == own, often[at], 0), kind="stable")]
+                    n = len(own)
+                    out.append((n, n - _least(2 * similarity / (1 + similarity), n) + 1, own[: n - _least(similarity, n) + 1]))
+            yield pd.DataFrame(out, columns=["many", "short", "first"])
 
-    return sets(text)
+    return cut(text)
 
 
-def near_groups(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, similarity: float = 0.8, words: int = WORDS
-) -> DataFrame:
+def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows (id, root) of documents that have near copies: ``root`` is the least key of the group.
 
     Documents are near if the Jaccard similarity of their sets of ``size``-word shingles is ``similarity`` or more, or if
-    their texts are equal. Candidates share a third of one of the ``words`` numbers of a wide fingerprint; within such a
-    bucket each document is compared with the first and the last, so a group of any size makes rows in proportion, and
-    their chains of links meet in a group's other buckets. Fingerprints too far apart are left, the sets decide the rest.
+    their texts are equal; groups are the exact components. The first shingle in common of two such sets lies in the
+    prefix of both, so all candidates meet under it. Every document is compared with the least one under each of its
+    shingles; then the documents of a shingle that aren't in its largest group yet are compared with all of other groups
+    there. Who is in a group already needs no comparison within it, so a group of any size makes rows in proportion.
     Null keys aren't judged.
     """
     given = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    marks = settle(
-        given.select("_id", F.md5("_text").alias("_same"), fingerprint(F.col("_text"), size, words, repeats=False).alias("_fp")), "near-marks"
-    )
+    marks = settle(given.select("_id", F.md5("_text").alias("_same")), "near-marks")
     firsts = marks.groupBy("_same").agg(F.min("_id").alias("_first"))
     same = marks.join(firsts, "_same")
     copies = same.where("_id <> _first").select(F.col("_first").alias("a"), F.col("_id").alias("b"))
-    reps = settle(same.where("_id = _first").select("_id", "_fp").dropDuplicates(["_id"]), "near-reps")
-    cuts = [(0, 22), (22, 21), (43, 21)]
-    keys = [
-        F.shiftrightunsigned(F.col("_fp")[w], start).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit((w * 3 + k) << 32).cast("long"))
-        for w in range(words)
-        for k, (start, width) in enumerate(cuts)
-    ]
-    index = reps.select("_id", F.explode(F.array(*keys)).alias("_key"))
-    ends = index.groupBy("_key").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high")).where("_low <> _high")
-    met = index.join(ends, "_key").select("_id", F.explode(F.array("_low", "_high")).alias("_with")).where("_id <> _with")
-    met = met.select(F.least("_id", "_with").alias("a"), F.greatest("_id", "_with").alias("b")).distinct()
-    # J of two sets is at most what their angle allows; five standard deviations of the bits that differ are allowed for.
-    turned = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    most = int(np.ceil(words * BITS * turned + 5 * np.sqrt(words * BITS * turned * (1 - turned))))
-    bits = sum((F.bit_count(F.col("_fa")[w].bitwiseXOR(F.col("_fb")[w])) for w in range(1, words)), F.bit_count(F.col("_fa")[0].bitwiseXOR(F.col("_fb")[0])))
-    one, two = reps.select(F.col("_id").alias("a"), F.col("_fp").alias("_fa")), reps.select(F.col("_id").alias("b"), F.col("_fp").alias("_fb"))
-    close = settle(met.join(one, "a").join(two, "b").where(bits <= most).select("a", "b"), "near-candidates")
-    needed = close.select(F.col("a").alias("_id")).union(close.select(F.col("b").alias("_id"))).distinct()
-    sets = settle(given.join(needed, "_id", "left_semi").dropDuplicates(["_id"]).select("_id", shingle_set(F.col("_text"), size).alias("_set")), "near-sets")
-    one, two = sets.select(F.col("_id").alias("a"), F.col("_set").alias("_sa")), sets.select(F.col("_id").alias("b"), F.col("_set").alias("_sb"))
-    shared = F.size(F.array_intersect("_sa", "_sb"))
-    alike = close.join(one, "a").join(two, "b").where(
-        (F.size("_sa") > 0) & (shared >= F.lit(similarity) * (F.size("_sa") + F.size("_sb") - shared))
-    )
-    return components(alike.select("a", "b").union(copies), "near").select(F.col("node").alias("_id"), F.col("root").alias("_root"))
+    reps = same.where("_id = _first").select("_id").distinct()
+    texts = settle(given.join(reps, "_id", "left_semi").dropDuplicates(["_id"]), "near-texts")
+    cut = texts.select("_id", prefixes(F.col("_text"), size, similarity, frequent(texts, "_text", size)).alias("_p")).where("_p.many > 0")
+    rows = settle(cut.select("_id", F.col("_p.many").alias("_many"), F.col("_p.short").alias("_short"), F.posexplode("_p.first").alias("_at", "_token")), "near-prefixes")
+    ends = rows.groupBy("_token").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high")).where("_low <> _high")
+    shared = settle(rows.join(ends.select("_token", "_low"), "_token"), "near-shared")
+
+    def alike(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) whose sets are similar."""
+        pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-candidates")
+        needed = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct()
+        sets = settle(texts.join(needed, "_id", "left_semi").select("_id", shingle_set(F.col("_text"), size).alias("_set")), f"{name}-sets")
+        one, two = sets.select(F.col("_id").alias("a"), F.col("_set").alias("_sa")), sets.select(F.col("_id").alias("b"), F.col("_set").alias("_sb"))
+        both = F.size(F.array_intersect("_sa", "_sb"))
+        near = both >= F.lit(similarity) * (F.size("_sa") + F.size("_sb") - both) - 1e-9
+        return settle(pairs.join(one, "a").join(two, "b").where(near).select("a", "b"), f"{name}-links")
+
+    def side(name: str) -> DataFrame:
+        return placed.select("_token", *[F.col(x).alias(x + name) for x in ("_id", "_many", "_short", "_at", "_root")])
+
+    def fits(a: str, b: str) -> Column:
+        """Whether sets of such sizes whose first common shingle is at such places can be similar."""
+        many, other = F.col("_many" + a), F.col("_many" + b)
+        in_short = F.when(many <= other, F.col("_at" + a) < F.col("_short" + a)).otherwise(F.col("_at" + b) < F.col("_short" + b))
+        most = F.least(many - F.col("_at" + a), other - F.col("_at" + b))
+        return in_short & (most >= F.lit(similarity / (1 + similarity)) * (many + other) - 1e-9) & (F.least(many, other) >= F.lit(similarity) * F.greatest(many, other) - 1e-9)
+
+    low = rows.select("_token", *[F.col(x).alias(x + "b") for x in ("_id", "_many", "_short", "_at")])
+    low = low.join(ends.select("_token", F.col("_low").alias("_idb")), ["_token", "_idb"])
+    first = shared.select("_token", *[F.col(x).alias(x + "a") for x in ("_id", "_many", "_short", "_at")])
+    met = first.join(low, "_token").where((F.col("_ida") != F.col("_idb")) & fits("a", "b"))
+    links = alike(met.select(F.col("_ida").alias("a"), F.col("_idb").alias("b")), "near-first")
+    roots = components(links, "near-first").select(F.col("node").alias("_id"), F.col("root").alias("_root"))
+    placed = settle(shared.join(roots, "_id", "left").withColumn("_root", F.coalesce("_root", "_id")), "near-placed")
+    sizes = placed.groupBy("_token", "_root").agg(F.count("*").alias("_n"))
+    top = sizes.groupBy("_token").agg(F.max(F.struct("_n", "_root"))["_root"].alias("_top"), F.count("*").alias("_roots")).where("_roots > 1")
+    left = side("a").join(top.select("_token", "_top"), "_token").where("_roota <> _top")
+    more = left.join(side("b"), "_token").where((F.col("_roota") != F.col("_rootb")) & fits("a", "b"))
+    rest = alike(more.select(F.col("_ida").alias("a"), F.col("_idb").alias("b")), "near-rest")
+    return components(links.union(rest).union(copies), "near").select(F.col("node").alias("_id"), F.col("root").alias("_root"))
 
 
 def without_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:

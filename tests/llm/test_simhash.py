@@ -118,3 +118,35 @@ def test_groups_are_near(spark):
     rows = [(1, base), (2, near(base, 25, rng)), (3, near(base, 1, rng))]
     found = {r["_id"]: r["_root"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {1: 1, 3: 1}
+
+
+def plain_groups(rows, similarity=0.8):
+    sets = {key: set(simhash.shingles(text, 5)) for key, text in rows}
+    keys = sorted(sets)
+    links = [(a, b) for k, a in enumerate(keys) for b in keys[:k] if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9]
+    whole = roots(keys, links)
+    many = {r: sum(x == r for x in whole.values()) for r in set(whole.values())}
+    return {key: root for key, root in whole.items() if many[root] > 1}
+
+
+def templated(groups, rng):
+    """Documents of which a third share a long template, and pairs at every similarity down to 0.8 among them."""
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    template, rows, key = fresh(170), [], 0
+    for k in range(groups):
+        words = (template + fresh((22, 30, 40)[k % 9 // 3])) if k % 3 == 0 else fresh(120)
+        rows.append((key, " ".join(words)))
+        for width in (4, 8, 13):  # a run of changed words: similarity falls with its length
+            at = rng.randrange(len(words) - width)
+            rows.append((key + 1 + width, " ".join(words[:at] + fresh(width) + words[at + width :])))
+        key += 100
+    return rows
+
+
+def test_every_near_pair_is_found_among_bystanders(spark):
+    """Recall is whole at two sizes, also for pairs that are neither first nor last among those that share a template."""
+    for groups in (30, 90):
+        rows = templated(groups, random.Random(groups))
+        expected = plain_groups(rows)
+        found = {r["_id"]: r["_root"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert found == expected and len(expected) > groups
