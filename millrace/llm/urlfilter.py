@@ -6,7 +6,8 @@ its log likelihoods under both, per character, against a threshold calibrated on
 
 Of the models only the ratio matters, and it is kept as what each longer n-gram adds to the ratio of the shorter one it
 ends with, so a URL's score is a plain sum over its n-grams, and one never seen adds nothing: the longest one known
-decides. N-grams are kept in a fixed number of bins, so the table that goes to every task has a proven bound.
+decides. Every n-gram keeps its own weight: the table grows with what teaches it and is joined by shuffle; only the
+n-grams that a sample of the URLs has most often go to every task, so that no task gets all rows of a frequent one.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ ORDER = 5
 LEAN = 2.0
 #: Characters that a model without any context thinks possible.
 LETTERS = 256
-#: Bins of the ratio table: 16 bytes each at most, 4 MB.
-BINS = 1 << 18
+#: URLs whose n-grams are counted to tell the frequent ones, and how many of those go to every task, some 5 MB. Both
+#: decide where a weight is looked up, never which.
+SAMPLE = 20_000
+HOT = 1 << 16
 #: Share of judged URLs kept for calibration: one fold of so many.
 FOLDS = 5
 
@@ -67,19 +70,20 @@ def grams(rows: DataFrame, url: str, *keep: str) -> DataFrame:
 
 
 def _bin() -> Column:
-    return F.pmod(F.xxhash64("_n", "_gram"), F.lit(BINS)).cast("int").alias("_bin")
+    """What the table of ratios is keyed by: the n-gram, whose length is ``_n``."""
+    return F.col("_gram").alias("_bin")
 
 
 @dataclass
 class Model:
-    """What each bin of n-grams adds to the log ratio, and the least ratio per character that is allowed."""
+    """What each n-gram adds to the log ratio, and the least ratio per character that is allowed."""
 
     ratios: DataFrame
     threshold: float
 
 
 def ratios(judged: DataFrame, url: str, verdict: str) -> DataFrame:
-    """``_bin`` and ``_adds``: the mean of what its n-grams add to the log ratio, weighted by their counts."""
+    """``_bin``, an n-gram, and ``_adds``, what it adds to the log ratio."""
     allowed = F.col(verdict) == "allow"
     counted = grams(judged.select(url, allowed.alias("_good")), url, "_good").groupBy("_n", "_gram").agg(
         F.sum(F.when(F.col("_good"), 1.0).otherwise(0.0)).alias("_a"), F.sum(F.when(F.col("_good"), 0.0).otherwise(1.0)).alias("_r")
@@ -88,10 +92,10 @@ def ratios(judged: DataFrame, url: str, verdict: str) -> DataFrame:
     total = counted.where("_n = 1").agg(F.coalesce(F.sum("_a"), F.lit(0.0)), F.coalesce(F.sum("_r"), F.lit(0.0))).first()
     one = counted.where("_n = 1")
     chance = {side: (F.col(f"_{side}") + LEAN / LETTERS) / F.lit(all_ + LEAN) for side, all_ in zip("ar", total, strict=True)}
-    level = one.select("_n", "_gram", (F.col("_a") + F.col("_r")).alias("_many"), chance["a"].alias("_pa"), chance["r"].alias("_pr")).withColumn(
+    level = one.select("_n", "_gram", chance["a"].alias("_pa"), chance["r"].alias("_pr")).withColumn(
         "_adds", F.log(F.col("_pa") / F.col("_pr"))
     )
-    done = level.select("_n", "_gram", "_many", "_adds")
+    done = level.select("_gram", "_adds")
     for n in range(2, ORDER + 1):
         context = counted.where(F.col("_n") == n - 1).select(F.col("_gram").alias("_before"), F.col("_a").alias("_ca"), F.col("_r").alias("_cr"))
         shorter = level.select(F.col("_gram").alias("_end"), F.col("_pa").alias("_sa"), F.col("_pr").alias("_sr"))
@@ -100,28 +104,27 @@ def ratios(judged: DataFrame, url: str, verdict: str) -> DataFrame:
         level = joined.select(
             "_n",
             "_gram",
-            (F.col("_a") + F.col("_r")).alias("_many"),
             ((F.col("_a") + LEAN * F.col("_sa")) / (F.col("_ca") + LEAN)).alias("_pa"),
             ((F.col("_r") + LEAN * F.col("_sr")) / (F.col("_cr") + LEAN)).alias("_pr"),
             F.log(F.col("_sa") / F.col("_sr")).alias("_short"),
         )
         level = settle(level.withColumn("_adds", F.log(F.col("_pa") / F.col("_pr")) - F.col("_short")), "url-level")
-        done = done.union(level.select("_n", "_gram", "_many", "_adds"))
-    return settle(
-        done.select(_bin(), "_many", "_adds").groupBy("_bin").agg((F.sum(F.col("_adds") * F.col("_many")) / F.sum("_many")).alias("_adds")), "url-ratios"
-    )
+        done = done.union(level.select("_gram", "_adds"))
+    return settle(done.select(_bin(), "_adds"), "url-ratios")
 
 
 def scored(urls: DataFrame, table: DataFrame, url: str) -> DataFrame:
-    """``url`` and ``score``, the log ratio per character, of each distinct URL; empty ones have none.
-
-    The table has a row per bin at most, ``BINS`` in all, whatever taught it: small enough for every task.
-    """
-    found = grams(urls.select(url).distinct(), url, url).select(url, "_n", _bin())
-    sums = found.join(F.broadcast(table), "_bin", "left").groupBy(url).agg(
-        (F.coalesce(F.sum("_adds"), F.lit(0.0)) / F.sum(F.when(F.col("_n") == 1, 1).otherwise(0))).alias("score")
-    )
-    return sums
+    """``url`` and ``score``, the log ratio per character, of each distinct URL; empty ones have none."""
+    asked = settle(urls.select(url).distinct().withColumn("_key", F.monotonically_increasing_id()), "url-asked")
+    share = min(1.0, SAMPLE / max(1, asked.count()))
+    some = asked.where(F.pmod(F.xxhash64(url), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    often = grams(some, url).groupBy("_gram").agg(F.count("*").alias("_times")).orderBy(F.desc("_times"), "_gram").limit(HOT)
+    hot = settle(often.select(_bin()).join(table, "_bin", "left").select("_bin", F.coalesce("_adds", F.lit(0.0)).alias("_known")), "url-hot")
+    found = grams(asked, url, "_key").select("_key", "_n", _bin()).join(F.broadcast(hot), "_bin", "left")
+    here = found.groupBy("_key").agg(F.sum("_known").alias("_here"), F.sum(F.when(F.col("_n") == 1, 1).otherwise(0)).alias("_long"))
+    rest = found.where("_known is null").select("_key", "_bin").join(table, "_bin").groupBy("_key").agg(F.sum("_adds").alias("_rest"))
+    total = F.coalesce("_here", F.lit(0.0)) + F.coalesce("_rest", F.lit(0.0))
+    return asked.join(here, "_key").join(rest, "_key", "left").select(url, (total / F.col("_long")).alias("score"))
 
 
 def train(judged: DataFrame, url: str, verdict: str, key: str) -> Model:

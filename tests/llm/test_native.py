@@ -83,6 +83,21 @@ def test_models_against_plain_recursion(spark):
     assert scores["http://good.net/new"] > 0 > scores["http://bad.net/new"]
 
 
+@pytest.mark.parametrize("hot", [1, 40, 1 << 16])
+def test_every_gram_keeps_its_own_weight(spark, hot, monkeypatch):
+    """Scores are the plain sums over n-grams, wherever a weight is looked up, and however few bins there once were."""
+    monkeypatch.setattr(urlfilter, "BINS", 16, raising=False)
+    monkeypatch.setattr(urlfilter, "HOT", hot, raising=False)
+    rows = [(f"http://good.net/a{k * 37 % 101}b/{k}", "allow") for k in range(30)] + [(f"http://bad.net/z{k * 53 % 103}y/{k}", "block") for k in range(30)]
+    adds = plain_ratio(rows)
+    table = urlfilter.ratios(spark.createDataFrame(rows, "u string, v string"), "u", "v")
+    asked = ["http://good.net/new/7", "http://bad.net/zz9/é", "http://else.org/12", rows[3][0]]
+    found = {r["u"]: r["score"] for r in urlfilter.scored(spark.createDataFrame([(u,) for u in asked], "u string"), table, "u").collect()}
+    for u in asked:
+        own = [u[end - n : end] for end in range(1, len(u) + 1) for n in range(1, min(urlfilter.ORDER, end) + 1)]
+        assert found[u] == pytest.approx(sum(adds.get(g, 0.0) for g in own) / len(u), abs=1e-9)
+
+
 def test_verdicts_follow_the_models(spark):
     pages = [(k, f"http://shop.com/fr/garden{k % 17}/rose{k}") for k in range(300)] + [(1000 + k, f"http://shop.com/de/casino{k % 17}/spin{k}") for k in range(300)]
     pages += [(5000 + k, f"http://other.net/garden{k}/rose") for k in range(20)] + [(6000 + k, f"http://other.net/casino{k}/spin") for k in range(20)]
