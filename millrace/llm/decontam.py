@@ -1,15 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word-pair seeds, then Smith-Waterman alignment.
 
 Test items are a stated query set. They go over the documents in blocks of at most ``BLOCK`` words of items, a fixed
 size whatever the benchmark's, so a block and its seeds fit every task and all documents are read once a block, without
-a shuffle. Within a block an item's seeds are its word n-grams that few items have; wherever a document holds one, the
-words around it are aligned with the item, and the alignment's score tells copies, edited and paraphrased ones included,
-from chance.
+a shuffle. All pairs of neighbouring words of an item are its seeds, however many items have them: an alignment of m
+words in r runs scores 2m - (r - 1) at most and has m - r pairs, so a score of g needs g - n - 1 pairs or more of an item
+of n words. Where a document has as many close enough together, the words around them are aligned with the item, and the
+alignment's score tells copies, edited and paraphrased ones included, from chance.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +19,6 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import pieces
 
-#: Words in a seed.
-SEED = 3
-#: A seed is rare if at most so many items of its block have it; an item without rare ones takes all its n-grams.
-RARE = 4
 #: Words of items in a block.
 BLOCK = 2_000_000
 #: Alignment scores: equal words, unequal words, a word without a partner.
@@ -80,78 +76,66 @@ class Items:
             words = words_of(text or "")
             if words:
                 self.items.append((item_id, np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words], np.int64)))
-        holders: dict[tuple, set[int]] = defaultdict(set)
-        for k, (_, words) in enumerate(self.items):
-            for gram in self.grams(words):
-                holders[gram].add(k)
-        self.seeds: dict[tuple, list[int]] = defaultdict(list)
-        for k, (_, words) in enumerate(self.items):
-            own = set(self.grams(words))
-            for gram in [g for g in own if len(holders[g]) <= RARE] or own:
-                self.seeds[gram].append(k)
-        self.sizes = sorted({len(gram) for gram in self.seeds})
-        self.mixed = np.unique(np.array([self.mix(gram) for gram in self.seeds], np.uint64)) if self.seeds else np.zeros(0, np.uint64)
-
-    @staticmethod
-    def grams(words: np.ndarray) -> list[tuple]:
-        size = min(SEED, len(words))
-        return [tuple(map(int, words[k : k + size])) for k in range(len(words) - size + 1)]
-
-    @staticmethod
-    def mix(gram: tuple) -> int:
-        value = 0
-        for number in gram:
-            value = (value * 0x9E3779B97F4A7C15 + number) & 0xFFFFFFFFFFFFFFFF
-        return value
-
-    def places(self, words: np.ndarray) -> dict[int, list[int]]:
-        """For each item with a seed in these words (0: a word of no item): where the seeds would have it begin."""
-        found: dict[int, list[int]] = defaultdict(list)
-        mixed = np.zeros(len(words), np.uint64)
-        for size in range(1, SEED + 1):
-            reach = len(words) - size + 1
-            if reach < 1:
-                break
-            mixed = mixed[:reach] * np.uint64(0x9E3779B97F4A7C15) + words[size - 1 :].astype(np.uint64)
-            if size not in self.sizes:
-                continue
-            at = np.searchsorted(self.mixed, mixed)
-            hits = np.flatnonzero(self.mixed[np.minimum(at, len(self.mixed) - 1)] == mixed)
-            for place in hits.tolist():
-                for k in self.seeds.get(tuple(words[place : place + size].tolist()), ()):
-                    found[k].append(place)
-        return found
+        self.sizes = np.array([len(words) for _, words in self.items], np.int64)
+        # A pair is one number, its first word times the base and its second; an item of one word is that word's number.
+        self.base = len(self.numbers) + 1
+        seeds = [words[:-1] * self.base + words[1:] if len(words) > 1 else words for _, words in self.items]
+        whole = np.concatenate(seeds) if seeds else np.zeros(0, np.int64)
+        self.codes, inverse = np.unique(whole, return_inverse=True)
+        self.ends = np.cumsum([len(seed) for seed in seeds], dtype=np.int64)
+        self.own = inverse.astype(np.int32)  # item after item: which code its seeds have
+        owner = np.repeat(np.arange(len(seeds), dtype=np.int32), [len(seed) for seed in seeds])
+        self.owner = owner[np.argsort(inverse, kind="stable")]  # code after code: the items that have it
+        self.starts = np.r_[0, np.cumsum(np.bincount(inverse, minlength=len(self.codes)))].astype(np.int64)
+        self.single = bool((self.sizes == 1).any())
+
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The seeds among these words (0: a word of no item): their codes' numbers and their places, in order."""
+        places = np.flatnonzero((words[:-1] > 0) & (words[1:] > 0))
+        found = words[places] * self.base + words[places + 1]
+        if self.single:
+            alone = np.flatnonzero(words)
+            places, found = np.r_[places, alone], np.r_[found, words[alone]]
+        at = np.minimum(np.searchsorted(self.codes, found), len(self.codes) - 1)
+        hit = self.codes[at] == found
+        at, places = at[hit], places[hit]
+        order = np.argsort(places, kind="stable")
+        return at[order], places[order]
 
     def held(self, text: str, least: float) -> list[tuple[int, float, int, int]]:
         """Items that a text holds: id, share of the greatest score, first and last word."""
         number = self.numbers.get
         raw = words_of(text)
         words = np.fromiter((number(word, 0) for word in raw), np.int64, len(raw))
-        if not len(words) or not len(self.mixed) or not words.any():
+        if not len(words) or not len(self.codes) or not words.any():
             return []
+        at, places = self.hits(words)
+        if not len(at):
+            return []
+        codes = np.unique(at)
+        many = self.starts[codes + 1] - self.starts[codes]
+        flat = np.repeat(self.starts[codes] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        items, counts = np.unique(self.owner[flat], return_counts=True)
+        sizes = self.sizes[items]
+        goals = np.where(sizes >= WORDS, least, 1.0) * MATCH * sizes
+        needs = np.maximum(1, np.ceil(goals - sizes - 1 - 1e-9))
         out = []
-        for k, places in self.places(words).items():
+        for k, goal, need in zip(*(x[counts >= needs].tolist() for x in (items, goals, needs)), strict=True):
             item_id, item = self.items[k]
-            reach = len(item) + len(item) // 2 + SEED
-            best = (0.0, 0, -1)
-            begin = end = None
-            spans = []
-            for place in sorted(places):  # windows that touch are one
-                low, high = max(0, place - reach), min(len(words), place + reach + SEED)
-                if end is not None and low <= end:
-                    end = max(end, high)
-                else:
-                    if end is not None:
-                        spans.append((begin, end))
-                    begin, end = low, high
-            spans.append((begin, end))
-            for begin, end in spans:
-                score, first, last = align(item, words[begin:end])
-                share = score / (MATCH * len(item))
-                if share > best[0]:
-                    best = (share, begin + first, begin + last)
-            if best[0] >= (least if len(item) >= WORDS else 1.0):
-                out.append((item_id, best[0], best[1], best[2]))
+            reach = int(np.ceil((3 - 2 * least) * len(item)))  # a word more costs a gap, so no passage is longer
+            own = self.own[self.ends[k] - max(1, len(item) - 1) : self.ends[k]]
+            mine = np.isin(at, own)
+            seeds, at_places = at[mine], places[mine]
+            best, first, last = 0, 0, -1
+            # Windows that touch are one, so a passage lies in one of them with all its seeds.
+            for part in np.split(np.arange(len(seeds)), np.flatnonzero(np.diff(at_places) > 2 * reach + 2) + 1):
+                if np.isin(own, seeds[part]).sum() >= need:
+                    begin, end = max(0, int(at_places[part[0]]) - reach), int(at_places[part[-1]]) + reach + 2
+                    score, low, high = align(item, words[begin:end])
+                    if score > best:
+                        best, first, last = score, begin + low, begin + high
+            if best >= goal - 1e-9:
+                out.append((item_id, best / (MATCH * len(item)), first, last))
         return sorted(out)
 
 

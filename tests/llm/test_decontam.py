@@ -96,3 +96,17 @@ def test_nulls_empties_short_items_and_clashing_columns(spark):
     assert decontam.contaminated(docs, benchmark.limit(0)).collect() == []
     assert decontam.contaminated(docs.limit(0), benchmark).collect() == []
     assert decontam.without_leaks(docs, benchmark.limit(0)).count() == 6
+
+
+def test_templated_items_are_found_with_the_telling_word_edited(spark):
+    """Items that share all but one word, and passages broken up after every second word, whatever the blocks."""
+    rng = random.Random(3)
+    template = [f"t{k}" for k in range(30)]
+    items = [(k, " ".join([*template[:14], f"name{k}", *template[15:]])) for k in range(8)]
+    fresh = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    broken = [word for k in range(0, 30, 2) for word in [*template[k : k + 2], "between"]]
+    docs = [(1, " ".join([*fresh(40), *template[:14], "edited", *template[15:], *fresh(40)])), (2, " ".join(fresh(90))), (3, " ".join([*fresh(20), *broken, *fresh(20)]))]
+    benchmark, table = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(table, benchmark).collect()}
+    assert found == {(key, k) for key in (1, 3) for k in range(8)}
+    assert [r["doc_id"] for r in decontam.without_leaks(table, benchmark).collect()] == [2]
