@@ -25,8 +25,8 @@ BLOCK = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's greatest possible score from which a document counts as holding it.
 LEAST = 0.6
-#: Aligned words that an item must have besides; shorter items must be held whole.
-WORDS = 5
+#: Words whose score an item must reach besides, so that a common phrase isn't an item; shorter items must be held whole.
+WORDS = 8
 
 FOUND = "array<struct<item_id: long, score: double, first_word: int, last_word: int>>"
 
@@ -117,7 +117,7 @@ class Items:
         flat = np.repeat(self.starts[codes] - (np.cumsum(many) - many), many) + np.arange(many.sum())
         items, counts = np.unique(self.owner[flat], return_counts=True)
         sizes = self.sizes[items]
-        goals = np.where(sizes >= WORDS, least, 1.0) * MATCH * sizes
+        goals = np.maximum(least * MATCH * sizes, MATCH * np.minimum(sizes, WORDS))
         needs = np.maximum(1, np.ceil(goals - sizes - 1 - 1e-9))
         out = []
         for k, goal, need in zip(*(x[counts >= needs].tolist() for x in (items, goals, needs)), strict=True):

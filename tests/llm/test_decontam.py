@@ -110,3 +110,12 @@ def test_templated_items_are_found_with_the_telling_word_edited(spark):
     found = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(table, benchmark).collect()}
     assert found == {(key, k) for key in (1, 3) for k in range(8)}
     assert [r["doc_id"] for r in decontam.without_leaks(table, benchmark).collect()] == [2]
+
+
+def test_common_phrases_are_no_short_items(spark):
+    """Clean documents that share a common phrase with a short question stay; the whole question is found."""
+    benchmark = spark.createDataFrame([(1, "What is the capital of France?"), (2, "Who wrote it first then"), (3, "How many of these ten common words does it have")], "item_id long, text string")
+    docs = [(1, "Lima is the capital of Peru"), (2, "they say he wrote it first"), (3, "so we ask what is the capital of France? and go on"), (4, "how many of these ten common things are there"), (5, "and how many of these ten common words does it have now")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(table, benchmark).collect()} == {(3, 1), (5, 3)}
+    assert sorted(r["doc_id"] for r in decontam.without_leaks(table, benchmark).collect()) == [1, 2, 4]
