@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontam, fingerprint, langid, linededup, pii, quality, simhash, toxicity, urlfilter
+from millrace.llm import bpe, decontam, fim, fingerprint, langid, linededup, pii, quality, simhash, toxicity, urlfilter
 from millrace.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -58,6 +58,40 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = F.sha2(fim.restored(F.col("output"), F.col("form")), 256)
+    made = ["doc_id", "n", "form", "prefix_chars", "middle_chars"]
+    return fim.transformed(docs).select(*made, F.sha2("output", 256).alias("output_sha256"), back.alias("restored_sha256"))
+
+
+FIM_SQL = r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+    sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), numbered AS (
+  SELECT *, len(units) AS n, ('0x' || h[1:8])::BIGINT % (len(units) + 1) AS one, ('0x' || h[9:16])::BIGINT % (len(units) + 1) AS other,
+    ('0x' || h[25:32])::BIGINT % 100 AS which
+  FROM drawn
+), cut AS (
+  SELECT *,
+    CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') THEN 'plain'
+      WHEN which < 50 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(units[1:least(one, other)], '') AS prefix,
+    array_to_string(units[least(one, other) + 1:greatest(one, other)], '') AS middle,
+    array_to_string(units[greatest(one, other) + 1:], '') AS suffix
+  FROM numbered
+)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE body END) AS output_sha256,
+  sha256(body) AS restored_sha256
+FROM cut
+"""
+
+
 QUERIES: dict[str, tuple] = {
     "op1_decontamination": (op1_decontamination, None),
     "op2_bpe": (op2_bpe, None),
@@ -69,4 +103,5 @@ QUERIES: dict[str, tuple] = {
     "op8_fingerprints": (op8_fingerprints, None),
     "op9_quality": (op9_quality, None),
     "op10_toxicity": (op10_toxicity, None),
+    "op13_fim": (op13_fim, FIM_SQL),
 }
