@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontam, fim, fingerprint, langid, linededup, pii, quality, simhash, toxicity, urlfilter
+from millrace.llm import bpe, decontam, fim, fingerprint, langid, linededup, pii, quality, simhash, toxicity, urlfilter, whitening
 from millrace.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -58,6 +58,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     back = F.sha2(fim.restored(F.col("output"), F.col("form")), 256)
@@ -103,5 +107,6 @@ QUERIES: dict[str, tuple] = {
     "op8_fingerprints": (op8_fingerprints, None),
     "op9_quality": (op9_quality, None),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_whitening": (op11_whitening, None),
     "op13_fim": (op13_fim, FIM_SQL),
 }
