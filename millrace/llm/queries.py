@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontam, fim, fingerprint, langid, linededup, pii, quality, simhash, toxicity, urlfilter, whitening
+from millrace.llm import bpe, decontam, fim, fingerprint, langid, linededup, pii, quality, simhash, suffixtree, toxicity, urlfilter, whitening
 from millrace.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -62,6 +62,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
 
 
+def op12_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.scored(table(spark, sf_dir, "documents"))
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     back = F.sha2(fim.restored(F.col("output"), F.col("form")), 256)
@@ -108,5 +112,6 @@ QUERIES: dict[str, tuple] = {
     "op9_quality": (op9_quality, None),
     "op10_toxicity": (op10_toxicity, None),
     "op11_whitening": (op11_whitening, None),
+    "op12_suffix_tree": (op12_suffix_tree, None),
     "op13_fim": (op13_fim, FIM_SQL),
 }
