@@ -11,8 +11,8 @@ with T(s) the number of different tokens seen after s. A token is scored in the
 Neither the corpus nor the tree is ever in one place. Texts become *blocks* of hashed tokens once. For each length of
 contexts, blocks send their distinct n-grams and counts (sorted, by slices of the hash range) to the slices' tasks, which add
 them up and answer each block in its own order; then the same with what each context's divergence is made of. A key that
-many documents share is one entry per block, so it makes no task larger. Positions whose context is no state are scored and
-leave, so longer contexts cost what they occur.
+many documents share is one entry per block, so it makes no task larger. Positions whose context is no state, or whose next
+longer one occurs only once, are scored and leave. Blocks are a table bucketed by their number: answers come to them.
 
 Words and contexts are told apart by 64-bit hashes (words of one length up to eight bytes never clash). Among n different
 ones some n^2 / 2^65 pairs share a number and have their counts added together: none to be expected below 10^9.
@@ -20,6 +20,8 @@ ones some n^2 / 2^65 pairs share a number and have their counts added together:
 
 from __future__ import annotations
 
+import gc
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +36,10 @@ from millrace.session import fresh_path, release
 #: Longest context, and the least divergence of a state from its shorter context, in nats over all its tokens.
 DEPTH, DIVERGENCE = 3, 3.0
 #: Tokens of a block (a longer document is a block of its own), and of a slice of the hash range.
-BLOCK = SLICE = 1 << 21
+BLOCK, SLICE = 1 << 20, 1 << 21
 HALF = 0.5
+#: Bytes of a token, about, and the most buckets a table can have; more blocks than that share buckets.
+TOKEN_BYTES, BUCKETS = 6, 100_000
 
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -81,7 +85,9 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def squeezed(values: np.ndarray) -> bytes:
-    """Numbers, byte plane by byte plane, compressed."""
+    """Numbers, byte plane by byte plane, compressed; unsigned ones in the least type that holds them."""
+    if values.dtype.kind == "u" and values.size:
+        values = values.astype(np.min_scalar_type(values.max()))
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
     body = pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
     return values.dtype.str.encode().ljust(4) + len(values).to_bytes(8, "little") + body
@@ -94,15 +100,15 @@ def expanded(packed: bytes) -> np.ndarray:
 
 
 def squeezed_rising(values: np.ndarray) -> bytes:
-    return squeezed(np.diff(values, prepend=values.dtype.type(0)))
+    """The same for rising numbers from 0 on, by their steps."""
+    return squeezed(np.diff(values.astype(np.uint64), prepend=np.uint64(0)))
 
 
 def expanded_rising(packed: bytes) -> np.ndarray:
-    steps = expanded(packed)
-    return np.cumsum(steps, dtype=steps.dtype)
+    return np.cumsum(expanded(packed), dtype=np.uint64)
 
 
-STATE = "block bigint, ids array<{key}>, held array<boolean>, sizes array<int>, known array<bigint>, base array<double>, score array<double>, words binary, tokens binary, places binary, chance binary, n bigint, teaching bigint, open bigint"
+STATE = "block bigint, ids array<{key}>, held array<boolean>, sizes array<int>, known array<bigint>, base array<double>, score array<double>, words binary, tokens binary, places binary, seen array<binary>, n bigint, teaching bigint, open bigint"
 
 
 def blocks(docs: DataFrame, text: str, key: str, held_out: tuple[int, int]) -> DataFrame:
@@ -135,9 +141,9 @@ def blocks(docs: DataFrame, text: str, key: str, held_out: tuple[int, int]) -> D
                 "base": nothing,
                 "score": nothing,
                 "words": pa.array([squeezed_rising(words)], pa.binary()),
-                "tokens": pa.array([squeezed(tokens.astype(np.int32))], pa.binary()),
+                "tokens": pa.array([squeezed(tokens.astype(np.uint32))], pa.binary()),
                 "places": pa.nulls(1, pa.binary()),
-                "chance": pa.nulls(1, pa.binary()),
+                "seen": pa.array([[]], pa.list_(pa.binary())),
                 "n": pa.array([len(hashes)], pa.int64()),
                 "teaching": pa.array([teaching], pa.int64()),
                 "open": pa.array([len(hashes)], pa.int64()),
@@ -170,9 +176,13 @@ def blocks(docs: DataFrame, text: str, key: str, held_out: tuple[int, int]) -> D
 
 
 class Positions:
-    """What a block knows about its open tokens and their contexts of ``level`` words."""
+    """What a block knows about its open tokens and their contexts of ``level`` words.
 
-    def __init__(self, state: dict, level: int):
+    ``seen`` has what the levels before have answered: counts of the block's words and, as contexts, their occurrences and
+    different followers (zeros: no state), then each open token's count; of longer contexts all three by open token.
+    """
+
+    def __init__(self, state: dict, level: int, contexts: bool = True, grams: bool = True):
         self.words, tokens = expanded_rising(state["words"]), expanded(state["tokens"])
         sizes = np.asarray(state["sizes"], np.int64)
         ends = np.cumsum(sizes)
@@ -180,18 +190,33 @@ class Positions:
             # The first token of a document has no context.
             first = np.zeros(len(tokens), bool)
             first[ends - sizes] = True
-            self.places, self.chance = np.flatnonzero(~first), None
+            self.places = np.flatnonzero(~first)
         else:
-            self.places, self.chance = expanded_rising(state["places"]), expanded(state["chance"])
-        self.tokens, self.sizes, self.begins = tokens, sizes, ends - sizes
+            self.places = expanded_rising(state["places"]).astype(np.int64)
+        self.level, self.tokens, self.sizes, self.begins = level, tokens, sizes, ends - sizes
+        self.seen = [expanded(x) for x in state.get("seen") or []]
         self.doc = np.searchsorted(ends, self.places, "right")
         self.teaches = ~np.asarray(state["held"], bool)[self.doc] if len(sizes) else np.zeros(0, bool)
-        context = self.words[tokens[self.places - 1]]
+        before = tokens[self.places - 1]
+        context = self.words[before]
         for k in range(2, level + 1):
             context = mixed(context * C1 + self.words[tokens[self.places - k]])
-        grams = mixed(context * C3 + self.words[tokens[self.places]])
-        self.contexts, self.of_context = np.unique(context, return_inverse=True)
-        self.grams, self.of_gram = np.unique(grams, return_inverse=True)
+        if grams:
+            self.grams, self.of_gram = np.unique(mixed(context * C3 + self.words[tokens[self.places]]), return_inverse=True)
+        if contexts:
+            # Contexts of one word are the block's words themselves.
+            self.contexts, self.of_context = (self.words, before) if level == 1 else np.unique(context, return_inverse=True)
+
+    def shorter_chance(self, totals: tuple[int, int]) -> np.ndarray:
+        """Each open token's chance after the context one word shorter."""
+        chance = _root(self.seen[0], totals)[self.tokens[self.places]]
+        if self.level > 1:
+            before = self.tokens[self.places - 1]
+            chance = smoothed(self.seen[3], self.seen[1][before], self.seen[2][before], chance)
+        for k in range(2, self.level):
+            n, different, counts = self.seen[3 * k - 2 : 3 * k + 1]
+            chance = smoothed(counts, n, different, chance)
+        return chance
 
     def gram_counts(self) -> np.ndarray:
         return np.bincount(self.of_gram, self.teaches, len(self.grams)).astype(np.uint32)
@@ -201,6 +226,12 @@ class Positions:
         return np.bincount(self.tokens, teaches, len(self.words)).astype(np.uint32)
 
 
+def smoothed(counts: np.ndarray, n: np.ndarray, different: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """Chance after a state, from that after its shorter context."""
+    different = different.astype(float)
+    return (counts + different * shorter) / (n + different)
+
+
 REQUEST = "kind string, slice int, block bigint, keys binary, values array<binary>"
 ANSWER = "kind string, slice int, block bigint, values array<binary>, different bigint"
 
@@ -225,13 +256,13 @@ def count_requests(state: DataFrame, level: int, bits: int) -> DataFrame:
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
-                own = Positions(row, level)
+                own = Positions(row, level, contexts=False)
                 yield _request_rows(list(sliced("grams", row["block"], own.grams, [own.gram_counts()], bits)))
                 if level == 1:
                     yield _request_rows(list(sliced("words", row["block"], own.words, [own.word_counts(row["held"])], bits)))
         give_back()
 
-    return state.select("block", "held", "sizes", "words", "tokens", "places", "chance").mapInArrow(ask, REQUEST)
+    return state.select("block", "held", "sizes", "words", "tokens", "places").mapInArrow(ask, REQUEST)
 
 
 def _added(requests: pa.Table) -> tuple[list[int], list[int], np.ndarray, list[np.ndarray], np.ndarray]:
@@ -305,60 +336,69 @@ def _root(counts: np.ndarray, totals: tuple[int, int]) -> np.ndarray:
 
 
 def divergence_requests(state: DataFrame, answers: DataFrame, level: int, bits: int, totals: tuple[int, int]) -> DataFrame:
-    """What each block adds to the divergence of its contexts."""
+    """What each block adds to the divergence of its contexts; and, as a request to nobody, what it has been answered: its
+    tokens' counts, the words' first where contexts have one word."""
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         own = Positions(row, level)
-        shorter = own.chance if own.chance is not None else _root(_gathered(right, "words"), totals)[own.tokens[own.places]]
-        counts = _gathered(right, "grams")[own.of_gram].astype(float)
-        counts, context, shorter = counts[own.teaches], own.of_context[own.teaches], shorter[own.teaches]
+        whole = _gathered(right, "grams")[own.of_gram]
+        if level == 1:
+            own.seen = [_gathered(right, "words")]
+        kept = {"kind": "own", "slice": -1, "block": row["block"], "keys": b"", "values": [squeezed(x) for x in ([own.seen[0]] if level == 1 else []) + [whole]]}
+        counts = whole[own.teaches].astype(float)
+        context, shorter = own.of_context[own.teaches], own.shorter_chance(totals)[own.teaches]
         often = counts > 1
         many = len(own.contexts)
-        n = np.bincount(context, minlength=many)
         values = [
-            n.astype(np.uint32),
+            np.bincount(context, minlength=many).astype(np.uint32),
             np.bincount(context[~often], minlength=many).astype(np.uint32),
             np.bincount(context, 1 / counts, many),
             np.bincount(context[often], np.log((counts[often] - 1) / shorter[often]), many).astype(np.float32),
         ]
-        if level == 1:
-            # Words that occur once become no state, wherever else they are asked about.
-            whole = _gathered(right, "words")[np.searchsorted(own.words, own.contexts)] >= 2
-            return pa.Table.from_batches([_request_rows(list(sliced("contexts", row["block"], own.contexts[whole], [x[whole] for x in values], bits)))])
-        return pa.Table.from_batches([_request_rows(list(sliced("contexts", row["block"], own.contexts, values, bits)))])
+        keys = own.contexts
+        if level == 1:  # words that occur once become no state
+            asked = own.seen[0] >= 2
+            keys, values = keys[asked], [x[asked] for x in values]
+        out = pa.Table.from_batches([_request_rows([kept, *sliced("contexts", row["block"], keys, values, bits)])])
+        del own, counts, context, shorter, often, values, keys, whole
+        give_back()
+        return out
 
-    inputs = state.select("block", "held", "sizes", "words", "tokens", "places", "chance")
+    inputs = state.select("block", "held", "sizes", "words", "tokens", "places", "seen")
     return inputs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask, REQUEST)
 
 
 def advanced(state: DataFrame, answers: DataFrame, level: int, totals: tuple[int, int], depth: int) -> DataFrame:
-    """Blocks after contexts of ``level`` words: tokens whose context is a state have its chance and stay open for longer
-    contexts; all others are added to their documents' scores."""
+    """Blocks after contexts of ``level`` words: tokens whose context is a state stay open for longer contexts; all others are
+    added to their documents' scores."""
 
     def advance(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        own = Positions(row, level)
+        own = Positions(row, level, grams=False)
         known, base, score = (np.asarray(row[name]) for name in ("known", "base", "score"))
         docs = len(own.sizes)
-        shorter = own.chance
         asked = np.ones(len(own.contexts), bool)
-        if shorter is None:
-            counts = _gathered(right, "words")
-            chances = _root(counts, totals)[own.tokens]
+        if level == 1:
+            own.seen = [_gathered(right, "own")]
+            chances = _root(own.seen[0], totals)[own.tokens]
             doc = np.repeat(np.arange(docs), own.sizes)
-            known = np.bincount(doc, counts[own.tokens] > 0, docs).astype(np.int64)
+            known = np.bincount(doc, own.seen[0][own.tokens] > 0, docs).astype(np.int64)
             base = np.bincount(doc, np.log10(chances), docs)
             score = np.log10(chances[own.begins])
-            shorter = chances[own.places]
-            asked = counts[np.searchsorted(own.words, own.contexts)] >= 2
-        n, different = np.zeros(len(own.contexts)), np.zeros(len(own.contexts))
+            asked = own.seen[0] >= 2
+        n, different = (np.zeros(len(own.contexts), np.uint64) for _ in range(2))
         n[asked], different[asked] = _gathered(right, "contexts", 0), _gathered(right, "contexts", 1)
-        n, different = n[own.of_context], different[own.of_context]
-        counts = _gathered(right, "grams")[own.of_gram].astype(float)
-        state_ = n > 0
-        chance = np.where(state_, (counts + different * shorter) / np.maximum(n + different, 1), shorter)
+        counts = _gathered(right, "own", -1)
+        chance = own.shorter_chance(totals)
+        state_ = n[own.of_context] > 0
+        inside = own.of_context[state_]
+        chance[state_] = smoothed(counts[state_], n[inside], different[inside], chance[state_])
         stay = state_ & (own.places - own.begins[own.doc] > level) & (level < depth)
+        # The next longer context is what ends before the token: where that is known to occur once, it is no state.
+        before = np.searchsorted(own.places, own.places - 1)
+        once = (own.places[before] == own.places - 1) & (counts[before] < 2) if len(before) else np.zeros(0, bool)
+        stay &= ~once
         score = score + np.bincount(own.doc[~stay], np.log10(chance[~stay]), docs)
         places = own.places[stay]
         # Only the tokens that longer contexts may still need go on.
@@ -366,8 +406,13 @@ def advanced(state: DataFrame, answers: DataFrame, level: int, totals: tuple[int
         for k in range(depth + 1):
             needed[np.maximum(places - k, 0)] = True
         used, again = np.unique(own.tokens[needed], return_inverse=True)
-        tokens = np.zeros(len(own.tokens), np.int32)
+        tokens = np.zeros(len(own.tokens), np.uint32)
         tokens[needed] = again
+        if level == 1:
+            seen = [own.seen[0][used], n[used], different[used], counts[stay]]
+        else:
+            inside = own.of_context[stay]
+            seen = [*(x[used] for x in own.seen[:3]), *(x[stay] for x in own.seen[3:]), n[inside], different[inside], counts[stay]]
         made = {
             **{name: left[name] for name in ("block", "ids", "held", "sizes")},
             "known": pa.array([known.tolist()], pa.list_(pa.int64())),
@@ -376,26 +421,47 @@ def advanced(state: DataFrame, answers: DataFrame, level: int, totals: tuple[int
             "words": pa.array([squeezed_rising(own.words[used])], pa.binary()),
             "tokens": pa.array([squeezed(tokens)], pa.binary()),
             "places": pa.array([squeezed_rising(places)], pa.binary()),
-            "chance": pa.array([squeezed(chance[stay])], pa.binary()),
+            "seen": pa.array([[squeezed(x) for x in seen]], pa.list_(pa.binary())),
             "n": left["n"],
             "teaching": left["teaching"],
             "open": pa.array([len(places)], pa.int64()),
         }
+        del own, counts, chance, stay, state_, inside, seen, tokens, needed, before
+        give_back()
         return pa.table(made)
 
-    inputs = state.groupBy("block").cogroup(answers.groupBy("block"))
-    return inputs.applyInArrow(advance, state.schema)
+    return state.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(advance, state.schema)
 
 
-def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def _written(df: DataFrame, name: str, by: str | None = None) -> tuple[DataFrame, str]:
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def grown(spark: SparkSession, state: DataFrame, depth: int, least: float) -> tuple[DataFrame, int]:
+def _bucketed(df: DataFrame, buckets: int) -> tuple[DataFrame, str, str]:
+    """Blocks as a table in the shared folder whose buckets need no shuffle to meet their answers; its name and folder."""
+    path, name = fresh_path(df.sparkSession, "lm-blocks"), f"millrace_blocks_{uuid.uuid4().hex[:12]}"
+    df.write.bucketBy(buckets, "block").option("path", path).format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name), path, name
+
+
+def _forget(spark: SparkSession, table: str, *paths: str) -> None:
+    """A level's intermediate results go. Its shuffle files follow when the driver's garbage is collected, which a large heap
+    may put off for longer than their disk lasts, so it is asked for."""
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    release(spark, *paths)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def grown(docs: DataFrame, text: str, key: str, held_out: tuple[int, int], depth: int, least: float) -> tuple[DataFrame, int]:
     """Blocks with all their scores, and the number of tokens that teach."""
-    state, path = _written(state, "lm-blocks")
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length(text) + TOKEN_BYTES)).first()[0] or 0
+    # With fewer buckets than a shuffle has partitions, Spark would deal the blocks anew.
+    buckets = min(BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (TOKEN_BYTES * BLOCK)))
+    state, path, name = _bucketed(blocks(docs, text, key, held_out), buckets)
     tokens, teaching = (int(x or 0) for x in state.agg(F.sum("n"), F.sum("teaching")).first())
     bits = max(0, (tokens // SLICE).bit_length())
     totals = (teaching, 0)
@@ -403,13 +469,18 @@ def grown(spark: SparkSession, state: DataFrame, depth: int, least: float) -> tu
         answers, counts_path = _written(counted(count_requests(state, level, bits)), "lm-counts")
         if level == 1:
             totals = (teaching, int(answers.where("kind = 'words'").agg(F.sum("different")).first()[0] or 0))
-        judgements, contexts_path = _written(judged(divergence_requests(state, answers, level, bits, totals), least), "lm-contexts")
-        following, before = advanced(state, answers.unionByName(judgements), level, totals, depth), path
-        state, path = _written(following, "lm-blocks")
-        release(spark, before, counts_path, contexts_path)
+        asked, asked_path = _written(divergence_requests(state, answers, level, bits, totals), "lm-asked", "kind")
+        judgements, contexts_path = _written(judged(asked.where("kind = 'contexts'"), least), "lm-contexts")
+        own = asked.where("kind = 'own'").select("kind", "slice", "block", "values", F.lit(0).cast("bigint").alias("different"))
+        following = advanced(state, own.unionByName(judgements), level, totals, depth)
+        old, old_path = name, path
+        state, path, name = _bucketed(following, buckets)
+        _forget(spark, old, old_path, counts_path, asked_path, contexts_path)
         if not state.agg(F.sum("open")).first()[0]:
             break
-    return state, teaching
+    whole = spark.read.schema(state.schema).parquet(path)
+    _forget(spark, name)
+    return whole, teaching
 
 
 def scored(
@@ -425,8 +496,7 @@ def scored(
     """
     if depth < 1:
         raise ValueError(f"contexts have one word at least: {depth}")
-    spark = docs.sparkSession
-    state, teaching = grown(spark, blocks(docs, text, key, held_out), depth, least)
+    state, teaching = grown(docs, text, key, held_out, depth, least)
     own = unused([key], "_row")[0]
     zipped = F.arrays_zip("ids", "held", "sizes", "known", "base", "score")
     return state.select(F.explode(zipped).alias(own)).select(
