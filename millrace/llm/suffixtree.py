@@ -316,7 +316,7 @@ def judged(requests: DataFrame, least: float) -> DataFrame:
 
     def judge(some: pa.Table) -> pa.Table:
         asking, _, of, (n, single, parts, ratios), edges = _added(some)
-        different = np.rint(parts)
+        different = single + np.rint(parts)  # a token seen c times is a c-th part of a token each time
         state = (n >= 2) & (divergence(n, single, different, ratios) >= least)
         values = [np.where(state, x, 0).astype(np.uint64)[of] for x in (n, different)]
         return _answers(some, asking, values, edges, int(state.sum()))
@@ -353,7 +353,7 @@ def divergence_requests(state: DataFrame, answers: DataFrame, level: int, bits:
         values = [
             np.bincount(context, minlength=many).astype(np.uint32),
             np.bincount(context[~often], minlength=many).astype(np.uint32),
-            np.bincount(context, 1 / counts, many),
+            np.bincount(context[often], 1 / counts[often], many),
             np.bincount(context[often], np.log((counts[often] - 1) / shorter[often]), many).astype(np.float32),
         ]
         keys = own.contexts
@@ -446,10 +446,9 @@ def _bucketed(df: DataFrame, buckets: int) -> tuple[DataFrame, str, str]:
     return df.sparkSession.table(name), path, name
 
 
-def _forget(spark: SparkSession, table: str, *paths: str) -> None:
-    """A level's intermediate results go. Its shuffle files follow when the driver's garbage is collected, which a large heap
-    may put off for longer than their disk lasts, so it is asked for."""
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
+def _let_go(spark: SparkSession, *paths: str) -> None:
+    """Intermediate results go, and with them the shuffle files of what has ended: these wait for the driver's garbage to be
+    collected, which a large heap may put off for longer than their disk lasts, so it is asked for."""
     release(spark, *paths)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
@@ -470,16 +469,19 @@ def grown(docs: DataFrame, text: str, key: str, held_out: tuple[int, int], depth
         if level == 1:
             totals = (teaching, int(answers.where("kind = 'words'").agg(F.sum("different")).first()[0] or 0))
         asked, asked_path = _written(divergence_requests(state, answers, level, bits, totals), "lm-asked", "kind")
+        _let_go(spark, counts_path)
         judgements, contexts_path = _written(judged(asked.where("kind = 'contexts'"), least), "lm-contexts")
         own = asked.where("kind = 'own'").select("kind", "slice", "block", "values", F.lit(0).cast("bigint").alias("different"))
+        _let_go(spark, f"{asked_path}/kind=contexts")
         following = advanced(state, own.unionByName(judgements), level, totals, depth)
         old, old_path = name, path
         state, path, name = _bucketed(following, buckets)
-        _forget(spark, old, old_path, counts_path, asked_path, contexts_path)
+        spark.sql(f"DROP TABLE {old}")
+        _let_go(spark, old_path, asked_path, contexts_path)
         if not state.agg(F.sum("open")).first()[0]:
             break
     whole = spark.read.schema(state.schema).parquet(path)
-    _forget(spark, name)
+    spark.sql(f"DROP TABLE {name}")
     return whole, teaching
 
 
