@@ -15,7 +15,7 @@ many documents share is one entry per block, so it makes no task larger. Positio
 longer one occurs only once, are scored and leave. Blocks are a table bucketed by their number: answers come to them.
 
 Words and contexts are told apart by 64-bit hashes (words of one length up to eight bytes never clash). Among n different
-ones some n^2 / 2^65 pairs share a number and have their counts added together: none to be expected below 10^9.
+ones some n^2 / 2^64 pairs share a number and have their counts added together: none to be expected below 10^9.
 """
 
 from __future__ import annotations
@@ -41,6 +41,7 @@ HALF = 0.5
 #: Bytes of a token, about, and the most buckets a table can have; more blocks than that share buckets.
 TOKEN_BYTES, BUCKETS = 6, 100_000
 
+ONE = np.uint64(1)
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -201,8 +202,8 @@ class Positions:
         context = self.words[before]
         for k in range(2, level + 1):
             context = mixed(context * C1 + self.words[tokens[self.places - k]])
-        if grams:
-            self.grams, self.of_gram = np.unique(mixed(context * C3 + self.words[tokens[self.places]]), return_inverse=True)
+        # The lowest bit of an n-gram's number is free.
+        self.gram = mixed(context * C3 + self.words[tokens[self.places]]) & ~ONE if grams else None
         if contexts:
             # Contexts of one word are the block's words themselves.
             self.contexts, self.of_context = (self.words, before) if level == 1 else np.unique(context, return_inverse=True)
@@ -218,8 +219,12 @@ class Positions:
             chance = smoothed(counts, n, different, chance)
         return chance
 
-    def gram_counts(self) -> np.ndarray:
-        return np.bincount(self.of_gram, self.teaches, len(self.grams)).astype(np.uint32)
+    def gram_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct n-grams, rising, and how often each occurs where it teaches: the lowest bit, once they are sorted."""
+        marked = np.sort(self.gram | self.teaches)
+        grams = marked & ~ONE
+        first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, np.int64)
+        return grams[first], np.add.reduceat(marked & ONE, first) if len(first) else first.astype(np.uint64)
 
     def word_counts(self, held: list[bool]) -> np.ndarray:
         teaches = np.repeat(~np.asarray(held, bool), self.sizes)
@@ -257,7 +262,8 @@ def count_requests(state: DataFrame, level: int, bits: int) -> DataFrame:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
                 own = Positions(row, level, contexts=False)
-                yield _request_rows(list(sliced("grams", row["block"], own.grams, [own.gram_counts()], bits)))
+                grams, counts = own.gram_counts()
+                yield _request_rows(list(sliced("grams", row["block"], grams, [counts], bits)))
                 if level == 1:
                     yield _request_rows(list(sliced("words", row["block"], own.words, [own.word_counts(row["held"])], bits)))
         give_back()
@@ -342,7 +348,8 @@ def divergence_requests(state: DataFrame, answers: DataFrame, level: int, bits:
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         own = Positions(row, level)
-        whole = _gathered(right, "grams")[own.of_gram]
+        _, of_gram = np.unique(own.gram, return_inverse=True)
+        whole = _gathered(right, "grams")[of_gram]
         if level == 1:
             own.seen = [_gathered(right, "words")]
         kept = {"kind": "own", "slice": -1, "block": row["block"], "keys": b"", "values": [squeezed(x) for x in ([own.seen[0]] if level == 1 else []) + [whole]]}
@@ -405,9 +412,10 @@ def advanced(state: DataFrame, answers: DataFrame, level: int, totals: tuple[int
         needed = np.zeros(len(own.tokens), bool)
         for k in range(depth + 1):
             needed[np.maximum(places - k, 0)] = True
-        used, again = np.unique(own.tokens[needed], return_inverse=True)
-        tokens = np.zeros(len(own.tokens), np.uint32)
-        tokens[needed] = again
+        used = np.zeros(len(own.words), bool)
+        used[own.tokens[needed]] = True
+        tokens = np.where(needed, (np.cumsum(used) - 1)[own.tokens], 0).astype(np.uint32)
+        used = np.flatnonzero(used)
         if level == 1:
             seen = [own.seen[0][used], n[used], different[used], counts[stay]]
         else:
