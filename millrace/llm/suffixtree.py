@@ -318,9 +318,12 @@ def divergence(n: np.ndarray, single: np.ndarray, different: np.ndarray, ratios:
 
 
 def judged(requests: DataFrame, least: float) -> DataFrame:
-    """For each context asked about: occurrences and different tokens after it; zeros if it becomes no state."""
+    """For each context asked about: occurrences and different tokens after it; zeros if it becomes no state. Notes go back to
+    their blocks as they are."""
 
     def judge(some: pa.Table) -> pa.Table:
+        if some["kind"][0].as_py() == "own":
+            return some.drop_columns(["keys"]).append_column("different", pa.array([0] * len(some), pa.int64()))
         asking, _, of, (n, single, parts, ratios), edges = _added(some)
         different = single + np.rint(parts)  # a token seen c times is a c-th part of a token each time
         state = (n >= 2) & (divergence(n, single, different, ratios) >= least)
@@ -342,8 +345,8 @@ def _root(counts: np.ndarray, totals: tuple[int, int]) -> np.ndarray:
 
 
 def divergence_requests(state: DataFrame, answers: DataFrame, level: int, bits: int, totals: tuple[int, int]) -> DataFrame:
-    """What each block adds to the divergence of its contexts; and, as a request to nobody, what it has been answered: its
-    tokens' counts, the words' first where contexts have one word."""
+    """What each block adds to the divergence of its contexts; and, in a slice of its own, what it has been answered, as a note
+    to itself: its tokens' counts, the words' first where contexts have one word."""
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
@@ -352,7 +355,8 @@ def divergence_requests(state: DataFrame, answers: DataFrame, level: int, bits:
         whole = _gathered(right, "grams")[of_gram]
         if level == 1:
             own.seen = [_gathered(right, "words")]
-        kept = {"kind": "own", "slice": -1, "block": row["block"], "keys": b"", "values": [squeezed(x) for x in ([own.seen[0]] if level == 1 else []) + [whole]]}
+        note = [*(own.seen[:1] if level == 1 else []), whole]
+        kept = {"kind": "own", "slice": hash(row["block"]) & 0x7FFFFFFF, "block": row["block"], "keys": b"", "values": [squeezed(x) for x in note]}
         counts = whole[own.teaches].astype(float)
         context, shorter = own.of_context[own.teaches], own.shorter_chance(totals)[own.teaches]
         often = counts > 1
@@ -441,9 +445,9 @@ def advanced(state: DataFrame, answers: DataFrame, level: int, totals: tuple[int
     return state.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(advance, state.schema)
 
 
-def _written(df: DataFrame, name: str, by: str | None = None) -> tuple[DataFrame, str]:
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = fresh_path(df.sparkSession, name)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -474,18 +478,17 @@ def grown(docs: DataFrame, text: str, key: str, held_out: tuple[int, int], depth
     totals = (teaching, 0)
     for level in range(1, depth + 1):
         answers, counts_path = _written(counted(count_requests(state, level, bits)), "lm-counts")
+        _let_go(spark)
         if level == 1:
             totals = (teaching, int(answers.where("kind = 'words'").agg(F.sum("different")).first()[0] or 0))
-        asked, asked_path = _written(divergence_requests(state, answers, level, bits, totals), "lm-asked", "kind")
+        asked = divergence_requests(state, answers, level, bits, totals)
+        judgements, contexts_path = _written(judged(asked, least), "lm-contexts")
         _let_go(spark, counts_path)
-        judgements, contexts_path = _written(judged(asked.where("kind = 'contexts'"), least), "lm-contexts")
-        own = asked.where("kind = 'own'").select("kind", "slice", "block", "values", F.lit(0).cast("bigint").alias("different"))
-        _let_go(spark, f"{asked_path}/kind=contexts")
-        following = advanced(state, own.unionByName(judgements), level, totals, depth)
+        following = advanced(state, judgements, level, totals, depth)
         old, old_path = name, path
         state, path, name = _bucketed(following, buckets)
         spark.sql(f"DROP TABLE {old}")
-        _let_go(spark, old_path, asked_path, contexts_path)
+        _let_go(spark, old_path, contexts_path)
         if not state.agg(F.sum("open")).first()[0]:
             break
     whole = spark.read.schema(state.schema).parquet(path)
