@@ -109,6 +109,15 @@ def latest_active_schema(schemas: DataFrame) -> DataFrame:
     )
 
 
+def newest_schemas(schemas: DataFrame) -> DataFrame:
+    """The newest version of each stream that is not deleted, and whether it is listed with unlike texts; null versions
+    are no versions: ``(stream, version, schema_json, ambiguous)``."""
+    versions = active_schemas(schemas).where("version is not null").groupBy("stream", "version")
+    texts = versions.agg(F.min("schema_json").alias("schema_json"), F.max("schema_json").alias("_other"))
+    own = F.struct("version", "schema_json", (F.col("schema_json") != F.col("_other")).alias("ambiguous"))
+    return texts.groupBy("stream").agg(F.max_by(own, F.col("version")).alias("s")).select("stream", "s.*")
+
+
 def next_version(streams: DataFrame, schemas: DataFrame) -> DataFrame:
     """The number the next schema gets: one past every version ever used, deleted ones included."""
     used = schemas.groupBy("stream").agg(F.max("version").alias("_max"))
@@ -188,7 +197,7 @@ def read_faults(fields: DataFrame, pairs: DataFrame) -> DataFrame:
     Fields match by name or alias.
     """
     # A row per stream holds all its schemas, so fields are shuffled once, and pairs meet both their schemas at once.
-    nodes = _readable_nodes(fields.repartition("stream"))
+    nodes = _readable_nodes(fields.where("version is not null").repartition("stream"))
     held = [n for n in nodes.columns if n not in ("stream", "version")]
     schemas = nodes.groupBy("stream", "version").agg(F.collect_list(F.struct(*held)).alias("_nodes"))
     streams = schemas.groupBy("stream").agg(F.map_from_entries(F.collect_list(F.struct("version", "_nodes"))).alias("_schemas"))

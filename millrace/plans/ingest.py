@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import avro, keypath
+from millrace.operators import registry
 from millrace.operators.conform import (
     accepted,
     available_requests,
@@ -17,6 +18,7 @@ from millrace.operators.conform import (
     rejected,
     responses,
 )
+from millrace.plans.by_schema import each_by_its_own
 
 
 @dataclass(frozen=True)
@@ -95,3 +97,48 @@ def answer_requests(
     elements = explode_request(judged_requests, ["request_id", "stream", "refusal"]).where("pos is not null")
     judged = judge_by_stream(elements, schemas).withColumn("reason", F.coalesce("refusal", "reason"))
     return responses(judged, ["request_id", "stream", "pos"], now)
+
+
+NO_ARRAY = "not an array"
+
+
+def admit_by_registry(
+    requests: DataFrame,
+    catalog: DataFrame,
+    schemas: DataFrame,
+    partitions: int = 6,
+    hashing=keypath.key_hash,
+    keys: tuple[str, ...] = ("request_id", "stream"),
+) -> DataFrame:
+    """Elements of array requests ``(request_id, stream, body)`` of many streams, judged by the newest schema that the registry
+    lists for their stream, and placed by the stream's key path.
+
+    ``catalog(stream, enabled, partition_path)``, ``schemas(stream, version, schema_json, deleted)``. A row per element:
+    the request's ``keys``, ``pos``, ``element`` (its text), ``reason`` (null: admitted), ``schema_version`` and
+    ``partition``. A body that is no array is one row without a position. What refuses a whole request - an unknown or
+    disabled stream, one without a schema or with an ambiguous one - is the reason of each of its elements; a schema
+    that can't be read refuses its own streams' elements alone. Checks are compiled once for each schema and key path in use.
+    """
+    newest = registry.newest_schemas(schemas)
+    known = catalog.select("stream", "enabled", "partition_path").join(newest, "stream", "left").withColumnRenamed("version", "latest_version")
+    refused = available_requests(requests, known).drop("enabled")
+    refused = refused.join(known.select("stream", "schema_json", "ambiguous", "partition_path"), "stream", "left")
+    refusal = F.coalesce("refusal", F.when(F.col("ambiguous"), "ambiguous schema"))
+    carried = [*keys, "refusal", "latest_version", "schema_json", "partition_path"]
+    elements = explode_request(refused.withColumn("refusal", refusal), carried).drop("node")
+    reason = F.coalesce("refusal", F.when(F.col("pos").isNull(), NO_ARRAY))
+    elements = elements.withColumn("refusal", reason).withColumn("schema_json", F.when(reason.isNull(), F.col("schema_json")))
+
+    def judge(node: Column, schema_json: str, key_path: str | None) -> dict[str, Column]:
+        is_object = F.coalesce(F.schema_of_variant(node).startswith("OBJECT"), F.lit(False))
+        spread = F.concat_ws("|", F.lit(NO_KEY), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*keys, "pos")))
+        place = keypath.partition_number(hashing(keypath.key_node(node, key_path), spread), partitions)
+        return {"reason": reject_reason(node, is_object, avro.load(schema_json)), "partition": place}
+
+    recipes = known.select("schema_json", "partition_path")
+    judged = each_by_its_own(elements, ["schema_json", "partition_path"], recipes, "element", judge, {"reason": "string", "partition": "int"})
+    reason = F.coalesce("refusal", F.when(F.col("unreadable"), "unreadable schema"), "reason")
+    admitted = F.col("reason").isNull()
+    return judged.select(
+        *keys, "pos", "element", reason.alias("reason"), F.col("latest_version").alias("schema_version"), "partition"
+    ).withColumn("partition", F.when(admitted, F.col("partition")))

@@ -8,52 +8,46 @@ from pyspark.sql import functions as F
 from millrace.functions import avro
 from millrace.operators.mask import GRANT_PII, blank, mask_column
 from millrace.operators.positions import log_ends, resume_read
+from millrace.plans.by_schema import each_by_its_own
 
 
 def join_writer_schema(records: DataFrame, schemas: DataFrame) -> DataFrame:
-    """Attach the schema each record was written with; ``error`` tells an unknown stream from an unknown
-    version. ``records(stream, schema_version, ...)``, ``schemas(stream, version, schema_json)``.
+    """Attach the schema each record was written with; ``error`` tells an unknown stream, an unknown version and an
+    ambiguous one. ``records(stream, schema_version, ...)``, ``schemas(stream, version, schema_json)``.
 
     The registry is metadata: a row per stream with its schemas by version, met by one join on the stream, by a
-    broadcast whenever its size allows.
+    broadcast whenever its size allows. A version that is listed with unlike texts is ambiguous, and a null version is no
+    version; either ends decoding for its own records alone. A version without a text is unknown.
     """
-    known = schemas.groupBy("stream").agg(F.map_from_entries(F.collect_set(F.struct("version", "schema_json"))).alias("_schemas"))
-    text = F.try_element_at("_schemas", F.col("schema_version"))
-    error = F.when(F.col("_schemas").isNull(), "unknown stream").when(text.isNull(), "unknown version")
-    return records.join(known, "stream", "left").withColumn("schema_json", text).withColumn("error", error).drop("_schemas")
-
-
-#: Schemas compiled into one expression; more are decoded by another pass over the records.
-SCHEMAS_AT_ONCE = 50
+    versions = schemas.groupBy("stream", "version").agg(F.min("schema_json").alias("text"), F.max("schema_json").alias("_other"))
+    entry = F.struct("version", F.struct("text", (F.col("text") != F.col("_other")).alias("ambiguous")))
+    known = versions.groupBy("stream").agg(F.map_from_entries(F.collect_list(F.when(F.col("version").isNotNull(), entry))).alias("_schemas"))
+    joined = records.join(known, "stream", "left").withColumn("_own", F.try_element_at("_schemas", F.col("schema_version")))
+    error = (
+        F.when(F.col("_schemas").isNull(), "unknown stream")
+        .when(F.col("_own.ambiguous"), "ambiguous version")
+        .when(F.col("_own.text").isNull(), "unknown version")
+    )
+    return joined.withColumn("error", error).withColumn("schema_json", F.when(F.col("error").isNull(), F.col("_own.text"))).drop("_schemas", "_own")
 
 
 def decode_by_registry(records: DataFrame, schemas: DataFrame, body: str = "body", out: str = "payload") -> DataFrame:
     """Records of many streams, each decoded by the schema that its stream and version name in the registry.
 
-    Adds ``out``, the record as JSON of its own schema, and ``error``: ``unknown stream``, ``unknown version`` or
-    ``unreadable``, a body that isn't a record of its schema. Streams that share a schema are decoded alike; only schemas
-    that are used are compiled, as many at once as one expression holds.
+    Adds ``out``, the record as JSON of its own schema, and ``error``: ``unknown stream``, ``unknown version``, ``ambiguous
+    version``, ``unreadable schema`` or ``unreadable``, a body that isn't a record of its schema. The records are read once,
+    however many schemas they use; streams that share a schema are decoded alike.
     """
+
+    def decode(node, schema_json: str) -> dict:
+        schema = avro.load(schema_json)
+        payload = F.to_json(avro.typed(node, schema), {"ignoreNullFields": "false"})
+        return {out: F.when(F.coalesce(avro.accepts(node, schema), F.lit(False)), payload)}
+
     attached = join_writer_schema(records, schemas)
-    used = [r["schema_json"] for r in records.select("stream", "schema_version").distinct().join(
-        schemas.select("stream", F.col("version").alias("schema_version"), "schema_json"), ["stream", "schema_version"]
-    ).select("schema_json").distinct().orderBy("schema_json").collect()]
-    parts = [attached.where(F.col("error").isNotNull()).withColumn(out, F.lit(None).cast("string")).drop("schema_json")]
-    for start in range(0, len(used), SCHEMAS_AT_ONCE):
-        some = used[start : start + SCHEMAS_AT_ONCE]
-        rows = attached.where(F.col("schema_json").isin(*some)).withColumn("_node", F.try_parse_json(F.col(body)))
-        readable, payload = F.lit(None).cast("boolean"), F.lit(None).cast("string")
-        for text in some:
-            schema = avro.load(text)
-            mine = F.col("schema_json") == text
-            readable = F.when(mine, avro.accepts(F.col("_node"), schema)).otherwise(readable)
-            payload = F.when(mine, F.to_json(avro.typed(F.col("_node"), schema), {"ignoreNullFields": "false"})).otherwise(payload)
-        rows = rows.withColumn("_ok", F.coalesce(readable, F.lit(False))).withColumn(out, F.when(F.col("_ok"), payload))
-        parts.append(rows.withColumn("error", F.when(~F.col("_ok"), "unreadable")).drop("_node", "_ok", "schema_json"))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    decoded = each_by_its_own(attached, ["schema_json"], schemas, body, decode, {out: "string"})
+    error = F.coalesce(F.col("error"), F.when(F.col("unreadable"), "unreadable schema"), F.when(F.col(out).isNull(), "unreadable"))
+    return decoded.withColumn("error", error).drop("unreadable")
 
 
 def decode_by_version(records: DataFrame, schemas: dict[int, str], body: str = "body", out: str = "decoded") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,17 +13,17 @@ from millrace.session import fresh_path
 ENDS = "partition int, begin bigint, end bigint"
 
 
-def assign_offsets(df: DataFrame, order: list[str], next_offsets: DataFrame | None = None) -> DataFrame:
-    """Give records with a ``partition`` their dense offsets, in ``order`` within the partition.
+def assign_offsets(df: DataFrame, order: list[str], next_offsets: DataFrame | None = None, group: str = "partition") -> DataFrame:
+    """Give records with a ``partition`` (or another ``group``) their dense offsets, in ``order`` within it.
 
     ``next_offsets(partition, next_offset)`` continues an existing log. ``order`` must be total.
     """
-    placed = place_in_order(df, fresh_path(df.sparkSession, "placed"), "partition", order)
+    placed = place_in_order(df, fresh_path(df.sparkSession, "placed"), group, order)
     if next_offsets is None:
         return placed
-    base = next_offsets.select("partition", "next_offset")
+    base = next_offsets.select(group, "next_offset")
     return (
-        placed.join(base, "partition", "left")
+        placed.join(base, group, "left")
         .withColumn("offset", F.col("offset") + F.coalesce("next_offset", F.lit(0)))
         .drop("next_offset")
     )
@@ -102,23 +102,33 @@ def _spec_ranges(spec: str) -> list[tuple[int, int, int]]:
 def bounded_offset_scan(log: DataFrame, ranges: DataFrame | str) -> DataFrame:
     """Exactly the records whose offset is in ``[start, end)`` of their partition's range.
 
-    Ranges are text (a job argument) or rows ``(partition, start, end)``, one for each partition at most: as many as a topic is
-    wide, so they are read here, and the log is never joined. Folders are pruned by the partitions asked for, files
-    and row groups by the least start and the greatest end; each partition's own range is looked up by its number.
-    Empty ranges read nothing.
+    Ranges are text (a job argument) or rows ``(partition, start, end)``, about as many as a topic is wide, so they are read
+    here, and the log is never joined. A partition may have several, which may overlap: a record in any of them is read
+    once. Folders are pruned by the partitions asked for, files and row groups by the least start and the greatest end; each
+    partition's own ranges are looked up by its number. Empty ranges read nothing.
     """
     if isinstance(ranges, str):
         given = _spec_ranges(ranges)
     else:
         given = [(r["partition"], r["start"], r["end"]) for r in ranges.select("partition", "start", "end").collect()]
-    wanted = {partition: (start, end) for partition, start, end in given if start < end}
+    wanted: dict[int, list[tuple[int, int]]] = {}
+    for number, start, end in given:
+        if start < end:
+            wanted.setdefault(number, []).append((start, end))
     if not wanted:
         return log.where(F.lit(False))
-    numbers = range(max(wanted) + 1)
-    starts, ends = (F.array(*[F.lit(wanted[p][side] if p in wanted else 0).cast("bigint") for p in numbers]) for side in (0, 1))
     partition, offset = F.col("partition"), F.col("offset")
-    asked = partition.isin(*wanted) & (offset >= min(s for s, _ in wanted.values())) & (offset < max(e for _, e in wanted.values()))
-    return log.where(asked & (offset >= F.get(starts, partition)) & (offset < F.get(ends, partition)))
+    least, most = min(s for own in wanted.values() for s, _ in own), max(e for own in wanted.values() for _, e in own)
+    asked = partition.isin(*wanted) & (offset >= least) & (offset < most)
+
+    def bounds(side: int) -> Column:
+        entries = [x for number, own in wanted.items() for x in (F.lit(number).cast("bigint"), F.array(*[F.lit(r[side]).cast("bigint") for r in own]))]
+        return F.try_element_at(F.create_map(*entries), partition.cast("bigint"))
+
+    if all(len(own) == 1 for own in wanted.values()):
+        return log.where(asked & (offset >= F.get(bounds(0), 0)) & (offset < F.get(bounds(1), 0)))
+    inside = F.exists(F.arrays_zip(bounds(0).alias("s"), bounds(1).alias("e")), lambda r: (offset >= r["s"]) & (offset < r["e"]))
+    return log.where(asked & inside)
 
 
 def latest_by_key(log: DataFrame, key: str, value: str, order: str) -> DataFrame:

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.functions.keypath import key_hash
-from millrace.operators.conform import accepted, conform, rejected
+from millrace.operators.conform import accepted, conform, rejected, responses
 from millrace.operators.mask import blank
 from millrace.operators.model import emit_patches, patch_rows
-from millrace.plans.ingest import partition_by_key
+from millrace.plans.ingest import admit_by_registry, partition_by_key
 from millrace.plans.land import land_range
-from millrace.plans.serve import serve
+from millrace.plans.serve import decode_by_registry, serve
 from millrace.session import passing, settle
 from millrace.sources.log import assign_offsets
 
@@ -114,6 +114,78 @@ def ingest_stream(
     )
 
 
+Metadata = Callable[[SparkSession], DataFrame]
+
+
+def ingest_many_stream(
+    requests: DataFrame,
+    *,
+    catalog: Metadata,
+    schemas: Metadata,
+    log: str,
+    answers: str,
+    checkpoint: str,
+    partitions: int = 6,
+    hashing=None,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Array requests ``(request_id, stream, body)`` of all streams, admitted by one query.
+
+    ``catalog`` and ``schemas`` are read anew for every micro-batch, so a stream or a schema that is registered while
+    the query runs counts from the next micro-batch on. Every element gets its answer, in position, below ``answers``;
+    admitted ones get the next dense offsets of their stream's partition, below ``log``. A micro-batch writes folders of its own
+    and starts from the positions of the one before; run again, it replaces its own folders.
+    """
+
+    def admit(batch: DataFrame, number: int) -> None:
+        with passing(batch.sparkSession):
+            write(batch, number)
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        judged = admit_by_registry(batch, catalog(spark), schemas(spark), partitions, hashing or key_hash)
+        judged = settle(judged, "judged")
+        told = responses(judged, ["request_id", "stream", "pos", "schema_version"])
+        told.write.mode("overwrite").parquet(f"{answers}/batch={number}")
+        place = F.concat_ws("/", "stream", F.col("partition").cast("string"))
+        rows = judged.where(F.col("reason").isNull()).drop("reason").withColumnRenamed("element", "body").withColumn("_place", place)
+        before = spark.read.schema("_place string, next_offset bigint").parquet(f"{log}-ends/batch={number - 1}") if number else None
+        rows = assign_offsets(rows, ["request_id", "pos"], before, group="_place")
+        target = f"{log}/batch={number}"
+        by = ["stream", "partition"]
+        rows.sortWithinPartitions(*by, "offset").write.mode("overwrite").partitionBy(*by).parquet(target)
+        written = spark.read.schema("_place string, offset bigint").parquet(target)
+        now = written.groupBy("_place").agg((F.max("offset") + 1).alias("next_offset"))
+        kept = now if before is None else now.unionByName(before).groupBy("_place").agg(F.max("next_offset").alias("next_offset"))
+        kept.write.mode("overwrite").parquet(f"{log}-ends/batch={number}")
+
+    return (
+        requests.writeStream.foreachBatch(admit)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def decode_stream(records: DataFrame, *, schemas: Metadata, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """A followed log of many streams, decoded record by record as :func:`millrace.plans.serve.decode_by_registry` does.
+
+    The registry is read anew for every micro-batch. A record whose schema isn't registered when it is read goes out with
+    its error; a micro-batch that is run again replaces its own folder.
+    """
+
+    def decode(batch: DataFrame, number: int) -> None:
+        with passing(batch.sparkSession):
+            decode_by_registry(batch, schemas(batch.sparkSession)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return (
+        records.writeStream.foreachBatch(decode)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
 def serve_stream(records: DataFrame, schemas: dict[int, str], grants=frozenset(), replacer=blank) -> DataFrame:
     """Serve a followed log to one consumer group. The group's position is the checkpoint of the query that
     writes this out, so give every (stream, group) a checkpoint of its own."""
