@@ -60,6 +60,12 @@ def bounded_scan(spark, sf_dir):
     return bounded_offset_scan(event_log(spark, sf_dir), SPEC).select("partition", "offset", "event_id")
 
 
+def several_ranges(spark, sf_dir):
+    """Several ranges of a partition, in text, some of which overlap, touch or are empty."""
+    spec = "0:0,5;0:10,15;0:12,20;1:3,3;2:7,9;2:9,11;2:2,4;5:0,1"
+    return bounded_offset_scan(event_log(spark, sf_dir), spec).select("partition", "offset", "event_id")
+
+
 def joined_bounded_scan(spark, sf_dir):
     log = event_log(spark, sf_dir)
     ranges = _commits(log).where("consumer = 'click'").select(
@@ -188,6 +194,11 @@ daily AS (SELECT strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS day, part
 
 QUERIES = {
     "log_scan": (log_scan, f'WITH {LOG_SQL} SELECT partition, "offset", ts_ms, schema_version, event_id, user_id, event_type FROM log'),
+    "several_ranges": (
+        several_ranges,
+        f"""WITH {LOG_SQL} SELECT partition, "offset", event_id FROM log WHERE (partition = 0 AND ("offset" < 5 OR "offset" BETWEEN 10 AND 19))
+        OR (partition = 2 AND ("offset" BETWEEN 7 AND 10 OR "offset" IN (2, 3))) OR (partition = 5 AND "offset" = 0)""",
+    ),
     "bounded_scan": (
         bounded_scan,
         f"""WITH {LOG_SQL} SELECT partition, "offset", event_id FROM log

@@ -127,6 +127,25 @@ faults AS (
   SELECT stream, existing AS reader, candidate AS writer, '/id' AS path, 'type' AS fault FROM pairs WHERE existing < 3 AND candidate >= 3
   UNION ALL SELECT stream, candidate, existing, '/extra', 'missing' FROM pairs WHERE candidate = 4 AND c_custkey % 2 = 0)"""
 
+def decode_bad_registry(spark, sf_dir):
+    """The registry has a version twice with unlike texts, null versions, a version without a text, and a text that is no
+    schema; records of other streams are decoded all the same."""
+    records = sql(
+        spark, sf_dir,
+        """SELECT event_id, event_type AS stream, CAST(1 + event_id % 3 AS INT) AS schema_version,
+           to_json(named_struct('id', event_id, 'user', user_id, 'kind', event_type)) AS body FROM {events}""",
+        "events",
+    )
+    registry_rows = [
+        ("click", 1, EVENT_V1), ("click", 1, EVENT_V2), ("click", 2, EVENT_V1), ("click", None, EVENT_V1), ("click", 3, None),
+        ("view", None, EVENT_V1), ("view", None, EVENT_V2), ("view", 2, "no schema"), ("view", 3, '{"type":"record"}'),
+        ("purchase", 1, EVENT_V1), ("purchase", 1, EVENT_V1), ("purchase", 2, EVENT_V1), ("signup", None, None),
+    ]
+    known = spark.createDataFrame(registry_rows, "stream string, version int, schema_json string")
+    decoded = decode_records(records, known)
+    return decoded.select("event_id", "error", F.get_json_object("payload", "$.id").cast("bigint").alias("id"))
+
+
 QUERIES = {
     "decode_by_registry": (
         decode_by_registry,
@@ -135,6 +154,14 @@ QUERIES = {
           WHEN odd THEN 'unreadable' END AS error FROM r)
         SELECT event_id, error, CASE WHEN error IS NULL THEN event_id END AS id, error IS NULL AND v = 2 AND s <> 'view' AS with_value FROM j""",
     ),
+    "decode_bad_registry": (
+        decode_bad_registry,
+        """WITH r AS (SELECT event_id, event_type AS s, 1 + event_id % 3 AS v FROM events),
+        j AS (SELECT *, CASE s WHEN 'click' THEN CASE v WHEN 1 THEN 'ambiguous version' WHEN 3 THEN 'unknown version' END
+          WHEN 'view' THEN CASE v WHEN 1 THEN 'unknown version' ELSE 'unreadable schema' END
+          WHEN 'purchase' THEN CASE v WHEN 3 THEN 'unknown version' END WHEN 'signup' THEN 'unknown version' ELSE 'unknown stream' END AS error FROM r)
+        SELECT event_id, error, CASE WHEN error IS NULL THEN event_id END AS id FROM j""",
+    ),
     "join_writer_schema": (
         join_writer_schema,
         f"""WITH {SCHEMAS_SQL}, r AS (SELECT o_orderkey, 'stream_' || o_custkey AS stream, CAST(1 + o_orderkey % 5 AS INT) AS schema_version FROM orders)

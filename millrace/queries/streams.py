@@ -183,6 +183,76 @@ def agent_stream_muted(spark, sf_dir):
     return _asked(spark, log_stream(spark, path, rows.schema), -(-many // 3), itertools.chain([0], steps))
 
 
+def _in_halves(spark, rows, order, name, run):
+    """Rows arrive in two steps, by ``order``; after each one ``run(stream, step)`` drains the stream."""
+    path, many = fresh_path(spark, name), rows.count()
+    for step in range(2):
+        rows.where(f"{order} * 2 >= {step * many} AND {order} * 2 < {(step + 1) * many}").write.mode("append").parquet(path)
+        run(log_stream(spark, path, rows.schema), step)
+
+
+# Streams of the region table: 3 is disabled, 4 has no schema at all.
+K_ONLY = '{"type":"record","name":"m","fields":[{"name":"k","type":"int"}]}'
+KIND_ONLY = '{"type":"record","name":"m","fields":[{"name":"kind","type":"string"}]}'
+
+
+def _growing_registry(spark):
+    """A registry of files: what it lists at first, and what is registered between the steps."""
+    path = fresh_path(spark, "registry")
+    shape = "stream string, version int, schema_json string, deleted boolean"
+    lists = [
+        [("s0", 1, K_ONLY, False), ("s1", 1, KIND_ONLY, False), ("s1", 2, K_ONLY, True)],
+        [("s0", 2, KIND_ONLY, False), ("s2", 1, K_ONLY, False)],
+    ]
+
+    def register(step):
+        spark.createDataFrame(lists[step], shape).write.mode("append").parquet(path)
+
+    return register, lambda session: session.read.schema(shape).parquet(path)
+
+
+def ingest_many_stream(spark, sf_dir):
+    """Requests of six streams by one query; a newer schema of one stream, and the first one of another, are registered
+    between two micro-batches."""
+    requests = table(spark, sf_dir, "events").selectExpr(
+        "event_id AS request_id", "concat('s', user_id % 6) AS stream",
+        """CASE WHEN event_id % 10 = 7 THEN '{"k":1}' ELSE concat('[{"k":', event_id, '},{"kind":"', event_type, '"},7]') END AS body""",
+    )
+    regions = table(spark, sf_dir, "region")
+    catalog = regions.selectExpr("concat('s', r_regionkey) AS stream", "r_regionkey <> 3 AS enabled", "CASE WHEN r_regionkey <> 1 THEN '$.k' END AS partition_path")
+    register, listed = _growing_registry(spark)
+    folders = {name: fresh_path(spark, f"many-{name}") for name in ("log", "answers", "checkpoint")}
+
+    def run(requests, step):
+        register(step)
+        jobs.ingest_many_stream(requests, catalog=lambda _: catalog, schemas=listed, partitions=4, **folders).awaitTermination()
+
+    _in_halves(spark, requests, "request_id", "requests", run)
+    answers = spark.read.parquet(folders["answers"])
+    logged = spark.read.parquet(folders["log"])
+    places = logged.groupBy("stream", "partition").agg(F.count("*").alias("n"), F.max("offset").alias("last"), F.countDistinct("offset").alias("places"))
+    dense = places.groupBy("stream").agg(F.sum("n").alias("logged"), F.min(F.expr("n = places AND n = last + 1")).alias("dense"))
+    told = answers.select("request_id", "stream", "pos", "success", "answer", "schema_version")
+    return told.join(dense, "stream", "left")
+
+
+def decode_stream(spark, sf_dir):
+    """A log of several streams followed and decoded; the schemas of one are registered between two micro-batches."""
+    records = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "concat('s', user_id % 4) AS stream", "CAST(1 + event_id % 2 AS INT) AS schema_version",
+        """concat('{"k":', event_id, CASE WHEN event_id % 5 = 0 THEN '' ELSE concat(',"kind":"', event_type, '"') END, '}') AS body""",
+    )
+    register, listed = _growing_registry(spark)
+    path, checkpoint = fresh_path(spark, "decoded"), fresh_path(spark, "decoded-checkpoint")
+
+    def run(records, step):
+        register(step)
+        jobs.decode_stream(records, schemas=listed, path=path, checkpoint=checkpoint).awaitTermination()
+
+    _in_halves(spark, records, "event_id", "records", run)
+    return spark.read.parquet(path).select("event_id", "stream", "error", "payload")
+
+
 _CHANGES_SQL = """
 changes AS (SELECT key, "offset", CASE WHEN new IS NULL THEN 'remove' WHEN old IS NULL THEN 'new' ELSE 'update' END AS change, old, new, coalesce(old = new, FALSE) AS same FROM (
   SELECT user_id AS key, event_id AS "offset", CASE WHEN event_type <> 'error' THEN event_type END AS new,
@@ -190,6 +260,27 @@ changes AS (SELECT key, "offset", CASE WHEN new IS NULL THEN 'remove' WHEN old I
 """
 
 QUERIES = {
+    "ingest_many_stream": (
+        ingest_many_stream,
+        """WITH e AS (SELECT event_id, event_type, user_id % 6 AS s, event_id * 2 >= (SELECT count(*) FROM events) AS late, event_id % 10 = 7 AS odd FROM events),
+        p AS (SELECT e.*, v.p FROM e, (VALUES (0), (1), (2)) v(p) WHERE NOT odd UNION ALL SELECT e.*, NULL FROM e WHERE odd),
+        k AS (SELECT *, CASE s WHEN 0 THEN CASE WHEN late THEN 'kind' ELSE 'k' END WHEN 1 THEN 'kind' WHEN 2 THEN CASE WHEN late THEN 'k' END END AS field FROM p),
+        a AS (SELECT *, CASE WHEN s = 5 THEN 'unknown stream' WHEN s = 3 THEN 'disabled' WHEN field IS NULL THEN 'no schema' WHEN odd THEN 'not an array'
+          WHEN p = 2 THEN 'not an object' WHEN p = (field = 'kind')::INT THEN 'Message accepted.' ELSE 'missing:' || field END AS answer FROM k),
+        n AS (SELECT s, count(*) AS logged FROM a WHERE answer = 'Message accepted.' GROUP BY s)
+        SELECT event_id AS request_id, 's' || a.s AS stream, CAST(p AS INT) AS pos, answer = 'Message accepted.' AS success, answer,
+          CASE WHEN a.s = 0 AND late THEN 2 WHEN a.s < 2 OR (a.s = 2 AND late) THEN 1 END AS schema_version, CAST(logged AS BIGINT) AS logged,
+          CASE WHEN logged IS NOT NULL THEN TRUE END AS dense
+        FROM a LEFT JOIN n ON n.s = a.s""",
+    ),
+    "decode_stream": (
+        decode_stream,
+        """WITH e AS (SELECT event_id, event_type, user_id % 4 AS s, 1 + event_id % 2 AS v, event_id * 2 >= (SELECT count(*) FROM events) AS late, event_id % 5 <> 0 AS named FROM events),
+        f AS (SELECT *, CASE WHEN s = 0 AND v = 1 THEN 'k' WHEN s = 0 AND late THEN 'kind' WHEN s = 1 AND v = 1 THEN 'kind' WHEN s = 1 THEN 'k' WHEN s = 2 AND v = 1 AND late THEN 'k' END AS field,
+          s < 2 OR (s = 2 AND late) AS listed FROM e)
+        SELECT event_id, 's' || s AS stream, CASE WHEN NOT listed THEN 'unknown stream' WHEN field IS NULL THEN 'unknown version' WHEN field = 'kind' AND NOT named THEN 'unreadable' END AS error,
+          CASE field WHEN 'k' THEN '{"k":' || event_id || '}' WHEN 'kind' THEN CASE WHEN named THEN '{"kind":"' || event_type || '"}' END END AS payload FROM f""",
+    ),
     "commit_stream": (
         commit_stream,
         f"""WITH {LOG_SQL}, days AS (SELECT ts_ms // 86400000 * 86400000 AS window_ms, partition, max("offset") + 1 AS next_offset FROM log GROUP BY ALL)
