@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,8 @@ from millrace.operators.ordered import place_in_order
 from millrace.session import fresh_path
 
 ENDS = "partition int, begin bigint, end bigint"
+#: Folders of an append's records and, hidden inside, of its ends.
+APPEND, ENDS_FOLDER = "append=", "_ends"
 
 
 def assign_offsets(df: DataFrame, order: list[str], next_offsets: DataFrame | None = None, group: str = "partition") -> DataFrame:
@@ -29,34 +33,48 @@ def assign_offsets(df: DataFrame, order: list[str], next_offsets: DataFrame | No
     )
 
 
-def append_log(df: DataFrame, path: str, order: list[str], next_offsets: DataFrame | None = None) -> None:
-    """Append records to a stored log, one folder per partition, files in offset order.
+def append_log(df: DataFrame, path: str, order: list[str], next_offsets: DataFrame | None = None, append: str | None = None) -> bool:
+    """Append records to a stored log, all or nothing: one folder per append, in it one per partition, files in offset order.
 
-    Files keep narrow offset ranges, so that a bounded read skips most of them by their statistics. Where each
-    partition begins and ends is kept beside the log (``stored_ends``), for readers who only ask that.
+    Files keep narrow offset ranges, so that a bounded read skips most of them by their statistics. Where each partition
+    begins and ends is kept in the append's folder (``stored_ends``), for readers who only ask that. Records and ends are
+    written to a hidden folder, whose one renaming makes both visible at once to readers and followers; what fails before
+    leaves the log as it was. ``append`` names an append that may be tried again: once it is there, it is not written
+    twice, and the answer is false. One writer at a time; the file system's renaming has to be atomic.
     """
+    spark, name = df.sparkSession, append or uuid.uuid4().hex
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}{name}") for folder in ("_pending-", APPEND))
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target):
+        return False
+    pending = f"{path}/_pending-{name}"
     rows = assign_offsets(df, order, next_offsets)
-    rows.sortWithinPartitions("partition", "offset").write.mode("append").partitionBy("partition").parquet(path)
+    rows.sortWithinPartitions("partition", "offset").write.mode("overwrite").partitionBy("partition").parquet(pending)
     spans = rows.groupBy(F.col("partition").cast("int").alias("partition")).agg(
         F.min("offset").alias("begin"), (F.max("offset") + 1).alias("end")
     )
-    spans.write.mode("append").parquet(ends_path(path))
-
-
-def ends_path(path: str) -> str:
-    return f"{path.rstrip('/')}-ends"
+    spans.coalesce(1).write.mode("overwrite").parquet(f"{pending}/{ENDS_FOLDER}")
+    if not files.rename(source, target):
+        raise OSError(f"an append could not be made visible: {target}")
+    return True
 
 
 def stored_ends(spark: SparkSession, path: str) -> DataFrame:
     """``(partition, begin, end)`` of a log that ``append_log`` wrote, from a row per partition and append."""
-    kept = spark.read.schema(ENDS).parquet(ends_path(path))
+    kept = spark.read.schema(ENDS).parquet(f"{path}/{APPEND}*/{ENDS_FOLDER}")
     return kept.groupBy("partition").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
 
 
 def log_scan(spark: SparkSession, path: str, schema: T.StructType | None = None, source: str = "parquet", **options) -> DataFrame:
-    """Read a stored log, or a bounded range of another source."""
+    """Read a stored log, whole appends only, or a bounded range of another source."""
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.format(source).options(**options).load(path)
+    return _without_append(reader.format(source).options(**options).load(path), schema)
+
+
+def _without_append(log: DataFrame, schema: T.StructType | None) -> DataFrame:
+    """The folder of its append is no column of a record."""
+    name = APPEND[:-1]
+    return log if schema is not None and name in schema.names else log.drop(name)
 
 
 def framed_records(raw: DataFrame) -> DataFrame:
@@ -81,13 +99,13 @@ def log_stream(
     spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None, source: str = "parquet", **options
 ) -> DataFrame:
     """Follow a log. ``source`` may name another format, such as ``kafka`` where its package is present;
-    ``max_files`` bounds a micro-batch."""
+    ``max_files`` bounds a micro-batch. Of a log that ``append_log`` writes, whole appends are seen only."""
     reader = spark.readStream.format(source)
     if source != "kafka":
         reader = reader.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.options(**options).load(path)
+    return _without_append(reader.options(**options).load(path), schema)
 
 
 def _spec_ranges(spec: str) -> list[tuple[int, int, int]]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import ordered
 from millrace.sources import log as logs
+from millrace.streaming import jobs
 
 
 def rows_of(seed, count=3000):
@@ -77,6 +78,38 @@ def test_log_files_are_pruned(spark, path):
     assert logs.bounded_offset_scan(logs.log_scan(spark, path("log")), "3:7,7").count() == 0
 
 
+def test_an_append_is_all_or_nothing(spark, path, monkeypatch):
+    """It fails between its records and its ends; nothing of it is seen, and run again it is there once."""
+
+    def rows(first, last):
+        return spark.range(first, last).select((F.col("id") % 3).cast("int").alias("partition"), "id")
+
+    def seen():
+        return sorted((r.partition, r.offset, r.id) for r in logs.log_scan(spark, path("log")).collect())
+
+    assert logs.append_log(rows(0, 30), path("log"), ["id"], append="first")
+    before = seen()
+    ends = logs.stored_ends(spark, path("log")).withColumnRenamed("end", "next_offset")
+
+    def lost(*_):
+        raise OSError("the driver is lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(logs.F, "max", lost)  # the records are written by then, the ends are not
+        with pytest.raises(OSError):
+            logs.append_log(rows(30, 60), path("log"), ["id"], ends, append="second")
+    assert seen() == before and {(r.begin, r.end) for r in logs.stored_ends(spark, path("log")).collect()} == {(0, 10)}
+    followed = logs.log_stream(spark, path("log"), logs.log_scan(spark, path("log")).schema)
+    assert jobs.drain(followed, path("out"), path("state")).count() == 30
+    for first in (True, False):  # tried again, and once more
+        assert logs.append_log(rows(30, 60), path("log"), ["id"], ends, append="second") is first
+    assert [x for x in seen() if x in before] == before and len(seen()) == 60
+    for partition in range(3):
+        assert [o for p, o, _ in seen() if p == partition] == list(range(20))
+    assert {(r.begin, r.end) for r in logs.stored_ends(spark, path("log")).collect()} == {(0, 20)}
+    assert jobs.drain(followed, path("out"), path("state")).count() == 60
+
+
 def test_many_ranges_are_joined(spark, path):
     frame = spark.range(900).select((F.col("id") % 300).cast("int").alias("partition"), "id")
     log = logs.assign_offsets(frame, ["id"])
