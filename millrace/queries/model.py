@@ -116,7 +116,7 @@ def patch_log(spark, sf_dir):
     return stored.select("document_id", "seq", F.size("operations").alias("operations"), F.col("operations")[0]["path"].alias("path"))
 
 
-def _keyed(spark, sf_dir):
+def keyed_log(spark, sf_dir):
     return event_log(spark, sf_dir).select(
         F.when(F.col("user_id") % 50 != 7, F.col("user_id")).alias("key"), "offset", "ts_ms",
         F.when(F.col("event_type") != "error", F.col("event_type")).alias("value"),
@@ -124,26 +124,26 @@ def _keyed(spark, sf_dir):
 
 
 def latest_by_key(spark, sf_dir):
-    return latest(_keyed(spark, sf_dir), "key", "value", "offset")
+    return latest(keyed_log(spark, sf_dir), "key", "value", "offset")
 
 
 def change_capture(spark, sf_dir):
-    return model.change_capture(_keyed(spark, sf_dir), "key", "value", "offset", 500)
+    return model.change_capture(keyed_log(spark, sf_dir), "key", "value", "offset", 500)
 
 
 def compact_log(spark, sf_dir):
-    return model.compact_log(_keyed(spark, sf_dir), "key", "value", "ts_ms", F.lit(KEEP_AFTER))
+    return model.compact_log(keyed_log(spark, sf_dir), "key", "value", "ts_ms", F.lit(KEEP_AFTER))
 
 
 def roll_snapshot(spark, sf_dir):
     """A snapshot of the older part of the log, rolled forward over the newer part."""
-    log = _keyed(spark, sf_dir)
+    log = keyed_log(spark, sf_dir)
     previous = latest(log.where(F.col("ts_ms") <= KEEP_AFTER), "key", "value", "offset")
     return model.roll_snapshot(previous, log.where(F.col("ts_ms") > KEEP_AFTER), "key", "value")
 
 
 def clear_keys(spark, sf_dir):
-    log = _keyed(spark, sf_dir)
+    log = keyed_log(spark, sf_dir)
     cleared = clear_all(log, "key", "value", "offset").withColumn("offset", F.lit(1 << 40))
     return clear_all(log, "key", "value", "offset").join(
         latest(log.select("key", "offset", "value").unionByName(cleared), "key", "value", "offset"), "key", "left_anti"
@@ -176,7 +176,7 @@ def model_snapshot(spark, sf_dir):
     return members_of(spark.read.schema("document_id string, document string").json(target))
 
 
-_KEYED_SQL = f"""{LOG_SQL}, keyed AS (SELECT CASE WHEN user_id % 50 <> 7 THEN user_id END AS key, "offset", ts_ms, CASE WHEN event_type <> 'error' THEN event_type END AS value FROM log)"""
+KEYED_SQL = f"""{LOG_SQL}, keyed AS (SELECT CASE WHEN user_id % 50 <> 7 THEN user_id END AS key, "offset", ts_ms, CASE WHEN event_type <> 'error' THEN event_type END AS value FROM log)"""
 
 QUERIES = {
     "fold_patches": (fold_patches, f"WITH {PATCHES_SQL} SELECT document_id, member, value FROM members"),
@@ -199,25 +199,25 @@ QUERIES = {
     ),
     "latest_by_key": (
         latest_by_key,
-        f"""WITH {_KEYED_SQL} SELECT key, arg_max_null(value, "offset") AS value FROM keyed WHERE key IS NOT NULL GROUP BY key HAVING arg_max_null(value, "offset") IS NOT NULL""",
+        f"""WITH {KEYED_SQL} SELECT key, arg_max_null(value, "offset") AS value FROM keyed WHERE key IS NOT NULL GROUP BY key HAVING arg_max_null(value, "offset") IS NOT NULL""",
     ),
     "change_capture": (
         change_capture,
-        f"""WITH {_KEYED_SQL}, looked AS (SELECT key, "offset", value AS new, lag(value) OVER (PARTITION BY key ORDER BY "offset") AS old FROM keyed WHERE key IS NOT NULL)
+        f"""WITH {KEYED_SQL}, looked AS (SELECT key, "offset", value AS new, lag(value) OVER (PARTITION BY key ORDER BY "offset") AS old FROM keyed WHERE key IS NOT NULL)
         SELECT key, "offset", CASE WHEN new IS NULL THEN 'remove' WHEN old IS NULL THEN 'new' ELSE 'update' END AS change, old, new, coalesce(old = new, FALSE) AS same FROM looked""",
     ),
     "compact_log": (
         compact_log,
-        f"""WITH {_KEYED_SQL}, old AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY "offset" DESC) AS rn FROM keyed WHERE ts_ms <= {KEEP_AFTER} AND key IS NOT NULL)
+        f"""WITH {KEYED_SQL}, old AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY "offset" DESC) AS rn FROM keyed WHERE ts_ms <= {KEEP_AFTER} AND key IS NOT NULL)
         SELECT key, "offset", ts_ms, value FROM old WHERE rn = 1 AND value IS NOT NULL UNION ALL SELECT key, "offset", ts_ms, value FROM keyed WHERE ts_ms > {KEEP_AFTER}""",
     ),
     "roll_snapshot": (
         roll_snapshot,
-        f"""WITH {_KEYED_SQL} SELECT key, arg_max_null(value, "offset") AS value FROM keyed WHERE key IS NOT NULL GROUP BY key HAVING arg_max_null(value, "offset") IS NOT NULL""",
+        f"""WITH {KEYED_SQL} SELECT key, arg_max_null(value, "offset") AS value FROM keyed WHERE key IS NOT NULL GROUP BY key HAVING arg_max_null(value, "offset") IS NOT NULL""",
     ),
     "clear_keys": (
         clear_keys,
-        f"""WITH {_KEYED_SQL} SELECT key, CAST(NULL AS VARCHAR) AS value FROM keyed WHERE key IS NOT NULL GROUP BY key HAVING arg_max_null(value, "offset") IS NOT NULL""",
+        f"""WITH {KEYED_SQL} SELECT key, CAST(NULL AS VARCHAR) AS value FROM keyed WHERE key IS NOT NULL GROUP BY key HAVING arg_max_null(value, "offset") IS NOT NULL""",
     ),
     "model_scan": (
         model_scan,

@@ -10,10 +10,12 @@ from millrace.operators import model
 from millrace.functions.keypath import md5_hash
 from millrace.operators.delivery import probe_group
 from millrace.queries.inputs import EVENT_SCHEMAS, LOG_SQL, PROBE_GROUPS, PROBE_SQL, RECEIVED, SENT, event_log, event_log_path, table
-from millrace.queries.model import BAD_PATCHES, BAD_PATCHES_SQL, PATCHES, PATCHES_SQL, members_of
+from millrace.queries.model import BAD_PATCHES, BAD_PATCHES_SQL, KEYED_SQL, PATCHES, PATCHES_SQL, keyed_log, members_of
 from millrace.session import fresh_path
 from millrace.sources.log import log_stream
-from millrace.streaming import jobs, state
+from millrace.streaming import compaction, jobs, state
+
+RETENTION_MS = 10 * 24 * 3600 * 1000
 
 # Admits only messages that carry a value.
 STRICT_EVENT = (
@@ -183,11 +185,11 @@ def agent_stream_muted(spark, sf_dir):
     return _asked(spark, log_stream(spark, path, rows.schema), -(-many // 3), itertools.chain([0], steps))
 
 
-def _in_halves(spark, rows, order, name, run):
-    """Rows arrive in two steps, by ``order``; after each one ``run(stream, step)`` drains the stream."""
-    path, many = fresh_path(spark, name), rows.count()
-    for step in range(2):
-        rows.where(f"{order} * 2 >= {step * many} AND {order} * 2 < {(step + 1) * many}").write.mode("append").parquet(path)
+def _in_steps(spark, rows, order, name, run, steps=2):
+    """Rows arrive in steps, by ``order``, a number from 0 on; after each one ``run(stream, step)`` drains the stream."""
+    path, many = fresh_path(spark, name), rows.agg(F.max(order)).first()[0] + 1
+    for step in range(steps):
+        rows.where(f"{order} * {steps} >= {step * many} AND {order} * {steps} < {(step + 1) * many}").write.mode("append").parquet(path)
         run(log_stream(spark, path, rows.schema), step)
 
 
@@ -227,7 +229,7 @@ def ingest_many_stream(spark, sf_dir):
         register(step)
         jobs.ingest_many_stream(requests, catalog=lambda _: catalog, schemas=listed, partitions=4, **folders).awaitTermination()
 
-    _in_halves(spark, requests, "request_id", "requests", run)
+    _in_steps(spark, requests, "request_id", "requests", run)
     answers = spark.read.parquet(folders["answers"])
     logged = spark.read.parquet(folders["log"])
     places = logged.groupBy("stream", "partition").agg(F.count("*").alias("n"), F.max("offset").alias("last"), F.countDistinct("offset").alias("places"))
@@ -249,10 +251,24 @@ def decode_stream(spark, sf_dir):
         register(step)
         jobs.decode_stream(records, schemas=listed, path=path, checkpoint=checkpoint).awaitTermination()
 
-    _in_halves(spark, records, "event_id", "records", run)
+    _in_steps(spark, records, "event_id", "records", run)
     return spark.read.parquet(path).select("event_id", "stream", "error", "payload")
 
 
+def compact_stream(spark, sf_dir):
+    """The keyed log followed in three micro-batches and kept compacted, ten days back from its newest record."""
+    log = keyed_log(spark, sf_dir)
+    path, checkpoint = fresh_path(spark, "compacted"), fresh_path(spark, "compacted-checkpoint")
+
+    def run(records, step):
+        compaction.compact_stream(
+            records, path=path, key="key", value="value", ts="ts_ms", retention=RETENTION_MS, checkpoint=checkpoint
+        ).awaitTermination()
+
+    _in_steps(spark, log, "offset", "keyed", run, 3)
+    return compaction.compacted(spark, path, log.schema, "key", "value", "ts_ms")
+
+
 _CHANGES_SQL = """
 changes AS (SELECT key, "offset", CASE WHEN new IS NULL THEN 'remove' WHEN old IS NULL THEN 'new' ELSE 'update' END AS change, old, new, coalesce(old = new, FALSE) AS same FROM (
   SELECT user_id AS key, event_id AS "offset", CASE WHEN event_type <> 'error' THEN event_type END AS new,
@@ -281,6 +297,12 @@ QUERIES = {
         SELECT event_id, 's' || s AS stream, CASE WHEN NOT listed THEN 'unknown stream' WHEN field IS NULL THEN 'unknown version' WHEN field = 'kind' AND NOT named THEN 'unreadable' END AS error,
           CASE field WHEN 'k' THEN '{"k":' || event_id || '}' WHEN 'kind' THEN CASE WHEN named THEN '{"kind":"' || event_type || '"}' END END AS payload FROM f""",
     ),
+    "compact_stream": (
+        compact_stream,
+        f"""WITH {KEYED_SQL}, k AS (SELECT max(ts_ms) - {RETENTION_MS} AS keep_after FROM keyed),
+        old AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY "offset" DESC) AS rn FROM keyed, k WHERE ts_ms <= keep_after AND key IS NOT NULL)
+        SELECT key, "offset", ts_ms, value FROM old WHERE rn = 1 AND value IS NOT NULL UNION ALL SELECT key, "offset", ts_ms, value FROM keyed, k WHERE ts_ms > keep_after""",
+    ),
     "commit_stream": (
         commit_stream,
         f"""WITH {LOG_SQL}, days AS (SELECT ts_ms // 86400000 * 86400000 AS window_ms, partition, max("offset") + 1 AS next_offset FROM log GROUP BY ALL)
