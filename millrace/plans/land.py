@@ -5,13 +5,16 @@ from __future__ import annotations
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import avro
 from millrace.operators.mask import blank, mask_pii
+from millrace.operators.ordered import running_total
 from millrace.operators.positions import MAX_RECORDS_PER_PARTITION, latest_of, plan_landing
 from millrace.plans.serve import read_as_latest
+from millrace.session import passing, settle
 from millrace.sources.log import bounded_offset_scan
 
 PARTITION_COLUMN = "acquisition_instant"
@@ -40,13 +43,52 @@ def landed_rows(records: DataFrame, schema_json: str, replacer=blank) -> DataFra
     )
 
 
-def land_batch(rows: DataFrame, location: str, fmt: str = "parquet", codec: str | None = None, file_rows: int | None = None) -> None:
+def record_bytes(rows: DataFrame) -> Column:
+    """Bytes of each row as a line of JSON: what a text format writes, and about what others do before they compress."""
+    return F.octet_length(F.to_json(F.struct(*rows.columns))).cast("bigint") + 1
+
+
+def roll_by_bytes(rows: DataFrame, limit: int) -> DataFrame:
+    """Rows dealt to one task per file, in order. A file holds records of one schema version and log partition, and ends with
+    the record that takes it to ``limit`` bytes or beyond: files follow from the records alone, whatever their order.
+
+    The running sum of bytes goes by slices of offsets, so a partition of any size takes many tasks. Only the number of files
+    of each version and partition comes to the driver.
+    """
+    keys = ["schema_version", "log_partition"]
+    sized = rows.withColumn("_bytes", record_bytes(rows))
+    upto = running_total(sized, keys, "log_offset", F.col("_bytes"), "_upto")
+    numbered = settle(upto.withColumn("_file", F.floor((F.col("_upto") - F.col("_bytes")) / limit)).drop("_upto", "_bytes"), "rolled")
+    # Records longer than the limit leave numbers out, so files are counted within their version and partition.
+    files = numbered.groupBy(*keys, "_file").agg(F.count("*").alias("_rows")).drop("_rows")
+    files = files.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy("_file")) - 1)
+    begin, many = [], 0
+    for row in files.groupBy(*keys).agg(F.max("_rank").alias("last")).orderBy(*keys).collect():
+        begin.append((row["schema_version"], row["log_partition"], many))
+        many += row["last"] + 1
+    if not many:
+        return numbered.drop("_file")
+    begins = numbered.sparkSession.createDataFrame(begin, "schema_version int, log_partition int, _begin int")
+    places = files.join(begins, keys).select(*keys, "_file", (F.col("_begin") + F.col("_rank")).cast("int").alias("_place"))
+    dealt = numbered.join(places, [*keys, "_file"]).repartitionById(many, F.col("_place"))
+    return dealt.sortWithinPartitions(*keys, "log_offset").select(*rows.columns)
+
+
+def land_batch(
+    rows: DataFrame, location: str, fmt: str = "parquet", codec: str | None = None, file_rows: int | None = None, file_bytes: int | None = None
+) -> None:
     """Write one landing to its own folder, replacing whatever an earlier attempt left there.
 
     Rows are rebalanced to files of about the advisory size, records of one schema version together; a
-    version holding most of the rows is split over many files. ``codec`` is the format's own (deflate level 3
+    version holding most of the rows is split over many files. With ``file_bytes`` files are rolled by the bytes of their
+    records instead (``roll_by_bytes``). ``codec`` is the format's own (deflate level 3
     for ``avro`` is ``spark.sql.avro.deflate.level``).
     """
+    if file_bytes:
+        with passing(rows.sparkSession):
+            writer = roll_by_bytes(rows, file_bytes).write
+            (writer.option("compression", codec) if codec else writer).mode("overwrite").format(fmt).save(location)
+        return
     conf, size = rows.sparkSession.conf, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     usual = conf.get(size, None)
     writer = rows.hint("rebalance", "schema_version").sortWithinPartitions("schema_version", "log_partition", "log_offset").write

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import notify, positions
 from millrace.plans import land
-from millrace.queries.inputs import EVENT_V1, EVENT_V2, LOG_SQL, event_ends, event_log, event_log_path, sql
+from millrace.queries.inputs import EVENT_V1, EVENT_V2, LOG_SQL, PARTITIONS, event_ends, event_log, event_log_path, sql
 from millrace.session import fresh_path
 from millrace.sources.log import append_log, bounded_offset_scan, log_scan, log_stream, stored_ends
 from millrace.streaming.jobs import land_stream as start_landing
@@ -17,6 +17,7 @@ from millrace.streaming.jobs import land_stream as start_landing
 INSTANT = "20240201T000000Z"
 FIRST = datetime(2024, 2, 1, tzinfo=timezone.utc)
 FILE_ROWS = 3000
+ROLL_BYTES = 8 * 1024
 
 
 def _plan(ends):
@@ -45,6 +46,20 @@ def land_formats(spark, sf_dir):
     )
 
 
+def land_rolled(spark, sf_dir):
+    """The log landed as lines of JSON in files that are cut by bytes; their sizes are read back."""
+    location = fresh_path(spark, "rolled")
+    rows = land.landed_rows(event_log(spark, sf_dir), EVENT_V2)
+    land.land_batch(rows, location, "json", file_bytes=ROLL_BYTES)
+    largest = rows.agg(F.max(land.record_bytes(rows))).first()[0]
+    sizes = spark.read.format("binaryFile").load(location).where("path like '%.json'").agg(F.max("length").alias("size"), F.count("*").alias("files")).first()
+    landed = spark.read.schema(land.table_columns(EVENT_V2)).json(location)
+    said = F.lit(sizes["size"] < ROLL_BYTES + largest), F.lit(sizes["files"] > PARTITIONS)
+    return landed.groupBy("schema_version", "log_partition").agg(
+        F.count("*").alias("row_count"), F.countDistinct("log_offset").alias("offsets"), F.sum("id").alias("ids")
+    ).withColumns({"bounded": said[0], "several": said[1]})
+
+
 def landing_table(spark, sf_dir):
     """A table created with the first schema, brought to the second, with three landings of which one is
     registered twice and one dropped again."""
@@ -190,6 +205,11 @@ QUERIES = {
         CASE WHEN schema_version = 2 THEN CAST(json_extract(props, '$.k') AS INT) END AS k, schema_version, partition AS log_partition, "offset" AS log_offset
         FROM log WHERE "offset" >= partition * 10 AND "offset" < partition * 10 + {positions.MAX_RECORDS_PER_PARTITION}""",
     ),
+    "land_rolled": (
+        land_rolled,
+        f"""WITH {LOG_SQL} SELECT CAST(schema_version AS INT) AS schema_version, partition AS log_partition, count(*) AS row_count, count(*) AS offsets, CAST(sum(event_id) AS BIGINT) AS ids,
+        TRUE AS bounded, TRUE AS several FROM log GROUP BY ALL""",
+    ),
     "land_formats": (
         land_formats,
         """SELECT CAST(v AS INT) AS schema_version, count(*) AS row_count, round(sum(CASE WHEN v = 2 THEN value ELSE 0.0 END), 2) AS value, TRUE AS files_bounded

@@ -84,6 +84,33 @@ def test_file_size_and_codec(spark, path):
     assert spark.read.orc(path("orc")).where("who <> ''").count() == 0
 
 
+@pytest.mark.parametrize("limit", [1, 700, 10**9])
+def test_files_are_rolled_by_bytes(spark, path, limit):
+    """Each file is what a writer that counts bytes record by record would have put into it, long records included."""
+    rows = land.landed_rows(make_log(spark, path("log"), 400), V2)
+    rows = rows.withColumn("who", F.when(F.col("log_offset") % 37 == 5, F.repeat(F.lit("é"), 900)).otherwise(F.lit("x")))
+    land.land_batch(rows, path("out"), "json", file_bytes=limit)
+    want, at = [], {}
+    for row in sorted(rows.withColumn("n", land.record_bytes(rows)).collect(), key=lambda r: (r.schema_version, r.log_partition, r.log_offset)):
+        key, (start, upto) = (row.schema_version, row.log_partition), at.get((row.schema_version, row.log_partition), (None, 0))
+        number = upto // limit
+        if number != start:
+            want.append([])
+        want[-1].append(row.n)
+        at[key] = (number, upto + row.n)
+    files = spark.read.format("binaryFile").load(path("out")).where("path like '%.json'").select("path", "length").orderBy("path").collect()
+    assert [f.length for f in files] == [sum(own) for own in want]
+    assert all(sum(own) - own[-1] <= limit for own in want)
+    written = spark.read.schema(land.table_columns(V2)).json(path("out"))
+    assert written.count() == 400 and written.distinct().count() == 400
+
+
+def test_nothing_to_roll(spark, path):
+    rows = land.landed_rows(make_log(spark, path("log"), 10), V2).where("log_offset < 0")
+    land.land_batch(rows, path("out"), file_bytes=100)
+    assert spark.read.schema(land.table_columns(V2)).parquet(path("out")).count() == 0
+
+
 def test_landing_stream_restarts_where_it_stopped(spark, path):
     log = make_log(spark, path("log"))
     land.ensure_table(spark, "t_stream", path("lake"), V2, 2)
