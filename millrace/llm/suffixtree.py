@@ -460,7 +460,8 @@ def _bucketed(df: DataFrame, buckets: int) -> tuple[DataFrame, str, str]:
 
 def _let_go(spark: SparkSession, *paths: str) -> None:
     """Intermediate results go, and with them the shuffle files of what has ended: these wait for the driver's garbage to be
-    collected, which a large heap may put off for longer than their disk lasts, so it is asked for."""
+    collected, which a large heap may put off for longer than their disk lasts, so it is asked for. Spark holds on to the job
+    that it ran last, so a small one comes before."""
     release(spark, *paths)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
@@ -478,18 +479,20 @@ def grown(docs: DataFrame, text: str, key: str, held_out: tuple[int, int], depth
     totals = (teaching, 0)
     for level in range(1, depth + 1):
         answers, counts_path = _written(counted(count_requests(state, level, bits)), "lm-counts")
+        seen = {row["kind"]: row["n"] for row in answers.groupBy("kind").agg(F.sum("different").alias("n")).collect()}
+        totals = (teaching, int(seen.get("words", totals[1])))
         _let_go(spark)
-        if level == 1:
-            totals = (teaching, int(answers.where("kind = 'words'").agg(F.sum("different")).first()[0] or 0))
         asked = divergence_requests(state, answers, level, bits, totals)
         judgements, contexts_path = _written(judged(asked, least), "lm-contexts")
+        judgements.agg(F.sum("different")).first()
         _let_go(spark, counts_path)
         following = advanced(state, judgements, level, totals, depth)
         old, old_path = name, path
         state, path, name = _bucketed(following, buckets)
         spark.sql(f"DROP TABLE {old}")
+        left = state.agg(F.sum("open")).first()[0]
         _let_go(spark, old_path, contexts_path)
-        if not state.agg(F.sum("open")).first()[0]:
+        if not left:
             break
     whole = spark.read.schema(state.schema).parquet(path)
     spark.sql(f"DROP TABLE {name}")
