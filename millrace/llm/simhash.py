@@ -353,11 +353,18 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
 def without_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
     """``docs`` with one document, that of the least key, of each group of near copies (``near_groups``).
 
-    Columns stay as they are. Rows that repeat a key are one document, the first met stays; rows without a key stay.
+    Columns stay as they are. Rows that repeat a key and its text are one document, the first met stays. A key that several
+    unlike texts share names none of them: these rows aren't judged, and one of each text stays. Rows without a key stay.
+    A null text counts as empty.
     """
-    groups = near_groups(docs, text, key, **how)
     (name,) = unused(docs.columns, "_gone")
-    gone = groups.where("_id <> _root").select(F.col("_id").alias(name))
     keyed = docs.where(F.col(key).isNotNull())
-    kept = keyed.join(gone, F.col(key) == F.col(name), "left_anti").dropDuplicates([key])
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+    same = F.md5(F.coalesce(F.col(text), F.lit("")))
+    shared = keyed.groupBy(F.col(key).alias(name)).agg(F.min(same).alias("_least"), F.max(same).alias("_most"))
+    shared = settle(shared.where("_least <> _most").select(name), "near-shared-keys")
+    own = keyed.join(shared, F.col(key) == F.col(name), "left_anti")
+    groups = near_groups(own, text, key, **how)
+    gone = groups.where("_id <> _root").select(F.col("_id").alias(name))
+    kept = own.join(gone, F.col(key) == F.col(name), "left_anti").dropDuplicates([key])
+    unlike = keyed.join(shared, F.col(key) == F.col(name), "left_semi").withColumn(name, same).dropDuplicates([key, name]).drop(name)
+    return kept.unionByName(unlike).unionByName(docs.where(F.col(key).isNull()))

@@ -150,3 +150,14 @@ def test_every_near_pair_is_found_among_bystanders(spark):
         expected = plain_groups(rows)
         found = {r["_id"]: r["_root"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         assert found == expected and len(expected) > groups
+
+
+def test_unlike_texts_under_one_key_are_all_kept(spark):
+    """None of them is dropped for sharing a key; rows that repeat a key and its text are one."""
+    one = " ".join(f"a{k}" for k in range(40))
+    two = " ".join(f"b{k}" for k in range(40))
+    rows = [(1, one, "x"), (1, two, "y"), (1, one, "z"), (2, two + " c", "x"), (3, two + " c", "x"), (3, two + " c", "x"), (4, None, "n"), (4, "", "n"), (None, one, "x"), (None, one, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone string")
+    kept = simhash.without_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == sorted([("1", one), ("1", two), ("2", two + " c"), ("4", ""), ("None", one), ("None", one)])
