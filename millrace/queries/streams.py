@@ -10,10 +10,11 @@ from millrace.operators import model
 from millrace.functions.keypath import md5_hash
 from millrace.operators.delivery import probe_group
 from millrace.queries.inputs import EVENT_SCHEMAS, LOG_SQL, PROBE_GROUPS, PROBE_SQL, RECEIVED, SENT, event_log, event_log_path, table
+from millrace.queries.log import NOW_MS
 from millrace.queries.model import BAD_PATCHES, BAD_PATCHES_SQL, KEYED_SQL, PATCHES, PATCHES_SQL, keyed_log, members_of
 from millrace.session import fresh_path
 from millrace.sources.log import log_stream
-from millrace.streaming import compaction, jobs, state
+from millrace.streaming import compaction, gauges, jobs, state
 
 RETENTION_MS = 10 * 24 * 3600 * 1000
 
@@ -269,6 +270,53 @@ def compact_stream(spark, sf_dir):
     return compaction.compacted(spark, path, log.schema, "key", "value", "ts_ms")
 
 
+def latency_sketch_stream(spark, sf_dir):
+    """Latencies per kind, sketched by closed day as a stream and merged over the days; the ranks of the sketched quantiles among all
+    latencies of those days are within the stated error of what was asked for. The error holds with a confidence of 99 %,
+    so it is doubled here."""
+    asked, off = {"p50": 0.5, "p95": 0.95, "p99": 0.99}, 2 * gauges.rank_error()
+    ms = F.floor(F.col("value") * 1000).cast("bigint")
+    events = _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    days = _drained(spark, gauges.sketch_stream(events, "ts", "1 day", "1 hour", ("event_type",), ms), "sketches")
+    merged = gauges.merged_sketches(days, ("event_type",), asked)
+    last = days.agg(F.max(F.to_date("window_start"))).first()[0]
+    rows = table(spark, sf_dir, "events").select("event_type", "ts", ms.alias("ms"))
+    rows = rows.where(F.to_date("ts") <= F.lit(last).cast("date")).join(merged, "event_type")
+    ranks = [F.sum(F.when(F.col("ms") < F.col(q), 1).otherwise(0)).alias(f"{q}_below") for q in asked]
+    ranks += [F.sum(F.when(F.col("ms") <= F.col(q), 1).otherwise(0)).alias(f"{q}_upto") for q in asked]
+    by = ["event_type", "count", "total", "mean", "max"]
+    seen = rows.groupBy(*by).agg(*ranks)
+    within = [((F.col(f"{q}_below") <= (r + off) * F.col("count")) & (F.col(f"{q}_upto") >= (r - off) * F.col("count"))).alias(f"{q}_within") for q, r in asked.items()]
+    return seen.select("event_type", "count", "total", F.round("mean", 4).alias("mean"), "max", *within)
+
+
+def connections_stream(spark, sf_dir):
+    """Connects and disconnects in three micro-batches: every seventh comes forty places late, every fifth comes twice."""
+    changes = """SELECT event_id, concat('stream_', user_id % 5) AS stream, concat('consumer_', user_id % 3) AS consumer,
+      CASE event_type WHEN 'signup' THEN 1 ELSE -1 END AS delta,
+      explode(CASE WHEN event_id % 7 = 0 THEN array(event_id + 40) WHEN event_id % 5 = 0 THEN array(event_id, event_id + 20) ELSE array(event_id) END) AS arrival
+      FROM {events} WHERE event_type IN ('signup', 'error')"""
+    rows = spark.sql(changes, events=table(spark, sf_dir, "events"))
+    path, checkpoint = fresh_path(spark, "connections"), fresh_path(spark, "connections-checkpoint")
+
+    def run(arrived, step):
+        gauges.connections_stream(
+            arrived, path=path, keys=["stream", "consumer"], order="event_id", delta=F.col("delta"), lateness=100, checkpoint=checkpoint, slice_rows=500
+        ).awaitTermination()
+
+    _in_steps(spark, rows, "arrival", "changes", run, 3)
+    return gauges.connections(spark, path).select("event_id", "stream", "consumer", "active")
+
+
+def gauge_stream(spark, sf_dir):
+    """Newest offset and its age per partition, kept over several micro-batches of the log."""
+    log = log_stream(spark, event_log_path(spark, sf_dir), event_log(spark, sf_dir).schema, max_files=4)
+    path = fresh_path(spark, "gauges")
+    with jobs.state_partitions(spark):
+        gauges.gauge_stream(log, path=path, keys=("partition", "schema_version"), checkpoint=fresh_path(spark, "gauge-checkpoint")).awaitTermination()
+    return gauges.gauges(spark, path, F.lit(NOW_MS)).select("partition", "schema_version", "latency_ms", "last_offset")
+
+
 _CHANGES_SQL = """
 changes AS (SELECT key, "offset", CASE WHEN new IS NULL THEN 'remove' WHEN old IS NULL THEN 'new' ELSE 'update' END AS change, old, new, coalesce(old = new, FALSE) AS same FROM (
   SELECT user_id AS key, event_id AS "offset", CASE WHEN event_type <> 'error' THEN event_type END AS new,
@@ -276,6 +324,22 @@ changes AS (SELECT key, "offset", CASE WHEN new IS NULL THEN 'remove' WHEN old I
 """
 
 QUERIES = {
+    "latency_sketch_stream": (
+        latency_sketch_stream,
+        """SELECT event_type, count(*) AS count, CAST(sum(ms) AS BIGINT) AS total, round(avg(ms), 4) AS mean, max(ms) AS max, TRUE AS p50_within, TRUE AS p95_within, TRUE AS p99_within
+        FROM (SELECT event_type, ts, CAST(floor(value * 1000) AS BIGINT) AS ms FROM events) e
+        WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY event_type""",
+    ),
+    "connections_stream": (
+        connections_stream,
+        """WITH c AS (SELECT event_id, user_id % 5 AS s, user_id % 3 AS k, CASE event_type WHEN 'signup' THEN 1 ELSE -1 END AS delta FROM events WHERE event_type IN ('signup', 'error'))
+        SELECT event_id, 'stream_' || s AS stream, 'consumer_' || k AS consumer, CAST(sum(delta) OVER (PARTITION BY s, k ORDER BY event_id) AS BIGINT) AS active FROM c
+        QUALIFY event_id <= (SELECT max(event_id) FROM c) - 100""",
+    ),
+    "gauge_stream": (
+        gauge_stream,
+        f"""WITH {LOG_SQL} SELECT partition, schema_version, {NOW_MS} - arg_max(ts_ms, "offset") AS latency_ms, max("offset") AS last_offset FROM log GROUP BY ALL""",
+    ),
     "ingest_many_stream": (
         ingest_many_stream,
         """WITH e AS (SELECT event_id, event_type, user_id % 6 AS s, event_id * 2 >= (SELECT count(*) FROM events) AS late, event_id % 10 = 7 AS odd FROM events),
