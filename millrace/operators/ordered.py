@@ -78,11 +78,26 @@ def running_total(
 
 
 def run_ids(df: DataFrame, keys: list[str], order: str, label: Column, out: str, width: int = SLICE_ROWS) -> DataFrame:
-    """Add ``out``: a number that grows by one wherever ``label`` changes along the order."""
-    named = df.withColumn("_label", F.struct(label.alias("l")))
-    marked = previous_value(named, keys, order, F.col("_label"), "_before", width)
-    changed = F.when(F.col("_before").eqNullSafe(F.col("_label")), 0).otherwise(1)
-    return running_total(marked, keys, order, changed, out, width).drop("_label", "_before")
+    """Add ``out``: a number, from 1, that grows by one wherever ``label`` changes along the order; nulls are a label, too.
+
+    A slice is summed up by its first and last label and the changes inside. Such summaries compose, so one pass along
+    them tells each slice the number it starts with.
+    """
+    rows = _sliced(df, order, width).withColumn("_label", F.struct(label.alias("l")))
+    inside = W.partitionBy(*keys, "_slice").orderBy(order)
+    before = F.lag("_label").over(inside)
+    # Whether a slice's first row changes the label shows in the slice before it.
+    rows = rows.withColumn("_changed", F.when(before.isNull() | before.eqNullSafe(F.col("_label")), 0).otherwise(1))
+    rows = rows.withColumn("_inside", F.sum("_changed").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    parts = rows.groupBy(*keys, "_slice").agg(
+        F.min_by("_label", order).alias("_first"), F.max_by("_label", order).alias("_last"), F.max("_inside").alias("_changes")
+    )
+    along = W.partitionBy(*keys).orderBy("_slice")
+    enters = F.when(F.lag("_last").over(along).eqNullSafe(F.col("_first")), 0).otherwise(1)
+    upto = F.sum(F.col("_enters") + F.col("_changes")).over(along.rowsBetween(W.unboundedPreceding, 0))
+    starts = parts.withColumn("_enters", enters).select(*keys, "_slice", (upto - F.col("_changes")).alias("_start"))
+    numbered = rows.join(starts, [*keys, "_slice"], "left").withColumn(out, F.coalesce("_start", F.lit(1)) + F.col("_inside"))
+    return numbered.drop("_slice", "_label", "_changed", "_inside", "_start")
 
 
 def chunk(df: DataFrame, keys: list[str], order: str, size: int, out: str = "chunk") -> DataFrame:

@@ -37,6 +37,34 @@ def test_scans(spark, seed, width):
     assert found == expected
 
 
+@pytest.mark.parametrize("width", [1, 7, 50, 10**6])
+def test_runs_across_slices(spark, width):
+    """Null labels, labels that stay the same over many slices, gaps and negative order values."""
+    draw = random.Random(width)
+    rows = [(draw.choice("hhha"), seq, label) for seq in draw.sample(range(-300, 900), 400) for label in [draw.choice([None, "x", "x", "y"]) if seq < 300 else "x"]]
+    found = ordered.run_ids(spark.createDataFrame(rows, "k string, seq long, l string").repartition(4), ["k"], "seq", F.col("l"), "run", width)
+    expected, state = {}, {}
+    for k, seq, label in sorted(rows, key=lambda r: (r[0], r[1])):
+        run, before = state.get(k, (0, "none yet"))
+        run += label != before
+        expected[k, seq] = run
+        state[k] = run, label
+    assert {(r.k, r.seq): r.run for r in found.collect()} == expected
+    assert found.columns == ["k", "seq", "l", "run"]
+
+
+def test_runs_take_two_scans_and_four_exchanges(spark, path):
+    spark.range(1000).selectExpr("id % 3 AS k", "id AS seq", "id % 7 AS l").write.parquet(path("rows"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        runs = ordered.run_ids(spark.read.parquet(path("rows")), ["k"], "seq", F.col("l"), "run", 100)
+        plan = runs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("FileScan") <= 2
+    assert plan.count("Exchange hashpartitioning") <= 4
+
+
 def test_slices_stay_small(spark):
     """However hot the key, no window group holds more rows than the width."""
     frame = spark.range(5000).select(F.lit("k").alias("k"), "id")
