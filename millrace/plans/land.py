@@ -261,42 +261,62 @@ def landing_job(
 ) -> int:
     """Land a log up to its ``ends``: plan, land, commit, and again until no partition is cut short by ``cap``.
 
-    Where it goes on is read from the commits alone. A landing's number, and with it its folder and instant, is that
+    Where it goes on is read from the commits alone, once; a pass carries its own ends on, a number per partition, so its cost
+    doesn't grow with the landings before. A landing's number, and with it its folder and instant, is that
     of the landings committed before, so an attempt after a failure lands the same range over the same files.
-    Committed landings are notified from the commits, each once its row is in ``<commits>-notified``: none is lost by a
-    failure in between. A table that is created is told to ``notify_table``. Returns the number of landings.
+    Committed landings are notified, each once its row is in ``<commits>-notified``: none is lost by a failure in between.
+    That a table was created is told to ``notify_table`` in the same way: what is about to be created is noted in
+    ``<commits>-creating`` first, and what was told in ``<commits>-created``. Returns the number of landings. One job at a
+    time lands a stream.
     """
     told = f"{commits}-notified"
-    if ensure_table(spark, table, root, schema_json, version) == "created" and notify_table is not None:
-        notify_table(spark.createDataFrame([(stream, table, root)], "stream string, table string, location string"))
+    _ensure_and_tell(spark, table, root, schema_json, version, stream, commits, notify_table)
+    before = _kept(spark, commits, COMMITS).where(F.col("stream") == stream)
 
-    def notify_committed() -> None:
-        if notify is None:
-            return
-        done = _kept(spark, told, f"{PARTITION_COLUMN} string")
-        due = landings(_kept(spark, commits, COMMITS).where(F.col("stream") == stream), table).join(done, PARTITION_COLUMN, "left_anti")
-        instants = [row[PARTITION_COLUMN] for row in due.select(PARTITION_COLUMN).collect()]  # those of this job's last pass, mostly one
+    def tell(due: DataFrame) -> None:
+        instants = [row[PARTITION_COLUMN] for row in due.select(PARTITION_COLUMN).collect()]  # those of one pass, mostly one
         if instants:
             notify(due)
             spark.createDataFrame([(x,) for x in instants], f"{PARTITION_COLUMN} string").write.mode("append").parquet(told)
 
+    if notify is not None:
+        tell(landings(before, table).join(_kept(spark, told, f"{PARTITION_COLUMN} string"), PARTITION_COLUMN, "left_anti"))
+    # A row per partition each.
+    goal = latest_of(ends)
+    goal = spark.createDataFrame(goal.collect(), goal.schema)
+    committed = {row["partition"]: row["committed"] for row in before.groupBy("partition").agg(F.max("next_offset").alias("committed")).collect()}
+    number = before.select(PARTITION_COLUMN).distinct().count()
     landed = 0
     while True:
-        notify_committed()
-        before = _kept(spark, commits, COMMITS).where(F.col("stream") == stream)
-        committed = before.groupBy("partition").agg(F.max("next_offset").alias("committed"))
-        # A row per partition: what the commits say now, not what they say once this landing is among them.
-        rows = plan_landing(latest_of(ends), committed, cap).collect()
+        at = spark.createDataFrame(list(committed.items()), "partition int, committed bigint")
+        rows = plan_landing(goal, at, cap).collect()
         if not rows:
             return landed
         plan = spark.createDataFrame([tuple(r) for r in rows], "partition int, start bigint, end bigint, run_again boolean")
-        number = before.select(PARTITION_COLUMN).distinct().count()
         instant = (first_instant + number * interval).astimezone(timezone.utc).strftime("%Y%m%dT%H%M%SZ")
+        location = f"{root}/{stream}/{number}/{PARTITION_COLUMN}={instant}"
         land_range(
-            spark, bounded_offset_scan(log, plan), plan, stream=stream, table=table,
-            location=f"{root}/{stream}/{number}/{PARTITION_COLUMN}={instant}", instant=instant, schema_json=schema_json, commits=commits,
+            spark, bounded_offset_scan(log, plan), plan, stream=stream, table=table, location=location, instant=instant,
+            schema_json=schema_json, commits=commits,
         )
-        landed += 1
+        committed.update((r["partition"], r["end"]) for r in rows)
+        number, landed = number + 1, landed + 1
+        if notify is not None:
+            new = [(stream, r["partition"], r["start"], r["end"], instant, location) for r in rows]
+            tell(landings(spark.createDataFrame(new, COMMITS), table))
         if not any(r["run_again"] for r in rows):
-            notify_committed()
             return landed
+
+
+def _ensure_and_tell(spark: SparkSession, table: str, root: str, schema_json: str, version: int, stream: str, commits: str, notify_table) -> None:
+    """The table as it should be, and the notice of its creation sent at least once, whatever fails in between."""
+    name, creating, created = "table string", f"{commits}-creating", f"{commits}-created"
+    if notify_table is not None and not spark.catalog.tableExists(table):
+        spark.createDataFrame([(table,)], name).write.mode("append").parquet(creating)
+    ensure_table(spark, table, root, schema_json, version)
+    if notify_table is None:
+        return
+    begun, ended = (_kept(spark, path, name).where(F.col("table") == table).count() for path in (creating, created))
+    if begun > ended:  # a table that was dropped and created anew is told again; one that took several attempts, once
+        notify_table(spark.createDataFrame([(stream, table, root)], "stream string, table string, location string"))
+        spark.createDataFrame([(table,)] * (begun - ended), name).write.mode("append").parquet(created)

@@ -171,6 +171,39 @@ def test_landing_job_goes_on_after_a_failure(spark, path, monkeypatch):
     spark.sql(f"DROP TABLE {table}")
 
 
+def test_the_notice_of_a_table_survives_a_failure(spark, path, monkeypatch):
+    """The job fails once the table is there, then while it is told: it is told by a later run, and by none after that."""
+    log = make_log(spark, path("log"))
+    ends, told = logs.stored_ends(spark, path("log")), []
+    table = f"told_{os.path.basename(path('x'))}_{abs(hash(path('x'))) % 10**8}"
+
+    def tell(rows):
+        told.append(rows.first()["table"])
+        if len(told) == 1:
+            raise RuntimeError("the receiver is away")
+
+    how = dict(
+        stream="s", table=table, root=path("lake"), schema_json=V2, version=2, commits=path("commits"),
+        first_instant=datetime(2024, 1, 1, tzinfo=timezone.utc), notify_table=tell,
+    )
+    plain = land.ensure_table
+
+    def failing(*args, **kw):
+        plain(*args, **kw)
+        raise RuntimeError("after the table")
+
+    monkeypatch.setattr(land, "ensure_table", failing)
+    with pytest.raises(RuntimeError, match="after the table"):
+        land.landing_job(spark, log, ends, **how)
+    monkeypatch.setattr(land, "ensure_table", plain)
+    with pytest.raises(RuntimeError, match="away"):
+        land.landing_job(spark, log, ends, **how)
+    assert land.landing_job(spark, log, ends, **how) == 1
+    assert land.landing_job(spark, log, ends, **how) == 0
+    assert told == [table, table]
+    spark.sql(f"DROP TABLE {table}")
+
+
 def test_ingest_stream_continues_offsets(spark, path):
     for i in range(3):
         spark.range(i * 100, i * 100 + 100).select(
