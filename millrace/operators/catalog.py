@@ -19,8 +19,6 @@ from millrace.operators.registry import (
     compat_report,
     deletable_version,
     key_path_check,
-    latest_active_schema,
-    next_version,
     pii_evolution_check,
     schema_rules,
 )
@@ -296,36 +294,48 @@ def register_schemas(requests: DataFrame, streams: DataFrame, schemas: DataFrame
     live = streams.where(~F.col("deleted")).select(
         "stream", F.coalesce("compatibility_mode", F.lit(DEFAULT_MODE)).alias("mode"), "partition_path"
     )
-    upcoming = next_version(requests.select("stream"), schemas)
-    candidates = requests.join(upcoming, "stream").withColumn("version", F.coalesce("requested", "next_version"))
-    # The candidate takes the place after every existing version, so that explicit low numbers still compare.
-    placed = candidates.select("stream", F.greatest("version", "next_version").cast("int").alias("version"), "schema_json")
-    asked = requests.select("stream").distinct()
-    older = active_schemas(schemas).join(asked, "stream", "left_semi").select("stream", "version", "schema_json")
+    active = F.when(~F.col("deleted") & F.col("version").isNotNull(), F.struct("version", "schema_json"))
+    used = schemas.groupBy("stream").agg(F.max("version").alias("_max"), F.max(active).alias("_latest"))
+    candidates = (
+        requests.select("stream", "requested", "schema_json")
+        .join(used, "stream", "left")
+        .join(live, "stream", "left")
+        .withColumn("next_version", (F.coalesce("_max", F.lit(0)) + 1).cast("int"))
+        .withColumn("version", F.coalesce("requested", "next_version"))
+        # The candidate takes the place after every existing version, so that explicit low numbers still compare.
+        .withColumn("place", F.greatest("version", "next_version").cast("int"))
+    )
+    candidates = settle(candidates, "schema-requests")
+    placed = candidates.select("stream", F.col("place").alias("version"), "schema_json")
     new_fields = settle(fields_of(placed), "new-fields")
-    old_fields = settle(fields_of(older), "old-fields")
-    latest_keys = latest_active_schema(schemas).select("stream", "version")
-    current_fields = old_fields.join(latest_keys, ["stream", "version"], "left_semi")
-
-    broken = schema_rules(new_fields).groupBy("stream").agg(F.min("rule").alias("_rule"))
-    misfit = (
-        key_path_check(live.where(F.trim("partition_path") != "").select("stream", "partition_path"), new_fields)
-        .groupBy("stream")
-        .agg(F.min("fault").alias("_misfit"))
+    current_fields = fields_of(candidates.where("_latest is not null").select("stream", "_latest.version", "_latest.schema_json"))
+    keyed = candidates.where(F.trim("partition_path") != "").select("stream", "partition_path")
+    older = schemas.join(candidates.select("stream"), "stream", "left_semi")
+
+    # What speaks against a request, the weightiest first; of the modes that are broken, the stream's own one counts.
+    def against(rows: DataFrame, rank: int, text: Column) -> DataFrame:
+        return rows.select("stream", F.lit(rank).alias("rank"), text.alias("text"))
+
+    found = (
+        against(key_path_check(keyed, new_fields), 1, F.concat(F.lit("key path: "), "fault"))
+        .union(against(schema_rules(new_fields), 2, F.concat(F.lit("schema: "), "rule")))
+        .union(against(compat_report(placed, older).where(~F.col("ok")), 3, F.col("mode")))
+        .union(against(pii_evolution_check(new_fields, current_fields), 4, F.concat(F.lit("personal data: "), "path")))
     )
-    modes = compat_report(placed.select("stream", "version"), schemas, old_fields.unionByName(new_fields))
-    clash = live.join(modes.where(~F.col("ok")), ["stream", "mode"]).select("stream", F.lit(True).alias("_clash"))
-    exposed = pii_evolution_check(new_fields, current_fields).groupBy("stream").agg(F.min("path").alias("_exposed"))
 
-    judged = candidates.join(live, "stream", "left")
-    for verdict in (broken, misfit, clash, exposed):
-        judged = judged.join(verdict, "stream", "left")
+    def least(rank: int) -> Column:
+        return F.min(F.when(F.col("rank") == rank, F.col("text")))
+
+    broken = found.groupBy("stream").agg(
+        least(1).alias("_misfit"), least(2).alias("_rule"), F.collect_set(F.when(F.col("rank") == 3, F.col("text"))).alias("_modes"), least(4).alias("_exposed")
+    )
+    judged = candidates.join(broken, "stream", "left")
     reason = (
         F.when(F.col("mode").isNull(), "unknown stream")
-        .when(F.col("_misfit").isNotNull(), F.concat(F.lit("key path: "), "_misfit"))
-        .when(F.col("_rule").isNotNull(), F.concat(F.lit("schema: "), "_rule"))
-        .when(F.col("_clash"), F.concat(F.lit("compatibility: "), "mode"))
-        .when(F.col("_exposed").isNotNull(), F.concat(F.lit("personal data: "), "_exposed"))
+        .when(F.col("_misfit").isNotNull(), F.col("_misfit"))
+        .when(F.col("_rule").isNotNull(), F.col("_rule"))
+        .when(F.array_contains("_modes", F.col("mode")), F.concat(F.lit("compatibility: "), "mode"))
+        .when(F.col("_exposed").isNotNull(), F.col("_exposed"))
         .when(F.col("version") < F.col("next_version"), "version too low")
     )
     value = F.concat(

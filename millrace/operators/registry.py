@@ -6,12 +6,16 @@ everything else is relational over its rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import json
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.functions.avro import NODE_SCHEMA, UNREADABLE, load, nodes
 from millrace.functions.keypath import key_steps
@@ -174,19 +178,104 @@ def schema_pairs(candidates: DataFrame, schemas: DataFrame) -> DataFrame:
     )
 
 
-def _readable_nodes(fields: DataFrame) -> DataFrame:
-    """One row per place in a schema, union branches merged into the place they sit at."""
+# What a place of a schema takes, in the order two namesakes are compared by; union branches count for the place they sit at.
+PLACE = T.StructType(
+    [
+        T.StructField("types", T.ArrayType(T.StringType())),
+        T.StructField("symbols", T.ArrayType(T.StringType())),
+        T.StructField("has_default", T.BooleanType()),
+        T.StructField("name", T.StringType()),
+        T.StructField("aliases", T.ArrayType(T.StringType())),
+    ]
+)
+PLACES = T.MapType(T.StringType(), PLACE)
+
+
+def canonical_places(rows: Iterable[dict]) -> dict[str, dict]:
+    """A schema's nodes reduced to what reading depends on: a value of ``PLACE`` for each path, paths in order."""
+    held: dict[str, list[dict]] = {}
+    for row in rows:
+        held.setdefault(row["plain_path"], []).append(row)
+    out = {}
+    for path in sorted(held):
+        here = held[path]
+        own = max(here, key=lambda r: (r["kind"] == "field", r["name"] is not None, r["name"] or "", r["aliases"]))
+        out[path] = {
+            "types": sorted({r["type"] for r in here} - {"union"}),
+            "symbols": sorted({symbol for r in here for symbol in r["symbols"]}),
+            "has_default": any(r["has_default"] for r in here),
+            "name": own["name"],
+            "aliases": own["aliases"],
+        }
+    return out
+
+
+def schema_forms(schemas: DataFrame) -> DataFrame:
+    """The canonical form of every schema: the columns but ``schema_json``, then ``places`` (path to ``PLACE``) and
+    ``print``, the SHA-256 of the form's text. Schemas that differ only in names of records, documentation, order of
+    fields or personal-data tags have one print. A text that a batch repeats is read once; nothing is shuffled by key."""
+    kept = [f for f in schemas.schema.fields if f.name != "schema_json"]
+    out = T.StructType([*kept, T.StructField("places", PLACES), T.StructField("print", T.StringType())])
+    names = NODE_SCHEMA.names
+
+    def read(text: str | None) -> tuple[dict, str]:
+        try:
+            rows = list(nodes(load(text)))
+        except (ValueError, KeyError, TypeError, RecursionError):
+            rows = [UNREADABLE]
+        places = canonical_places(dict(zip(names, row, strict=True)) for row in rows)
+        return places, hashlib.sha256(json.dumps(places, sort_keys=True).encode()).hexdigest()
+
+    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = to_arrow_schema(out)
+        for batch in batches:
+            texts = batch.column("schema_json").dictionary_encode()
+            read_once = [read(text) for text in [*texts.dictionary.to_pylist(), None]]
+            which = texts.indices.fill_null(len(read_once) - 1)
+            places = pa.array([list(p.items()) for p, _ in read_once], target.field("places").type).take(which)
+            prints = pa.array([p for _, p in read_once], pa.string()).take(which)
+            columns = [batch.column(f.name).cast(target.field(f.name).type) for f in kept]
+            yield pa.RecordBatch.from_arrays([*columns, places, prints], schema=target)
+
+    tasks = schemas.sparkSession.sparkContext.defaultParallelism
+    return schemas.repartition(tasks).mapInArrow(forms, out)
+
+
+def _forms_of(fields: DataFrame) -> DataFrame:
+    """:func:`schema_forms` made of the rows of :func:`schema_fields`: ``(stream, version, places, print)``."""
     solid = F.when(F.col("type") != "union", F.col("type"))
-    return fields.groupBy("stream", "version", "plain_path").agg(
-        F.collect_set(solid).alias("types"),
-        F.flatten(F.collect_set("symbols")).alias("symbols"),
+    places = fields.where("version is not null").repartition("stream", "version").groupBy("stream", "version", "plain_path").agg(
+        F.array_sort(F.collect_set(solid)).alias("types"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("symbols")))).alias("symbols"),
         F.max("has_default").alias("has_default"),
-        F.max(F.struct(F.col("kind") == "field", F.col("name"), F.col("aliases"))).alias("_f"),
-    ).select(
-        "stream", "version", "plain_path", "types", "symbols", "has_default",
-        F.col("_f.name").alias("name"), F.coalesce("_f.aliases", F.array().cast("array<string>")).alias("aliases"),
-        F.regexp_replace("plain_path", "/[^/]*$", "").alias("parent"),
+        F.max(F.struct(F.col("kind") == "field", "name", "aliases")).alias("_own"),
     )
+    place = F.struct("types", "symbols", "has_default", F.col("_own.name").alias("name"), F.col("_own.aliases").alias("aliases"))
+    entries = F.array_sort(F.collect_list(F.struct("plain_path", place.alias("place"))))
+    forms = places.groupBy("stream", "version").agg(entries.alias("_entries"))
+    return forms.select("stream", "version", F.map_from_entries("_entries").alias("places"), F.sha2(F.to_json("_entries"), 256).alias("print"))
+
+
+def _fault(path: Column, node: Column, written: Column) -> Column:
+    """Why the place ``node`` at ``path`` cannot be read from data of the form ``written``; null if it can."""
+    parent = F.regexp_replace(path, "/[^/]*$", "")
+    aliases = F.coalesce(node["aliases"], F.array().cast("array<string>"))
+    own = F.when(node["name"].isNull(), F.array(path)).otherwise(
+        F.transform(F.array_union(F.array(node["name"]), aliases), lambda n: F.concat(parent, F.lit("/"), n))
+    )
+    met = F.array_max(F.transform(own, lambda at: F.try_element_at(written, at)))
+    promotions = F.array(*[F.lit(p) for p in PROMOTIONS])
+
+    def unreadable(given):
+        return ~F.exists(node["types"], lambda r: (r == given) | F.array_contains(promotions, F.concat(given, F.lit(">"), r)))
+
+    lacking = node["name"].isNotNull() & ~node["has_default"] & F.map_contains_key(written, parent)
+    strange = (F.size(node["symbols"]) > 0) & (F.size(F.array_except(met["symbols"], node["symbols"])) > 0)
+    return (
+        F.when(met.isNull(), F.when(lacking, "missing"))
+        .when(F.exists(met["types"], unreadable), "type")
+        .when(strange, "symbols")
+    )
 
 
 def read_faults(fields: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -196,78 +285,57 @@ def read_faults(fields: DataFrame, pairs: DataFrame) -> DataFrame:
     the writer lacks and that has no default, a type that cannot be promoted, or an unknown enum symbol.
     Fields match by name or alias.
     """
-    # A row per stream holds all its schemas, so fields are shuffled once, and pairs meet both their schemas at once.
-    nodes = _readable_nodes(fields.where("version is not null").repartition("stream"))
-    held = [n for n in nodes.columns if n not in ("stream", "version")]
-    schemas = nodes.groupBy("stream", "version").agg(F.collect_list(F.struct(*held)).alias("_nodes"))
-    streams = schemas.groupBy("stream").agg(F.map_from_entries(F.collect_list(F.struct("version", "_nodes"))).alias("_schemas"))
-    met = pairs.select("stream", "reader", "writer").join(streams, "stream").select(
-        "stream", "reader", "writer", F.explode(F.try_element_at("_schemas", F.col("reader"))).alias("_n"),
-        F.coalesce(F.try_element_at("_schemas", F.col("writer")), F.array().cast(schemas.schema["_nodes"].dataType)).alias("_written"),
-    )
-    node = F.col("_n")
-    own = F.when(node["name"].isNull(), F.array(node["plain_path"])).otherwise(
-        F.transform(F.array_union(F.array(node["name"]), node["aliases"]), lambda n: F.concat(node["parent"], F.lit("/"), n))
-    )
-    met = met.withColumn("_own", own)
-    there = F.filter("_written", lambda w: F.array_contains("_own", w["plain_path"]))
-    met = met.withColumn("_w", F.array_max(F.transform(there, lambda w: F.struct(w["types"].alias("types"), w["symbols"].alias("symbols")))))
-    promotions = F.array(*[F.lit(p) for p in PROMOTIONS])
+    forms = settle(_forms_of(fields).drop("print"), "schema-forms")
+    reader = forms.select("stream", F.col("version").alias("reader"), F.col("places").alias("_read"))
+    writer = forms.select("stream", F.col("version").alias("writer"), F.col("places").alias("_written"))
+    met = pairs.select("stream", "reader", "writer").join(reader, ["stream", "reader"]).join(writer, ["stream", "writer"])
+    placed = met.select("stream", "reader", "writer", "_written", F.explode("_read").alias("path", "_node"))
+    fault = _fault(F.col("path"), F.col("_node"), F.col("_written"))
+    return placed.select("stream", "reader", "writer", "path", fault.alias("fault")).where("fault is not null")
 
-    def unreadable(written):
-        return ~F.exists(
-            node["types"], lambda r: (r == written) | F.array_contains(promotions, F.concat(written, F.lit(">"), r))
-        )
 
-    found = F.col("_w").isNotNull()
-    parent_known = F.exists("_written", lambda w: w["plain_path"] == node["parent"])
-    fault = (
-        F.when(~found & node["name"].isNotNull() & parent_known & ~node["has_default"], "missing")
-        .when(found & F.exists("_w.types", unreadable), "type")
-        .when(
-            found & (F.size(node["symbols"]) > 0) & (F.size(F.array_except("_w.symbols", node["symbols"])) > 0), "symbols"
-        )
-    )
-    return met.select("stream", "reader", "writer", node["plain_path"].alias("path"), fault.alias("fault")).where("fault is not null")
+# Versions of a stream go to this many tasks, so that a stream with most of the registry is no task of its own.
+SLOTS = 8
 
 
-def compat_report(candidates: DataFrame, schemas: DataFrame, fields: DataFrame) -> DataFrame:
+def compat_report(candidates: DataFrame, schemas: DataFrame, fields: DataFrame | None = None) -> DataFrame:
     """``(stream, version, mode, ok)`` for every compatibility mode of each candidate.
 
-    A candidate with nothing before it is compatible in every mode.
+    A candidate with nothing before it is compatible in every mode. Both frames hold ``schema_json``, unless
+    ``fields`` has the nodes of all their schemas. Schemas are compared by their canonical forms: those with one
+    print can read each other and aren't walked. A version listed with unlike texts counts as all of them.
     """
-    pairs = settle(schema_pairs(candidates, schemas), "schema-pairs")
-    forward = pairs.select("stream", F.col("candidate").alias("reader"), F.col("existing").alias("writer"))
-    backward = pairs.select("stream", F.col("existing").alias("reader"), F.col("candidate").alias("writer"))
-    broken = read_faults(fields, forward.union(backward)).select("stream", "reader", "writer").distinct()
-    reads = broken.select("stream", F.col("reader").alias("candidate"), F.col("writer").alias("existing"), F.lit(False).alias("_r"))
-    read_by = broken.select("stream", F.col("writer").alias("candidate"), F.col("reader").alias("existing"), F.lit(False).alias("_b"))
-    on = ["stream", "candidate", "existing"]
-    judged = (
-        pairs.join(reads, on, "left")
-        .join(read_by, on, "left")
-        .select("stream", "candidate", "is_latest", F.coalesce("_r", F.lit(True)).alias("r"), F.coalesce("_b", F.lit(True)).alias("b"))
-    )
-    skip = ~F.col("is_latest")
-    verdicts = {
-        "CAN_READ_ALL": F.col("r"),
-        "CAN_READ_LATEST": skip | F.col("r"),
-        "CAN_BE_READ_BY_ALL": F.col("b"),
-        "CAN_BE_READ_BY_LATEST": skip | F.col("b"),
-        "MUTUAL_READ_ALL": F.col("r") & F.col("b"),
-        "MUTUAL_READ_LATEST": skip | (F.col("r") & F.col("b")),
-    }
-    totals = judged.groupBy("stream", F.col("candidate").alias("version")).agg(
-        *[F.bool_and(v).alias(m) for m, v in verdicts.items()]
-    )
-    full = candidates.select("stream", "version").join(totals, ["stream", "version"], "left")
-    return full.select(
-        "stream",
-        "version",
-        F.explode(
-            F.array(*[F.struct(F.lit(m).alias("mode"), F.coalesce(m, F.lit(True)).alias("ok")) for m in MODES])
-        ).alias("m"),
-    ).select("stream", "version", "m.mode", "m.ok")
+    wanted, active = F.lit(True).alias("_wanted"), F.lit(False).alias("_wanted")
+    keys = ["stream", F.col("version").cast("int").alias("version")]
+    if fields is None:
+        keys.append("schema_json")
+    rows = candidates.select(*keys, wanted).union(active_schemas(schemas).select(*keys, active)).where("version is not null")
+    forms = schema_forms(rows) if fields is None else rows.join(_forms_of(fields), ["stream", "version"], "left")
+    forms = settle(forms, "schema-forms")
+    older = forms.where("not _wanted").select(
+        "stream", F.pmod("version", F.lit(SLOTS)).alias("_slot"), F.col("version").alias("existing"), F.col("places").alias("_old"), F.col("print").alias("_old_print")
+    )
+    newer = forms.where("_wanted").select("stream", F.col("version").alias("candidate"), F.col("places").alias("_new"), F.col("print").alias("_new_print"))
+    newer = newer.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
+    pairs = older.join(newer, ["stream", "_slot"]).where("existing < candidate")
+
+    def reads(reader: str, writer: str) -> Column:
+        faulty = F.exists(F.map_entries(reader), lambda e: _fault(e["key"], e["value"], F.col(writer)).isNotNull())
+        return F.coalesce((F.col("_old_print") == F.col("_new_print")) | ~faulty, F.lit(True))
+
+    judged = pairs.select("stream", "candidate", "existing", reads("_new", "_old").alias("r"), reads("_old", "_new").alias("b"))
+    # Each candidate stands for itself below every version, so one with nothing before it is there, too.
+    alone = forms.where("_wanted").select(
+        "stream", F.col("version").alias("candidate"), F.lit(-(2**31)).cast("int").alias("existing"), F.lit(True).alias("r"), F.lit(True).alias("b")
+    )
+    every = judged.union(alone).withColumn("m", F.col("r") & F.col("b"))
+    verdicts = []
+    for mode, way in zip(MODES, "rrbbmm", strict=True):
+        latest = F.max(F.struct(F.col("existing"), (~F.col(way)).alias("broken")))["broken"]
+        verdicts.append((~latest if mode.endswith("LATEST") else F.bool_and(way)).alias(mode))
+    totals = every.groupBy("stream", F.col("candidate").alias("version")).agg(*verdicts)
+    modes = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("ok")) for m in MODES])).alias("m")
+    return totals.select("stream", "version", modes).select("stream", "version", "m.mode", "m.ok")
 
 
 def pii_evolution_check(new_fields: DataFrame, current_fields: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def read_faults(spark, sf_dir):
 
 def compat_report(spark, sf_dir):
     every = schemas(spark, sf_dir)
-    return registry.compat_report(_candidates(every), every, registry.schema_fields(every))
+    return registry.compat_report(_candidates(every), every)
 
 
 def pii_evolution(spark, sf_dir):

@@ -65,3 +65,11 @@ def test_stored_ends_are_read_instead_of_the_log(spark):
 
 def test_every_query_has_an_oracle():
     assert {name for name, (_, sql) in all_queries().items() if not sql} == set()
+
+
+def test_compatibility_takes_few_scans_and_exchanges(no_broadcast):
+    """The report itself, beyond the canonical forms: every pair is judged where its schemas meet."""
+    text = plan(entry_points.queries()["compat_report"](no_broadcast, SF))
+    assert len(re.findall(r"FileScan", text)) <= 4 and len(re.findall(r"Exchange hashpartitioning", text)) <= 3
+    text = plan(entry_points.queries()["register_schema"](no_broadcast, SF))
+    assert len(re.findall(r"FileScan", text)) <= 11 and len(re.findall(r"Exchange hashpartitioning", text)) <= 11

@@ -181,3 +181,27 @@ def test_versions(spark):
     reasons = {(r.stream, r.version): r.reason for r in registry.deletable_version(schemas, asked).collect()}
     assert reasons[("a", "2")] is None and reasons[("a", "3")] == "not the latest version"
     assert reasons[("a", "latest")] == "version must be explicit" and reasons[("b", "5")] == "no active schema" and reasons[("a", "two")] == "not a version"
+
+
+def test_forms_made_of_texts_and_of_nodes_agree(spark):
+    """What reading doesn't depend on leaves the print as it is; the report is the same from texts and from nodes."""
+    plain = record(field("a", ["null", "long"], default=None), field("e", {"type": "enum", "name": "e", "symbols": ["B", "A"]}))
+    turned = record(field("e", {"type": "enum", "name": "other", "symbols": ["A", "B"]}), field("a", ["null", "long"], default=None, **PII))
+    unlike = record(field("a", ["null", "int"], default=None), field("e", {"type": "enum", "name": "e", "symbols": ["A"]}))
+    texts = [plain, turned, unlike, "{", record(field("a", ["null", X, Y]))]
+    versions = [(f"s{k}", v + 1, texts[(k + v) % 5], v == 1) for k in range(5) for v in range(4)]
+    versions += [("hot", v + 1, texts[v % 3], False) for v in range(40)] + [("hot", None, plain, False), ("lone", 1, plain, False)]
+    schemas = spark.createDataFrame(versions, "stream string, version int, schema_json string, deleted boolean")
+    forms = registry.schema_forms(schemas.where("stream = 's0'").drop("deleted")).collect()
+    prints = {f.version: f["print"] for f in forms}
+    assert prints[1] == prints[2] != prints[3]
+    newest = registry.latest_active_schema(schemas)
+    texts_say = {tuple(r) for r in registry.compat_report(newest, schemas).collect()}
+    nodes_say = {tuple(r) for r in registry.compat_report(newest, schemas, registry.schema_fields(schemas)).collect()}
+    assert texts_say == nodes_say and len(texts_say) == 6 * 7
+    assert ("lone", 1, "MUTUAL_READ_ALL", True) in texts_say and ("hot", 40, "MUTUAL_READ_ALL", False) in texts_say
+
+
+def test_report_of_no_candidates(spark):
+    empty = spark.createDataFrame([], "stream string, version int, schema_json string, deleted boolean")
+    assert registry.compat_report(empty, empty).collect() == []
