@@ -1,17 +1,16 @@
 """Stateful streams: documents folded from patches, change events, delivery states.
 
 Spark gives no order within a micro-batch, so every processor sorts the rows of its key by their sequence
-number before it acts on them.
+number before it acts on them. Rows and state go as rows, not frames: most keys bring few rows to a batch.
 """
 
 from __future__ import annotations
 
 import json
-from bisect import bisect_left, insort
 from collections.abc import Iterator
+from operator import attrgetter
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor
 
 from millrace.functions.jsonpatch import MISSING, PatchError, apply_set
@@ -26,9 +25,9 @@ def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _sorted(rows: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
+def _sorted(rows: Iterator[Row], *by: str) -> list[Row]:
     """The rows one micro-batch brings for one key, in order. ``maxFilesPerTrigger`` bounds them."""
-    return pd.concat(list(rows), ignore_index=True).sort_values(list(by), kind="stable")
+    return sorted(rows, key=attrgetter(*by))
 
 
 class PatchFold(StatefulProcessor):
@@ -37,22 +36,20 @@ class PatchFold(StatefulProcessor):
     def init(self, handle) -> None:
         self.document = handle.getValueState("document", "json string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         document = json.loads(self.document.get()[0]) if self.document.exists() else MISSING
-        out = []
-        for seq, valid, operations in _sorted(rows, "seq")[["seq", "valid", "operations"]].itertuples(index=False):
-            reason = None if valid else UNREADABLE
+        for row in _sorted(rows, "seq"):
+            reason = None if row.valid else UNREADABLE
             try:
-                if valid:
-                    document = apply_set(document, [(o["op"], o["path"], o["value"]) for o in operations])
+                if row.valid:
+                    document = apply_set(document, [(o["op"], o["path"], o["value"]) for o in row.operations])
             except (PatchError, ValueError) as error:
                 reason = str(error)
-            out.append((key[0], seq, None if document is MISSING else compact_json(document), reason))
+            yield Row(document_id=key[0], seq=row.seq, document=None if document is MISSING else compact_json(document), reason=reason)
         if document is MISSING:
             self.document.clear()
         else:
             self.document.update((compact_json(document),))
-        yield pd.DataFrame(out, columns=["document_id", "seq", "document", "reason"])
 
     def close(self) -> None:
         pass
@@ -65,7 +62,7 @@ def model_state_stream(patches: DataFrame) -> DataFrame:
     id_type = patches.schema["document_id"].dataType.simpleString()
     seq_type = patches.schema["seq"].dataType.simpleString()
     judged = patches.select("document_id", "seq", valid_set().alias("valid"), "operations")
-    return judged.groupBy("document_id").transformWithStateInPandas(
+    return judged.groupBy("document_id").transformWithState(
         PatchFold(), f"document_id {id_type}, seq {seq_type}, document string, reason string", "append", "none"
     )
 
@@ -76,18 +73,17 @@ class Changes(StatefulProcessor):
     def init(self, handle) -> None:
         self.value = handle.getValueState("value", "value string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         old = self.value.get()[0] if self.value.exists() else None
-        out = []
-        for offset, new in _sorted(rows, "offset")[["offset", "value"]].itertuples(index=False):
+        for row in _sorted(rows, "offset"):
+            new = row.value
             change = "remove" if new is None else "new" if old is None else "update"
-            out.append((key[0], offset, change, old, new, old is not None and old == new))
+            yield Row(key=key[0], offset=row.offset, change=change, old=old, new=new, same=old is not None and old == new)
             old = new
         if old is None:
             self.value.clear()
         else:
             self.value.update((old,))
-        yield pd.DataFrame(out, columns=["key", "offset", "change", "old", "new", "same"])
 
     def close(self) -> None:
         pass
@@ -97,7 +93,7 @@ def change_stream(log: DataFrame) -> DataFrame:
     """Follow a keyed log ``(key, offset, value)``: ``(key, offset, change, old, new, same)``."""
     use_rocksdb(log.sparkSession)
     key_type = log.schema["key"].dataType.simpleString()
-    return log.where("key is not null").groupBy("key").transformWithStateInPandas(
+    return log.where("key is not null").groupBy("key").transformWithState(
         Changes(), f"key {key_type}, offset bigint, change string, old string, new string, same boolean", "append", "none"
     )
 
@@ -107,73 +103,130 @@ class Delivery(StatefulProcessor):
 
     State is kept for two lifetimes, so that every receipt still finds the messages before it; of the older
     ones only the newest that got on its way stays, because later messages are judged against it.
+
+    Messages are held by ranges of ``RANGE`` sequence numbers, each with a timer of its own, and read by need: a batch
+    or a timer reads the ranges it touches and, for a verdict, the nearest range before that has a message on its way.
+    Beside them the state has one list of ranges, an entry each, so a key with many messages under way costs the rows
+    that come, not the rows that wait.
     """
 
-    FIELDS = "sent_ms bigint, state string, recv_ms bigint, checksum bigint, reported boolean"
+    RANGE = 256
+    MESSAGES = "messages array<struct<seq: bigint, sent_ms: bigint, state: string, recv_ms: bigint, checksum: bigint, reported: boolean>>"
+    #: When something is due in a range (null: never), whether a message there got on its way, and whether it only stays for later ones.
+    RANGES = "ranges array<struct<range: bigint, due_ms: bigint, on_way: boolean, rest: boolean>>"
 
     def __init__(self, lifetime_ms: int):
         self.lifetime_ms = lifetime_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.messages = handle.getMapState("messages", "seq bigint", self.FIELDS)
+        self.ranges = handle.getValueState("ranges", self.RANGES)
+        self.messages = handle.getMapState("messages", "range bigint", self.MESSAGES)
+
+    def _open(self) -> None:
+        """What one call works on: the list of ranges, the messages read so far, and the ranges that changed."""
+        known = self.ranges.get()[0] if self.ranges.exists() else []
+        self.index = {e[0]: tuple(e[1:]) for e in known}
+        self.held: dict[int, dict[int, tuple]] = {}
+        self.changed: set[int] = set()
+
+    def _of(self, number: int) -> dict[int, tuple]:
+        """The messages of a range by sequence number, read from the state once per call."""
+        if number not in self.held:
+            rows = self.messages.getValue((number,))[0] if number in self.index else []
+            self.held[number] = {m[0]: tuple(m[1:]) for m in rows}
+        return self.held[number]
+
+    def _put(self, seq: int, message: tuple) -> None:
+        number = seq // self.RANGE
+        held = self._of(number)
+        held[seq] = message
+        due, on_way, _ = self.index.get(number, (None, False, False))
+        self.index[number] = (due, on_way or self._on_way(message), False)
+        self.changed.add(number)
+
+    def _close(self) -> None:
+        """Write the ranges that changed, with a timer for what is due next in each."""
+        for number in sorted(self.changed):
+            held = self.held[number]
+            if not held:
+                del self.index[number]
+                self.messages.removeKey((number,))
+                continue
+            waits = [m[0] + self.lifetime_ms * (2 if m[4] else 1) for seq, m in held.items() if seq not in self.staying]
+            due = min(waits, default=None)
+            if due is not None and due != self.index[number][0]:
+                self.handle.registerTimer(due)
+            self.index[number] = (due, any(map(self._on_way, held.values())), due is None)
+            self.messages.updateValue((number,), ([(seq, *held[seq]) for seq in sorted(held)],))
+        if self.index:
+            self.ranges.update(([(number, *entry) for number, entry in sorted(self.index.items())],))
+        else:
+            self.ranges.clear()
 
     def _on_way(self, message) -> bool:
         return message[1].startswith("RECEIVED") or SEND_STATES.get(message[1], False)
 
-    def _verdict(self, seq: int, intact: bool, order: list[int], held: dict) -> str:
+    def _verdict(self, seq: int, intact: bool) -> str:
         if not intact:
             return "RECEIVED_CORRUPTED"
-        for earlier in reversed(order[: bisect_left(order, seq)]):
-            if self._on_way(held[earlier]):
-                return "RECEIVED_CORRECT" if held[earlier][2] is not None else "RECEIVED_OUT_OF_ORDER"
+        number = seq // self.RANGE
+        while number is not None:
+            held = self._of(number)
+            before = max((k for k, m in held.items() if k < seq and self._on_way(m)), default=None)
+            if before is not None:
+                return "RECEIVED_CORRECT" if held[before][2] is not None else "RECEIVED_OUT_OF_ORDER"
+            number = max((n for n, entry in self.index.items() if n < number and entry[1]), default=None)
         return "RECEIVED_CORRECT"
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = {k[0]: tuple(m) for k, m in self.messages.iterator()}
-        order, touched = sorted(held), set()
-        for row in _sorted(rows, "at_ms", "step", "seq").itertuples(index=False):
-            seq, at_ms = int(row.seq), int(row.at_ms)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        self._open()
+        self.staying: set[int] = set()
+        for row in _sorted(rows, "at_ms", "step", "seq"):
+            seq, at_ms = row.seq, row.at_ms
             if row.kind == "sent":
-                held[seq] = (at_ms, "SENT", None, int(row.checksum), False)
-                insort(order, seq)
-            elif seq not in held:
+                self._put(seq, (at_ms, "SENT", None, row.checksum, False))
+                continue
+            message = self._of(seq // self.RANGE).get(seq)
+            if message is None:
                 continue
-            else:
-                sent_ms, state, recv_ms, checksum, reported = held[seq]
-                if row.kind == "response" and state == "SENT":
-                    state = row.state
-                elif row.kind == "received" and recv_ms is None and at_ms - sent_ms <= self.lifetime_ms:
-                    state, recv_ms = self._verdict(seq, checksum == int(row.checksum), order, held), at_ms
-                held[seq] = (sent_ms, state, recv_ms, checksum, reported)
-            touched.add(seq)
-        for seq in touched:
-            self.messages.updateValue((seq,), held[seq])
-        self._wake(held.values())
-        yield pd.DataFrame()
-
-    def _wake(self, messages) -> None:
-        """One timer at a time, for the message whose lifetime ends first."""
-        waiting = [m[0] for m in messages if not m[4]]
-        if waiting:
-            self.handle.registerTimer(min(waiting) + self.lifetime_ms)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            sent_ms, state, recv_ms, checksum, reported = message
+            if row.kind == "response" and state == "SENT":
+                state = row.state
+            elif row.kind == "received" and recv_ms is None and at_ms - sent_ms <= self.lifetime_ms:
+                state, recv_ms = self._verdict(seq, checksum == row.checksum), at_ms
+            self._put(seq, (sent_ms, state, recv_ms, checksum, reported))
+        self._close()
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        held = {k[0]: tuple(m) for k, m in self.messages.iterator()}
-        out = []
-        done = {seq for seq, m in held.items() if m[0] + 2 * self.lifetime_ms <= now}
-        newest = max((seq for seq in done if self._on_way(held[seq])), default=None)
-        for seq, (sent_ms, state, recv_ms, checksum, reported) in held.items():
-            if not reported and sent_ms + self.lifetime_ms <= now:
-                out.append((key[0], key[1], seq, state, None if recv_ms is None else recv_ms - sent_ms))
-                held[seq] = (sent_ms, state, recv_ms, checksum, True)
-                if seq not in done or seq == newest:
-                    self.messages.updateValue((seq,), held[seq])
-            if seq in done and seq != newest:
-                self.messages.removeKey((seq,))
-        self._wake(held.values())
-        yield pd.DataFrame(out, columns=["origin", "group", "seq", "state", "transit_ms"])
+        self._open()
+        self.staying = set()
+        resting = {number for number, entry in self.index.items() if entry[2]}
+        for number in [n for n, entry in self.index.items() if entry[0] is not None and entry[0] <= now]:
+            held = self._of(number)
+            for seq, (sent_ms, state, recv_ms, checksum, reported) in sorted(held.items()):
+                if not reported and sent_ms + self.lifetime_ms <= now:
+                    yield Row(origin=key[0], group=key[1], seq=seq, state=state, transit_ms=None if recv_ms is None else recv_ms - sent_ms)
+                    held[seq] = (sent_ms, state, recv_ms, checksum, True)
+            done = [seq for seq, m in held.items() if m[0] + 2 * self.lifetime_ms <= now]
+            newest = max((seq for seq in done if self._on_way(held[seq])), default=None)
+            for seq in done:
+                if seq != newest:
+                    del held[seq]
+            if newest is not None:
+                self.staying.add(newest)
+                resting.add(number)
+            self.changed.add(number)
+        # One range at most keeps a message only for later ones; below the highest, such messages have nothing to say.
+        for number in sorted(resting)[:-1]:
+            held = self._of(number)
+            for seq in [k for k, m in held.items() if m[0] + 2 * self.lifetime_ms <= now]:
+                del held[seq]
+                self.staying.discard(seq)
+            self.changed.add(number)
+        self._close()
 
     def close(self) -> None:
         pass
@@ -190,7 +243,7 @@ def delivery_state_stream(events: DataFrame, lifetime_ms: int = LIFETIME_MS) ->
     return (
         events.withWatermark("at", "0 seconds")
         .groupBy("origin", "group")
-        .transformWithStateInPandas(
+        .transformWithState(
             Delivery(lifetime_ms), "origin string, group int, seq bigint, state string, transit_ms bigint", "append", "eventTime"
         )
     )
