@@ -71,17 +71,20 @@ def ingest(
 def judge_by_stream(df: DataFrame, schemas: dict[str, tuple[int, str]], node: str = "node") -> DataFrame:
     """Judge parsed messages of many streams in one pass, each by its stream's ``(version, schema)``.
 
-    Streams that share a schema share one compiled check. Adds ``reason`` and ``schema_version``.
+    Streams that share a schema share one compiled check, and those at one version one test: work per message follows
+    the schemas and versions in use, not the streams. Adds ``reason`` and ``schema_version``.
     """
     by_schema: dict[str, list[str]] = {}
-    for stream, (_, text) in schemas.items():
+    by_version: dict[int, list[str]] = {}
+    for stream, (version, text) in schemas.items():
         by_schema.setdefault(text, []).append(stream)
+        by_version.setdefault(version, []).append(stream)
     is_object = F.schema_of_variant(node).startswith("OBJECT")
     checks = [
         F.when(F.col("stream").isin(*names), reject_reason(F.col(node), is_object, avro.load(text)))
         for text, names in by_schema.items()
     ]
-    versions = [F.when(F.col("stream") == s, F.lit(v)) for s, (v, _) in schemas.items()]
+    versions = [F.when(F.col("stream").isin(*names), F.lit(version)) for version, names in by_version.items()]
     return df.withColumn("reason", F.coalesce(*checks)).withColumn("schema_version", F.coalesce(*versions).cast("int"))
 
 
