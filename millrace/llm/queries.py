@@ -55,7 +55,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    """``spans``: offending offsets, ``start:end`` in code points, comma-joined."""
+    rows = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ","))
 
 
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -297,39 +297,60 @@ def toxicity(text: Column, model: Field) -> Column:
 SPANS = "array<struct<start: int, end: int, toxicity: double>>"
 
 
-def toxic_spans(text: Column, model: Field, least: float = 0.5) -> Column:
-    """Offsets (code points, end exclusive) of runs of words whose marginal is ``least`` or more."""
-
-    @F.pandas_udf(SPANS)
-    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def runs_of(value: str, chances: np.ndarray, least: float) -> list[dict]:
+    """Runs of words of a text whose marginal is ``least`` or more, with the greatest marginal of each."""
+    runs: list[dict] = []
+    if not len(chances) or chances.max() < least:
+        return runs
+    before = -2
+    for k, found in enumerate(WORD.finditer(value)):
+        if chances[k] < least:
+            continue
+        if before == k - 1:
+            runs[-1]["end"] = found.end()
+            runs[-1]["toxicity"] = max(runs[-1]["toxicity"], float(chances[k]))
+        else:
+            runs.append({"start": found.start(), "end": found.end(), "toxicity": float(chances[k])})
+        before = k
+    return runs
+
+
+def judged(text: Column, model: Field, least: float = 0.5) -> Column:
+    """``score`` as :func:`toxicity` gives it and ``spans``, the offsets (code points, end exclusive) of runs of words whose
+    marginal is ``least`` or more, from one pass over the text. Nulls and empty texts have no spans."""
+
+    @F.pandas_udf(f"score: double, spans: {SPANS}")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         memory = Remember(model.log_odds)
         for texts in batches:
-            out = []
+            scores, spans = [np.zeros(0)], []
             for held in pieces(texts):
-                for value, chances in zip(held, model.of_documents(held, memory)[0], strict=True):
-                    runs: list[dict] = []
-                    if len(chances) and chances.max() >= least:
-                        before = -2
-                        for k, found in enumerate(WORD.finditer(value)):
-                            if chances[k] < least:
-                                continue
-                            if before == k - 1:
-                                runs[-1]["end"] = found.end()
-                                runs[-1]["toxicity"] = max(runs[-1]["toxicity"], float(chances[k]))
-                            else:
-                                runs.append({"start": found.start(), "end": found.end(), "toxicity": float(chances[k])})
-                            before = k
-                    out.append(runs)
-            yield pd.Series(out, dtype=object)
-
-    return spans(text)
+                chances, found = model.of_documents(held, memory)
+                scores.append(found)
+                spans.extend(runs_of(value, each, least) for value, each in zip(held, chances, strict=True))
+            yield pd.DataFrame({"score": np.concatenate(scores), "spans": pd.Series(spans, dtype=object)})
+        memory.clear()
+        give_back()
+
+    return both(text)
+
+
+def toxic_spans(text: Column, model: Field, least: float = 0.5) -> Column:
+    """The ``spans`` of :func:`judged` alone."""
+    return judged(text, model, least)["spans"]
 
 
 def scored(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key``, ``held_out``, ``score`` and ``predicted`` of each row. A null key isn't held out."""
+    """``key``, ``held_out``, ``score``, ``predicted`` and ``spans`` (offending offsets) of each row, repeated rows included.
+
+    A null key isn't held out. Null and empty texts have the score of texts without toxic words and no spans; texts of any
+    length are scored whole. Equal texts are judged alike. An empty table has no rows; without labels to learn from every row
+    has one score. Other columns of ``docs`` are left out, whatever their names.
+    """
     model = fit(docs, labels, text, key)
-    rows = docs.select(F.col(key), F.coalesce(fold_of(key, 4) == 2, F.lit(False)).alias("held_out"), toxicity(F.col(text), model).alias("score"))
-    return rows.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
+    rows = docs.select(F.col(key), F.coalesce(fold_of(key, 4) == 2, F.lit(False)).alias("held_out"), judged(F.col(text), model).alias("_judged"))
+    score = F.col("_judged.score")
+    return rows.select(key, "held_out", score.alias("score"), F.when(score >= THRESHOLD, 1).otherwise(0).alias("predicted"), F.col("_judged.spans").alias("spans"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

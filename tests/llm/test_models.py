@@ -84,6 +84,18 @@ def test_spans(spark):
     spans = {r["doc_id"]: r["spans"] for r in frame.select("doc_id", toxicity.toxic_spans(frame["text"], model).alias("spans")).collect()}
     assert [text[s["start"] : s["end"]] for s in spans[1]] == ["NASTY, nasty"]
     assert not spans[2] and not spans[3] and not spans[4]
+    long = "plain1 " * 30_000
+    more = spark.createDataFrame([(1001, text), (1001, text), (None, None), (1002, ""), (1003, long + "Nasty plain2 nasty")], "doc_id long, text string")
+    more = docs.select("doc_id", "text").union(more)
+    rows = toxicity.scored(more.withColumn("spans", more["text"]).withColumn("_judged", more["text"]), labels).collect()
+    assert len(rows) == 125 and all(bool(r["spans"]) == (r["doc_id"] in (1001, 1003) or r["doc_id"] in range(0, 120, 4)) for r in rows)
+    by_model = toxicity.Remember(model.log_odds)
+    for value, wanted in ((text, ["NASTY, nasty"]), (long + "Nasty plain2 nasty", ["Nasty", "nasty"])):
+        chances = model.of_documents([value], by_model)[0][0]
+        words = [(m.start(), m.end()) for m in toxicity.WORD.finditer(value)]
+        inside = [k for k, p in enumerate(chances) if p >= 0.5]
+        runs = [(words[k][0], next(words[e][1] for e in range(k, len(words)) if e + 1 not in inside)) for k in inside if k - 1 not in inside]
+        assert [(s["start"], s["end"]) for s in toxicity.runs_of(value, chances, 0.5)] == runs and [value[b:e] for b, e in runs] == wanted
     assert toxicity.without_toxic(docs, labels).columns == docs.columns
     kept = {r["doc_id"] for r in toxicity.without_toxic(docs, labels).collect()}
     assert kept == {k for k in range(120) if k % 4}
