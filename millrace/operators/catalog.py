@@ -22,7 +22,7 @@ from millrace.operators.registry import (
     pii_evolution_check,
     schema_rules,
 )
-from millrace.session import settle
+from millrace.session import by_shuffle, settle
 
 # Fixed values.
 STREAM_NAME = "^[a-z][a-z0-9_]*$"
@@ -101,7 +101,7 @@ def due_landings(streams: DataFrame, now: Column, jitter: bool = False) -> DataF
 
 def landable_streams(streams: DataFrame, schemas: DataFrame) -> DataFrame:
     """Streams with a landing destination and at least one active schema."""
-    return streams.where("has_hive and not deleted").join(active_schemas(schemas), "stream", "left_semi")
+    return streams.where("has_hive and not deleted").join(by_shuffle(active_schemas(schemas)), "stream", "left_semi")
 
 
 def status_drift(streams: DataFrame, topics: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def status_drift(streams: DataFrame, topics: DataFrame) -> DataFrame:
     """
     named = streams.withColumn("_topic", F.coalesce("topic_name", F.concat(F.lit("road."), "stream")))
     seen = topics.select(F.col("topic").alias("_topic"), F.col("type").alias("_type"), F.col("status").alias("_status"))
-    both = named.join(seen, "_topic", "left")
+    both = named.join(by_shuffle(seen), "_topic", "left")
     present = F.col("_status").isNotNull()
     operations = F.array_compact(
         F.array(
@@ -229,7 +229,7 @@ def validate_patches(
     )
     paths = proposed.select("request_id", "stream", F.try_variant_get(F.try_parse_json("o.value"), "$", "string").alias("partition_path"))
     misfits = key_path_check(paths, latest_fields).select("request_id").distinct().withColumn("_misfit", F.lit(True))
-    judged = requests.join(known, "stream", "left").join(misfits, "request_id", "left")
+    judged = requests.join(by_shuffle(known), "stream", "left").join(by_shuffle(misfits), "request_id", "left")
 
     every = {**PATCH_RULES, **(rules or {})}
 
@@ -260,7 +260,7 @@ def create_streams(requests: DataFrame, streams: DataFrame, now_ms: Column, auto
     no live stream has it. Missing settings take their defaults, and a landing destination may be added.
     """
     live = streams.where(~F.col("deleted")).select("stream", F.lit(True).alias("_taken"))
-    judged = requests.join(live, "stream", "left")
+    judged = requests.join(by_shuffle(live), "stream", "left")
     reason = F.when(F.col("_taken"), "already exists").when(~F.col("stream").rlike(STREAM_NAME), "invalid name")
     landing = F.struct(F.struct(F.lit(True).alias("enabled"), F.lit(DEFAULT_INTERVAL).alias("landingInterval")).alias("hive"))
     parts = [
@@ -298,8 +298,8 @@ def register_schemas(requests: DataFrame, streams: DataFrame, schemas: DataFrame
     used = schemas.groupBy("stream").agg(F.max("version").alias("_max"), F.max(active).alias("_latest"))
     candidates = (
         requests.select("stream", "requested", "schema_json")
-        .join(used, "stream", "left")
-        .join(live, "stream", "left")
+        .join(by_shuffle(used), "stream", "left")
+        .join(by_shuffle(live), "stream", "left")
         .withColumn("next_version", (F.coalesce("_max", F.lit(0)) + 1).cast("int"))
         .withColumn("version", F.coalesce("requested", "next_version"))
         # The candidate takes the place after every existing version, so that explicit low numbers still compare.
@@ -310,7 +310,7 @@ def register_schemas(requests: DataFrame, streams: DataFrame, schemas: DataFrame
     new_fields = settle(fields_of(placed), "new-fields")
     current_fields = fields_of(candidates.where("_latest is not null").select("stream", "_latest.version", "_latest.schema_json"))
     keyed = candidates.where(F.trim("partition_path") != "").select("stream", "partition_path")
-    older = schemas.join(candidates.select("stream"), "stream", "left_semi")
+    older = schemas.join(by_shuffle(candidates.select("stream")), "stream", "left_semi")
 
     # What speaks against a request, the weightiest first; of the modes that are broken, the stream's own one counts.
     def against(rows: DataFrame, rank: int, text: Column) -> DataFrame:
@@ -329,7 +329,7 @@ def register_schemas(requests: DataFrame, streams: DataFrame, schemas: DataFrame
     broken = found.groupBy("stream").agg(
         least(1).alias("_misfit"), least(2).alias("_rule"), F.collect_set(F.when(F.col("rank") == 3, F.col("text"))).alias("_modes"), least(4).alias("_exposed")
     )
-    judged = candidates.join(broken, "stream", "left")
+    judged = candidates.join(by_shuffle(broken), "stream", "left")
     reason = (
         F.when(F.col("mode").isNull(), "unknown stream")
         .when(F.col("_misfit").isNotNull(), F.col("_misfit"))
@@ -368,7 +368,7 @@ def destination_changes(requests: DataFrame, streams: DataFrame) -> DataFrame:
     live = streams.where(~F.col("deleted")).select(
         "stream", F.col("has_destinations_map").alias("_map"), F.col("has_hive").alias("_hive"), F.lit(True).alias("_known")
     )
-    judged = requests.join(live, "stream", "left")
+    judged = requests.join(by_shuffle(live), "stream", "left")
     create, delete = F.col("action") == "create", F.col("action") == "delete"
     reason = (
         F.when(F.col("_known").isNull(), "unknown stream")
@@ -395,7 +395,7 @@ def destination_changes(requests: DataFrame, streams: DataFrame) -> DataFrame:
 def delete_streams(requests: DataFrame, streams: DataFrame) -> DataFrame:
     """Requests to delete streams: ``(stream, reason, operations)``; the row goes once its topic is gone."""
     known = streams.where(~F.col("deleted")).withColumn("_ok", deletable()).select("stream", "_ok")
-    judged = requests.select("stream").join(known, "stream", "left")
+    judged = requests.select("stream").join(by_shuffle(known), "stream", "left")
     reason = F.when(F.col("_ok").isNull(), "unknown stream").when(~F.col("_ok"), "still in use")
     return judged.select(
         "stream", reason.alias("reason"), F.when(reason.isNull(), _patch(op("add", "/deleted", F.lit("true")))).alias("operations")

@@ -10,7 +10,7 @@ import hashlib
 import json
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.functions.avro import NODE_SCHEMA, UNREADABLE, load, nodes
 from millrace.functions.keypath import key_steps
-from millrace.session import settle
+from millrace.session import by_shuffle, settle
 
 RESERVED = "acquisition_instant"
 MODES = (
@@ -37,29 +37,57 @@ PROMOTIONS = (
 )
 
 
+#: Schemas that Python holds the nodes of at a time.
+AT_ONCE = 1000
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(start, AT_ONCE)
+
+
+def _texts(batch: pa.RecordBatch) -> tuple[list[str | None], np.ndarray]:
+    """The distinct texts of a batch, null last, and the place of each schema's own among them."""
+    texts = batch.column("schema_json").dictionary_encode()
+    distinct = [*texts.dictionary.to_pylist(), None]
+    return distinct, texts.indices.fill_null(len(distinct) - 1).to_numpy(zero_copy_only=False)
+
+
+def _nodes(text: str | None) -> list[tuple]:
+    try:
+        return list(nodes(load(text)))
+    except (ValueError, KeyError, TypeError, RecursionError):
+        return [UNREADABLE]
+
+
 def schema_fields(schemas: DataFrame) -> DataFrame:
     """One row per node of every schema: path, type, default, PII tag, aliases, logical type.
 
     Schemas that cannot be read yield one row of type ``unreadable``. Documents are dealt out evenly first:
-    a registry is few bytes, and would otherwise be read by as many tasks as it has files.
+    a registry is few bytes, and would otherwise be read by as many tasks as it has files. Python holds the nodes of
+    ``AT_ONCE`` schemas, and reads a text that is repeated among these once.
     """
     keys = [f for f in schemas.schema.fields if f.name in ("stream", "version")]
-    names = [f.name for f in keys]
     out = T.StructType(keys + NODE_SCHEMA.fields)
-    columns = out.names
-
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for *key, text in batch.itertuples(index=False):
-                try:
-                    rows.extend([(*key, *node) for node in nodes(load(text))])
-                except (ValueError, KeyError, TypeError, RecursionError):
-                    rows.append((*key, *UNREADABLE))
-            yield pd.DataFrame(rows, columns=columns)
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = to_arrow_schema(out)
+        for batch in _slices(batches):
+            texts, which = _texts(batch)
+            read = [_nodes(text) for text in texts]
+            ends = np.cumsum([0, *map(len, read)])
+            # The rows of each distinct text once; a schema takes those of its own text.
+            rows = [row for found in read for row in found]
+            columns = [pa.array([row[k] for row in rows], target.field(f.name).type) for k, f in enumerate(NODE_SCHEMA.fields)]
+            many = np.diff(ends)[which]
+            schema = np.repeat(np.arange(len(which)), many)
+            node = np.arange(len(schema)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(ends[which], many)
+            own = [batch.column(f.name).cast(target.field(f.name).type).take(pa.array(schema)) for f in keys]
+            yield pa.RecordBatch.from_arrays([*own, *(c.take(pa.array(node)) for c in columns)], schema=target)
 
     tasks = schemas.sparkSession.sparkContext.defaultParallelism
-    return schemas.select(*names, "schema_json").repartition(tasks).mapInPandas(explode, out)
+    return schemas.select(*[f.name for f in keys], "schema_json").repartition(tasks).mapInArrow(explode, out)
 
 
 def schema_rules(fields: DataFrame, strict_unions: bool = False) -> DataFrame:
@@ -125,7 +153,7 @@ def newest_schemas(schemas: DataFrame) -> DataFrame:
 def next_version(streams: DataFrame, schemas: DataFrame) -> DataFrame:
     """The number the next schema gets: one past every version ever used, deleted ones included."""
     used = schemas.groupBy("stream").agg(F.max("version").alias("_max"))
-    return streams.select("stream").join(used, "stream", "left").select(
+    return streams.select("stream").join(by_shuffle(used), "stream", "left").select(
         "stream", (F.coalesce("_max", F.lit(0)) + 1).cast("int").alias("next_version")
     )
 
@@ -143,7 +171,7 @@ def deletable_version(schemas: DataFrame, requests: DataFrame) -> DataFrame:
     latest = latest_active_schema(schemas).select("stream", F.col("version").alias("_latest"))
     number = F.when(F.col("version").rlike("^[0-9]{1,9}$"), F.col("version").cast("int"))
     return (
-        requests.join(latest, "stream", "left")
+        requests.join(by_shuffle(latest), "stream", "left")
         .withColumn("number", number)
         .withColumn(
             "reason",
@@ -169,11 +197,11 @@ def schema_pairs(candidates: DataFrame, schemas: DataFrame) -> DataFrame:
     older = (
         active_schemas(schemas)
         .select("stream", F.col("version").alias("existing"))
-        .join(wanted, "stream")
+        .join(by_shuffle(wanted), "stream")
         .where("existing < candidate")
     )
     newest = older.groupBy("stream", "candidate").agg(F.max("existing").alias("_newest"))
-    return older.join(newest, ["stream", "candidate"]).select(
+    return older.join(by_shuffle(newest), ["stream", "candidate"]).select(
         "stream", "candidate", "existing", (F.col("existing") == F.col("_newest")).alias("is_latest")
     )
 
@@ -219,19 +247,14 @@ def schema_forms(schemas: DataFrame) -> DataFrame:
     names = NODE_SCHEMA.names
 
     def read(text: str | None) -> tuple[dict, str]:
-        try:
-            rows = list(nodes(load(text)))
-        except (ValueError, KeyError, TypeError, RecursionError):
-            rows = [UNREADABLE]
-        places = canonical_places(dict(zip(names, row, strict=True)) for row in rows)
+        places = canonical_places(dict(zip(names, row, strict=True)) for row in _nodes(text))
         return places, hashlib.sha256(json.dumps(places, sort_keys=True).encode()).hexdigest()
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = to_arrow_schema(out)
-        for batch in batches:
-            texts = batch.column("schema_json").dictionary_encode()
-            read_once = [read(text) for text in [*texts.dictionary.to_pylist(), None]]
-            which = texts.indices.fill_null(len(read_once) - 1)
+        for batch in _slices(batches):
+            texts, which = _texts(batch)
+            read_once, which = [read(text) for text in texts], pa.array(which)
             places = pa.array([list(p.items()) for p, _ in read_once], target.field("places").type).take(which)
             prints = pa.array([p for _, p in read_once], pa.string()).take(which)
             columns = [batch.column(f.name).cast(target.field(f.name).type) for f in kept]
@@ -288,7 +311,7 @@ def read_faults(fields: DataFrame, pairs: DataFrame) -> DataFrame:
     forms = settle(_forms_of(fields).drop("print"), "schema-forms")
     reader = forms.select("stream", F.col("version").alias("reader"), F.col("places").alias("_read"))
     writer = forms.select("stream", F.col("version").alias("writer"), F.col("places").alias("_written"))
-    met = pairs.select("stream", "reader", "writer").join(reader, ["stream", "reader"]).join(writer, ["stream", "writer"])
+    met = pairs.select("stream", "reader", "writer").join(by_shuffle(reader), ["stream", "reader"]).join(by_shuffle(writer), ["stream", "writer"])
     placed = met.select("stream", "reader", "writer", "_written", F.explode("_read").alias("path", "_node"))
     fault = _fault(F.col("path"), F.col("_node"), F.col("_written"))
     return placed.select("stream", "reader", "writer", "path", fault.alias("fault")).where("fault is not null")
@@ -317,7 +340,7 @@ def compat_report(candidates: DataFrame, schemas: DataFrame, fields: DataFrame |
     )
     newer = forms.where("_wanted").select("stream", F.col("version").alias("candidate"), F.col("places").alias("_new"), F.col("print").alias("_new_print"))
     newer = newer.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
-    pairs = older.join(newer, ["stream", "_slot"]).where("existing < candidate")
+    pairs = older.join(by_shuffle(newer), ["stream", "_slot"]).where("existing < candidate")
 
     def reads(reader: str, writer: str) -> Column:
         faulty = F.exists(F.map_entries(reader), lambda e: _fault(e["key"], e["value"], F.col(writer)).isNotNull())
@@ -345,7 +368,7 @@ def pii_evolution_check(new_fields: DataFrame, current_fields: DataFrame) -> Dat
     """
     plain = current_fields.where((F.col("kind") == "field") & ~F.col("pii")).select("stream", "path")
     tagged = new_fields.where("pii").select("stream", "version", "path")
-    return tagged.join(plain, ["stream", "path"]).select("stream", "version", "path").distinct()
+    return tagged.join(by_shuffle(plain), ["stream", "path"]).select("stream", "version", "path").distinct()
 
 
 def key_path_check(paths: DataFrame, latest_fields: DataFrame) -> DataFrame:
@@ -382,8 +405,8 @@ def key_path_check(paths: DataFrame, latest_fields: DataFrame) -> DataFrame:
     walked = (
         stepped.withColumn("_at", F.col("_step.at"))
         .withColumn("_next", F.col("_step.next"))
-        .join(nodes, ["stream", "_at"])
-        .join(children, ["stream", "location", "_next"], "left")
+        .join(by_shuffle(nodes), ["stream", "_at"])
+        .join(by_shuffle(children), ["stream", "location", "_next"], "left")
         .withColumn("fault", fault)
         .where("fault is not null")
     )

@@ -79,6 +79,15 @@ def passing(spark: SparkSession) -> Iterator[None]:
         release(spark, *made)
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """A side of a join that is never collected on the driver, for rows that may be as many as the streams.
+
+    Of rows that are made of others - exploded ones, texts, what Python gives - the planner only knows the size of the files
+    they come from, far too little, and would broadcast them.
+    """
+    return df.hint("merge")
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result to the shared folder and go on from there.
 
