@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from millrace.functions import avro
 from millrace.operators.mask import blank, mask_pii
 from millrace.operators.ordered import running_total
-from millrace.operators.positions import MAX_RECORDS_PER_PARTITION, latest_of, plan_landing
+from millrace.operators.positions import MAX_RECORDS_PER_PARTITION, latest_of
 from millrace.plans.serve import read_as_latest
 from millrace.session import passing, settle
 from millrace.sources.log import bounded_offset_scan
@@ -188,6 +189,7 @@ def commit_offsets(plan: DataFrame, path: str, stream: str, instant: str, locati
             F.lit(instant).alias(PARTITION_COLUMN),
             F.lit(location).cast("string").alias("location"),
         )
+        .coalesce(1)
         .write.mode("append")
         .parquet(path)
     )
@@ -235,11 +237,66 @@ def land_range(
     return created
 
 
+#: What share of the landings ahead a job lands and commits together, one at least: a failure costs no more than that.
+TOGETHER = 8
+#: Bytes that a task of several landings writes, before it takes another one.
+TASK_BYTES = FILE_BYTES // 8
+
+
+def land_together(
+    spark: SparkSession, log: DataFrame, passes: list[tuple[str, str, list[tuple[int, int, int]]]], *, stream: str, table: str, schema_json: str, commits: str, cap: int
+) -> None:
+    """Several landings that follow one another, in one job: files, then the partitions, then the offsets.
+
+    ``passes`` holds an instant, a location and rows ``(partition, start, end)`` for each; a partition's ranges go on from one
+    another and hold ``cap`` offsets but for its last. Files are written beside the table and renamed to the location of their
+    landing, where they replace those of an earlier attempt.
+    """
+    spans: dict[int, tuple[int, int]] = {}
+    for _, _, ranges in passes:
+        for partition, start, end in ranges:
+            spans[partition] = (spans.get(partition, (start, end))[0], end)
+    whole = spark.createDataFrame([(p, *span) for p, span in spans.items()], "partition int, start bigint, end bigint")
+    rows = landed_rows(bounded_offset_scan(log, whole), schema_json)
+    number = "_landing"
+    while number in rows.columns:
+        number = "_" + number
+    first = F.create_map(*[F.lit(x) for p, (start, _) in spans.items() for x in (p, start)])
+    offset = F.col("log_offset") - F.try_element_at(first, F.col("log_partition").cast("int"))
+    rows = rows.withColumn(number, F.floor(offset / cap).cast("int"))
+    path, files = _files(spark, passes[0][1])
+    pending = f"{path.getParent().getParent()}/_pending-{uuid.uuid4().hex}"
+    conf, size = spark.conf, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    usual = conf.get(size, None)
+    order = [number, "schema_version", "log_partition", "log_offset"]
+    conf.set(size, str(TASK_BYTES))
+    try:
+        rows.hint("rebalance", number, "schema_version").sortWithinPartitions(*order).write.partitionBy(number).parquet(pending)
+    finally:
+        conf.set(size, usual) if usual else conf.unset(size)
+    for k, (_, location, _) in enumerate(passes):
+        source, target = _files(spark, f"{pending}/{number}={k}")[0], _files(spark, location)[0]
+        files.delete(target, True)
+        files.mkdirs(target.getParent())
+        if not (files.rename(source, target) if files.exists(source) else files.mkdirs(target)):
+            raise OSError(f"a landing could not be put in its place: {location}")
+    files.delete(_files(spark, pending)[0], True)
+    places = " ".join(f"PARTITION ({PARTITION_COLUMN} = '{instant}') LOCATION '{location}'" for instant, location, _ in passes)
+    spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {places}")
+    done = [(stream, *span, instant, location) for instant, location, ranges in passes for span in ranges]
+    spark.createDataFrame(done, COMMITS).coalesce(1).write.mode("append").parquet(commits)
+
+
+def _files(spark: SparkSession, path: str):
+    """A path and its file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def _kept(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a folder that is there once something was written to it."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    place, files = _files(spark, path)
+    return spark.read.schema(schema).parquet(path) if files.exists(place) else spark.createDataFrame([], schema)
 
 
 def landing_job(
@@ -262,7 +319,8 @@ def landing_job(
     """Land a log up to its ``ends``: plan, land, commit, and again until no partition is cut short by ``cap``.
 
     Where it goes on is read from the commits alone, once; a pass carries its own ends on, a number per partition, so its cost
-    doesn't grow with the landings before. A landing's number, and with it its folder and instant, is that
+    doesn't grow with the landings before. Where many landings are ahead, one in ``TOGETHER`` of them is written by one job and
+    committed at once (``land_together``), each to its own folder and partition. A landing's number, and with it its folder and instant, is that
     of the landings committed before, so an attempt after a failure lands the same range over the same files.
     Committed landings are notified, each once its row is in ``<commits>-notified``: none is lost by a failure in between.
     That a table was created is told to ``notify_table`` in the same way: what is about to be created is noted in
@@ -274,38 +332,39 @@ def landing_job(
     before = _kept(spark, commits, COMMITS).where(F.col("stream") == stream)
 
     def tell(due: DataFrame) -> None:
-        instants = [row[PARTITION_COLUMN] for row in due.select(PARTITION_COLUMN).collect()]  # those of one pass, mostly one
+        instants = [row[PARTITION_COLUMN] for row in due.select(PARTITION_COLUMN).collect()]  # those landed together
         if instants:
             notify(due)
-            spark.createDataFrame([(x,) for x in instants], f"{PARTITION_COLUMN} string").write.mode("append").parquet(told)
+            spark.createDataFrame([(x,) for x in instants], f"{PARTITION_COLUMN} string").coalesce(1).write.mode("append").parquet(told)
 
     if notify is not None:
         tell(landings(before, table).join(_kept(spark, told, f"{PARTITION_COLUMN} string"), PARTITION_COLUMN, "left_anti"))
     # A row per partition each.
-    goal = latest_of(ends)
-    goal = spark.createDataFrame(goal.collect(), goal.schema)
-    committed = {row["partition"]: row["committed"] for row in before.groupBy("partition").agg(F.max("next_offset").alias("committed")).collect()}
+    goal = {row["partition"]: row["latest"] for row in latest_of(ends).collect()}
+    at = {row["partition"]: row["committed"] for row in before.groupBy("partition").agg(F.max("next_offset").alias("committed")).collect()}
     number = before.select(PARTITION_COLUMN).distinct().count()
     landed = 0
     while True:
-        at = spark.createDataFrame(list(committed.items()), "partition int, committed bigint")
-        rows = plan_landing(goal, at, cap).collect()
-        if not rows:
+        ahead = max((-(-(end - (at.get(p) or 0)) // cap) for p, end in goal.items()), default=0)
+        if ahead <= 0:
             return landed
-        plan = spark.createDataFrame([tuple(r) for r in rows], "partition int, start bigint, end bigint, run_again boolean")
-        instant = (first_instant + number * interval).astimezone(timezone.utc).strftime("%Y%m%dT%H%M%SZ")
-        location = f"{root}/{stream}/{number}/{PARTITION_COLUMN}={instant}"
-        land_range(
-            spark, bounded_offset_scan(log, plan), plan, stream=stream, table=table, location=location, instant=instant,
-            schema_json=schema_json, commits=commits,
-        )
-        committed.update((r["partition"], r["end"]) for r in rows)
-        number, landed = number + 1, landed + 1
+        passes = []
+        for k in range(number, number + max(1, ahead // TOGETHER)):
+            ranges = [(p, at.get(p) or 0, min(end, (at.get(p) or 0) + cap)) for p, end in sorted(goal.items()) if end > (at.get(p) or 0)]
+            instant = (first_instant + k * interval).astimezone(timezone.utc).strftime("%Y%m%dT%H%M%SZ")
+            passes.append((instant, f"{root}/{stream}/{k}/{PARTITION_COLUMN}={instant}", ranges))
+            at.update((p, end) for p, _, end in ranges)
+        how = dict(stream=stream, table=table, schema_json=schema_json, commits=commits)
+        if len(passes) > 1:
+            land_together(spark, log, passes, cap=cap, **how)
+        else:
+            ((instant, location, ranges),) = passes
+            plan = spark.createDataFrame(ranges, "partition int, start bigint, end bigint")
+            land_range(spark, bounded_offset_scan(log, plan), plan, location=location, instant=instant, **how)
+        number, landed = number + len(passes), landed + len(passes)
         if notify is not None:
-            new = [(stream, r["partition"], r["start"], r["end"], instant, location) for r in rows]
+            new = [(stream, *span, instant, location) for instant, location, ranges in passes for span in ranges]
             tell(landings(spark.createDataFrame(new, COMMITS), table))
-        if not any(r["run_again"] for r in rows):
-            return landed
 
 
 def _ensure_and_tell(spark: SparkSession, table: str, root: str, schema_json: str, version: int, stream: str, commits: str, notify_table) -> None:

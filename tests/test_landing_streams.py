@@ -1,6 +1,7 @@
 """Landing, its failures, and streaming jobs over several micro-batches."""
 
 import os
+import shutil
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -294,3 +295,38 @@ def test_notifications(spark):
     assert sent == [1, 1]
     with pytest.raises(ValueError):
         notify.notification("OTHER", F.lit("s"))
+
+
+def test_many_landings_are_landed_together(spark, path, monkeypatch):
+    """Landings by the job of several at once are those that pass by pass would be, also after a failure before the commit."""
+    log, ends = make_log(spark, path("log")), logs.stored_ends(spark, path("log"))
+    got, jobs_of = {}, []
+    plain = land.land_together
+
+    def counted(*args, **kw):
+        jobs_of.append(len(args[2]))
+        plain(*args, **kw)
+        if len(jobs_of) == 1:  # as if the commit had been lost
+            shutil.rmtree(path("commits-2"))
+            raise OSError("lost")
+
+    monkeypatch.setattr(land, "land_together", counted)
+    for together in (2, 10**9):
+        monkeypatch.setattr(land, "TOGETHER", together)
+        table, told = f"together_{together}_{abs(hash(path('x'))) % 10**8}", []
+        how = dict(
+            stream="s", table=table, root=path(f"lake-{together}"), schema_json=V2, version=2, commits=path(f"commits-{together}"), cap=190,
+            first_instant=datetime(2024, 1, 1, tzinfo=timezone.utc), notify=lambda rows: told.extend(rows.collect()),
+        )
+        try:
+            passes = land.landing_job(spark, log, ends, **how)
+        except OSError:
+            passes = land.landing_job(spark, log, ends, **how)
+        rows = {tuple(r) for r in spark.table(table).select("id", "who", "log_partition", "log_offset", "acquisition_instant").collect()}
+        commits = {tuple(r) for r in spark.read.parquet(how["commits"]).drop("location").collect()}
+        places = {r["location"].split(str(together), 1)[1] for r in spark.read.parquet(how["commits"]).collect()}
+        got[together] = passes, spark.table(table).count(), rows, commits, places, sorted((r["acquisition_instant"], r["record_count"]) for r in told)
+        assert not [name for name in os.listdir(f"{how['root']}/s") if name.startswith("_pending")]
+        spark.sql(f"DROP TABLE {table}")
+    assert got[2] == got[10**9] and got[2][0] == 8 and got[2][1] == 2000
+    assert jobs_of == [4, 4, 2]
