@@ -8,6 +8,7 @@ choice still brings more than ``CROWD`` candidates is met half-way instead: two
 exactly if changing at most one bit in each gives the same number, and no number is reached from more than 65 of them.
 
 ``near_groups`` finds all texts whose shingle sets are similar, without fingerprints: by an exact prefix filter on sets.
+``without_copies`` drops what the fingerprints link, then what only the sets do.
 """
 
 from __future__ import annotations
@@ -351,7 +352,8 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
 
 
 def without_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
-    """``docs`` with one document, that of the least key, of each group of near copies (``near_groups``).
+    """``docs`` with one document, that of the least key, of each class of linked fingerprints (``classes``), and of what these
+    keep, one of each group of near copies (``near_groups``), which lie beyond the radius of fingerprints.
 
     Columns stay as they are. Rows that repeat a key and its text are one document, the first met stays. A key that several
     unlike texts share names none of them: these rows aren't judged, and one of each text stays. Rows without a key stay.
@@ -363,8 +365,10 @@ def without_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", **h
     shared = keyed.groupBy(F.col(key).alias(name)).agg(F.min(same).alias("_least"), F.max(same).alias("_most"))
     shared = settle(shared.where("_least <> _most").select(name), "near-shared-keys")
     own = keyed.join(shared, F.col(key) == F.col(name), "left_anti")
-    groups = near_groups(own, text, key, **how)
+    linked_away = classes(own, text, key).where(F.col(key) != F.col("component_id")).select(F.col(key).alias(name))
+    kept = settle(own.join(linked_away, F.col(key) == F.col(name), "left_anti").dropDuplicates([key]), "near-classes")
+    groups = near_groups(kept, text, key, **how)
     gone = groups.where("_id <> _root").select(F.col("_id").alias(name))
-    kept = own.join(gone, F.col(key) == F.col(name), "left_anti").dropDuplicates([key])
+    kept = kept.join(gone, F.col(key) == F.col(name), "left_anti")
     unlike = keyed.join(shared, F.col(key) == F.col(name), "left_semi").withColumn(name, same).dropDuplicates([key, name]).drop(name)
     return kept.unionByName(unlike).unionByName(docs.where(F.col(key).isNull()))

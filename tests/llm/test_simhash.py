@@ -161,3 +161,21 @@ def test_unlike_texts_under_one_key_are_all_kept(spark):
     kept = simhash.without_copies(docs)
     assert kept.columns == docs.columns
     assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == sorted([("1", one), ("1", two), ("2", two + " c"), ("4", ""), ("None", one), ("None", one)])
+
+
+def test_copies_go_by_linked_fingerprints(spark):
+    """Texts whose fingerprints differ in two bits at most are one class in the pipeline, too, however unlike their sets are."""
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join(words) + " w0 w1 w2 w3" * 3), (3, " ".join(words[:40]) * 30)]
+    rows += [(10 + k, " ".join(f"v{rng.randrange(10**7)}" for _ in range(30))) for k in range(20)]
+    # One sentence over and over outweighs what surrounds it: the same majority of bits, unlike sets.
+    chorus = " ".join(f"c{k}" for k in range(5))
+    rows += [(50 + k, " ".join([chorus] * 400) + " " + " ".join(f"u{k}x{n}" for n in range(60))) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.classes(docs).collect()}
+    assert found[51] == 50
+    assert not {r["_id"] for r in simhash.near_groups(docs).collect()} & {50, 51}
+    kept = {r["doc_id"] for r in simhash.without_copies(docs).collect()}
+    assert 50 in kept and 51 not in kept
+    assert all(found[key] == key for key in kept)
