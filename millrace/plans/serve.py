@@ -9,20 +9,21 @@ from millrace.functions import avro
 from millrace.operators.mask import GRANT_PII, blank, mask_column
 from millrace.operators.positions import log_ends, resume_read
 from millrace.plans.by_schema import each_by_its_own
+from millrace.session import by_shuffle
 
 
 def join_writer_schema(records: DataFrame, schemas: DataFrame) -> DataFrame:
     """Attach the schema each record was written with; ``error`` tells an unknown stream, an unknown version and an
     ambiguous one. ``records(stream, schema_version, ...)``, ``schemas(stream, version, schema_json)``.
 
-    The registry is metadata: a row per stream with its schemas by version, met by one join on the stream, by a
-    broadcast whenever its size allows. A version that is listed with unlike texts is ambiguous, and a null version is no
+    A row per stream with its schemas by version is met by one join on the stream, which adaptive execution splits where a
+    stream is hot. Texts of many streams are no broadcast, however small the files they come from. A version that is listed with unlike texts is ambiguous, and a null version is no
     version; either ends decoding for its own records alone. A version without a text is unknown.
     """
     versions = schemas.groupBy("stream", "version").agg(F.min("schema_json").alias("text"), F.max("schema_json").alias("_other"))
     entry = F.struct("version", F.struct("text", (F.col("text") != F.col("_other")).alias("ambiguous")))
     known = versions.groupBy("stream").agg(F.map_from_entries(F.collect_list(F.when(F.col("version").isNotNull(), entry))).alias("_schemas"))
-    joined = records.join(known, "stream", "left").withColumn("_own", F.try_element_at("_schemas", F.col("schema_version")))
+    joined = records.join(by_shuffle(known), "stream", "left").withColumn("_own", F.try_element_at("_schemas", F.col("schema_version")))
     error = (
         F.when(F.col("_schemas").isNull(), "unknown stream")
         .when(F.col("_own.ambiguous"), "ambiguous version")

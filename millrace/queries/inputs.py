@@ -189,7 +189,9 @@ nodes AS (
 
 
 def schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sql(spark, sf_dir, SCHEMAS, "customer")
+    """Each customer makes a kilobyte or more of texts, so customers are dealt out first: their files are few and small."""
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return sql(spark, sf_dir, SCHEMAS, customer=table(spark, sf_dir, "customer").select("c_custkey").repartition(tasks, "c_custkey"))
 
 
 # -- probe messages -----------------------------------------------------------------------------------

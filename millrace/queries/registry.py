@@ -71,11 +71,9 @@ def compat_report(spark, sf_dir):
 def pii_evolution(spark, sf_dir):
     """Each stream's newest schema judged against its oldest active one."""
     every = schemas(spark, sf_dir)
-    fields = registry.schema_fields(every)
-    newest = registry.latest_active_schema(every).select("stream", "version")
-    oldest = registry.active_schemas(every).groupBy("stream").agg(F.min("version").alias("version"))
+    oldest = registry.active_schemas(every).groupBy("stream").agg(F.min_by(F.struct("version", "schema_json"), "version").alias("s"))
     return registry.pii_evolution_check(
-        fields.join(newest, ["stream", "version"], "left_semi"), fields.join(oldest, ["stream", "version"], "left_semi")
+        registry.schema_fields(registry.latest_active_schema(every)), registry.schema_fields(oldest.select("stream", "s.*"))
     )
 
 
