@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from datetime import datetime, timedelta, timezone
 
@@ -21,6 +22,10 @@ from millrace.sources.log import bounded_offset_scan
 PARTITION_COLUMN = "acquisition_instant"
 VERSION_PROPERTY = "schema.version"
 FILE_BYTES = 128 * 1024 * 1024
+#: Bytes that a task of several files or landings writes, before it takes another one.
+TASK_BYTES = FILE_BYTES // 8
+#: Number of a rolled file within its task.
+ROLLED = "_rolled"
 
 
 def acquisition_instant(ts: Column) -> Column:
@@ -50,29 +55,60 @@ def record_bytes(rows: DataFrame) -> Column:
 
 
 def roll_by_bytes(rows: DataFrame, limit: int) -> DataFrame:
-    """Rows dealt to one task per file, in order. A file holds records of one schema version and log partition, and ends with
-    the record that takes it to ``limit`` bytes or beyond: files follow from the records alone, whatever their order.
+    """Rows dealt to tasks of about ``TASK_BYTES``, in order, with ``ROLLED``, the number of their file in their task. A file
+    holds records of one schema version and log partition, and ends with the record that takes it to ``limit`` bytes or
+    beyond: files follow from the records alone, whatever their order.
 
-    The running sum of bytes goes by slices of offsets, so a partition of any size takes many tasks. Only the number of files
-    of each version and partition comes to the driver.
+    The running sum of bytes goes by slices of offsets, so a partition of any size takes many tasks, and a task writes many
+    files where these are small. Only the last file of each version and partition comes to the driver.
     """
     keys = ["schema_version", "log_partition"]
     sized = rows.withColumn("_bytes", record_bytes(rows))
     upto = running_total(sized, keys, "log_offset", F.col("_bytes"), "_upto")
     numbered = settle(upto.withColumn("_file", F.floor((F.col("_upto") - F.col("_bytes")) / limit)).drop("_upto", "_bytes"), "rolled")
-    # Records longer than the limit leave numbers out, so files are counted within their version and partition.
-    files = numbered.groupBy(*keys, "_file").agg(F.count("*").alias("_rows")).drop("_rows")
-    files = files.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy("_file")) - 1)
-    begin, many = [], 0
-    for row in files.groupBy(*keys).agg(F.max("_rank").alias("last")).orderBy(*keys).collect():
+    together, begin, many = max(1, TASK_BYTES // limit), [], 0
+    for row in numbered.groupBy(*keys).agg(F.max("_file").alias("last")).orderBy(*keys).collect():
         begin.append((row["schema_version"], row["log_partition"], many))
-        many += row["last"] + 1
-    if not many:
-        return numbered.drop("_file")
-    begins = numbered.sparkSession.createDataFrame(begin, "schema_version int, log_partition int, _begin int")
-    places = files.join(begins, keys).select(*keys, "_file", (F.col("_begin") + F.col("_rank")).cast("int").alias("_place"))
-    dealt = numbered.join(places, [*keys, "_file"]).repartitionById(many, F.col("_place"))
-    return dealt.sortWithinPartitions(*keys, "log_offset").select(*rows.columns)
+        many += row["last"] // together + 1
+    begins = F.broadcast(numbered.sparkSession.createDataFrame(begin, "_version int, _partition int, _begin int"))
+    own = F.col("schema_version").eqNullSafe(F.col("_version")) & F.col("log_partition").eqNullSafe(F.col("_partition"))
+    task = (F.col("_begin") + F.floor(F.col("_file") / together)).cast("int").alias("_task")
+    dealt = numbered.join(begins, own).select(*numbered.columns, task).repartitionById(max(1, many), F.col("_task"))
+    # Records longer than the limit leave numbers out, so files are counted within their task.
+    counted = dealt.withColumn(ROLLED, F.dense_rank().over(W.partitionBy("_task").orderBy("_file")) - 1)
+    return counted.sortWithinPartitions(ROLLED, "log_offset").select(*rows.columns, ROLLED)
+
+
+def _land_rolled(rows: DataFrame, location: str, fmt: str, codec: str | None, limit: int) -> None:
+    """The files of ``roll_by_bytes``, in the order of their names. Beside the landing, tasks write their first files to one folder,
+    their second ones to another, and so on; from there files are renamed to one folder, which replaces the landing."""
+    spark = rows.sparkSession
+    target, files = _files(spark, location)
+    pending = f"{target.getParent()}/_pending-{uuid.uuid4().hex}"
+    with passing(spark):
+        writer = roll_by_bytes(rows, limit).write.partitionBy(ROLLED)
+        if codec:
+            writer = writer.option("compression", codec)
+        # Tasks put their files in place themselves; the driver doesn't move each of them when the job ends.
+        writer.option("mapreduce.fileoutputcommitter.algorithm.version", 2).format(fmt).save(pending)
+    flat = _files(spark, f"{pending}/flat")[0]
+    files.mkdirs(flat)
+
+    for folder in [status.getPath() for status in files.listStatus(_files(spark, pending)[0])]:
+        if not folder.getName().startswith(f"{ROLLED}="):
+            continue
+        number = int(folder.getName().removeprefix(f"{ROLLED}="))
+        for status in files.listStatus(folder):
+            source = status.getPath()
+            # Behind the number of its task, as Spark puts it into the name.
+            name = re.sub(r"(-\d{5,})", rf"\1-{number:08}", source.getName(), count=1)
+            if not files.rename(source, spark._jvm.org.apache.hadoop.fs.Path(flat, name)):
+                raise OSError(f"a file could not be put in its place: {name}")
+    files.create(_files(spark, f"{pending}/flat/_SUCCESS")[0]).close()
+    files.delete(target, True)
+    if not files.rename(flat, target):
+        raise OSError(f"a landing could not be put in its place: {location}")
+    files.delete(_files(spark, pending)[0], True)
 
 
 def land_batch(
@@ -86,9 +122,7 @@ def land_batch(
     for ``avro`` is ``spark.sql.avro.deflate.level``).
     """
     if file_bytes:
-        with passing(rows.sparkSession):
-            writer = roll_by_bytes(rows, file_bytes).write
-            (writer.option("compression", codec) if codec else writer).mode("overwrite").format(fmt).save(location)
+        _land_rolled(rows, location, fmt, codec, file_bytes)
         return
     conf, size = rows.sparkSession.conf, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     usual = conf.get(size, None)
@@ -239,8 +273,6 @@ def land_range(
 
 #: What share of the landings ahead a job lands and commits together, one at least: a failure costs no more than that.
 TOGETHER = 8
-#: Bytes that a task of several landings writes, before it takes another one.
-TASK_BYTES = FILE_BYTES // 8
 
 
 def land_together(

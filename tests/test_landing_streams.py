@@ -106,6 +106,22 @@ def test_files_are_rolled_by_bytes(spark, path, limit):
     assert written.count() == 400 and written.distinct().count() == 400
 
 
+def test_small_files_share_a_task(spark, path):
+    """Tasks follow from the bytes, not from the files; files stay in order and lie in one folder."""
+    rows = land.landed_rows(make_log(spark, path("log"), 400), V2)
+    tasks = rows.select("schema_version", "log_partition").distinct().count()
+    assert land.roll_by_bytes(rows, 200).rdd.getNumPartitions() == tasks
+    land.land_batch(rows, path("out"), "json", codec="gzip", file_bytes=200)
+    names = sorted(name for name in os.listdir(path("out")) if name.endswith(".json.gz"))
+    assert len(names) > 5 * tasks
+    assert not [name for name in os.listdir(path("")) if name.startswith("_pending")]
+    read = spark.read.schema(land.table_columns(V2))
+    assert read.json(path("out")).count() == 400
+    order = ["schema_version", "log_partition", "log_offset"]
+    found = [tuple(r) for name in names for r in read.json(path(f"out/{name}")).select(*order).collect()]
+    assert found == sorted(found)
+
+
 def test_nothing_to_roll(spark, path):
     rows = land.landed_rows(make_log(spark, path("log"), 10), V2).where("log_offset < 0")
     land.land_batch(rows, path("out"), file_bytes=100)
