@@ -106,3 +106,32 @@ def test_no_rows_and_nothing_due_read_nothing():
     assert held.value is None and expire(held, work, 10**9) == []
     feed(work, [event("received", 3, 5), event("response", 3, 5, "SEND_SUCCESS")])
     assert held.entries == {} and held.reads == 0
+
+
+def test_a_hot_key_costs_one_timer_and_bounded_memory():
+    """Whatever a batch brings for a key: one timer goes off, few ranges are held as messages, and nothing else changes."""
+    draw = random.Random(3)
+    events = []
+    for seq in range(3000):
+        at = seq * 1000
+        events += [event("sent", seq, at), event("response", seq, at, draw.choice(["SEND_SUCCESS", "SEND_FAILURE"]))]
+        if draw.random() < 0.7:
+            events.append(event("received", seq, at + draw.randrange(LIFETIME + 5000)))
+    few, all_held = started(4), started(4)
+    few[1].MOST, most = 5, 0
+    of = few[1]._of
+
+    def watched(number):
+        nonlocal most
+        found = of(number)
+        most = max(most, len(few[1].held))
+        return found
+
+    few[1]._of = watched
+    out = []
+    for held, work in (few, all_held):
+        feed(work, events)
+        assert len(held.timers) == 1
+        out.append(sorted(expire(held, work, 10**9)))
+        assert sum(len(m[0]) for m in held.entries.values()) == 1
+    assert out[0] == out[1] and len(out[0]) == 3000 and most <= 5
