@@ -2,9 +2,11 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from millrace.operators import registry
+from millrace.queries import inputs
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,6 +29,18 @@ def test_schemas_are_dealt_out_before_they_are_made(spark, name):
     assert below and all("REPARTITION_BY_NUM" in part for part in below)
 
 
+def test_versions_to_delete_meet_schemas_that_are_dealt_out(spark):
+    text = plan(entry_points.queries()["flag_deleted_schema"](spark, SF))
+    below = [part.split("Scan parquet")[0] for part in text.split("Generate explode(sequence(1")[1:]]
+    assert below and all("REPARTITION_BY_NUM" in part for part in below)
+
+
+def test_no_task_makes_most_of_the_schemas(spark):
+    """What the newest version is picked from comes from many tasks, however few files list the customers."""
+    parts = inputs.schemas(spark, SF).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(parts) > 1 and max(r["count"] for r in parts) * 2 < sum(r["count"] for r in parts)
+
+
 def test_python_holds_few_schemas_at_a_time(spark):
     """Batches of nodes stay small, however many schemas a batch of the scan brings; repeated and unreadable ones included."""
     wide = [f'{{"type":"record","name":"r","fields":[{{"name":"a{k % 3}","type":["null","int"]}},{{"name":"b","type":"string"}}]}}' for k in range(4500)]
