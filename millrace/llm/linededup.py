@@ -255,6 +255,7 @@ def words_at(docs: DataFrame, places: DataFrame, text: str = "text", key: str =
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in words])]).astype(np.int32)
                 kept = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(words)))
                 yield pa.RecordBatch.from_arrays([rows.column("_id").take(pa.array(at)), pa.array(lines, pa.int32()), kept], names=["_id", "_line", "_words"])
+        give_back()
 
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     many = F.char_length("_text") - F.char_length(F.replace("_text", F.lit("\n"), F.lit("")))
@@ -268,6 +269,8 @@ def words_at(docs: DataFrame, places: DataFrame, text: str = "text", key: str =
 def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, similarity: float, text: str, key: str) -> DataFrame:
     """Those of ``pairs`` (a, b) of sets that match, as their words have it."""
     pairs = settle(pairs.distinct(), "line-pairs")
+    if pairs.isEmpty():  # no reason to look through the documents
+        return pairs.select("a", "b")
     wanted = pairs.select(F.col("a").alias("_set")).union(pairs.select(F.col("b").alias("_set"))).distinct()
     places = settle(firsts.join(wanted, "_set").select("_set", "_first._id", "_first._line"), "line-places")
     known = settle(words_at(docs, places, text, key), "line-words")
@@ -283,11 +286,13 @@ def matches(docs: DataFrame, lines: DataFrame, firsts: DataFrame, similarity: fl
     # Words that few lines hold: every two sets that can match.
     sides = [_filed(lines, "_keys", F.col("_skip"), side) for side in "ab"]
     near = sides[0].join(sides[1], "_key").where((F.col("a_set") < F.col("b_set")) & may).select(*ends)
-    # Crowded words: each set against the earliest one there first; those that it doesn't settle against all.
-    full = lines.where("size(_crowded) > 0")
-    behind = F.col("_skip") + F.size("_keys")
-    here = _filed(full, "_crowded", behind, "a", "_id", "_line")
-    head = here.groupBy("_key").agg(F.min(F.struct(*[F.col(f"a_{x}").alias(f"b_{x}") for x in ("id", "line", "set", "at", "one", "two")])).alias("_b"))
+    # Crowded words: each set, once however many tasks filed it, against the earliest one there first; those that it
+    # doesn't settle against the earlier ones alone, since a later match settles nothing.
+    full = lines.where("size(_crowded) > 0").select("_set", "_size", "_skip", F.size("_keys").alias("_few"), "_crowded", "_one", "_two")
+    full = settle(full.dropDuplicates(["_set"]).join(firsts, "_set"), "line-crowds")
+    behind = F.col("_skip") + F.col("_few")
+    here = _filed(full, "_crowded", behind, "a", "_first")
+    head = here.groupBy("_key").agg(F.min(F.struct(*[F.col(f"a_{x}").alias(f"b_{x}") for x in ("first", "set", "at", "one", "two")])).alias("_b"))
     first = here.join(head, "_key").select("*", "_b.*").where((F.col("a_set") != F.col("b_set")) & may).select(*ends)
     sure = verified(docs, near.union(first), firsts, similarity, text, key)
     # Settled: later than a match.
@@ -295,8 +300,8 @@ def matches(docs: DataFrame, lines: DataFrame, firsts: DataFrame, similarity: fl
     placed = sure.join(sides[0], "a").join(sides[1], "b")
     settled = placed.select(F.when(F.col("_a") > F.col("_b"), F.col("a")).otherwise(F.col("b")).alias("_set")).distinct()
     rest = full.join(settled, "_set", "left_anti")
-    late = _filed(rest, "_crowded", behind, "a").join(_filed(full, "_crowded", behind, "b"), "_key")
-    late = late.where((F.col("a_set") != F.col("b_set")) & may).select(F.least("a_set", "b_set").alias("a"), F.greatest("a_set", "b_set").alias("b"))
+    late = _filed(rest, "_crowded", behind, "a", "_first").join(_filed(full, "_crowded", behind, "b", "_first"), "_key")
+    late = late.where((F.col("b_first") < F.col("a_first")) & may).select(F.least("a_set", "b_set").alias("a"), F.greatest("a_set", "b_set").alias("b"))
     return sure.union(verified(docs, late.join(sure, ["a", "b"], "left_anti"), firsts, similarity, text, key))
 
 
@@ -342,6 +347,7 @@ def deduped(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
                         value = "\n".join(x for k, x in enumerate(parts) if k not in drop)
                 rows.append((value, len(drop)))
             yield pd.DataFrame(rows, columns=["text", "removed"])
+        give_back()
 
     joined = docs.join(lists, F.col(key) == F.col(of), "left").drop(of)
     joined = joined.withColumn(done, cut(F.col(text), F.col(lost))).drop(lost)

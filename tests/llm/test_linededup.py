@@ -88,6 +88,24 @@ def test_hot_group_of_near_copies(spark, monkeypatch):
     assert as_rows(linededup.deduped(docs)) == plain_dedup(rows)
 
 
+def test_crowded_sets_meet_once_and_earlier_ones_only(spark, monkeypatch):
+    """One line in all tasks, and near copies of it: neither the tasks nor the copies multiply the pairs looked at."""
+    monkeypatch.setattr(linededup, "CROWD", 20)
+    base = [f"b{k}" for k in range(12)]
+    rows = [(k, "\n".join([" ".join(base), " ".join([*base[: k % 12], f"x{k}", *base[k % 12 + 1 :]])])) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(10).cache()
+    met, join = [], type(docs).join
+
+    def counted(frame, other, on=None, how=None):
+        if how == "left_anti" and on == ["a", "b"]:  # of all pairs looked at, those that aren't verified yet go on
+            met.append(frame.count())
+        return join(frame, other, on, how)
+
+    monkeypatch.setattr(type(docs), "join", counted)
+    assert as_rows(linededup.deduped(docs)) == plain_dedup(rows)
+    assert len(met) == 1 and met[0] <= len(rows)
+
+
 def test_nulls_empties_repeats_and_clashing_columns(spark):
     long = " ".join(f"v{k}" for k in range(20_000))
     rows = [
