@@ -7,6 +7,7 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,8 +58,10 @@ def in_pieces(texts: pd.Series, work: Callable[[list[str]], list], limit: int =
 
 def give_back() -> None:
     """Return freed memory to the machine. Python workers live on after a task and serve the stages that follow, so what
-    a task has let go of shouldn't stay with them. Call it once nothing of the task is held any more."""
+    a task has let go of shouldn't stay with them; Arrow keeps what it has freed in a pool of its own. Call it once nothing
+    of the task is held any more."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
     if trim:
         trim(0)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import pieces
+from millrace.llm.common import give_back, pieces
 
 #: Words of items in a block.
 BLOCK = 2_000_000
@@ -147,6 +147,7 @@ def held_items(text: Column, block: Items, least: float = LEAST) -> Column:
         names = ("item_id", "score", "first_word", "last_word")
         for texts in batches:
             yield pd.Series([[dict(zip(names, x, strict=True)) for x in block.held(value, least)] for held in pieces(texts) for value in held], dtype=object)
+        give_back()
 
     return found(text)
 

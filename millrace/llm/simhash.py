@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, pieces, unused
+from millrace.llm.common import components, give_back, pieces, unused
 from millrace.session import settle
 
 BITS = 64
@@ -90,6 +90,7 @@ def fingerprint(text: Column, size: int = 3, words: int = 1, repeats: bool = Tru
 
         for texts in batches:
             yield pd.Series([one(x) for held in pieces(texts) for x in held], dtype=object)
+        give_back()
 
     return prints(text)
 
@@ -190,6 +191,7 @@ def linked(prints: DataFrame, radius: int = 2, crowd: int = CROWD) -> DataFrame:
                 counts = one[[f"n{k}" for k in range(len(widths))]].to_numpy(np.float64)
                 levels, expected = allocation(counts, widths, rows, radius)
                 yield pd.DataFrame({"fp": one["fp"], "levels": list(levels), "crowded": expected > crowd})
+        give_back()
 
     plan = settle(counted.mapInPandas(chosen, "fp long, levels array<long>, crowded boolean"), "simhash-plan")
     probes = None
@@ -254,6 +256,7 @@ def shingle_set(text: Column, size: int = 5) -> Column:
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([hashed(value, size) for held in pieces(texts) for value in held], dtype=object)
+        give_back()
 
     return sets(text)
 
@@ -290,6 +293,7 @@ def prefixes(text: Column, size: int, similarity: float, known: tuple[np.ndarray
                     n = len(own)
                     out.append((n, n - _least(2 * similarity / (1 + similarity), n) + 1, own[: n - _least(similarity, n) + 1]))
             yield pd.DataFrame(out, columns=["many", "short", "first"])
+        give_back()
 
     return cut(text)
 
