@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import give_back, pieces, unused
-from millrace.session import settle
+from millrace.session import settle, settle_alone
 
 SIMILARITY = 0.8
 #: Bins of the word counts: a byte each once ranked, 4 MB, whatever the vocabulary.
@@ -32,6 +32,8 @@ BLOCK = 1 << 16
 CROWD = 400
 #: Bits that tell which lines are wanted for verification, 4 MB; more lines than bits only mean that more are looked at.
 WANTED = 1 << 25
+#: Wanted lines up to which their documents are picked out beforehand.
+FEW = 1000
 
 #: Characters of texts worked on at once, so that the words met in them stay near the processor.
 PIECE = 400_000
@@ -75,31 +77,37 @@ def rank_of(many: np.ndarray) -> np.ndarray:
 def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
     """A rank for each bin of words: how often its words occur (``rank_of``).
 
-    Counts are summed by bin, then ranked in blocks of bins; 64 blocks of bytes reach the driver.
+    A task hands on its counts by blocks of bins, packed; blocks are summed and ranked one by one, a batch at a time, and
+    reach the driver as 64 blocks of bytes.
     """
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BINS, np.int64)
         for rows in batches:
-            for held in pieces(rows["_text"], PIECE):
+            for held in pieces(rows.column("_text").to_pylist(), PIECE):
                 words: Counter = Counter()
                 for text in held:
                     words.update(plain(text).split())
                 bins = (word_hashes(words) & np.uint64(BINS - 1)).astype(np.int64)
                 np.add.at(counts, bins, np.fromiter(words.values(), np.int64, len(words)))
         give_back()
-        used = np.flatnonzero(counts)
-        for start in range(0, len(used), 50_000):
-            part = used[start : start + 50_000]
-            yield pd.DataFrame({"_bin": part.astype(np.int32), "_n": counts[part]})
-
-    def ranked(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(BLOCK, np.uint8)
-        out[rows["_bin"].to_numpy() % BLOCK] = rank_of(rows["_n"].to_numpy(np.float64))
-        return pd.DataFrame({"_block": [key[0]], "_ranks": [out.tobytes()]})
-
-    sums = docs.select(F.col(text).alias("_text")).mapInPandas(counted, "_bin int, _n long").groupBy("_bin").agg(F.sum("_n").alias("_n"))
-    blocks = sums.withColumn("_block", F.shiftright("_bin", 16)).groupBy("_block").applyInPandas(ranked, "_block int, _ranks binary")
+        for start in range(0, BINS, BLOCK):
+            used = np.flatnonzero(counts[start : start + BLOCK])
+            if len(used):
+                packed = used.astype(np.int32).tobytes(), counts[start + used].tobytes()
+                arrays = [pa.array([start // BLOCK], pa.int32()), *[pa.array([x], pa.binary()) for x in packed]]
+                yield pa.RecordBatch.from_arrays(arrays, names=["_block", "_bins", "_counts"])
+
+    def ranked(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(BLOCK, np.int64)
+        for rows in batches:
+            for bins, many in zip(rows.column("_bins"), rows.column("_counts"), strict=True):
+                sums[np.frombuffer(bins.as_py(), np.int32)] += np.frombuffer(many.as_py(), np.int64)
+        out = np.where(sums > 0, rank_of(sums.astype(np.float64)), 0).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["_block", "_ranks"])
+
+    packed = docs.select(F.col(text).alias("_text")).mapInArrow(counted, "_block int, _bins binary, _counts binary")
+    blocks = packed.groupBy("_block").applyInArrow(ranked, "_block int, _ranks binary")
     ranks = np.zeros(BINS, np.uint8)
     for row in blocks.collect():
         ranks[row["_block"] * BLOCK : (row["_block"] + 1) * BLOCK] = np.frombuffer(row["_ranks"], np.uint8)
@@ -147,7 +155,7 @@ def line_sets(docs: DataFrame, ranks: np.ndarray, similarity: float, text: str =
                 known = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
                 hashes = word_hashes(numbers)
                 rank = ranks[(hashes & np.uint64(BINS - 1)).astype(np.int64)]
-                order = np.lexsort((hashes, rank))
+                order = np.argsort(rank.astype(np.uint64) << np.uint64(56) | hashes >> np.uint64(8))
                 place = np.empty(len(order), np.int64)
                 place[order] = np.arange(len(order))
                 every = np.sort(np.repeat(np.arange(len(sizes)), sizes) << 32 | place[known])
@@ -242,15 +250,18 @@ def words_at(docs: DataFrame, places: DataFrame, text: str = "text", key: str =
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             at, lines, words = [], [], []
-            for k, (value, spots) in enumerate(zip(rows.column("_text").to_pylist(), rows.column("_spots").to_pylist(), strict=True)):
-                spots = np.array(spots, np.int64)
-                hit = np.flatnonzero(flags[spots >> 6] >> (spots & 63) & 1)
-                if len(hit):
-                    parts = plain(value).split(b"\n")
-                    for line in hit.tolist():
-                        at.append(k)
-                        lines.append(line)
-                        words.append(np.unique(word_hashes(parts[line].split())).view(np.int64))
+            many = np.diff(rows.column("_spots").offsets.to_numpy())
+            spots = rows.column("_spots").flatten().to_numpy()
+            of = np.repeat(np.arange(len(many)), many)
+            line = np.arange(len(spots)) - np.repeat(np.cumsum(many) - many, many)
+            hit = np.flatnonzero(flags[spots >> 6] >> (spots & 63) & 1)
+            before, parts = -1, []
+            for k, n in zip(of[hit].tolist(), line[hit].tolist(), strict=True):
+                if k != before:  # a text without a line that is wanted stays as it came
+                    before, parts = k, plain(rows.column("_text")[k].as_py()).split(b"\n")
+                at.append(k)
+                lines.append(n)
+                words.append(np.unique(word_hashes(parts[n].split())).view(np.int64))
             if at:
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in words])]).astype(np.int32)
                 kept = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(words)))
@@ -258,6 +269,8 @@ def words_at(docs: DataFrame, places: DataFrame, text: str = "text", key: str =
         give_back()
 
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.col(text).alias("_text"))
+    if len(known) < FEW:  # so few lines that their documents alone are handed to Python
+        rows = rows.join(F.broadcast(places.select("_id").distinct()), "_id", "left_semi")
     many = F.char_length("_text") - F.char_length(F.replace("_text", F.lit("\n"), F.lit("")))
     rows = rows.withColumn("_named", F.col("_id").cast("string")).withColumn("_many", many)
     rows = rows.select("_id", "_text", F.expr(f"transform(sequence(0, _many), n -> pmod(xxhash64(_named, n), {WANTED}L))").alias("_spots"))
@@ -307,6 +320,10 @@ def matches(docs: DataFrame, lines: DataFrame, firsts: DataFrame, similarity: fl
 
 def removed_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """The lines (``_id``, ``_line``, ``_set``) that have an earlier match."""
+    return settle_alone(docs.sparkSession, lambda: _removed_lines(docs, text, key, similarity), "line-removed")
+
+
+def _removed_lines(docs: DataFrame, text: str, key: str, similarity: float) -> DataFrame:
     lines = settle(line_sets(docs, rarity(docs, text), similarity, text, key), "lines")
     firsts = settle(lines.groupBy("_set").agg(F.min(F.struct("_id", "_line")).alias("_first")), "line-sets")
     met = matches(docs, lines, firsts, similarity, text, key)
@@ -316,7 +333,7 @@ def removed_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", simi
     marked = firsts.join(later.withColumn("_later", F.lit(True)), "_set", "left")
     gone = lines.select("_id", "_line", "_set").join(marked, "_set")
     gone = gone.where((F.struct("_id", "_line") != F.col("_first")) | F.coalesce("_later", F.lit(False)))
-    return settle(gone.select("_id", "_line", "_set").distinct(), "line-removed")
+    return gone.select("_id", "_line", "_set").distinct()
 
 
 def deduped(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, removed: str = "_removed") -> DataFrame:
@@ -327,6 +344,29 @@ def deduped(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     all of them if the words at its place are the same.
     """
     gone = removed_lines(docs, text, key, similarity)
+    (of,) = unused(docs.columns, "_of")
+    again = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(of)).agg(F.count("*").alias("_n")).where("_n > 1").select(of)
+    again = settle(again, "line-again")
+    if again.isEmpty():
+        return _cut(docs, gone, text, key, removed)
+    named = F.col(key) == F.col(of)
+    alone = _cut(docs.join(again, named, "left_anti"), gone, text, key, removed)
+    return alone.unionByName(_cut_repeated(docs.join(again, named, "left_semi"), gone, text, key, removed))
+
+
+def _cut(docs: DataFrame, gone: DataFrame, text: str, key: str, removed: str) -> DataFrame:
+    """``docs`` without the lines of ``gone``, for keys that one row has."""
+    of, lost = unused(docs.columns, "_of", "_gone")
+    lists = gone.groupBy(F.col("_id").alias(of)).agg(F.collect_set("_line").alias(lost))
+    joined = docs.join(lists, F.col(key) == F.col(of), "left").drop(of)
+    left = F.filter(F.split(text, "\n"), lambda line, n: ~F.array_contains(lost, n))
+    many = F.when(F.col(lost).isNotNull(), F.size(lost)).otherwise(0).cast("long")
+    cut = F.when(F.col(lost).isNotNull(), F.array_join(left, "\n")).otherwise(F.col(text))
+    return joined.withColumn(removed, many).withColumn(text, cut).drop(lost)
+
+
+def _cut_repeated(docs: DataFrame, gone: DataFrame, text: str, key: str, removed: str) -> DataFrame:
+    """The same where rows repeat a key: a line goes if the words at its place are those of the line that went."""
     of, lost, done = unused(docs.columns, "_of", "_gone", "_cut")
     lists = gone.groupBy(F.col("_id").alias(of)).agg(F.collect_list(F.struct(F.col("_line").alias("line"), F.col("_set").alias("set"))).alias(lost))
 

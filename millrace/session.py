@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,7 +75,7 @@ def passing(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        _watched.remove(made)
+        _watched[:] = [paths for paths in _watched if paths is not made]  # equal lists are not the same
         release(spark, *made)
 
 
@@ -97,3 +97,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settle_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Like :func:`settle`, for what ``make`` returns; intermediate results written by ``make`` are removed once it is there.
+
+    For steps whose own intermediate results nobody reads again, so that disk follows what is still needed.
+    """
+    path = fresh_path(spark, name)
+    with passing(spark):
+        df = make()
+        df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -127,6 +127,20 @@ def test_nulls_empties_repeats_and_clashing_columns(spark):
     assert linededup.deduped(docs.limit(0)).collect() == []
 
 
+def test_lines_are_cut_without_python_and_nothing_else_stays_on_disk(spark, left):
+    """Where no two rows share a key, cutting needs no Python; of all that was written only what the result reads is left."""
+    rows = [(k, f"the same line for all\nown {k} words here {k + 1000} now") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = linededup.without_repeats(docs)
+    assert left() == ["line-again", "line-removed"]
+    assert "Python" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["text"].count("\n") for r in kept.collect()) == [0] * 19 + [1]
+    # A key that rows repeat still has its lines told by their words.
+    repeated = docs.unionByName(docs.where("doc_id = 7").withColumn("text", docs["text"].substr(1, 6)))
+    alike = [row for row in as_rows(linededup.deduped(repeated)) if row[0] == 7]
+    assert alike == [(7, "own 7 words here 1007 now", 1), (7, "the sa", 0)]
+
+
 def test_query(spark):
     import hashlib
 
