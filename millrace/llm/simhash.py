@@ -13,7 +13,7 @@ exactly if changing at most one bit in each gives the same number, and no number
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import components, give_back, pieces, unused
-from millrace.session import settle
+from millrace.session import settle, settle_alone
 
 BITS = 64
 PARTS = 3
@@ -246,7 +246,8 @@ def hashed(text: str, size: int) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
     found = shingles(text, size)
-    return np.unique(np.fromiter((xxh64_intdigest(x, 42) for x in found), np.uint64, len(found))).view(np.int64)
+    hashes = np.sort(np.fromiter((xxh64_intdigest(x, 42) for x in found), np.uint64, len(found)))
+    return hashes[np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)]].view(np.int64)
 
 
 def shingle_set(text: Column, size: int = 5) -> Column:
@@ -308,27 +309,42 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     there. Who is in a group already needs no comparison within it, so a group of any size makes rows in proportion.
     Null keys aren't judged.
     """
+    spark = docs.sparkSession
     given = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     marks = settle(given.select("_id", F.md5("_text").alias("_same")), "near-marks")
-    firsts = marks.groupBy("_same").agg(F.min("_id").alias("_first"))
-    same = marks.join(firsts, "_same")
+    same = settle(marks.join(marks.groupBy("_same").agg(F.min("_id").alias("_first")), "_same").select("_id", "_first"), "near-same")
     copies = same.where("_id <> _first").select(F.col("_first").alias("a"), F.col("_id").alias("b"))
-    reps = same.where("_id = _first").select("_id").distinct()
-    texts = settle(given.join(reps, "_id", "left_semi").dropDuplicates(["_id"]), "near-texts")
-    cut = texts.select("_id", prefixes(F.col("_text"), size, similarity, frequent(texts, "_text", size)).alias("_p")).where("_p.many > 0")
-    rows = settle(cut.select("_id", F.col("_p.many").alias("_many"), F.col("_p.short").alias("_short"), F.posexplode("_p.first").alias("_at", "_token")), "near-prefixes")
-    ends = rows.groupBy("_token").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high")).where("_low <> _high")
-    shared = settle(rows.join(ends.select("_token", "_low"), "_token"), "near-shared")
+    # Texts stay where they are: only keys are left out, those that name copies alone and, but once, those of several rows.
+    away = settle(copies.select(F.col("b").alias("_id")).distinct().join(same.where("_id = _first"), "_id", "left_anti"), "near-away")
+    texts = given.join(away, "_id", "left_anti")
+    again = settle(same.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1").select("_id"), "near-again")
+    if not again.isEmpty():
+        once = texts.join(again, "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text"))
+        texts = texts.join(again, "_id", "left_anti").unionByName(once)
+
+    def met_under() -> DataFrame:
+        """Rows of the shingles that several documents may share first, and the least document there."""
+        # No filter on what Python gives: pushed below, it would have Python work twice. Empty prefixes make no rows.
+        cut = texts.select("_id", prefixes(F.col("_text"), size, similarity, frequent(texts, "_text", size)).alias("_p"))
+        rows = cut.select("_id", F.col("_p.many").alias("_many"), F.col("_p.short").alias("_short"), F.posexplode("_p.first").alias("_at", "_token"))
+        rows = settle(rows, "near-prefixes")
+        ends = rows.groupBy("_token").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high")).where("_low <> _high")
+        return rows.join(ends.select("_token", "_low"), "_token")
+
+    shared = settle_alone(spark, met_under, "near-shared")
 
     def alike(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose sets are similar."""
+        return settle_alone(spark, lambda: _alike(pairs, name), f"{name}-links")
+
+    def _alike(pairs: DataFrame, name: str) -> DataFrame:
         pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-candidates")
         needed = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct()
         sets = settle(texts.join(needed, "_id", "left_semi").select("_id", shingle_set(F.col("_text"), size).alias("_set")), f"{name}-sets")
         one, two = sets.select(F.col("_id").alias("a"), F.col("_set").alias("_sa")), sets.select(F.col("_id").alias("b"), F.col("_set").alias("_sb"))
         both = F.size(F.array_intersect("_sa", "_sb"))
         near = both >= F.lit(similarity) * (F.size("_sa") + F.size("_sb") - both) - 1e-9
-        return settle(pairs.join(one, "a").join(two, "b").where(near).select("a", "b"), f"{name}-links")
+        return pairs.join(one, "a").join(two, "b").where(near).select("a", "b")
 
     def side(name: str) -> DataFrame:
         return placed.select("_token", *[F.col(x).alias(x + name) for x in ("_id", "_many", "_short", "_at", "_root")])
@@ -340,8 +356,7 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
         most = F.least(many - F.col("_at" + a), other - F.col("_at" + b))
         return in_short & (most >= F.lit(similarity / (1 + similarity)) * (many + other) - 1e-9) & (F.least(many, other) >= F.lit(similarity) * F.greatest(many, other) - 1e-9)
 
-    low = rows.select("_token", *[F.col(x).alias(x + "b") for x in ("_id", "_many", "_short", "_at")])
-    low = low.join(ends.select("_token", F.col("_low").alias("_idb")), ["_token", "_idb"])
+    low = shared.where("_id = _low").select("_token", *[F.col(x).alias(x + "b") for x in ("_id", "_many", "_short", "_at")])
     first = shared.select("_token", *[F.col(x).alias(x + "a") for x in ("_id", "_many", "_short", "_at")])
     met = first.join(low, "_token").where((F.col("_ida") != F.col("_idb")) & fits("a", "b"))
     links = alike(met.select(F.col("_ida").alias("a"), F.col("_idb").alias("b")), "near-first")
@@ -363,16 +378,25 @@ def without_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", **h
     unlike texts share names none of them: these rows aren't judged, and one of each text stays. Rows without a key stay.
     A null text counts as empty.
     """
+    spark = docs.sparkSession
     (name,) = unused(docs.columns, "_gone")
     keyed = docs.where(F.col(key).isNotNull())
     same = F.md5(F.coalesce(F.col(text), F.lit("")))
-    shared = keyed.groupBy(F.col(key).alias(name)).agg(F.min(same).alias("_least"), F.max(same).alias("_most"))
-    shared = settle(shared.where("_least <> _most").select(name), "near-shared-keys")
-    own = keyed.join(shared, F.col(key) == F.col(name), "left_anti")
-    linked_away = classes(own, text, key).where(F.col(key) != F.col("component_id")).select(F.col(key).alias(name))
-    kept = settle(own.join(linked_away, F.col(key) == F.col(name), "left_anti").dropDuplicates([key]), "near-classes")
-    groups = near_groups(kept, text, key, **how)
-    gone = groups.where("_id <> _root").select(F.col("_id").alias(name))
-    kept = kept.join(gone, F.col(key) == F.col(name), "left_anti")
-    unlike = keyed.join(shared, F.col(key) == F.col(name), "left_semi").withColumn(name, same).dropDuplicates([key, name]).drop(name)
-    return kept.unionByName(unlike).unionByName(docs.where(F.col(key).isNull()))
+    many = keyed.groupBy(F.col(key).alias(name)).agg(F.count("*").alias("_many"), F.min(same).alias("_least"), F.max(same).alias("_most"))
+    many = settle(many.where("_many > 1").select(name, (F.col("_least") != F.col("_most")).alias("_unlike")), "near-shared-keys")
+    rest = docs.where(F.col(key).isNull())
+    own = keyed
+    if not many.isEmpty():
+        named = F.col(key) == F.col(name)
+        once = keyed.join(many.where("not _unlike"), named, "left_semi").dropDuplicates([key])
+        own = keyed.join(many, named, "left_anti").unionByName(once)
+        unlike = keyed.join(many.where("_unlike"), named, "left_semi").withColumn(name, same).dropDuplicates([key, name]).drop(name)
+        rest = rest.unionByName(unlike)
+
+    def without(rows: DataFrame, keys: Callable[[], DataFrame], of: str) -> DataFrame:
+        return rows.join(settle_alone(spark, lambda: keys().distinct(), of), F.col(key) == F.col(name), "left_anti")
+
+    # Only keys are written; texts are read where they lie.
+    kept = without(own, lambda: classes(own, text, key).where(F.col(key) != F.col("component_id")).select(F.col(key).alias(name)), "near-linked")
+    kept = without(kept, lambda: near_groups(kept, text, key, **how).where("_id <> _root").select(F.col("_id").alias(name)), "near-gone")
+    return kept.unionByName(rest)

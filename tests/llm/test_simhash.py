@@ -179,3 +179,22 @@ def test_copies_go_by_linked_fingerprints(spark):
     kept = {r["doc_id"] for r in simhash.without_copies(docs).collect()}
     assert 50 in kept and 51 not in kept
     assert all(found[key] == key for key in kept)
+
+
+def test_keys_alone_stay_on_disk_and_python_works_once(spark, monkeypatch, left):
+    """What near-dedup leaves on disk are keys, no texts; prefixes are worked out in one pass of Python."""
+    fresh = random.Random(4)
+    rows = [(k, " ".join(f"w{fresh.randrange(10**6)}" for _ in range(30))) for k in range(20)]
+    rows += [(30, rows[3][1]), (31, rows[4][1] + " more"), (32, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    passes, settle = {}, simhash.settle
+
+    def noted(frame, name):
+        passes[name] = frame._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+        return settle(frame, name)
+
+    monkeypatch.setattr(simhash, "settle", noted)
+    kept = simhash.without_copies(docs)
+    assert passes["near-prefixes"] == 1
+    assert left() == ["near-gone", "near-linked", "near-shared-keys"]
+    assert sorted(map(tuple, kept.collect())) == sorted([*rows[:20], (32, "")])
