@@ -18,6 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -239,6 +240,8 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
 SAMPLE = 10_000
 #: Frequent shingles that are known to every task: 16 bytes each.
 FREQUENT = 1 << 17
+#: Bits that tell whose sets are needed, 1 MB; more keys than bits only mean that more sets are made.
+NEEDED = 1 << 23
 
 
 def hashed(text: str, size: int) -> np.ndarray:
@@ -262,6 +265,34 @@ def shingle_set(text: Column, size: int = 5) -> Column:
     return sets(text)
 
 
+def sets_of(texts: DataFrame, needed: DataFrame, size: int) -> DataFrame:
+    """``_id`` and ``_set``, as ``shingle_set`` has it, of the ``texts`` whose ``_id`` is ``needed``, and perhaps of a few others.
+
+    No text is shuffled: texts are looked through where they lie, with a bit for each key that is needed.
+    """
+    spot = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(NEEDED)).alias("_spot")
+    bits = needed.select(spot).groupBy(F.shiftright("_spot", 6).cast("int").alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(_spot & 63 as int))")).alias("_bits")
+    )
+    flags = np.zeros(NEEDED >> 6, np.int64)
+    known = bits.toPandas()
+    flags[known["_word"].to_numpy(np.int64)] = known["_bits"].to_numpy(np.int64)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            spots = rows.column("_spot").to_numpy()
+            rows = rows.take(pa.array(np.flatnonzero(flags[spots >> 6] >> (spots & 63) & 1)))
+            at = 0
+            for held in pieces(rows.column("_text").to_pylist()):
+                sets = pa.array([hashed(value, size) for value in held], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([rows.column("_id").slice(at, len(held)), sets], names=["_id", "_set"])
+                at += len(held)
+        give_back()
+
+    kind = texts.schema["_id"].dataType.simpleString()
+    return texts.select("_id", "_text", spot).mapInArrow(made, f"_id {kind}, _set array<long>")
+
+
 def frequent(texts: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles of a sample of ``SAMPLE`` texts, sorted, and how often each occurs there."""
     share = min(1.0, SAMPLE / max(1, texts.count()))
@@ -340,7 +371,7 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     def _alike(pairs: DataFrame, name: str) -> DataFrame:
         pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-candidates")
         needed = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct()
-        sets = settle(texts.join(needed, "_id", "left_semi").select("_id", shingle_set(F.col("_text"), size).alias("_set")), f"{name}-sets")
+        sets = settle(sets_of(texts, needed, size), f"{name}-sets")
         one, two = sets.select(F.col("_id").alias("a"), F.col("_set").alias("_sa")), sets.select(F.col("_id").alias("b"), F.col("_set").alias("_sb"))
         both = F.size(F.array_intersect("_sa", "_sb"))
         near = both >= F.lit(similarity) * (F.size("_sa") + F.size("_sb") - both) - 1e-9
@@ -365,8 +396,17 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     sizes = placed.groupBy("_token", "_root").agg(F.count("*").alias("_n"))
     top = sizes.groupBy("_token").agg(F.max(F.struct("_n", "_root"))["_root"].alias("_top"), F.count("*").alias("_roots")).where("_roots > 1")
     left = side("a").join(top.select("_token", "_top"), "_token").where("_roota <> _top")
-    more = left.join(side("b"), "_token").where((F.col("_roota") != F.col("_rootb")) & fits("a", "b"))
-    rest = alike(more.select(F.col("_ida").alias("a"), F.col("_idb").alias("b")), "near-rest")
+    # Similar sets share many of their first shingles, not one: those that share fewer are never compared.
+    a, b = F.col("_manya"), F.col("_manyb")
+    overlap = F.ceil(F.lit(similarity / (1 + similarity)) * (a + b) - 1e-9)
+    needed = overlap + 1 - F.ceil(F.lit(similarity) * F.greatest(a, b) - 1e-9)
+    # Where neither of two is in the largest group of a shingle, it would bring them twice.
+    once = (F.col("_rootb") == F.col("_top")) | (F.col("_ida") < F.col("_idb"))
+    sizes_fit = F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
+    more = left.join(side("b"), "_token").where((F.col("_roota") != F.col("_rootb")) & once & sizes_fit)
+    more = more.select(F.least("_ida", "_idb").alias("a"), F.greatest("_ida", "_idb").alias("b"), needed.alias("_needed"), fits("a", "b").alias("_fits"))
+    more = more.groupBy("a", "b", "_needed").agg(F.count("*").alias("_shared"), F.max("_fits").alias("_fits"))
+    rest = alike(more.where("_fits and _shared >= _needed").select("a", "b"), "near-rest")
     return components(links.union(rest).union(copies), "near").select(F.col("node").alias("_id"), F.col("root").alias("_root"))
 
 

@@ -198,3 +198,39 @@ def test_keys_alone_stay_on_disk_and_python_works_once(spark, monkeypatch, left)
     assert passes["near-prefixes"] == 1
     assert left() == ["near-gone", "near-linked", "near-shared-keys"]
     assert sorted(map(tuple, kept.collect())) == sorted([*rows[:20], (32, "")])
+
+
+def test_sets_are_made_without_shuffling_texts(spark, monkeypatch):
+    texts = spark.createDataFrame([(k, f"a b c d e f{k} a b c d e") for k in range(50)], "_id long, _text string")
+    needed = texts.where("_id % 10 = 3").select("_id")
+    sets = simhash.sets_of(texts, needed, 3)
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    found = {r["_id"]: r["_set"] for r in sets.collect()}
+    assert {3, 13, 23, 33, 43} <= set(found) and len(found) < 50
+    assert all(found[k] == simhash.hashed(f"a b c d e f{k} a b c d e", 3).tolist() for k in found)
+    monkeypatch.setattr(simhash, "NEEDED", 64)  # many keys to a bit
+    assert {3, 13, 23, 33, 43} <= {r["_id"] for r in simhash.sets_of(texts, needed, 3).collect()}
+    assert simhash.sets_of(texts, needed.limit(0), 3).collect() == []
+
+
+def test_pairs_that_share_too_few_shingles_are_not_compared(spark, monkeypatch):
+    """Two texts with a passage in common meet under it, but only those that share enough of their first shingles go on."""
+    fresh = random.Random(6)
+    words = lambda n: " ".join(f"w{fresh.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for k in range(0, 300, 2):
+        passage = words(6)
+        rows += [(k, f"{words(10)} {passage} {words(10)}"), (k + 1, f"{words(10)} {passage} {words(10)}")]
+    rows += [(400, " ".join([rows[0][1], "more"])), (401, " ".join([rows[1][1], "more"]))]
+    counts, settle = {}, simhash.settle
+
+    def noted(frame, name):
+        out = settle(frame, name)
+        counts[name] = out.count() if name.endswith("candidates") else 0
+        return out
+
+    monkeypatch.setattr(simhash, "settle", noted)
+    groups = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r["_id"], r["_root"]) for r in groups.collect()} == {(0, 0), (400, 0), (1, 1), (401, 1)}
+    assert counts["near-rest-candidates"] == 0
