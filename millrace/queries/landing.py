@@ -18,6 +18,8 @@ INSTANT = "20240201T000000Z"
 FIRST = datetime(2024, 2, 1, tzinfo=timezone.utc)
 FILE_ROWS = 3000
 ROLL_BYTES = 8 * 1024
+#: Tasks a core that read small files.
+READERS = 8
 
 
 def _plan(ends):
@@ -52,8 +54,11 @@ def land_rolled(spark, sf_dir):
     rows = land.landed_rows(event_log(spark, sf_dir), EVENT_V2)
     land.land_batch(rows, location, "json", file_bytes=ROLL_BYTES)
     largest = rows.agg(F.max(land.record_bytes(rows))).first()[0]
-    sizes = spark.read.format("binaryFile").load(location).where("path like '%.json'").agg(F.max("length").alias("size"), F.count("*").alias("files")).first()
-    landed = spark.read.schema(land.table_columns(EVENT_V2)).json(location)
+    # A scan takes a task for every 32 small files, and each of them as many shuffle files as there are partitions.
+    tasks = READERS * spark.sparkContext.defaultParallelism
+    listed = spark.read.format("binaryFile").load(location).select("path", "length").coalesce(tasks)
+    sizes = listed.where("path like '%.json'").agg(F.max("length").alias("size"), F.count("*").alias("files")).first()
+    landed = spark.read.schema(land.table_columns(EVENT_V2)).json(location).coalesce(tasks)
     said = F.lit(sizes["size"] < ROLL_BYTES + largest), F.lit(sizes["files"] > PARTITIONS)
     return landed.groupBy("schema_version", "log_partition").agg(
         F.count("*").alias("row_count"), F.countDistinct("log_offset").alias("offsets"), F.sum("id").alias("ids")

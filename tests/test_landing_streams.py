@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import model, notify, positions
 from millrace.plans import land
+from millrace.queries import landing
 from millrace.session import shared_dir
 from millrace.sources import log as logs
 from millrace.streaming import jobs, state
@@ -122,6 +123,40 @@ def test_small_files_share_a_task(spark, path):
     assert found == sorted(found)
 
 
+def test_rolled_files_take_few_calls(spark, path, monkeypatch):
+    """What the driver does for a file is a renaming, one call to the JVM, however the names are found."""
+    rows = spark.range(800).select("id", F.lit(1).alias("schema_version"), (F.col("id") % 400).cast("int").alias("log_partition"), (F.col("id") + 0).alias("log_offset"))
+    calls, client = [], spark.sparkContext._gateway._gateway_client
+    send = client.send_command
+
+    def counted(command, *how, **also):
+        calls.append(command)
+        return send(command, *how, **also)
+
+    monkeypatch.setattr(client, "send_command", counted)
+    land.land_batch(rows, path("out"), "json", file_bytes=10**6)
+    monkeypatch.undo()
+    names = [name for name in os.listdir(path("out")) if name.endswith(".json")]
+    assert len(names) == 400 and spark.read.schema(rows.schema).json(path("out")).count() == 800
+    assert len([name for name in names if "-00000000-" in name]) == 400
+    assert len(calls) < 8 * len(names)
+
+
+def test_rolled_files_are_read_by_few_tasks(spark, path):
+    """The query's tables are its own; the scan of the landed files is one of as many tasks as the session has room for."""
+    kind = F.element_at(F.array(*map(F.lit, ("click", "error", "view", "signup"))), (F.floor(F.col("id") / 50) % 4 + 1).cast("int"))
+    events = spark.range(3000).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("ts"), (F.col("id") % 50).alias("user_id"),
+        kind.alias("event_type"), (F.col("id") / 7).alias("value"), F.concat(F.lit('{"k": '), F.col("id") % 9, F.lit("}")).alias("props"),
+    )
+    events.write.parquet(path("events.parquet"))
+    found = landing.land_rolled(spark, path(""))
+    assert "Coalesce" in found._jdf.queryExecution().executedPlan().toString()
+    rows = found.collect()
+    assert len(rows) == 12 and sum(r.row_count for r in rows) == sum(r.offsets for r in rows) == 3000 and all(r.bounded and r.several for r in rows)
+    assert sum(r.ids for r in rows) == sum(range(3000))
+
+
 def test_nothing_to_roll(spark, path):
     rows = land.landed_rows(make_log(spark, path("log"), 10), V2).where("log_offset < 0")
     land.land_batch(rows, path("out"), file_bytes=100)
